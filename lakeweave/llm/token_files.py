@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm.common import small_batches
 from lakeweave.llm.storage import files_of, mapped
-from lakeweave.llm.tokenizing import TextEncoder
+from lakeweave.llm.tokenizing import TextEncoder, vocabulary_size
 
 
 _PART = "part int, name string, documents long, tokens long"
@@ -62,13 +62,16 @@ def _writer(path: str, tokenizer_path: str, end_id: int, width: int) -> Callable
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, width: int = 4) -> dict:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, width: int | None = None) -> dict:
     """Encodes every whole text, appends ``end_id``, writes the ids in ascending doc_id order; returns the manifest.
 
     Null text is empty (its ids are the end id alone). Null doc_ids come first; rows that repeat a doc_id stand next
-    to each other in any order. An empty table makes a manifest without parts. ``width`` is 2 or 4 bytes an id.
+    to each other in any order. An empty table makes a manifest without parts. ``width`` is 2 or 4 bytes an id: by
+    default 2 where every id of the vocabulary and the end id fit.
     """
     small_batches(docs.sparkSession)
+    if width is None:
+        width = 2 if max(end_id + 1, vocabulary_size(tokenizer_path)) <= 1 << 16 else 4
     files, folder = files_of(path)
     files.create_dir(folder, recursive=True)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")

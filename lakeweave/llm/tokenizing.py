@@ -35,6 +35,13 @@ def worker_state() -> types.ModuleType:
     return sys.modules.setdefault("_lakeweave_worker_state", types.ModuleType("_lakeweave_worker_state"))
 
 
+def vocabulary_size(tokenizer_path: str) -> int:
+    """Ids that the tokenizer may give, special tokens included."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
+
+
 class TextEncoder:
     """Encodes Arrow string arrays; ``cuts`` bounds the cuts remembered between batches."""
 
