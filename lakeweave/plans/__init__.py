@@ -1 +1,6 @@
+"""Queries and pipelines made of the operators."""
 
+from lakeweave.plans import profile_queries, table_queries  # noqa: F401
+from lakeweave.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
