@@ -33,8 +33,8 @@ SHARED_MINIMA = 3
 COMMON_FROM, COMMON_MOST = 16, 1_000_000
 #: bits of a token's hash in the matrix (a coincidence adds a candidate, never loses one)
 TOKEN_BITS = 40
-#: rows of a group that one task compares with what it holds
-CHUNK = 256
+#: sets that a task holds at a time, and rows of a group that it streams past them
+HELD, CHUNK = 64, 256
 
 
 @dataclass(frozen=True)
@@ -102,30 +102,31 @@ class TextStore:
 
 
 def compare(store: TextStore, held: DataFrame, streamed: DataFrame, t: Threshold) -> DataFrame:
-    """Links ``a, b`` between what ``held`` and ``streamed`` (``g, chunk, id`` each) have under the same group and chunk.
+    """Links ``a, b`` between what ``held`` (g, chunk, id) and ``streamed`` (g, chunk, id, others) have in a (g, chunk).
 
-    A task holds the sets of one (g, chunk) and streams the others past them; ids are compared once each. For a
-    held id the first link in a chunk is enough, unless it is the only one held.
+    A task holds the sets of one (g, chunk) and streams the others past them, each against the held ids in its
+    ``others``, or against all if that is null; then the first link of a held id is enough.
     """
-    both = held.withColumn("role", F.lit(0)).unionByName(streamed.withColumn("role", F.lit(1)))
-    rows = store.table().join(both, "id").select("g", "chunk", "role", "id", "text")
+    both = held.withColumns({"role": F.lit(0), "others": F.lit(None).cast("array<long>")}).unionByName(streamed.withColumn("role", F.lit(1)))
+    rows = store.table().join(both, "id").select("g", "chunk", "role", "id", "others", "text")
     dealt = rows.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "role", "id")
 
     def run(batches):
-        shingler, place, kept = Shingler(t.width), None, []
+        shingler, place, kept = Shingler(t.width), None, {}
         for batch in batches:
             links: list[tuple[int, int]] = []
-            g, chunk, role, ids, texts = (c.to_pylist() for c in batch.columns)
-            for at, r, i, s in zip(zip(g, chunk, strict=True), role, ids, shingler.sets(texts), strict=True):
+            g, chunk, role, ids, others, texts = (c.to_pylist() for c in batch.columns)
+            for at, r, i, wanted, s in zip(zip(g, chunk, strict=True), role, ids, others, shingler.sets(texts), strict=True):
                 if at != place:
-                    place, kept = at, []
+                    place, kept = at, {}
                 if r == 0:
-                    kept.append([i, s, False])
+                    kept[i] = s
                     continue
-                for k in kept:
-                    if k[0] != i and not (k[2] and len(kept) > 1) and t.links(k[1], s):
-                        links.append((k[0], i))
-                        k[2] = True
+                for k in list(kept) if wanted is None else wanted:
+                    if k != i and t.links(kept[k], s):
+                        links.append((k, i))
+                        if wanted is None:
+                            del kept[k]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
@@ -133,10 +134,16 @@ def compare(store: TextStore, held: DataFrame, streamed: DataFrame, t: Threshold
 
 
 def compare_pairs(store: TextStore, pairs: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs ``a, b`` that link. Each b is held and its a's are streamed, in chunks where it has many."""
-    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    held = counts.select(F.col("b").alias("g"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("b").alias("id"))
-    streamed = pairs.join(counts, "b").select(F.col("b").alias("g"), F.pmod(F.hash("a"), F.col("chunks")).alias("chunk"), F.col("a").alias("id"))
+    """The pairs ``a, b`` that link. Blocks of b's are held and each a is streamed once past those it is paired with.
+
+    A block with many pairs is divided by a, so a hub of any number of pairs is held in many tasks.
+    """
+    blocks = max(1, pairs.select("b").distinct().count() // HELD)
+    placed = pairs.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(blocks)))
+    counts = placed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / (CHUNK * 4)).cast("int").alias("chunks"))
+    placed = placed.join(counts, "g").withColumn("chunk", F.pmod(F.hash("a"), F.col("chunks")))
+    held = placed.select("g", "chunk", F.col("b").alias("id")).distinct()
+    streamed = placed.groupBy("g", "chunk", F.col("a").alias("id")).agg(F.collect_set("b").alias("others"))
     return compare(store, held, streamed, t)
 
 
@@ -308,20 +315,22 @@ def qualifying_groups(store: TextStore, named: DataFrame, tokens: int, t: Thresh
 
 
 def open_groups(store: TextStore, named: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
-    """Links ``a, b`` between the members of each pair of groups: the smaller group is held, 64 classes at a time."""
+    """Links ``a, b`` between the members of each pair of groups.
+
+    The classes of the smaller groups are the queries: a group's queries are held HELD at a time, and its members
+    stream past each such block once, however many queries it has.
+    """
     swap = F.col("many_a") > F.col("many_b")
-    pairs = pairs.select(
-        F.xxhash64("ca", "cb").alias("g"),
-        F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("query"),
-        F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("group"),
-        F.ceil(F.least("many_a", "many_b") / 64).cast("int").alias("qs"),
-        F.ceil(F.greatest("many_a", "many_b") / CHUNK).cast("int").alias("gs"),
-    )
+    query, group = F.when(swap, F.col("cb")).otherwise(F.col("ca")), F.when(swap, F.col("ca")).otherwise(F.col("cb"))
+    asked = pairs.select(query.alias("q"), group.alias("g"), F.greatest("many_a", "many_b").alias("many"))
+    queries = asked.join(named, F.col("q") == F.col("c")).select("g", "many", "id").distinct()
+    groups = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("qs"), F.ceil(F.max("many") / CHUNK).cast("int").alias("gs"))
+    groups = cut(groups, "groups")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = pairs.join(named, F.col("query") == F.col("c")).select("g", "id", "qs", "gs", others("gs").alias("x"))
+    held = queries.join(groups, "g").select("g", "id", "qs", "gs", others("gs").alias("x"))
     held = held.select("g", (F.pmod(F.hash("id"), F.col("qs")) * F.col("gs") + F.col("x")).alias("chunk"), "id")
-    streamed = pairs.join(named, F.col("group") == F.col("c")).select("g", "id", "qs", "gs", others("qs").alias("x"))
-    streamed = streamed.select("g", (F.col("x") * F.col("gs") + F.pmod(F.hash("id"), F.col("gs"))).alias("chunk"), "id")
+    streamed = groups.join(named, F.col("g") == F.col("c")).select("g", "id", "qs", "gs", others("qs").alias("x"))
+    streamed = streamed.select("g", (F.col("x") * F.col("gs") + F.pmod(F.hash("id"), F.col("gs"))).alias("chunk"), "id", F.lit(None).cast("array<long>").alias("others"))
     return compare(store, held, streamed, t)
 
 
