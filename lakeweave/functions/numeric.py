@@ -68,3 +68,8 @@ def ramp(step: Column | str, total: float, steepness: float = 10.0) -> Column:
 def log_yield(n: Column | str, of: Column | str) -> Column:
     """log(1 + n) / log(1 + N)."""
     return F.try_divide(F.log1p(col(n)), F.log1p(col(of)))
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's correlation as an aggregate; null where either doesn't vary (the built-in one raises an error then)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

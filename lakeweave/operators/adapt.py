@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.functions.numeric import clip, entropy
+from lakeweave.functions.numeric import clip, correlation, entropy
 from lakeweave.operators import neural
 from lakeweave.operators.evaluate import auc
 from lakeweave.operators.sampling import seeded
@@ -260,7 +260,7 @@ def stacked(predictions: DataFrame, labelled: DataFrame, target: DataFrame, feat
 
     ``predictions``: table_id, row_id, p1 for labelled and target rows.
     """
-    names = predictions.join(labelled.select("row_id", "label"), "row_id").groupBy("table_id").agg(F.abs(F.corr("p1", "label")).alias("r"))
+    names = predictions.join(labelled.select("row_id", "label"), "row_id").groupBy("table_id").agg(F.abs(correlation("p1", "label")).alias("r"))
     chosen = [r["table_id"] for r in names.orderBy(F.col("r").desc_nulls_last(), "table_id").limit(top).collect()]
     wide = predictions.groupBy("row_id").pivot("table_id", chosen).agg(F.first("p1"))
     wide = wide.select("row_id", *[F.col(f"`{c}`").alias(f"from_{i}") for i, c in enumerate(chosen)])

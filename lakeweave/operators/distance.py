@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.functions.numeric import correlation
 from lakeweave.operators.profile import DECILES
 
 
@@ -71,7 +72,7 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ranks = ranked(rows.select(F.col(c).alias("value")), []).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
         wide = wide.join(ranks, c)
     pairs = [(a, b) for i, a in enumerate(sorted(columns)) for b in sorted(columns)[i + 1 :]]
-    found = wide.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a, b in pairs])
+    found = wide.agg(*[correlation(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a, b in pairs])
     rows_of = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"`{a}|{b}`"), 6).alias("rho")) for a, b in pairs])
     return found.select(F.explode(rows_of).alias("p")).select("p.*")
 
@@ -90,4 +91,4 @@ def quantile_correlation(left: DataFrame, right: DataFrame, levels: Sequence[flo
     a = left.groupBy("column").agg(F.percentile("value", levels).alias("a"))
     b = right.groupBy("column").agg(F.percentile("value", levels).alias("b"))
     each = a.join(b, "column").select("column", F.explode(F.arrays_zip("a", "b")).alias("q"))
-    return each.groupBy("column").agg(F.round(F.corr("q.a", "q.b"), 6).alias("correlation"))
+    return each.groupBy("column").agg(F.round(correlation("q.a", "q.b"), 6).alias("correlation"))

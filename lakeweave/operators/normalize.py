@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +39,6 @@ def quantile_transformed(df: DataFrame, columns: Sequence[str], fitted_on: DataF
     Up to ``landmarks`` quantiles are the landmarks; between them places are interpolated, and a value that repeats
     gets the middle of its places. Constant columns become 0.5 (0). Landmarks are a bounded array in the plan.
     """
-    import numpy as np
-    import pandas as pd
-
     source = fitted_on if fitted_on is not None else df
     counted = source.agg(*[F.count(c).alias(c) for c in columns]).first()
     fitted = {}
@@ -69,10 +69,6 @@ def quantile_transformed(df: DataFrame, columns: Sequence[str], fitted_on: DataF
 
 def _normal(p):
     """The inverse of the standard normal distribution, by Newton steps on its series-free form."""
-    import math
-
-    import numpy as np
-
     x = np.sign(p - 0.5) * np.sqrt(np.maximum(0, -2 * np.log(2 * np.minimum(p, 1 - p)))) * 0.8
     erf = np.vectorize(math.erf)
     for _ in range(30):

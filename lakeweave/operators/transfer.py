@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.functions.numeric import correlation
 from lakeweave.functions.vectors import centroids, cosine, squared_distance
 
 
@@ -178,7 +179,7 @@ def score_correlations(table: DataFrame, scores: Sequence[str], outcome: str) ->
     long = F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("x"), F.col(outcome).cast("double").alias("y")) for s in scores])
     rows = table.select(F.explode(long).alias("r")).select("r.*").dropna()
     ranks = rows.withColumns({"rx": average_rank("x", "score"), "ry": average_rank("y", "score")})
-    out = ranks.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    out = ranks.groupBy("score").agg(F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman"))
 
     @F.pandas_udf("double")
     def p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
