@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,9 +124,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
     starts, sequences, offsets = (np.array(x, np.int64) for x in zip(*runs, strict=True)) if runs else (np.zeros(1, np.int64),) * 3
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(position):
-        import pandas as pd
-
+    def place(position: pd.Series) -> pd.DataFrame:
         at = position.to_numpy(np.int64)
         run = np.searchsorted(starts, at, "right") - 1
         return pd.DataFrame({"sequence_id": sequences[run] + at - starts[run], "offset": offsets[run]})

@@ -6,6 +6,7 @@ import random
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -153,9 +154,7 @@ def shard(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> Dat
     starts, bins = np.array(packing.start, np.int64), np.array(packing.bin, np.int32)
 
     @F.pandas_udf("int")
-    def bin_of(position):
-        import pandas as pd
-
+    def bin_of(position: pd.Series) -> pd.Series:
         return pd.Series(bins[np.searchsorted(starts, position.to_numpy(np.int64), "right") - 1])
 
     placed = ranked.select("_key", "_n", bin_of("position").alias("shard"))
