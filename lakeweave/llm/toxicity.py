@@ -35,7 +35,7 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(plain, r"[\x20\x09-\x0D]+")), "")
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, penalty: float = 1e-4, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by full-batch Adam on the log-likelihood; rows are arrays of feature numbers (presence)."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
@@ -68,12 +68,13 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_g
     return x[:n_features], x[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_features + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 4096, least_z: float = 6.0) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_words: int = 4096, least_z: float = 6.0, least_odds: float = 1.5) -> OrdinalModel:
     """A model of three severity grades from texts and 0/1 labels ``toxic``.
 
     Fitted on at most ``max_rows`` labelled rows (the documented bound of the sample: the first in the order of a hash
-    of doc_id), equal texts once. The features are the words that stand out in toxic texts: log-odds at least
-    ``least_z`` standard errors above 0, ``max_words`` at most by z. Labels are binary, so grades are derived: 0 not
+    of doc_id), equal texts once. The features are the words that stand out in toxic texts, ``max_words`` at most: at
+    least ``least_z`` standard deviations more often there than by chance, with log-odds of ``least_odds`` or more, in
+    one toxic text of a hundred or more. Labels are binary, so grades are derived: 0 not
     toxic, 1 toxic, 2 toxic with more of these words than the median toxic text. Rows without label or text don't
     count; with no toxic or no clean rows the model has no words and rates everything 0.
     """
@@ -87,10 +88,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words:
     if not bad or not good:
         return OrdinalModel((), (), (50.0, 60.0))
     seen = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (bad - a + 1)) - F.log(b / (good - b + 1))
-    z = odds / F.sqrt(1 / a + 1 / b + 1 / (bad - a + 1) + 1 / (good - b + 1))
-    top = seen.withColumn("z", z).where((F.col("z") >= least_z) & (F.col("a") >= max(5, bad // 500)))
+    a, b, n = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+    odds = F.log((a + 0.5) / (bad - a + 0.5)) - F.log((b + 0.5) / (good - b + 0.5))
+    share = bad / (bad + good)
+    z = (a - n * share) / F.sqrt(n * share)
+    clear = (z >= least_z) & (odds >= least_odds) & (a >= max(3, bad // 100))
+    top = seen.withColumn("z", z).where(clear)
     words = sorted(r["word"] for r in top.orderBy(F.col("z").desc(), "word").limit(max_words).collect())
     known = F.array(*[F.lit(w) for w in words]).cast("array<string>")
     found = rows.select("toxic", F.array_intersect("words", known).alias("hits")).groupBy("toxic", "hits").count().collect()
