@@ -47,10 +47,10 @@ def medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
 
 
 def prepared(df: DataFrame, features: Sequence[str], middle: dict[str, float]) -> DataFrame:
-    """``x``: features with the given medians for missing values, and an indicator for each."""
+    """``_x``: features with the given medians for missing values, and an indicator for each."""
     plain = df.withColumns({f"_f_{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(middle[c]))) for c in features} | {f"_n_{c}": F.col(c).isNull().cast("double") for c in features})
     names = [f"_f_{c}" for c in features] + [f"_n_{c}" for c in features]
-    return VectorAssembler(inputCols=names, outputCol="x").transform(plain).drop(*names)
+    return VectorAssembler(inputCols=names, outputCol="_x").transform(plain).drop(*names)
 
 
 def common_features(source: DataFrame, target: DataFrame, features: Sequence[str], least: float = 0.3) -> list[str]:
@@ -66,14 +66,14 @@ def fit(train: DataFrame, features: Sequence[str], booster: Booster = Booster(),
         only = float(classes[0]) if classes else 0.5
         return lambda df: df.withColumn("p1", F.lit(only))
     middle = medians(train, features)
-    gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=booster.trees, maxDepth=booster.depth, stepSize=booster.rate, subsamplingRate=booster.rows, featureSubsetStrategy=booster.columns, seed=booster.seed)
+    gbt = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=booster.trees, maxDepth=booster.depth, stepSize=booster.rate, subsamplingRate=booster.rows, featureSubsetStrategy=booster.columns, seed=booster.seed)
     if weight and weight in train.columns:
         gbt = gbt.setWeightCol(weight)
     model = gbt.fit(prepared(train, features, middle))
 
     def predict(df: DataFrame) -> DataFrame:
         out = model.transform(prepared(df, features, middle)).withColumn("p1", F.round(vector_to_array("probability")[1], 9))
-        return out.drop("x", "rawPrediction", "probability", "prediction")
+        return out.drop("_x", "rawPrediction", "probability", "prediction")
 
     predict.model = model
     return predict
