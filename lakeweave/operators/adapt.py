@@ -297,3 +297,36 @@ def matrices(sources: DataFrame, target: DataFrame, features: Sequence[str], mos
     middle = np.nan_to_num(np.nanmedian(a, 0))
     a, b = (np.where(np.isnan(x), middle, x) for x in (a, b))
     return a, s["label"].to_numpy(int), s["weight"].to_numpy(float), b
+
+
+def self_trained_with_labels(sources: DataFrame, validation: DataFrame, target: DataFrame, features: Sequence[str], booster: Booster, rounds: Sequence[float] = (0.3, 0.4, 0.5), boost: float = 3.0) -> DataFrame:
+    """Rounds of pseudo-labels on top of validated sources and labelled target rows, which weigh ``boost`` times as much."""
+    n = target.count()
+    heaviest = sources.agg(F.max("weight").alias("_w"))
+    mine = validation.withColumn("table_id", F.lit("target")).join(F.broadcast(heaviest)).withColumn("weight", boost * F.coalesce("_w", F.lit(1.0))).drop("_w")
+    train = cut(sources.unionByName(mine.select(*sources.columns)))
+    seen = cut(fit(train, features, booster)(target).select("row_id", "p1"))
+    for share in rounds:
+        sure = seen.withColumn("label", (F.col("p1") >= 0.5).cast("int"))
+        sure = sure.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(F.abs(F.col("p1") - 0.5).desc(), "row_id")))
+        pseudo = target.join(sure.where(F.col("_n") <= max(5, int(n * share / 2))).select("row_id", "label"), "row_id")
+        pseudo = pseudo.withColumns({"weight": F.lit(0.5), "table_id": F.lit("target")})
+        seen = cut(fit(cut(train.unionByName(pseudo.select(*train.columns))), features, booster)(target).select("row_id", "p1"))
+    return result(seen, "vla_self_train")
+
+
+def importance(predict: Callable[[DataFrame], DataFrame], rows: DataFrame, features: Sequence[str], most_rows: int = 2000, seed: int = 0) -> DataFrame:
+    """``feature, auc_drop``: what the AUC loses when a feature's values are dealt anew among (``most_rows``) rows.
+
+    It stands in for mean absolute SHAP values, which Spark's trees don't offer.
+    """
+    spark = rows.sparkSession
+    plain = sampled(rows, features, most_rows, ("label",))
+    rng = np.random.default_rng(seed)
+    parts = [plain.assign(feature="")]
+    for c in features:
+        parts.append(plain.assign(feature=c, **{c: rng.permutation(plain[c].to_numpy())}))
+    scored = predict(spark.createDataFrame(pd.concat(parts)))
+    found = auc(scored, "label", "p1", ["feature"])
+    base = found.where("feature = ''").select(F.col("auc").alias("_b"))
+    return found.where("feature <> ''").join(F.broadcast(base)).select("feature", F.round(F.col("_b") - F.col("auc"), 6).alias("auc_drop"))

@@ -190,3 +190,38 @@ def content_fingerprints(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def first_of_equal(fingerprints: DataFrame) -> DataFrame:
     """The first table of each fingerprint."""
     return fingerprints.groupBy("fingerprint").agg(F.min("table_id").alias("table_id")).select("table_id")
+
+
+def imputed_orphans(sources: DataFrame, orphans: DataFrame, target: DataFrame, features: Sequence[str], penalty: float = 1.0, least_r2: float = 0.10, least_sources: int = 2, most_columns: int = 8, most_rows: int = 10_000) -> DataFrame:
+    """``target`` with columns it lacks, as ridge models of several sources predict them from the features.
+
+    ``sources``: table_id, row_id and features; ``orphans``: table_id, row_id, cluster, value (columns of one meaning have
+    one cluster). Each (table, cluster) is a model of its own, in standard units of its source; those that explain less
+    than ``least_r2`` don't count. A model sees ``most_rows`` rows, a documented bound. Only coefficients leave the groups.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names = list(features)
+    order = Window.partitionBy("table_id", "cluster").orderBy(F.xxhash64("row_id"))
+    rows = orphans.join(sources, ["table_id", "row_id"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_rows)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[names].to_numpy(float), pdf["value"].to_numpy(float)
+        mean, std = np.nan_to_num(np.nanmean(x, 0)), np.maximum(np.nan_to_num(np.nanstd(x, 0)), 1e-9)
+        z = np.nan_to_num((x - mean) / std)
+        w = np.linalg.solve(z.T @ z + penalty * np.eye(len(names)), z.T @ (y - y.mean()))
+        r2 = 1 - ((y - y.mean() - z @ w) ** 2).sum() / max(1e-12, ((y - y.mean()) ** 2).sum())
+        return pd.DataFrame([(pdf["table_id"].iloc[0], pdf["cluster"].iloc[0], float(y.mean()), mean.tolist(), (w / std).tolist(), float(r2))], columns=["table_id", "cluster", "base", "mean", "w", "r2"])
+
+    models = rows.groupBy("table_id", "cluster").applyInPandas(fit, "table_id string, cluster string, base double, mean array<double>, w array<double>, r2 double")
+    good = models.where(F.col("r2") >= least_r2).groupBy("cluster").agg(F.collect_list(F.struct("base", "mean", "w")).alias("m"), F.count(F.lit(1)).alias("n"))
+    chosen = good.where(F.col("n") >= least_sources).orderBy(F.col("n").desc(), "cluster").limit(most_columns).collect()
+    out = target
+    for r in chosen:  # most_columns clusters, each a few numbers a source
+        guesses = [
+            F.lit(m["base"]) + sum((F.coalesce(F.col(c).cast("double") - b, F.lit(0.0)) * w for c, b, w in zip(names, m["mean"], m["w"], strict=True)), F.lit(0.0))
+            for m in r["m"]
+        ]
+        out = out.withColumn(r["cluster"], sum(guesses[1:], guesses[0]) / len(guesses))
+    return out

@@ -197,3 +197,46 @@ def t_tail(t: float, df: int) -> float:
     return float(max(0.0, 1 - part / whole))
 
 
+
+
+def label_consistency(x: np.ndarray, y: np.ndarray, key: np.ndarray, folds: int = 5) -> float:
+    """Mean AUC over folds (by a hash of the key, class by class) of a model of the label in its own source; 0.5 if none."""
+    fold = np.zeros(len(y), int)
+    n = int(min(folds, (y == 1).sum(), (y == 0).sum()))
+    if n < 2:
+        return 0.5
+    for c in (0, 1):
+        at = np.flatnonzero(y == c)
+        fold[at[np.argsort((key[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))]] = np.arange(len(at)) % n
+    return float(np.mean([rank_auc(y[fold == f], chances(logistic(x[fold != f], y[fold != f]), x[fold == f])) for f in range(n)]))
+
+
+def leave_one_out(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> float:
+    """2 (AUC - 0.5), in [0, 1]: how well the other sources' model tells each source's labels; 0.5 with fewer than two."""
+    if len(parts) < 2:
+        return 0.5
+    aucs = []
+    for i, (x, y) in enumerate(parts):
+        rest = [p for j, p in enumerate(parts) if j != i]
+        a, b = np.vstack([p[0] for p in rest]), np.concatenate([p[1] for p in rest])
+        if 0 < b.mean() < 1 and 0 < y.mean() < 1:
+            mean, std = a.mean(0), np.maximum(a.std(0), 1e-9)
+            aucs.append(rank_auc(y, chances(logistic((a - mean) / std, b), (x - mean) / std)))
+    return float(np.clip(2 * (np.mean(aucs) - 0.5), 0, 1)) if aucs else 0.5
+
+
+def cross_source_scores(sources: DataFrame, features: Sequence[str], most_rows: int = 300, most_sources: int = 100) -> dict[str, float]:
+    """``lcc`` (mean label consistency) and ``cslp`` (leave one source out) over ``most_rows`` rows of each of
+    ``most_sources`` sources: the documented bounds on what reaches the driver."""
+    from pyspark.sql import Window
+
+    names = list(features)
+    some = sources.select("table_id").distinct().orderBy(F.xxhash64("table_id")).limit(most_sources)
+    thin = sources.join(F.broadcast(some), "table_id").withColumn("_n", F.row_number().over(Window.partitionBy("table_id").orderBy(F.xxhash64("row_id")))).where(F.col("_n") <= most_rows)
+    pdf = thin.select("table_id", "row_id", "label", *names).toPandas()
+    parts, keys = [], []
+    for _, g in pdf.groupby("table_id"):
+        parts.append((np.nan_to_num(g[names].to_numpy(float)), g["label"].to_numpy(float)))
+        keys.append(g["row_id"].to_numpy())
+    lcc = [label_consistency(x, y, k) for (x, y), k in zip(parts, keys, strict=True)]
+    return {"lcc": round(float(np.mean(lcc)), 6) if lcc else 0.5, "cslp": round(leave_one_out(parts), 6)}

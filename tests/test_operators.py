@@ -276,3 +276,45 @@ def test_results_do_not_depend_on_partitions(spark):
         seen.add((distance.ks_matrix(numbers(spark, a), numbers(spark, b)).first().ks, profile.otsu(numbers(spark, a)).first().threshold))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert len(seen) == 1
+
+
+def test_orphans_are_imputed(spark):
+    rng = np.random.default_rng(6)
+    src, orph = [], []
+    for t in ("a", "b"):
+        for i in range(100):
+            x = rng.normal(0, 1, 2)
+            src.append((t, i, float(x[0]), float(x[1])))
+            orph.append((t, i, "extra", float(3 + 2 * x[0] - x[1])))
+            orph.append((t, i, "noise", float(rng.normal())))
+    sources = spark.createDataFrame(src, "table_id string, row_id long, x double, y double")
+    orphans = spark.createDataFrame(orph, "table_id string, row_id long, cluster string, value double")
+    target = spark.createDataFrame([(1.0, 0.0), (0.0, 2.0)], "x double, y double")
+    got = joins.imputed_orphans(sources, orphans, target, ["x", "y"])
+    assert got.columns == ["x", "y", "extra"]
+    assert np.allclose(sorted(r.extra for r in got.collect()), [1.0, 5.0], atol=0.2)
+
+
+def test_index_suggests_tables(spark, tmp_path):
+    from lakeweave.operators import index
+
+    encoder = matching.HashedNgramEncoder()
+    columns = spark.createDataFrame([("t1", 0, "annual income"), ("t1", 1, "age"), ("t2", 0, "annual income"), ("t3", 0, "age")], "table_id string, pos int, name string")
+    index.build_index(columns, encoder, f"file://{tmp_path}")
+    names, table_col = (spark.read.parquet(f"file://{tmp_path}/{x}") for x in ("name_dim", "table_col"))
+    label = matching.encode_names(spark.createDataFrame([("annual income",)], "name string"), encoder)
+    goal = matching.encode_names(spark.createDataFrame([("age",), ("hours",)], "name string"), encoder)
+    got = [(r.table_id, r.coverage, r.score) for r in index.candidates(names, table_col, label, goal).collect()]
+    assert got == [("t1", 0.5, 1.5), ("t2", 0.0, 1.0)]
+
+
+def test_importance_and_cross_source_scores(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i % 3}", i, float(x := rng.normal()), float(rng.normal()), int(x > 0), 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "table_id string, row_id long, x double, z double, label int, weight double")
+    drops = {r.feature: r.auc_drop for r in adapt.importance(adapt.fit(df, ["x", "z"], adapt.Booster(trees=3)), df, ["x", "z"]).collect()}
+    assert drops["x"] > 0.3 and abs(drops["z"]) < 0.1
+    scores = transfer.cross_source_scores(df, ["x", "z"])
+    assert scores["lcc"] > 0.95 and scores["cslp"] > 0.9 and transfer.leave_one_out([]) == 0.5
+    p = adapt.self_trained_with_labels(df.where("row_id < 200"), df.where("row_id >= 200 and row_id < 230"), df.where("row_id >= 230").drop("label", "weight"), ["x", "z"], adapt.Booster(trees=3), rounds=(0.3,))
+    assert p.count() == 70 and evaluate.auc(p.join(df.select("row_id", "label"), "row_id"), "label", "p1").first().auc > 0.9
