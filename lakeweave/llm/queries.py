@@ -124,14 +124,14 @@ SELECT page_id, sha256(coalesce(html, '')) AS payload_sha256, strlen(coalesce(ht
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
-z AS (SELECT doc_id, list_sort(s) AS z FROM s),
-c AS (SELECT min(doc_id) AS id, z AS s, len(z) AS n FROM z WHERE len(z) > 0 GROUP BY z),
+z AS MATERIALIZED (SELECT doc_id, list_sort(s) AS z FROM s),
+c AS MATERIALIZED (SELECT min(doc_id) AS id, z AS s, len(z) AS n FROM z WHERE len(z) > 0 GROUP BY z),
 t AS (SELECT id, n, unnest(s) AS t FROM c),
 f AS (SELECT t, count(*) AS k FROM t GROUP BY t),
 o AS (SELECT id, n, t.t, row_number() OVER (PARTITION BY id ORDER BY k, t.t) AS r FROM t JOIN f ON f.t = t.t),
-p AS (SELECT id, n, t FROM o WHERE r <= n - ceil(n * 0.75) + 1),
+p AS MATERIALIZED (SELECT id, n, t FROM o WHERE r <= n - ceil(n * 0.75) + 1),
 q AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.t = b.t AND a.id < b.id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
-e AS (SELECT a, b FROM q JOIN c x ON x.id = a JOIN c y ON y.id = b
+e AS MATERIALIZED (SELECT a, b FROM q JOIN c x ON x.id = a JOIN c y ON y.id = b
     WHERE 100 * len(list_intersect(x.s, y.s)) >= 75 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
 g AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
 m(x, y) AS (SELECT id, id FROM c UNION SELECT m.x, g.y FROM m JOIN g ON m.y = g.x),
