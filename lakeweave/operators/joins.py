@@ -120,16 +120,16 @@ def best_matches(left: DataFrame, right: DataFrame, least: float = -1.0) -> Data
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     """``id, neighbour, distance, rank``: the k nearest rows of each query, by Euclidean distance, itself left out.
 
-    Blocks of queries and rows meet as matrices; each pair of blocks gives k candidates a query, and the k best of
-    those are the result, so no distance but the candidates' leaves a task.
+    Blocks of at most some 1,000 queries and 5,000 rows meet as matrices; each pair of blocks gives k candidates a query,
+    and the k best of those are the result, so no distance but the candidates' leaves a task.
     """
     import numpy as np
     import pandas as pd
 
-    blocks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    parts = [max(1, -(-df.count() // size)) for df, size in ((queries, 1000), (rows, 5000))]
     q = queries.select(F.col("id").alias("qid"), F.col("vector").alias("qv"))
-    held = q.groupBy(F.pmod(F.hash("qid"), F.lit(blocks)).alias("_q")).agg(F.collect_list(F.struct("qid", "qv")).alias("qs"))
-    data = rows.select("id", "vector").groupBy(F.pmod(F.hash("id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("id", "vector")).alias("rs"))
+    held = q.groupBy(F.pmod(F.xxhash64("qid"), F.lit(parts[0])).alias("_q")).agg(F.collect_list(F.struct("qid", "qv")).alias("qs"))
+    data = rows.select("id", "vector").groupBy(F.pmod(F.xxhash64("id"), F.lit(parts[1])).alias("_b")).agg(F.collect_list(F.struct("id", "vector")).alias("rs"))
 
     def blockwise(batches):
         for pdf in batches:
