@@ -5,9 +5,10 @@
    hubs of their buckets, and verified links make the groups (connected components).
 3. The matrix has a row per token and an entry per group in whose union the token is. Only the first part of each
    set under one global order, rarest tokens first, is stored: if J(Q, S) >= t, Q has at least ceil(t |Q|) tokens in
-   common with S, so the first |Q| - ceil(t |Q|) + l tokens of Q and of S share l or more.
-4. The overlap of a query's part with a group's union bounds the overlap with any member. Groups that share fewer
-   than l tokens are never opened; the others are opened by comparing whole sets.
+   common with S, so the first |Q| - ceil(t |Q|) + 1 tokens of Q and of S share one or more.
+4. The overlap of a query with a group's union bounds the overlap with any member: at the first token that they share,
+   no more can be shared than what follows it in either. Only groups whose bound reaches what a link needs are opened,
+   by comparing whole sets.
 Inside a group nothing is compared again, so a group of any size costs an entry per token, not its pairs.
 """
 
@@ -29,8 +30,8 @@ from lakeweave.llm.shingles import Shingler, common, expand, expand_sorted, min_
 MINIMA = 10
 #: minima that two classes share before they are compared to make groups
 SHARED_MINIMA = 3
-#: tokens in this many groups or more get a place of their own in the order; the list of them is this long at most
-COMMON_FROM, COMMON_MOST = 16, 1_000_000
+#: tokens in this many groups or more come later in the order; where the list would be longer than this, the number doubles
+COMMON_FROM, COMMON_MOST = 2, 1_000_000
 #: bits of a token's hash in the matrix (a coincidence adds a candidate, never loses one)
 TOKEN_BITS = 40
 #: sets that a task holds at a time, and rows of a group that it streams past them
@@ -49,12 +50,9 @@ class Threshold:
         """Tokens that a set of ``n`` shares with any set it links with."""
         return -(-n * self.part // self.whole)
 
-    def bound(self, n):
-        """Tokens that the stored parts of two linked sets share at least, for the smaller of them."""
-        return 1 + n // 16
-
     def stored(self, n):
-        return np.minimum(n, n - self.least(n) + self.bound(n))
+        """Tokens of a set that the matrix has: two linked sets share one of them."""
+        return n - self.least(n) + 1
 
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
         small, large = sorted((len(a), len(b)))
@@ -90,8 +88,9 @@ class TextStore:
         self.path = scratch(self.spark, "texts")
         self.name = "lakeweave_" + self.path.rsplit("-", 1)[1]
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        chosen = docs.join(classes.select("id", "n"), docs["doc_id"] == F.col("id")).select("id", "n", "text")
-        written = chosen.repartition(buckets, "id").write.bucketBy(buckets, "id").option("path", self.path).option("compression", "zstd")
+        # dealt once by the hash that also makes the buckets: the join leaves the texts where they are
+        chosen = docs.repartition(buckets, "doc_id").join(classes.select("id", "n"), F.col("doc_id") == F.col("id")).select("id", "n", "text")
+        written = chosen.write.bucketBy(buckets, "id").option("path", self.path).option("compression", "zstd")
         written.saveAsTable(self.name)
 
     def table(self) -> DataFrame:
@@ -241,9 +240,8 @@ def qualifying_groups(store: TextStore, named: DataFrame, tokens: int, t: Thresh
                     short = s >> shift
                     at = np.minimum(np.searchsorted(listed, short), len(listed) - 1)
                     order = order + np.where(listed[at] == short, ranks[at], np.uint64(0))
-                many = int(t.stored(len(s)))
-                part = s[np.argpartition(order, many - 1)[:many]] >> shift if many < len(s) else s >> shift
-                held.append((part, i, c))
+                part = s[np.argsort(order)[: int(t.stored(len(s)))]] >> shift
+                held.append((part, i, c, len(s)))
                 n += len(part)
             if n > flush:
                 yield from send(held)
@@ -252,38 +250,39 @@ def qualifying_groups(store: TextStore, named: DataFrame, tokens: int, t: Thresh
             yield from send(held)
 
     def send(held) -> Iterator[pa.RecordBatch]:
-        token = np.concatenate([p for p, _, _ in held])
-        sizes = [len(p) for p, _, _ in held]
-        ids, groups = (np.repeat(np.array([h[k] for h in held], np.int64), sizes).view(np.uint64) for k in (1, 2))
-        order = np.lexsort((ids, groups, token))
-        token, ids, groups = token[order], ids[order], groups[order]
-        first = np.concatenate([[True], (token[1:] != token[:-1]) | (groups[1:] != groups[:-1])])  # a group's union has a token once
-        token, ids, groups = token[first], ids[first], groups[first]
+        token = np.concatenate([h[0] for h in held])
+        sizes = [len(h[0]) for h in held]
+        ids, groups, low = (np.repeat(np.array([h[k] for h in held], np.int64), sizes) for k in (1, 2, 3))
+        after = low - np.concatenate([np.arange(k) for k in sizes])
+        token, groups, ids, after, low = union(token, groups, ids, after, low)
         edges = np.searchsorted(token, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - bits))
-        rows = [(r, squeeze_sorted(token[i:j]), squeeze(groups[i:j]), squeeze(ids[i:j] - groups[i:j])) for r, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        rows = [(r, squeeze_sorted(token[i:j]), *(squeeze(x[i:j].view(np.uint64)) for x in (groups, ids - groups, after, low))) for r, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+        kinds = (pa.int32(), *[pa.binary()] * 5)
         for i in range(0, len(rows), 512):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 512], strict=True), kinds, strict=True)], names=["r", "tokens", "groups", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 512], strict=True), kinds, strict=True)], names=["r", "tokens", "groups", "ids", "after", "low"])
+
+    def union(token, groups, ids, after, low):
+        """One entry for each token and group: the smallest id, the most that may follow, the smallest set."""
+        order = np.lexsort((ids, groups, token))
+        token, groups, ids, after, low = (x[order] for x in (token, groups, ids, after, low))
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (groups[1:] != groups[:-1])]))
+        return token[first], groups[first], ids[first], np.maximum.reduceat(after, first), np.minimum.reduceat(low, first)
 
     def match(batches):
         place, held = None, []
         for batch in batches:
-            for r, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for r, tokens, *columns in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if r != place:
                     yield from meet(held)
                     place, held = r, []
-                groups = expand(b)
-                held.append((expand_sorted(a), groups, expand(c) + groups))
+                groups, ids, after, low = (expand(x).view(np.int64) for x in columns)
+                held.append((expand_sorted(tokens), groups, ids + groups, after, low))
         yield from meet(held)
 
     def meet(held):
         if not held:
             return
-        token, groups, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((ids, groups, token))
-        token, groups, ids = token[order], groups[order], ids[order]
-        first = np.concatenate([[True], (token[1:] != token[:-1]) | (groups[1:] != groups[:-1])])
-        token, groups, ids = token[first], groups[first].view(np.int64), ids[first].view(np.int64)
+        token, groups, ids, after, low = union(*(np.concatenate(x) for x in zip(*held, strict=True)))
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         sizes = np.diff(np.append(starts, len(token)))
         found = []
@@ -293,6 +292,11 @@ def qualifying_groups(store: TextStore, named: DataFrame, tokens: int, t: Thresh
             for i in range(0, len(at), max(1, 2_000_000 // len(x))):
                 block = at[i : i + max(1, 2_000_000 // len(x)), None]
                 p, q = (block + x[None, :]).ravel(), (block + y[None, :]).ravel()
+                # were this the first token they share, no more than what follows it in either could be shared
+                may = np.minimum(after[p], after[q]) * (t.part + t.whole) >= t.part * (low[p] + low[q])
+                p, q = p[may], q[may]
+                if not len(p):
+                    continue
                 found.append((groups[p], groups[q], ids[p], ids[q]))
                 if sum(len(f[0]) for f in found) > 4_000_000:
                     found = [fold(found)]
@@ -308,7 +312,7 @@ def qualifying_groups(store: TextStore, named: DataFrame, tokens: int, t: Thresh
         start = np.flatnonzero(np.concatenate([[True], (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])]))
         return ca[start], cb[start], a[start], b[start], np.add.reduceat(n, start)
 
-    sent = rows.mapInArrow(store_parts, "r int, tokens binary, groups binary, ids binary").repartition("r").sortWithinPartitions("r")
+    sent = rows.mapInArrow(store_parts, "r int, tokens binary, groups binary, ids binary, after binary, low binary").repartition("r").sortWithinPartitions("r")
     met = sent.mapInArrow(match, "ca long, cb long, a long, b long, shared long")
     met = met.groupBy("ca", "cb").agg(F.sum("shared").alias("shared"), F.min(F.struct("a", "b")).alias("w"))
     return cut(met.select("ca", "cb", "w.a", "w.b", "shared"), "qualifying")
@@ -348,9 +352,8 @@ def _linked(docs: DataFrame, classes: DataFrame, member: DataFrame, tokens: int,
         sizes = named.groupBy("c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("many"))
         one, two = (sizes.select(*[F.col(c).alias(f"{c}_{k}") for c in sizes.columns]) for k in ("a", "b"))
         opened = near.join(one, F.col("ca") == F.col("c_a")).join(two, F.col("cb") == F.col("c_b"))
-        enough = F.col("shared") >= 1 + F.floor(F.least("low_a", "low_b") / 16)  # Threshold.bound of the smallest members
         fits = (F.col("low_a") * t.part <= F.col("high_b") * t.whole) & (F.col("low_b") * t.part <= F.col("high_a") * t.whole)
-        opened = cut(opened.where(enough & fits).select("ca", "cb", "a", "b", "many_a", "many_b"), "opened")
+        opened = cut(opened.where(fits).select("ca", "cb", "a", "b", "many_a", "many_b"), "opened")
         links = links.unionByName(cut(compare_pairs(store, opened.select("a", "b"), t), "links"))
         groups = cut(components(links), "groups")
         # groups that their witnesses didn't join are opened in full, unless the witnesses were all there was
