@@ -31,7 +31,7 @@ MINIMA = 10
 #: minima that two classes share before they are compared to make groups
 SHARED_MINIMA = 3
 #: tokens in this many groups or more come later in the order; where the list would be longer than this, the number doubles
-COMMON_FROM, COMMON_MOST = 2, 1_000_000
+COMMON_FROM, COMMON_MOST = 4, 200_000
 #: bits of a token's hash in the matrix (a coincidence adds a candidate, never loses one)
 TOKEN_BITS = 40
 #: sets that a task holds at a time, and rows of a group that it streams past them
