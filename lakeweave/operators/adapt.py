@@ -279,6 +279,30 @@ def sampled(df: DataFrame, features: Sequence[str], most: int, extra: Sequence[s
     return df.orderBy(F.xxhash64("row_id")).limit(most).select("row_id", *features, *extra).toPandas()
 
 
+def spread_labels(labelled: DataFrame, target: DataFrame, features: Sequence[str], most: int = 1000, gamma: float = 0.25, keep: float = 0.8) -> DataFrame:
+    """``row_id, p1`` for every target row by label spreading, in standard units of all rows, means for missing values.
+
+    The graph holds ``most`` labelled and ``most`` target rows, the documented bound on what is gathered; all target
+    rows are then scored against it in blocks, on the executors.
+    """
+    names = list(features)
+    clean = lambda df: df.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in names})
+    labelled, target = clean(labelled), clean(target)
+    stats = labelled.select(*names).unionByName(target.select(*names)).agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    mean, scale = (np.array([stats[f"{k}{i}"] or 0.0 for i in range(len(names))]) for k in "ms")
+    scale = np.where(scale > 0, scale, 1.0)
+    standard = lambda x: (np.where(np.isnan(x), mean, x) - mean) / scale
+    s, b = sampled(labelled, names, most, ("label",)), sampled(target, names, most)
+    x = standard(np.vstack([s[names].to_numpy(float), b[names].to_numpy(float)]))
+    f = neural.spread(x, np.r_[s["label"].to_numpy(int), np.full(len(b), -1)], gamma, keep)
+
+    @F.pandas_udf("double")
+    def p(*columns: pd.Series) -> pd.Series:
+        return pd.Series(neural.spread_to(x, f, standard(np.stack([c.to_numpy(float) for c in columns], 1)), gamma))
+
+    return target.select("row_id", F.round(p(*[F.col(c) for c in names]), 6).alias("p1"))
+
+
 def with_net(net: neural.Net, df: DataFrame, features: Sequence[str], level: str) -> DataFrame:
     """Predictions of a net over all rows, in batches."""
     names = list(features)

@@ -55,18 +55,48 @@ def transported(source: np.ndarray, label: np.ndarray, target: np.ndarray, guess
     return out
 
 
-def propagated(x: np.ndarray, label: np.ndarray, gamma: float = 0.25, keep: float = 0.8, steps: int = 200) -> np.ndarray:
-    """P(1) of each row from the labelled ones (-1: unlabelled) by spreading over a Gaussian similarity graph."""
-    d = np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0)
-    w = np.exp(-gamma * d)
-    np.fill_diagonal(w, 0)
-    root = np.sqrt(np.maximum(w.sum(1), 1e-12))
-    s = w / root[:, None] / root[None]
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All pairs, in one array that is changed in place."""
+    d = (-2 * a) @ b.T
+    d += (a**2).sum(1)[:, None]
+    d += (b**2).sum(1)[None]
+    return np.maximum(d, 0, out=d)
+
+
+def spread(x: np.ndarray, label: np.ndarray, gamma: float = 0.25, keep: float = 0.8, steps: int = 200) -> np.ndarray:
+    """Class probabilities (n, 2) of each row from the labelled ones (-1: unlabelled) by spreading over a Gaussian
+    similarity graph; zeros for a row that no label reaches."""
+    s = np.exp(-gamma * squared_distances(x, x))
+    np.fill_diagonal(s, 0)
+    degree = s.sum(1)
+    root = np.sqrt(np.where(degree > 0, degree, 1.0))
+    s /= root[:, None]
+    s /= root[None]
     y = np.stack([label == 0, label == 1], 1).astype(float)
     f = y.copy()
     for _ in range(steps):
         f = (1 - keep) * s @ f + keep * y if keep < 1 else y
-    return f[:, 1] / np.maximum(f.sum(1), 1e-12)
+    total = f.sum(1, keepdims=True)
+    return np.divide(f, total, out=np.zeros_like(f), where=total > 0)
+
+
+def propagated(x: np.ndarray, label: np.ndarray, gamma: float = 0.25, keep: float = 0.8, steps: int = 200) -> np.ndarray:
+    """P(1) of each row of the graph itself (see ``spread``)."""
+    return spread(x, label, gamma, keep, steps)[:, 1]
+
+
+def spread_to(x: np.ndarray, f: np.ndarray, new: np.ndarray, gamma: float = 0.25, block: int = 500) -> np.ndarray:
+    """P(1) of rows outside the graph: the mean of its rows' probabilities by similarity; 0.5 if none has any.
+
+    Distances are taken from the nearest row that has some, so that far rows don't lose all weights to rounding.
+    """
+    x, f = x[f.sum(1) > 0], f[f.sum(1) > 0]
+    out = np.full(len(new), 0.5)
+    for i in range(0, len(new) if len(x) else 0, block):
+        d = squared_distances(new[i : i + block], x)
+        w = np.exp(-gamma * (d - d.min(1, keepdims=True)))
+        out[i : i + block] = w @ f[:, 1] / w.sum(1)
+    return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions.numeric import entropy
 from lakeweave.operators import adapt, align, joins, matching, neural, normalize
 from lakeweave.plans.registry import Tables, query
+from lakeweave.plans.vector_queries import WIDTH
 from lakeweave.sources import lake
 
 _TABLES = {"customer": ["c_custkey", "c_nationkey", "c_acctbal"], "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_totalprice"]}
@@ -200,8 +201,8 @@ def stacking(t: Tables) -> DataFrame:
 
 
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame, list[str]]:
-    features = [f"x{i}" for i in range(16)]
-    rows = t.embeddings.select(F.col("vec_id").alias("row_id"), (F.col("label") < 5).cast("int").alias("label"), F.lit(1.0).alias("weight"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)])
+    features = [f"x{i}" for i in range(WIDTH)]
+    rows = t.embeddings.select(F.col("vec_id").alias("row_id"), (F.col("label") < 5).cast("int").alias("label"), F.lit(1.0).alias("weight"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(WIDTH)])
     return rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1").drop("label", "weight"), features
 
 
@@ -252,10 +253,7 @@ def ftta(t: Tables) -> DataFrame:
 @query(None)
 def label_propagation(t: Tables) -> DataFrame:
     sources, target, features = _vectors(t)
-    s, b = adapt.sampled(sources, features, 1000, ("label",)), adapt.sampled(target, features, 1000)
-    x = np.vstack([s[features].to_numpy(float), b[features].to_numpy(float)])
-    p = neural.propagated(x, np.r_[s["label"].to_numpy(int), np.full(len(b), -1)])
-    return t.spark.createDataFrame([(int(i), round(float(v), 6)) for i, v in zip(b["row_id"], p[len(s):], strict=True)], "row_id long, p1 double")
+    return adapt.spread_labels(sources, target, features)
 
 
 @query(None)
