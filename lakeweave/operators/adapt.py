@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -303,6 +304,118 @@ def spread_labels(labelled: DataFrame, target: DataFrame, features: Sequence[str
     return target.select("row_id", F.round(p(*[F.col(c) for c in names]), 6).alias("p1"))
 
 
+def kernel_weights(sources: DataFrame, target: DataFrame, features: Sequence[str], most: int = 5000) -> DataFrame:
+    """``row_id, weight`` of every source row by kernel mean matching: fitted for ``most`` rows (by hash), 1 for the rest.
+
+    The bound is the one on the square kernel matrix. The mean over the target is taken over all its rows, by task.
+    """
+    names = list(features)
+    s = sampled(sources, names, most)
+    x = s[names].to_numpy(float)
+    gamma = neural.kernel_gamma(x)
+
+    def sums(batches):
+        total, n = np.zeros(len(x)), 0
+        for pdf in batches:
+            total, n = total + neural.kernel_sums(x, pdf.to_numpy(float), gamma), n + len(pdf)
+        yield pd.DataFrame({"i": np.arange(len(x)), "total": total, "n": n})
+
+    parts = target.select(*[F.col(c).cast("double") for c in names]).mapInPandas(sums, "i long, total double, n long")
+    kappa = parts.groupBy("i").agg((F.sum("total") / F.sum("n")).alias("mean")).toPandas().sort_values("i")["mean"].to_numpy(float) * len(x)
+    w = neural.kernel_mean_fit(x, gamma, kappa)
+    fitted = sources.sparkSession.createDataFrame([(r, round(float(v), 6)) for r, v in zip(s["row_id"].tolist(), w, strict=True)], f"row_id {sources.schema['row_id'].dataType.simpleString()}, weight double")
+    return sources.select("row_id").join(F.broadcast(fitted), "row_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+
+
+def _medians_of_costs(blocks, goals: dict[int, np.ndarray], bins: int = 4096, passes: int = 3) -> dict[int, float]:
+    """Of each class, the median squared distance of its source rows to its goals, by narrowing histograms."""
+    sizes = blocks.map(lambda b: {b[0]: (len(b[1]), float((b[1] ** 2).sum(1).max()))}).reduce(lambda p, q: {c: ((p[c][0] + q[c][0], max(p[c][1], q[c][1])) if c in p and c in q else p.get(c, q.get(c))) for c in p | q})
+    at = {}
+    for c, y in goals.items():
+        if c in sizes:
+            n = sizes[c][0] * len(y)
+            high = (np.sqrt(sizes[c][1]) + np.sqrt((y**2).sum(1).max())) ** 2 * (1 + 1e-9) + 1e-12
+            at |= {(c, k): (0.0, high) for k in {(n - 1) // 2, n // 2}}
+    for _ in range(passes):
+
+        def counts(b, at=dict(at)):
+            d = neural.squared_distances(b[1], goals[b[0]]).ravel() if b[0] in goals else np.empty(0)
+            out = {}
+            for (c, k), (low, high) in at.items():
+                if c == b[0]:
+                    own = d[(d >= low) & (d <= high)]
+                    out[c, k] = np.r_[(d < low).sum(), np.bincount(np.minimum(((own - low) / (high - low) * bins).astype(int), bins - 1), minlength=bins)]
+            return out
+
+        found = blocks.map(counts).reduce(lambda p, q: {k: p.get(k, 0) + q.get(k, 0) for k in p | q})
+        for (c, k), (low, high) in at.items():
+            i = min(int(np.searchsorted(np.cumsum(found[c, k][1:]), k - found[c, k][0], side="right")), bins - 1)
+            at[c, k] = (low + (high - low) * i / bins, low + (high - low) * (i + 1) / bins)
+    return {c: float(np.mean([(low + high) / 2 for (d, _), (low, high) in at.items() if d == c])) for c, _ in at}
+
+
+def transported(sources: DataFrame, target: DataFrame, features: Sequence[str], most: int = 1000, most_rows: int = 5000, strength: float = 0.1, steps: int = 200, close: float = 1e-9, block: int = 500) -> DataFrame:
+    """``row_id, moved``: how far each source row moves to the target's rows of its class (see ``neural.transported``).
+
+    All source rows take part: they stay on the executors in blocks and only sums per goal meet, step by step, until the
+    plan's sums are met to ``close``. The target's side is ``most`` rows a class (by hash). Pseudo-labels of all target
+    rows come from a logistic model of ``most_rows`` source rows. A class that the target lacks stays where it is.
+    """
+    from lakeweave.operators.transfer import chances, logistic
+
+    names = list(features)
+    spark = sources.sparkSession
+    s = sampled(sources, names, most_rows, ("label",))
+    w = logistic(s[names].to_numpy(float), s["label"].to_numpy(int))
+
+    @F.pandas_udf("int")
+    def guess(*columns: pd.Series) -> pd.Series:
+        return pd.Series((chances(w, np.stack([c.to_numpy(float) for c in columns], 1)) >= 0.5).astype("int32"))
+
+    guessed = target.withColumn("_c", guess(*[F.col(c).cast("double") for c in names]))
+    goals = {c: sampled(guessed.where(F.col("_c") == c), names, most)[names].to_numpy(float) for c in (0, 1)}
+    goals = {c: y for c, y in goals.items() if len(y)}
+
+    def in_blocks(rows):
+        held: dict[int, list] = {}
+        for r in rows:
+            own = held.setdefault(r[0], [])
+            own.append(r[1])
+            if len(own) == block:
+                yield r[0], np.array(held.pop(r[0]))
+        yield from ((c, np.array(v)) for c, v in held.items())
+
+    rows = sources.select(F.col("label").cast("int"), F.array(*[F.col(c).cast("double") for c in names])).rdd
+    blocks = rows.coalesce(min(rows.getNumPartitions(), spark.sparkContext.defaultParallelism)).mapPartitions(in_blocks).persist(StorageLevel.MEMORY_AND_DISK)
+    scale = {c: strength * max(1e-9, m) for c, m in _medians_of_costs(blocks, goals).items()}
+    g = {c: np.zeros(len(goals[c])) for c in scale}
+    shared = spark.sparkContext.broadcast(goals)
+    for _ in range(steps if g else 0):
+
+        def met(b, g=dict(g)):
+            return {b[0]: (neural.soft_plan(b[1], shared.value[b[0]], g[b[0]], scale[b[0]]).sum(0), len(b[1]))} if b[0] in g else {}
+
+        sums = blocks.map(met).reduce(lambda p, q: {c: ((p[c][0] + q[c][0], p[c][1] + q[c][1]) if c in p and c in q else p.get(c, q.get(c))) for c in p | q})
+        share = {c: np.maximum(v / n * len(v), 1e-300) for c, (v, n) in sums.items()}
+        g = {c: g[c] - np.log(share[c]) for c in g}
+        if max(np.abs(x - 1).max() for x in share.values()) < close:
+            break
+    blocks.unpersist()
+
+    @F.pandas_udf("double")
+    def moved(label: pd.Series, *columns: pd.Series) -> pd.Series:
+        x, c = np.stack([v.to_numpy(float) for v in columns], 1), label.to_numpy(int)
+        out = np.zeros(len(x))
+        for k in g:
+            at = np.flatnonzero(c == k)
+            for i in range(0, len(at), block):
+                some = at[i : i + block]
+                out[some] = np.linalg.norm(neural.soft_plan(x[some], goals[k], g[k], scale[k]) @ goals[k] - x[some], axis=1)
+        return pd.Series(out)
+
+    return sources.select("row_id", F.round(moved(F.col("label").cast("int"), *[F.col(c).cast("double") for c in names]), 4).alias("moved"))
+
+
 def with_net(net: neural.Net, df: DataFrame, features: Sequence[str], level: str) -> DataFrame:
     """Predictions of a net over all rows, in batches."""
     names = list(features)

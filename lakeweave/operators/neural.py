@@ -11,20 +11,28 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
-def kernel_mean_weights(source: np.ndarray, target: np.ndarray, most: float = 10.0, slack: float = 0.1, steps: int = 300) -> np.ndarray:
-    """Row weights in [0, ``most``] that bring the source's kernel mean to the target's, by projected gradient descent.
+def kernel_gamma(source: np.ndarray) -> float:
+    """One over the median squared distance of the first 500 rows."""
+    near = squared_distances(source[:500], source[:500])
+    np.fill_diagonal(near, 0)  # else rounding makes some of them count
+    return float(1 / max(1e-9, np.median(near[near > 0]) if (near > 0).any() else 1.0))
+
+
+def kernel_sums(source: np.ndarray, target: np.ndarray, gamma: float, block: int = 500) -> np.ndarray:
+    """Of each source row, the sum of the kernel over target rows, taken in blocks."""
+    out = np.zeros(len(source))
+    for i in range(0, len(target), block):
+        out += np.exp(-gamma * squared_distances(target[i : i + block], source)).sum(0)
+    return out
 
-    The kernel is Gaussian with the median distance as its width; the mean weight stays within ``slack`` of 1.
-    """
-    def squared(a, b):
-        return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)
 
-    near = squared(source[:500], source[:500])
-    gamma = 1 / max(1e-9, np.median(near[near > 0]) if (near > 0).any() else 1.0)
-    k = np.exp(-gamma * squared(source, source))
-    kappa = np.exp(-gamma * squared(source, target)).sum(1) * len(source) / len(target)
+def kernel_mean_fit(source: np.ndarray, gamma: float, kappa: np.ndarray, most: float = 10.0, slack: float = 0.1, steps: int = 300) -> np.ndarray:
+    """Row weights in [0, ``most``] for ``kappa``: the mean kernel over the target times the number of source rows."""
+    k = squared_distances(source, source)
+    k *= -gamma
+    np.exp(k, out=k)
     w = np.ones(len(source))
-    rate = 1 / max(1e-9, np.linalg.norm(k, 1))
+    rate = 1 / max(1e-9, k.sum(0).max())
     for _ in range(steps):
         w = np.clip(w - rate * (k @ w - kappa), 0, most)
         mean = w.mean()
@@ -33,6 +41,15 @@ def kernel_mean_weights(source: np.ndarray, target: np.ndarray, most: float = 10
     return w
 
 
+def kernel_mean_weights(source: np.ndarray, target: np.ndarray, most: float = 10.0, slack: float = 0.1, steps: int = 300) -> np.ndarray:
+    """Row weights in [0, ``most``] that bring the source's kernel mean to the target's, by projected gradient descent.
+
+    The kernel is Gaussian with the median distance as its width; the mean weight stays within ``slack`` of 1.
+    """
+    gamma = kernel_gamma(source)
+    return kernel_mean_fit(source, gamma, kernel_sums(source, target, gamma) * len(source) / len(target), most, slack, steps)
+
+
 def transported(source: np.ndarray, label: np.ndarray, target: np.ndarray, guess: np.ndarray, strength: float = 0.1, steps: int = 200) -> np.ndarray:
     """Source rows moved to the target, class by class: entropic optimal transport in log space, then barycentres.
 
@@ -55,6 +72,17 @@ def transported(source: np.ndarray, label: np.ndarray, target: np.ndarray, guess
     return out
 
 
+def soft_plan(source: np.ndarray, target: np.ndarray, g: np.ndarray, scale: float) -> np.ndarray:
+    """Rows of the entropic plan for the target's potentials ``g``, each divided by its sum (source potentials cancel)."""
+    k = squared_distances(source, target)
+    k /= -scale
+    k += g[None]
+    k -= k.max(1, keepdims=True)
+    np.exp(k, out=k)
+    k /= k.sum(1, keepdims=True)
+    return k
+
+
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All pairs, in one array that is changed in place."""
     d = (-2 * a) @ b.T

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,21 +208,13 @@ def _vectors(t: Tables) -> tuple[DataFrame, DataFrame, list[str]]:
 @query(None)
 def kernel_mean_matching(t: Tables) -> DataFrame:
     sources, target, features = _vectors(t)
-    s, b = adapt.sampled(sources, features, 2000), adapt.sampled(target, features, 2000)
-    w = neural.kernel_mean_weights(s[features].to_numpy(float), b[features].to_numpy(float))
-    return t.spark.createDataFrame([(int(i), round(float(x), 6)) for i, x in zip(s["row_id"], w, strict=True)], "row_id long, weight double")
+    return adapt.kernel_weights(sources, target, features)
 
 
 @query(None)
 def sinkhorn_transport(t: Tables) -> DataFrame:
     sources, target, features = _vectors(t)
-    s, b = adapt.sampled(sources, features, 1000, ("label",)), adapt.sampled(target, features, 1000)
-    x, y, z = s[features].to_numpy(float), s["label"].to_numpy(int), b[features].to_numpy(float)
-    from lakeweave.operators.transfer import chances, logistic
-
-    moved = neural.transported(x, y, z, (chances(logistic(x, y), z) >= 0.5).astype(int))
-    step = np.linalg.norm(moved - x, axis=1)
-    return t.spark.createDataFrame([(int(i), round(float(d), 4)) for i, d in zip(s["row_id"], step, strict=True)], "row_id long, moved double")
+    return adapt.transported(sources, target, features)
 
 
 def _adversarial(t: Tables, conditional: bool, level: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lakeweave.operators import transfer
+from lakeweave.operators import adapt, neural, transfer
 from lakeweave.plans import QUERIES
 
 N = 5200
@@ -27,3 +27,37 @@ def test_label_propagation_scores_all_targets(spark, folder):
     got = QUERIES["label_propagation"](spark, at).toPandas()
     assert sorted(got["row_id"]) == list(range(1, N, 2))
     assert transfer.rank_auc((label[got["row_id"]] < 5).astype(int), got["p1"].to_numpy()) > 0.95
+
+
+def test_kernel_mean_matching_weighs_all_sources(spark, folder):
+    at, _ = folder
+    got = QUERIES["kernel_mean_matching"](spark, at).toPandas()
+    assert sorted(got["row_id"]) == list(range(0, N, 2)) and got["weight"].between(0, 10).all()
+
+
+def test_kernel_weights_beyond_the_sample_are_one(spark):
+    rng = np.random.default_rng(1)
+    x, t = rng.normal(0, 1, (300, 2)), rng.normal(1, 1, (200, 2))
+    frame = lambda v: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "row_id long, a double, b double")
+    got = adapt.kernel_weights(frame(x), frame(t), ["a", "b"], most=100).toPandas()
+    assert len(got) == 300 and 200 <= (got["weight"] == 1).sum() < 300
+    all_rows = adapt.kernel_weights(frame(x), frame(t), ["a", "b"], most=500).toPandas().set_index("row_id")["weight"]
+    order = adapt.sampled(frame(x), ["a", "b"], 500)["row_id"].to_numpy()
+    assert np.allclose(all_rows[order], neural.kernel_mean_weights(x[order], t), atol=1e-5)
+
+
+def test_transport_moves_all_sources(spark, folder):
+    at, _ = folder
+    got = QUERIES["sinkhorn_transport"](spark, at).toPandas()
+    assert sorted(got["row_id"]) == list(range(0, N, 2)) and (got["moved"] > 0).all()
+
+
+def test_transport_in_blocks_is_the_transport(spark):
+    rng = np.random.default_rng(2)
+    y, z = np.arange(90) % 2, np.arange(70) % 2
+    x, t = rng.normal(0, 1, (90, 2)) + 6 * y[:, None], rng.normal(0.5, 1, (70, 2)) + 6 * z[:, None]
+    s = spark.createDataFrame([(i, *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, y, strict=True))], "row_id long, a double, b double, label int")
+    b = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(t)], "row_id long, a double, b double")
+    got = adapt.transported(s.repartition(3), b, ["a", "b"], block=7).toPandas().set_index("row_id")["moved"].sort_index()
+    guess = (transfer.chances(transfer.logistic(x, y), t) >= 0.5).astype(int)
+    assert np.allclose(got, np.linalg.norm(neural.transported(x, y, t, guess) - x, axis=1), atol=1e-3)
