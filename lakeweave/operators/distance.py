@@ -47,6 +47,17 @@ def distribution_similarity(left: DataFrame, right: DataFrame, levels: Sequence[
     return a.join(b, "column").select("column", F.round(F.greatest(F.lit(0.0), 1 - gaps / (F.col("span") + 1e-9)), 6).alias("similarity"))
 
 
+def table_similarity(left: DataFrame, right: DataFrame, levels: Sequence[float] = DECILES) -> DataFrame:
+    """``table_id, dist_sim`` of tables (``table_id, column, value``) that share column names with the right side:
+    1 - mean gap of the deciles over the right side's range, over the shared columns, 0 at least."""
+    levels = [float(x) for x in levels]
+    a = left.groupBy("table_id", "column").agg(F.percentile("value", levels).alias("a"))
+    b = right.groupBy("column").agg(F.percentile("value", levels).alias("b"), (F.max("value") - F.min("value")).alias("span"))
+    gaps = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / len(levels)
+    each = a.join(F.broadcast(b), "column").select("table_id", (gaps / (F.col("span") + 1e-9)).alias("_d"))
+    return each.groupBy("table_id").agg(F.round(F.greatest(F.lit(0.0), 1 - F.avg("_d")), 6).alias("dist_sim"))
+
+
 def average_rank(value: Column | str, *by: str) -> Column:
     """Ranks from 1, ties at their mean, within the keys ``by``."""
     value = F.col(value) if isinstance(value, str) else value

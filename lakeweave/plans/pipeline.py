@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.operators import adapt, align, evaluate, matching, neural, ranking, repurpose
+from lakeweave.operators import adapt, align, distance, evaluate, matching, neural, ranking, repurpose
 from lakeweave.sources import lake
 
 
@@ -32,11 +32,25 @@ class Experiment:
     booster: adapt.Booster = field(default_factory=adapt.Booster)
 
 
-def discover(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target: DataFrame, features: Sequence[str], e: Experiment, encoder: matching.NameEncoder | None = None) -> dict[str, DataFrame]:
+def distribution_scores(cells: DataFrame, target: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``table_id, dist_sim`` of source cells: by deciles where column names meet the target's, else by KS matching."""
+    goal = target.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in features])).alias("c")).select("c.*")
+    full = lambda df: df.where("value is not null and not isnan(value)")
+    goal, rows = adapt.cut(full(goal)), full(cells.select("table_id", F.col("col").alias("column"), F.col("value").cast("double").alias("value")))
+    named = cells.where(F.col("col").isin(*features)).select("table_id").distinct()
+    shared = distance.table_similarity(rows.join(named, "table_id", "left_semi"), goal)
+    others = rows.join(named, "table_id", "left_anti").select(F.struct("table_id", "column").alias("column"), "value")
+    ks = distance.ks_matrix(others, goal).select("left_column.table_id", F.col("left_column.column").alias("src_col"), F.col("right_column").alias("tgt_col"), "ks")
+    return shared.unionByName(matching.distribution_matches(ks, len(features)))
+
+
+def discover(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target: DataFrame | None, features: Sequence[str], e: Experiment, encoder: matching.NameEncoder | None = None, target_rate: float | None = None) -> dict[str, DataFrame]:
     """Steps 0 and 1: labelled sources and their discovery scores.
 
-    Returns ``proxies``, ``lake`` (what became of each proxy), ``scores`` and ``matches``. Names come from the manifest,
-    so only the proxies' cells and those of the tables that are left are read.
+    Returns ``proxies``, ``lake`` (what became of each proxy), ``scores``, ``matches`` and ``vectors`` (of the proxies'
+    names). Names come from the manifest, so only the proxies' cells and those of the tables that are left are read.
+    ``target_rate`` is the mean of the target's ``label`` if that is there and no rate is given. Without a target
+    distributions count 0 and rates are left out.
     """
     encoder = encoder or matching.HashedNgramEncoder()
     columns = lake.columns_of(manifest)
@@ -50,14 +64,24 @@ def discover(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target:
     sources = columns.join(kept.select("table_id", "proxy_col"), "table_id").where("name <> proxy_col").join(names, "name").withColumn("is_num", F.lit(True))
     matches = adapt.cut(matching.match_columns(sources.select("table_id", "name", "is_num", "vector"), goal.withColumn("is_num", F.lit(True))))
     label_sim = proxies.select("table_id", F.col("similarity").alias("label_sim"))
-    parts = matching.schema_similarity(matches).join(kept, "table_id").join(label_sim, "table_id").withColumns({"dist_sim": F.lit(0.0), "label_name": F.col("proxy_col")})
-    scores = align.discovery_scores(parts).join(kept.select("table_id", "quality"), "table_id").withColumn("discovery_score", F.round(F.col("discovery_score") * F.col("quality"), 6))
-    return {"proxies": proxies, "lake": labelled, "scores": adapt.cut(scores.select("table_id", "discovery_score")), "matches": matches}
+    parts = matching.schema_similarity(matches).join(kept, "table_id").join(label_sim, "table_id").withColumn("label_name", F.col("proxy_col"))
+    if target is None:
+        parts = parts.withColumn("dist_sim", F.lit(0.0))
+    else:
+        own = cells.join(kept.select("table_id", "proxy_col"), "table_id").where("col <> proxy_col").select("table_id", "col", "value")
+        parts = parts.join(adapt.cut(distribution_scores(own, target, features)), "table_id", "left")
+        if target_rate is None and "label" in target.columns:
+            target_rate = target.agg(F.avg("label")).first()[0]
+    scores = align.discovery_scores(parts, target_rate).join(kept.select("table_id", "quality"), "table_id").withColumn("discovery_score", F.round(F.col("discovery_score") * F.col("quality"), 6))
+    vectors = kept.join(names, F.col("proxy_col") == F.col("name")).select("table_id", "vector")
+    return {"proxies": proxies, "lake": labelled, "scores": adapt.cut(scores.select("table_id", "discovery_score")), "matches": matches, "vectors": adapt.cut(vectors)}
 
 
 def aligned_sources(cells: DataFrame, found: dict[str, DataFrame], features: Sequence[str], e: Experiment) -> DataFrame:
-    """Step 2: ``table_id, row_id, label, weight`` and the target's columns of the k best sources."""
-    top = ranking.top_k(found["scores"], "discovery_score", e.k, "table_id")
+    """Step 2: ``table_id, row_id, label, weight`` and the target's columns of k good sources with unlike proxies."""
+    best = found["scores"].agg(F.max("discovery_score")).first()[0] or 1.0
+    rated = found["scores"].join(found["vectors"], "table_id").withColumn("_s", F.col("discovery_score") / best)
+    top = found["scores"].where(F.col("table_id").isin(ranking.mmr(rated, "table_id", "_s", "vector", e.k, e.trade)))
     good = align.with_fallbacks(found["matches"].join(top.select("table_id"), "table_id", "left_semi"), cells, len(features), e.least_columns, e.least_coverage, e.least_sim)
     matches = found["matches"].join(good.select("table_id"), "table_id", "left_semi").where(F.col("sim") >= e.least_sim)
     kept = found["lake"].where("kept").select("table_id", F.col("proxy_col").alias("col"), "threshold", "direction")

@@ -1,10 +1,13 @@
 """Queries and operators cover all rows and dimensions, beyond the sizes of their samples."""
 
+import random
+
 import numpy as np
 import pytest
 
 from lakeweave.operators import adapt, neural, transfer
-from lakeweave.plans import QUERIES
+from lakeweave.plans import QUERIES, pipeline
+from lakeweave.sources import lake
 
 N = 5200
 
@@ -61,3 +64,45 @@ def test_transport_in_blocks_is_the_transport(spark):
     got = adapt.transported(s.repartition(3), b, ["a", "b"], block=7).toPandas().set_index("row_id")["moved"].sort_index()
     guess = (transfer.chances(transfer.logistic(x, y), t) >= 0.5).astype(int)
     assert np.allclose(got, np.linalg.norm(neural.transported(x, y, t, guess) - x, axis=1), atol=1e-3)
+
+
+def test_sources_are_told_apart_by_distributions(spark):
+    """Two sources of the same names: the one with the target's distributions scores higher; rates count."""
+    rng = random.Random(7)
+    features = ["age years", "weekly hours", "education level", "capital gain"]
+    cells, manifest, rows = [], [], []
+    for name, far in (("near", 0.0), ("away", 50.0)):
+        for i in range(120):
+            x = [rng.gauss(0, 1) for _ in features]
+            y = x[0] + x[1] + rng.gauss(0, 0.3) + (6 if x[0] > 0 else 0)
+            cells += [(name, i, c, float(v) + far) for c, v in zip(features, x, strict=True)] + [(name, i, "income", y)]
+            rows += [(i, *x, int(y > 3))] if not far else []
+        manifest.append((name, 120, 5, [*features, "income"], None))
+    cells = spark.createDataFrame(cells, lake.CELLS)
+    manifest = spark.createDataFrame(manifest, "table_id string, n_rows long, n_cols long, columns array<string>, path string")
+    target = spark.createDataFrame(rows, "row_id long, " + ", ".join(f"`{c}` double" for c in features) + ", label int")
+    e = pipeline.Experiment("income", ("income", "salary"), k=1, booster=adapt.Booster(trees=5))
+    scores = lambda **x: {r.table_id: r.discovery_score for r in pipeline.discover(spark, manifest, cells, target, features, e, **x)["scores"].collect()}
+    own = scores()
+    assert own["near"] > own["away"] + 0.1
+    assert scores(target_rate=1.0)["near"] < own["near"]
+    found = pipeline.discover(spark, manifest, cells, target, features, e)
+    assert {r.table_id for r in pipeline.aligned_sources(cells, found, features, e).select("table_id").distinct().collect()} == {"near"}
+
+
+def test_tables_without_shared_names_are_scored_by_ks(spark):
+    cells = spark.createDataFrame([("t", i, c, float(i)) for i in range(50) for c in ("p", "q")] + [("u", i, c, i + 900.0) for i in range(50) for c in ("p", "q")], lake.CELLS)
+    target = spark.createDataFrame([(i, float(i), float(i)) for i in range(50)], "row_id long, a double, b double")
+    assert {r.table_id: r.dist_sim for r in pipeline.distribution_scores(cells, target, ["a", "b"]).collect()} == {"t": 1.0, "u": 0.0}
+
+
+def test_like_proxies_do_not_crowd_the_places(spark):
+    cells = spark.createDataFrame([(t, i, c, float(i)) for t in "abc" for i in range(20) for c in ("x", "y")], lake.CELLS)
+    found = {
+        "scores": spark.createDataFrame([("a", 0.8), ("b", 0.78), ("c", 0.6)], "table_id string, discovery_score double"),
+        "vectors": spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.01]), ("c", [0.0, 1.0])], "table_id string, vector array<double>"),
+        "matches": spark.createDataFrame([(t, "x", "f", 1.0) for t in "abc"], "table_id string, src_col string, tgt_col string, sim double"),
+        "lake": spark.createDataFrame([(t, "y", 10.0, "POSITIVE", True) for t in "abc"], "table_id string, proxy_col string, threshold double, direction string, kept boolean"),
+    }
+    rows = pipeline.aligned_sources(cells, found, ["f"], pipeline.Experiment("l", (), k=2))
+    assert {r.table_id for r in rows.select("table_id").distinct().collect()} == {"a", "c"}
