@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,25 +95,33 @@ def filter_power_set(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
     return masks.withColumn("_combo", combos).groupBy("_combo").agg(F.sum(kept).cast("long").alias("n_kept")).select(F.when(F.col("_combo") == 0, F.lit("none")).otherwise(named).alias("combination"), "n_kept")
 
 
-def mmr(candidates: DataFrame, key: str, score: str, vector: str, k: int = 20, trade: float = 0.7, pool: int = 1000) -> list:
+def mmr(candidates: DataFrame, key: str, score: str, vector: str, k: int = 20, trade: float = 0.7) -> list:
     """Keys of a diverse top-k: each next one maximises trade * score - (1 - trade) * highest cosine to those chosen.
 
-    The greedy choice runs on the driver over the ``pool`` best candidates, a documented bound on what is collected.
+    Every candidate is looked at in each of k passes; the driver holds the chosen rows only. Ties: score, then key.
     """
-    rows = candidates.select(key, score, vector).orderBy(F.col(score).desc(), key).limit(pool).collect()
-    if not rows:
-        return []
-    scores = np.array([r[score] for r in rows], float)
-    v = np.array([r[vector] for r in rows], float)
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    left, chosen, near = np.ones(len(rows), bool), [], np.full(len(rows), -np.inf)
-    while left.any() and len(chosen) < k:
-        value = np.where(left, trade * scores - (1 - trade) * np.where(np.isfinite(near), near, 0.0), -np.inf)
-        best = int(value.argmax())
-        chosen.append(best)
-        left[best] = False
-        near = np.maximum(near, v @ v[best])
-    return [rows[i][key] for i in chosen]
+    rows = candidates.select(key, F.col(score).cast("double").alias("_s"), F.col(vector).cast("array<double>").alias("_v")).persist()
+    keys, chosen = [], []
+    while len(keys) < k:
+        held = np.array(chosen)
+
+        @F.pandas_udf("double")
+        def value(s: pd.Series, v: pd.Series) -> pd.Series:
+            if not len(held) or not len(v):
+                return trade * s
+            x = np.stack(v.to_list())
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            return pd.Series(np.round(trade * s.to_numpy() - (1 - trade) * (x @ held.T).max(1), 12))
+
+        left = rows.where(~F.col(key).isin(keys)) if keys else rows
+        best = left.withColumn("_value", value("_s", "_v")).orderBy(F.col("_value").desc(), F.col("_s").desc(), key).first()
+        if best is None:
+            break
+        v = np.array(best["_v"], float)
+        keys.append(best[key])
+        chosen.append(v / max(np.linalg.norm(v), 1e-12))
+    rows.unpersist()
+    return keys
 
 
 def greedy_distinct(names: list[str], vectors: np.ndarray, most: float = 0.95) -> list[str]:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lakeweave.operators import adapt, neural, transfer
+from lakeweave.operators import adapt, neural, ranking, transfer
 from lakeweave.plans import QUERIES, pipeline
 from lakeweave.sources import lake
 
@@ -106,3 +106,9 @@ def test_like_proxies_do_not_crowd_the_places(spark):
     }
     rows = pipeline.aligned_sources(cells, found, ["f"], pipeline.Experiment("l", (), k=2))
     assert {r.table_id for r in rows.select("table_id").distinct().collect()} == {"a", "c"}
+
+
+def test_diverse_selection_looks_at_every_candidate(spark):
+    rows = [(i, 1.0 - i * 1e-5, [1.0, 0.0]) for i in range(1500)] + [(1500, 0.9, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, s double, v array<double>")
+    assert ranking.mmr(df, "id", "s", "v", 3) == [0, 1500, 1]
