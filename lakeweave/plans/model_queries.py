@@ -12,8 +12,7 @@ from lakeweave.plans.vector_queries import WIDTH
 from lakeweave.sources import lake
 
 _TABLES = {"customer": ["c_custkey", "c_nationkey", "c_acctbal"], "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_totalprice"]}
-#: trees of the queries' models: fewer than the default, to keep a query over small tables short
-_BOOSTER = adapt.Booster(trees=12)
+_BOOSTER = adapt.Booster()
 
 
 def _columns(t: Tables) -> DataFrame:
@@ -161,19 +160,19 @@ def adaptation_tables(t: Tables) -> tuple[DataFrame, DataFrame, list[str]]:
 @query(None)
 def gbt_selftrain(t: Tables) -> DataFrame:
     sources, target, features = adaptation_tables(t)
-    return adapt.self_trained(sources, target.drop("label"), features, _BOOSTER, rounds=(0.2, 0.5))
+    return adapt.self_trained(sources, target.drop("label"), features, _BOOSTER)
 
 
 @query(None)
 def gbt_label_shift(t: Tables) -> DataFrame:
     sources, target, features = adaptation_tables(t)
-    return adapt.self_trained(sources, target.drop("label"), features, _BOOSTER, rounds=(0.3,), shift=True)
+    return adapt.self_trained(sources, target.drop("label"), features, _BOOSTER, shift=True)
 
 
 @query(None)
 def baselines(t: Tables) -> DataFrame:
     sources, target, features = adaptation_tables(t)
-    out = adapt.baseline_a(target).unionByName(adapt.baseline_b(sources, target.drop("label"), features, _BOOSTER, runs=2, tables=5))
+    out = adapt.baseline_a(target).unionByName(adapt.baseline_b(sources, target.drop("label"), features, _BOOSTER))
     return out.unionByName(adapt.baseline_c(sources, target.drop("label"), features, _BOOSTER))
 
 
@@ -193,10 +192,10 @@ def isotonic_calibration(t: Tables) -> DataFrame:
 def stacking(t: Tables) -> DataFrame:
     sources, target, features = adaptation_tables(t)
     p = None
-    for name in ("src0", "src3", "src5"):
+    for (name,) in sources.select("table_id").distinct().orderBy("table_id").collect():  # a row per source
         one = adapt.fit(sources.where(F.col("table_id") == name).drop("weight"), features, _BOOSTER)(target).select(F.lit(name).alias("table_id"), "row_id", "p1")
         p = one if p is None else p.unionByName(one)
-    return adapt.stacked(adapt.cut(p), target.where("row_id % 2 = 0"), target.where("row_id % 2 = 1").drop("label"), features, _BOOSTER, top=2)
+    return adapt.stacked(adapt.cut(p), target.where("row_id % 2 = 0"), target.where("row_id % 2 = 1").drop("label"), features, _BOOSTER)
 
 
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -253,4 +252,4 @@ def adaptation_pipeline(t: Tables) -> DataFrame:
     from lakeweave.plans.pipeline import run_levels
 
     sources, target, features = adaptation_tables(t)
-    return run_levels(sources, target, features, {r["table_id"]: float(r["n"]) for r in sources.groupBy("table_id").agg((F.count(F.lit(1)) / 100).alias("n")).orderBy("table_id").limit(4).collect()}, _BOOSTER)
+    return run_levels(sources, target, features, {r["table_id"]: float(r["n"]) for r in sources.groupBy("table_id").agg((F.count(F.lit(1)) / 100).alias("n")).collect()}, _BOOSTER)

@@ -94,20 +94,22 @@ def aligned_sources(cells: DataFrame, found: dict[str, DataFrame], features: Seq
     return rows.join(F.broadcast(weights), "table_id")
 
 
-def run_levels(sources: DataFrame, target: DataFrame, features: Sequence[str], scores: dict[str, float], booster: adapt.Booster = adapt.Booster()) -> DataFrame:
+def run_levels(sources: DataFrame, target: DataFrame, features: Sequence[str], scores: dict[str, float], booster: adapt.Booster = adapt.Booster(), rounds: Sequence[float] | None = None) -> DataFrame:
     """Steps 3 and 4: ``level, accuracy, f1, auc`` and their deltas; ``target`` has a ``label`` for the evaluation only.
 
-    The threshold meets the sources' class rate, never the target's.
+    The threshold meets the sources' class rate, never the target's. ``rounds`` of self-training: the operator's, if None.
     """
     plain = target.drop("label")
     features = adapt.common_features(sources, plain, features)
     best = max(scores, key=lambda k: (scores[k], k))
-    level2 = adapt.cut(adapt.self_trained(sources, plain, features, booster, rounds=(0.2, 0.5)))
+    schedule = {} if rounds is None else {"rounds": rounds}
+    level2 = adapt.cut(adapt.self_trained(sources, plain, features, booster, **schedule))
     x, y, w, z = adapt.matrices(sources, plain, features)
     net = neural.adversarial(x, y, z, w)
     level5 = adapt.with_net(net, plain, features, "level5")
     out = [
-        adapt.baseline_a(plain), adapt.baseline_c(sources, plain, features, booster), adapt.level0(sources, plain, features, best, booster), level2, level5,
+        adapt.baseline_a(plain), adapt.baseline_c(sources, plain, features, booster), adapt.level0(sources, plain, features, best, booster), level2,
+        adapt.self_trained(sources, plain, features, booster, shift=True, **schedule), level5,
         adapt.with_net(neural.adversarial(x, y, z, w, conditional=True), plain, features, "level55"),
         adapt.with_net(neural.test_time_adapted(net, z, float(y.mean())), plain, features, "level6"), adapt.ensemble(level5, level2),
     ]

@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeweave.operators import adapt, neural, ranking, transfer
-from lakeweave.plans import QUERIES, pipeline
+from lakeweave.plans import QUERIES, model_queries, pipeline
 from lakeweave.sources import lake
 
 N = 5200
@@ -112,3 +113,39 @@ def test_diverse_selection_looks_at_every_candidate(spark):
     rows = [(i, 1.0 - i * 1e-5, [1.0, 0.0]) for i in range(1500)] + [(1500, 0.9, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, s double, v array<double>")
     assert ranking.mmr(df, "id", "s", "v", 3) == [0, 1500, 1]
+
+
+def test_tree_queries_take_defaults_and_all_sources(spark, monkeypatch):
+    """What the queries hand to the operators, without fitting: stubs answer with the target's rows."""
+    sources = spark.createDataFrame([(i, f"s{i % 7}", i % 2, 0.0, 1.0) for i in range(70)], "row_id long, table_id string, label int, x double, weight double")
+    target = spark.createDataFrame([(i, i % 2, 0.0) for i in range(20)], "row_id long, label int, x double")
+    monkeypatch.setattr(model_queries, "adaptation_tables", lambda t: (sources, target, ["x"]))
+    seen = []
+    answer = lambda df: adapt.result(df.withColumn("p1", F.lit(0.5)), "stub")
+
+    def stub(name, at):
+        monkeypatch.setattr(adapt, name, lambda *a, **k: (seen.append((name, a, k)), answer(a[at]))[1])
+
+    for name, at in (("self_trained", 1), ("baseline_b", 1), ("baseline_c", 1), ("stacked", 2)):
+        stub(name, at)
+    fitted = []
+    monkeypatch.setattr(adapt, "fit", lambda train, *a, **k: (fitted.append(a[1]), lambda df: df.withColumn("p1", F.lit(0.5)))[1])
+    for name in ("gbt_selftrain", "gbt_label_shift", "baselines", "stacking"):
+        QUERIES[name](spark, "")
+    assert [k for n, _, k in seen] == [{}, {"shift": True}, {}, {}, {}] and {b for _, a, _ in seen for b in a if isinstance(b, adapt.Booster)} == {adapt.Booster()}
+    assert len(fitted) == 7 and set(fitted) == {adapt.Booster()}
+    levels = []
+    monkeypatch.setattr(pipeline, "run_levels", lambda s, t, f, scores, *a: levels.append(scores))
+    QUERIES["adaptation_pipeline"](spark, "")
+    assert set(levels[0]) == {f"s{i}" for i in range(7)}
+
+
+def test_levels_have_label_shift_and_the_default_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 1, 240), rng.integers(0, 2, 240)
+    rows = [(i, f"s{i % 2}", int(c), float(v + c), 1.0) for i, (v, c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "row_id long, table_id string, label int, x double, weight double")
+    seen = []
+    monkeypatch.setattr(adapt, "self_trained", lambda s, t, f, b, **k: (seen.append(k), adapt.result(t.withColumn("p1", F.lit(0.5)), "level2_lsc" if k.get("shift") else "level2"))[1])
+    got = pipeline.run_levels(df.where("row_id < 120"), df.where("row_id >= 120").drop("table_id", "weight"), ["x"], {"s0": 1.0, "s1": 0.5}, adapt.Booster(trees=2, depth=2))
+    assert {"level2", "level2_lsc"} <= {r.level for r in got.select("level").collect()} and seen == [{}, {"shift": True}]
