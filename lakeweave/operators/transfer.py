@@ -115,40 +115,171 @@ def agreement(models: Sequence[np.ndarray], target: np.ndarray) -> float:
 SCORES = "table_id string, pas double, npas double, tsc double, spread double, separation double, nuclear double, n_rows long"
 
 
-def source_scores(sources: DataFrame, target: DataFrame, features: Sequence[str], most_rows: int = 5000) -> DataFrame:
+def _moments(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``by, n, total, outer``: rows, sums and sums of products of the elements, by tasks and then over them."""
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
+
+    def sums(batches):
+        held: dict[tuple, list] = {}
+        for pdf in batches:
+            for key, g in pdf.groupby(list(by), sort=False):
+                x = g[list(names)].to_numpy(float)
+                n, total, outer = held.get(key, (0, 0.0, 0.0))
+                held[key] = (n + len(x), total + x.sum(0), outer + x.T @ x)
+        for key, (n, total, outer) in held.items():
+            yield pd.DataFrame([[*key, n, total, outer.ravel()]], columns=[*by, "n", "total", "outer"])
+
+    parts = df.select(*by, *names).mapInPandas(sums, f"{kinds}, n long, total array<double>, outer array<double>")
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*pdf[list(by)].iloc[0], pdf["n"].sum(), np.sum(pdf["total"].to_list(), 0), np.sum(pdf["outer"].to_list(), 0)]], columns=[*by, "n", "total", "outer"])
+
+    return parts.groupBy(*by).applyInPandas(add, parts.schema)
+
+
+def _space(n: int, total: np.ndarray, outer: np.ndarray, components: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, whitening matrix) of the leading principal components, from moments (see ``whitened``)."""
+    mean = total / n
+    values, axes = np.linalg.eigh((outer - n * np.outer(mean, mean)) / max(1, n - 1))
+    order = np.argsort(-values)[:components]
+    values, axes = np.maximum(values[order], 0), axes[:, order]
+    k = int((np.sqrt(values) > 1e-7 * max(1e-12, np.sqrt(values.max(initial=0)))).sum())
+    return mean, axes[:, :k] / np.maximum(np.sqrt(values[:k]), 1e-12)
+
+
+def _gap(x: np.ndarray, space: tuple[np.ndarray, np.ndarray], centres: np.ndarray) -> np.ndarray:
+    """(d2 - d1) / d2 of each row to two centroids in a whitened space."""
+    mean, into = space
+    b, c = (x - mean) @ into, (centres - mean) @ into
+    d = np.sort(np.stack([np.linalg.norm(b - c[k], axis=1) for k in (0, 1)], 1), 1)
+    return (d[:, 1] - d[:, 0]) / np.maximum(d[:, 1], 1e-12)
+
+
+def source_scores(sources: DataFrame, target: DataFrame, features: Sequence[str], most_rows: int = 5000, least_rows: int = 5, least_self: float = 0.01) -> DataFrame:
     """``SCORES`` of each source (``table_id, row_id, label`` and features) against the target's rows.
 
-    A source is one group; sources and target are thinned to ``most_rows`` rows each by a hash of row_id before they
-    are gathered, the documented bound on what a task holds. Missing values become the source's medians.
+    Means, covariances and centroids are sums over all rows, and all target rows are scored in batches; what the driver
+    holds is a matrix a source. Only the logistic models (of the source, and of the target for TSC) are fitted to
+    ``most_rows`` rows by a hash of row_id; TSC tries the second on all source rows. A fifth of a source's rows, by hash,
+    is held out for nPAS. Missing values become the source's medians.
     """
-    names = list(features)
-    order = F.xxhash64("row_id")
-    tgt = target.orderBy(order).limit(most_rows).select(*names).toPandas().to_numpy(float)
     from pyspark.sql import Window
 
-    thin = sources.withColumn("_n", F.row_number().over(Window.partitionBy("table_id").orderBy(order))).where(F.col("_n") <= most_rows).drop("_n")
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[names].to_numpy(float), pdf["label"].to_numpy(float)
-        middle = np.nan_to_num(np.nanmedian(x, 0))
-        x, t = (np.where(np.isnan(v), middle, v) for v in (x, tgt))
-        mean, std = x.mean(0), np.maximum(x.std(0), 1e-9)
-        x, t = (x - mean) / std, (t - mean) / std
-        both = 0 < y.mean() < 1
-        w = logistic(x, y) if both else None
-        parts = np.stack([x[y == k].mean(0) for k in (0, 1)]) if both else None
-        row = {
-            "table_id": pdf["table_id"].iloc[0], "n_rows": len(pdf),
-            "pas": pas(x, y, t) if both else np.nan,
-            "npas": normalized_pas(x, y, t, pdf["row_id"].to_numpy()) if both else np.nan,
-            "tsc": round_trip(x, y, t) if both else np.nan,
-            "spread": float(chances(w, t).std()) if both else np.nan,
-            "separation": float(np.linalg.norm(parts[1] - parts[0])) if both else np.nan,
-            "nuclear": float(np.linalg.svd(np.stack([chances(w, t), 1 - chances(w, t)], 1), compute_uv=False).sum() / len(t)) if both else np.nan,
-        }
-        return pd.DataFrame([row])[[c.split()[0] for c in SCORES.split(", ")]].round(6)
-
-    return thin.groupBy("table_id").applyInPandas(score, SCORES)
+    from lakeweave.operators.evaluate import auc
+
+    names, spark = list(features), sources.sparkSession
+    nan = lambda df: df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in names})
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    middles = {r["table_id"]: np.array([r[c] if r[c] is not None else 0.0 for c in names]) for r in sources.groupBy("table_id").agg(*[F.percentile(known(c), 0.5).alias(c) for c in names]).collect()}
+    if not middles:
+        return spark.createDataFrame([], SCORES)
+    filled = lambda x, middle: np.where(np.isnan(x), 0.0, x - middle)  # noqa: E731  # from the median on, for the sums' sake
+    kind, label_kind = sources.schema["table_id"].dataType.simpleString(), "int"
+
+    def fill(batches):
+        for pdf in batches:
+            pdf[names] = filled(pdf[names].to_numpy(float), np.stack([middles[t] for t in pdf["table_id"]]))
+            yield pdf
+
+    held = (F.pmod(F.xxhash64("row_id", F.lit(7)), F.lit(5)) == 0).cast("int").alias("held")
+    rows = nan(sources).select("table_id", "row_id", F.col("label").cast(label_kind).alias("label"), held, *names)
+    rows = rows.mapInPandas(fill, rows.schema).persist()
+    goal = nan(target).select("row_id", *names).persist()
+    parts: dict = {}
+    for r in _moments(rows, names, ["table_id", "label", "held"]).collect():
+        parts.setdefault(r["table_id"], {})[r["label"], r["held"]] = (r["n"], np.array(r["total"]), np.array(r["outer"]).reshape(len(names), -1))
+
+    def pooled(own: dict, keep) -> tuple | None:
+        some = [v for k, v in own.items() if keep(*k)]
+        return (sum(v[0] for v in some), sum(v[1] for v in some), sum(v[2] for v in some)) if some else None
+
+    def standard(n: int, total: np.ndarray, outer: np.ndarray, mean: np.ndarray, std: np.ndarray) -> tuple:
+        cross = np.outer(total, mean)
+        return n, (total - n * mean) / std, (outer - cross - cross.T + n * np.outer(mean, mean)) / np.outer(std, std)
+
+    def prototype(own: dict, keep, mean: np.ndarray, std: np.ndarray) -> tuple | None:
+        classes = [pooled(own, lambda c, h, k=k: c == k and keep(h)) for k in (0, 1)]
+        if any(c is None or c[0] < least_rows for c in classes):
+            return None
+        return _space(*standard(*pooled(own, lambda c, h: keep(h)), mean, std)), np.stack([(c[1] / c[0] - mean) / std for c in classes])
+
+    order = F.xxhash64("row_id")
+    thin = rows.withColumn("_n", F.row_number().over(Window.partitionBy("table_id").orderBy(order))).where(F.col("_n") <= most_rows)
+    some = goal.orderBy(order).limit(most_rows).select(*names).toPandas().to_numpy(float)
+    plans = {}
+    for name, own in parts.items():
+        n, total, outer = pooled(own, lambda c, h: True)
+        mean = total / n
+        var = np.diag(outer) / n - mean**2
+        std = np.where(var > 1e-12 * mean**2 + 1e-18, np.sqrt(np.maximum(var, 0)), np.inf)  # a constant counts 0
+        plan = {"n": n, "both": all(pooled(own, lambda c, h, k=k: c == k) for k in (0, 1)), "mean": mean, "std": std, "whole": prototype(own, lambda h: True, mean, std), "part": prototype(own, lambda h: h == 0, mean, std)}
+        if plan["both"]:
+            centres = [pooled(own, lambda c, h, k=k: c == k) for k in (0, 1)]
+            plan["separation"] = float(np.linalg.norm((centres[1][1] / centres[1][0] - centres[0][1] / centres[0][0]) / std))
+        plans[name] = plan
+    fits = {name: (p["mean"], p["std"]) for name, p in plans.items() if p["both"]}
+
+    def models(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["table_id"].iloc[0]
+        w, back = np.empty(0), np.empty(0)
+        if name in fits and 0 < pdf["label"].mean() < 1:
+            mean, std = fits[name]
+            w = logistic((pdf[names].to_numpy(float) - mean) / std, pdf["label"].to_numpy(float))
+            t = (filled(some, middles[name]) - mean) / std
+            guess = (chances(w, t) >= 0.5).astype(float)
+            back = logistic(t, guess) if guess.min() < guess.max() else back
+        return pd.DataFrame([[name, w, back]], columns=["table_id", "w", "back"])
+
+    for r in thin.groupBy("table_id").applyInPandas(models, f"table_id {kind}, w array<double>, back array<double>").collect():
+        plans[r["table_id"]] |= {"w": np.array(r["w"]), "back": np.array(r["back"])}
+
+    def on_target(batches):
+        held: dict = {}
+        for pdf in batches:
+            raw = pdf[names].to_numpy(float)
+            for name, p in plans.items():
+                if not p["both"] or not len(p["w"]):
+                    continue
+                x = (filled(raw, middles[name]) - p["mean"]) / p["std"]
+                c = chances(p["w"], x)
+                gaps = [_gap(x, *p[k]).sum() if p[k] else np.nan for k in ("whole", "part")]
+                held[name] = held.get(name, 0.0) + np.array([len(x), *gaps, c.sum(), (c * c).sum()])
+        for name, v in held.items():
+            yield pd.DataFrame([[name, *v]], columns=["table_id", "n", "pas", "part", "c", "cc"])
+
+    def on_source(batches):
+        for pdf in batches:
+            for name, g in pdf.groupby("table_id", sort=False):
+                p = plans[name]
+                x = (g[names].to_numpy(float) - p["mean"]) / p["std"]
+                out = pd.DataFrame({"table_id": g["table_id"], "label": g["label"], "own": np.nan, "p1": 0.5})
+                if p["part"]:
+                    out["own"] = np.where(g["held"] == 1, _gap(x, *p["part"]), np.nan)
+                if len(p.get("back", ())):
+                    out["p1"] = chances(p["back"], x)
+                yield out
+
+    sums = goal.mapInPandas(on_target, f"table_id {kind}, n double, pas double, part double, c double, cc double").groupBy("table_id").agg(*[F.sum(c).alias(c) for c in ("n", "pas", "part", "c", "cc")])
+    on_goal = {r["table_id"]: r for r in sums.collect()}
+    tried = rows.mapInPandas(on_source, f"table_id {kind}, label {label_kind}, own double, p1 double").persist()
+    own_pas = {r["table_id"]: r["m"] for r in tried.groupBy("table_id").agg(F.avg(F.nanvl("own", F.lit(None))).alias("m")).collect()}
+    aucs = {r["table_id"]: r["auc"] for r in auc(tried, "label", "p1", ["table_id"]).collect()}
+    out = []
+    for name, p in plans.items():
+        row = {c.split()[0]: float("nan") for c in SCORES.split(", ")} | {"table_id": str(name), "n_rows": int(p["n"])}
+        if name in on_goal:
+            g, own = on_goal[name], own_pas.get(name)
+            n, mean, square = g["n"], g["c"] / g["n"], g["cc"] / g["n"]
+            cross, other = mean - square, 1 - 2 * mean + square
+            root = np.sqrt(max(square * other - cross * cross, 0.0))  # singular values s, t: (s + t)^2 = s^2 + t^2 + 2 s t
+            row |= {"pas": g["pas"] / n, "spread": float(np.sqrt(max(square - mean**2, 0.0))), "separation": p["separation"]}
+            row |= {"tsc": 2 * (aucs[name] - 0.5) if len(p["back"]) else 0.0, "nuclear": float(np.sqrt(square + other + 2 * root) / np.sqrt(n))}
+            if own is not None and own >= least_self:
+                row["npas"] = float(np.clip(g["part"] / n / own, 0, 2))
+        out.append(tuple(round(v, 6) if isinstance(v, float) else v for v in row.values()))
+    for df in (rows, goal, tried):
+        df.unpersist()
+    return spark.createDataFrame(out, SCORES)
 
 
 def composite(parts: dict[str, Column]) -> Column:

@@ -100,8 +100,8 @@ def mmr_select(t: Tables) -> DataFrame:
 
 @query(None)
 def transfer_scores(t: Tables) -> DataFrame:
-    v = _vectors(t).select("id", "label", *[F.col("vector")[i].cast("double").alias(f"x{i}") for i in range(8)])
-    sources = v.where("id % 2 = 1").select((F.col("id") % 5).cast("string").alias("table_id"), F.col("id").alias("row_id"), (F.col("label") < 5).cast("int").alias("label"), *[f"x{i}" for i in range(8)])
-    return transfer.source_scores(sources, v.where("id % 2 = 0").withColumnRenamed("id", "row_id"), [f"x{i}" for i in range(8)])
+    v = _vectors(t).select("id", "label", *[F.col("vector")[i].cast("double").alias(f"x{i}") for i in range(WIDTH)])
+    sources = v.where("id % 2 = 1").select((F.col("id") % 5).cast("string").alias("table_id"), F.col("id").alias("row_id"), (F.col("label") < 5).cast("int").alias("label"), *[f"x{i}" for i in range(WIDTH)])
+    return transfer.source_scores(sources, v.where("id % 2 = 0").withColumnRenamed("id", "row_id"), [f"x{i}" for i in range(WIDTH)])
 
 

@@ -149,3 +149,28 @@ def test_levels_have_label_shift_and_the_default_rounds(spark, monkeypatch):
     monkeypatch.setattr(adapt, "self_trained", lambda s, t, f, b, **k: (seen.append(k), adapt.result(t.withColumn("p1", F.lit(0.5)), "level2_lsc" if k.get("shift") else "level2"))[1])
     got = pipeline.run_levels(df.where("row_id < 120"), df.where("row_id >= 120").drop("table_id", "weight"), ["x"], {"s0": 1.0, "s1": 0.5}, adapt.Booster(trees=2, depth=2))
     assert {"level2", "level2_lsc"} <= {r.level for r in got.select("level").collect()} and seen == [{}, {"shift": True}]
+
+
+def test_transfer_scores_cover_all_rows_and_dimensions(spark, folder):
+    at, _ = folder
+    got = QUERIES["transfer_scores"](spark, at).toPandas()
+    assert got["n_rows"].sum() == N // 2 and (got["separation"] > 8).all() and (got["tsc"] > 0.9).all()
+
+
+def test_transfer_scores_of_all_rows_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 600)
+    x, t = rng.normal(0, 1, (600, 3)) + y[:, None], rng.normal(0.4, 1, (500, 3))
+    s = spark.createDataFrame([(i, "s", int(c), *map(float, r)) for i, (r, c) in enumerate(zip(x, y, strict=True))], "row_id long, table_id string, label int, a double, b double, c double")
+    b = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(t)], "row_id long, a double, b double, c double")
+    few, all_rows = (transfer.source_scores(s.repartition(3), b.repartition(3), ["a", "b", "c"], most_rows=n).first() for n in (100, 5000))
+    z, u = (x - x.mean(0)) / x.std(0), (t - x.mean(0)) / x.std(0)
+    p = transfer.chances(transfer.logistic(z, y), u)
+    moved = lambda df: df.withColumns({"a": F.col("a") + 1e6, "k": F.lit(5.0)})
+    far = transfer.source_scores(moved(s), moved(b), ["a", "b", "c", "k"]).first()
+    assert np.allclose([far[k] for k in ("pas", "tsc", "spread", "separation")], [all_rows[k] for k in ("pas", "tsc", "spread", "separation")], atol=1e-4)
+    assert few.n_rows == all_rows.n_rows == 600 and few.pas == all_rows.pas and few.separation == all_rows.separation
+    assert abs(all_rows.separation - np.linalg.norm(z[y == 1].mean(0) - z[y == 0].mean(0))) < 1e-5
+    assert abs(all_rows.spread - p.std()) < 1e-5 and abs(all_rows.tsc - transfer.round_trip(z, y, u)) < 1e-5
+    assert abs(all_rows.nuclear - np.linalg.svd(np.stack([p, 1 - p], 1), compute_uv=False).sum() / len(u)) < 1e-5
+    assert abs(all_rows.pas - transfer.pas(z, y, u)) < 1e-5
