@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,9 +17,12 @@ HOT_SHARE = 0.001
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine
+    (a ``local`` master, as in tests) gets a new folder; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lakeweave-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -47,13 +51,37 @@ def cut(df: DataFrame, what: str = "rows") -> DataFrame:
     """The rows, written once to the shared folder and read from there: lineage ends, and lost executors cost nothing."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keeps Arrow batches of whole texts small; a lower setting of the session stays."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def forget(*cuts: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for these frames, once nothing reads them any more."""
+    for df in cuts:
+        remove(df.sparkSession, df._cut_path)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000, most_bytes: int = 8_000_000) -> None:
+    """Bounds Arrow batches of whole texts by rows and by bytes, so that a batch of very long texts stays small (a
+    single longer text is a batch of its own). Lower settings of the session stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", most_bytes)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+
+def fresh(*taken: str) -> Callable[[str], str]:
+    """Names that clash with none of ``taken`` (compared as Spark does, without case): ``fresh(*df.columns)("size")``."""
+    low = {c.lower() for c in taken}
+
+    def name(wanted: str) -> str:
+        while wanted.lower() in low:
+            wanted = f"_{wanted}"
+        low.add(wanted.lower())
+        return wanted
+
+    return name
 
 
 def ascii_lower(text: Column) -> Column:
@@ -95,17 +123,19 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], size: str, total:
 
     Keys over HOT_SHARE of ``total`` rows are at most 1 / HOT_SHARE in number: they are broadcast, and their rows
     never move. The rest meets by an ordinary join, in which no key has more than HOT_SHARE of the rows.
+    Both frames may have any other columns, but none in common.
     """
     hot = F.col(size) > max(1, int(total * HOT_SHARE))
-    names = [c for c in keyed.columns if c not in on]
-    few = F.broadcast(keyed.where(hot).select(*[F.col(c).alias(f"_h_{c}") for c in keyed.columns], F.lit(True).alias("_hot")))
-    met = [F.col(c) == F.col(f"_h_{c}") for c in on]
-    condition = met[0]
-    for m in met[1:]:
-        condition = condition & m
+    others = [c for c in keyed.columns if c not in on]
+    named = fresh(*rows.columns, *keyed.columns)
+    mark, alias = named("hot"), {c: named(f"h_{c}") for c in keyed.columns}
+    few = F.broadcast(keyed.where(hot).select(*[F.col(c).alias(alias[c]) for c in keyed.columns], F.lit(True).alias(mark)))
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & (F.col(c) == F.col(alias[c]))
     both = rows.join(few, condition, "left")
-    first = both.where(F.col("_hot")).select(*[F.col(c) for c in rows.columns], *[F.col(f"_h_{c}").alias(c) for c in names])
-    rest = both.where(F.col("_hot").isNull()).select(*rows.columns)
+    first = both.where(F.col(mark)).select(*rows.columns, *[F.col(alias[c]).alias(c) for c in others])
+    rest = both.where(F.col(mark).isNull()).select(*rows.columns)
     return first.unionByName(rest.join(keyed.where(~hot), on, how).select(*first.columns))
 
 

@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import cut
+from lakeweave.llm.common import cut, forget, join_hot
 
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` (the smallest id reachable) for every id in the links ``a, b``; ids without links are absent.
 
-    Each round is a large and a small star over the links, O(log n) rounds; links live in the shared folder and
-    nothing but their number reaches the driver. A node with very many links is only ever a minimum, kept per link.
+    Each round is a large and a small star over the links, O(log n) rounds; links live in the shared folder (a round's
+    are deleted once the next are written) and nothing but their number reaches the driver. The links of a node that
+    has very many never meet in one task (``join_hot``). Null ids and links of a node with itself don't count; an empty
+    table gives no rows.
     """
     edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    mark = None
+    mark = (edges.count(), None)
     while True:
+        total = 2 * mark[0]
         # large star: every larger neighbour of a node links to the smallest of the node and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("many"))
+        large = join_hot(both.where("b > a"), low, ["a"], "many", total).select(F.col("m").alias("a"), "b").where("a < b").distinct()
         # small star: smaller neighbours of a node, and the node, link to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        met = large.join(low, "b")
+        low = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("many"))
+        met = join_hot(large, low, ["b"], "many", total)
         small = met.select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
         after = cut(small.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
         now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        forget(edges)
         if now == mark:
             return after.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(after.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
         edges, mark = after, now

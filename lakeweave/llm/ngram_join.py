@@ -1,14 +1,17 @@
 """Exact n-gram Jaccard self-join by a token-group matrix, as classes of linked documents.
 
-1. Every document becomes a set of word shingles; equal sets are one class, with the smallest doc_id as its name.
+1. Every document becomes a set of word shingles (its tokens), hashed once and stored. Equal sets are one class, with
+   the smallest doc_id as its name.
 2. Similar classes are partitioned into groups: classes that share several of ten minima are compared with the few
-   hubs of their buckets, and verified links make the groups (connected components).
-3. The matrix has a row per token and an entry per group in whose union the token is. Only the first part of each
-   set under one global order, rarest tokens first, is stored: if J(Q, S) >= t, Q has at least ceil(t |Q|) tokens in
-   common with S, so the first |Q| - ceil(t |Q|) + 1 tokens of Q and of S share one or more.
-4. The overlap of a query with a group's union bounds the overlap with any member: at the first token that they share,
-   no more can be shared than what follows it in either. Only groups whose bound reaches what a link needs are opened,
-   by comparing whole sets.
+   hubs of their buckets, and verified links make the groups (connected components). A class alone is a group too.
+3. The matrix has a row per token with an entry for every group in the union of whose members' first parts the token
+   is. The first part of a set, under one global order with rarest tokens first, is enough: if J(Q, S) >= t, Q has
+   at least ceil(t |Q|) tokens in common with S, so the first |Q| - ceil(t |Q|) + 1 tokens of Q and of S share one.
+4. Two groups that meet in a row qualify if, were this the first token they share, what follows it in either could
+   still make a link. One member of each (the witnesses) is compared; for groups of one, that is all.
+5. Where witnesses of larger groups don't link, the members of the smaller group are queries. The larger group is
+   stored as token unions, each of a block of its members. The overlap of a query with a union bounds the overlap
+   with every member behind it, and only blocks whose bound reaches what a link needs are opened.
 Inside a group nothing is compared again, so a group of any size costs an entry per token, not its pairs.
 """
 
@@ -20,22 +23,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import cut, join_hot, scratch, small_batches
+from lakeweave.llm.common import cut, forget, fresh, join_hot, scratch, small_batches
 from lakeweave.llm.components import components
 from lakeweave.llm.shingles import Shingler, common, expand, expand_sorted, min_hashes, squeeze, squeeze_sorted
 
 MINIMA = 10
 #: minima that two classes share before they are compared to make groups
 SHARED_MINIMA = 3
-#: tokens in this many groups or more come later in the order; where the list would be longer than this, the number doubles
-COMMON_FROM, COMMON_MOST = 4, 200_000
-#: bits of a token's hash in the matrix (a coincidence adds a candidate, never loses one)
-TOKEN_BITS = 40
-#: sets that a task holds at a time, and rows of a group that it streams past them
-HELD, CHUNK = 64, 256
+#: tokens come late in the order if this many groups have them, and more than the given share of all tokens are one
+#: (so there can be no more than 2 ** COMMON_SHARE of them, whatever the size of the input)
+COMMON_FROM, COMMON_SHARE = 4, 20
+#: bits of a token's hash that are stored in sets, and in the matrix (a coincidence there adds a candidate, never loses one)
+SET_BITS, TOKEN_BITS = 48, 40
+#: sets that a task holds at a time, rows that it streams past them, and members behind one union
+HELD, CHUNK, BLOCK = 64, 256, 128
+#: entries of the matrix in a range of tokens, and pairs of entries in a unit of work
+RANGE, PAIRS = 250_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -54,96 +60,107 @@ class Threshold:
         """Tokens of a set that the matrix has: two linked sets share one of them."""
         return n - self.least(n) + 1
 
-    def links(self, a: np.ndarray, b: np.ndarray) -> bool:
-        small, large = sorted((len(a), len(b)))
-        if not small or small * self.whole < large * self.part:
-            return False
-        both = common(a, b)
-        return both * self.whole >= self.part * (small + large - both)
+    def enough(self, both, total):
+        """Whether sets with ``total`` tokens together link if they share ``both``."""
+        return both * (self.part + self.whole) >= self.part * total
 
+    def reaches(self, query: np.ndarray, union: np.ndarray, least: int) -> bool:
+        """Whether ``query`` may link with a set of ``least`` tokens or more within ``union``; exact for a single set."""
+        total = len(query) + least
+        return self.enough(min(len(query), len(union)), total) and self.enough(common(query, union), total)
 
-def signatures(docs: DataFrame, t: Threshold) -> DataFrame:
-    """``doc_id, n, set_key, minima`` of each row; key and minima are null for the empty set."""
-
-    def run(batches):
-        shingler = Shingler(t.width)
-        for batch in batches:
-            sets = shingler.sets(batch.column(1).to_pylist())
-            full = [i for i, s in enumerate(sets) if len(s)]
-            keys, minima = [None] * len(sets), [None] * len(sets)
-            if full:
-                for i, m in zip(full, min_hashes([sets[i] for i in full], MINIMA), strict=True):
-                    keys[i], minima[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), m
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "set_key", "minima"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, set_key binary, minima array<int>")
 
+class SetStore:
+    """The sets of all documents, each computed once, bucketed by doc_id: joins on the id never move them.
 
-class TextStore:
-    """The texts of the classes, bucketed by class in the shared folder: joins on the class never move them again."""
+    ``doc_id, n, set_key, minima, tokens``; key, minima and tokens are null for the empty set. The table's files are
+    in the shared folder. Rows without doc_id are dealt by their text.
+    """
 
-    def __init__(self, docs: DataFrame, classes: DataFrame):
+    def __init__(self, docs: DataFrame, t: Threshold):
         self.spark = docs.sparkSession
-        self.path = scratch(self.spark, "texts")
+        self.path = scratch(self.spark, "sets")
         self.name = "lakeweave_" + self.path.rsplit("-", 1)[1]
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # dealt once by the hash that also makes the buckets: the join leaves the texts where they are
-        chosen = docs.repartition(buckets, "doc_id").join(classes.select("id", "n"), F.col("doc_id") == F.col("id")).select("id", "n", "text")
-        written = chosen.write.bucketBy(buckets, "id").option("path", self.path).option("compression", "zstd")
-        written.saveAsTable(self.name)
+        dealt = docs.repartition(buckets, F.coalesce("doc_id", F.xxhash64("text")))
+        made = dealt.mapInArrow(_sets(t), "doc_id long, n long, set_key binary, minima array<int>, tokens binary")
+        made.write.bucketBy(buckets, "doc_id").option("path", self.path).option("compression", "none").saveAsTable(self.name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def full(self, ids: DataFrame, how: str = "inner") -> DataFrame:
+        """The non-empty sets of ``ids`` (its column ``id``), with the other columns of ``ids``."""
+        sets = self.table().where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "tokens")
+        return sets.join(ids, "id", how)
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def compare(store: TextStore, held: DataFrame, streamed: DataFrame, t: Threshold) -> DataFrame:
-    """Links ``a, b`` between what ``held`` (g, chunk, id) and ``streamed`` (g, chunk, id, others) have in a (g, chunk).
+def _sets(t: Threshold):
+    def run(batches):
+        shingler = Shingler(t.width)
+        for batch in batches:
+            sets = shingler.sets(batch.column(1).to_pylist())
+            full = [i for i, s in enumerate(sets) if len(s)]
+            keys, minima, tokens = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            if full:
+                for i, m in zip(full, min_hashes([sets[i] for i in full], MINIMA), strict=True):
+                    keys[i], minima[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), m
+                    tokens[i] = squeeze_sorted(sets[i] >> np.uint64(64 - SET_BITS))
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int32())), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "set_key", "minima", "tokens"])
+
+    return run
+
+
+def compare(held: DataFrame, streamed: DataFrame, t: Threshold, once: bool = False) -> DataFrame:
+    """``g, a, b``: what ``held`` (g, chunk, id, tokens) and ``streamed`` (g, chunk, id, size, tokens, others) have in
+    the same (g, chunk) and what reaches the threshold (``Threshold.reaches``).
 
     A task holds the sets of one (g, chunk) and streams the others past them, each against the held ids in its
-    ``others``, or against all if that is null; then the first link of a held id is enough.
+    ``others``, or against all if that is null. ``once``: the first hit of a held id is enough.
     """
-    both = held.withColumns({"role": F.lit(0), "others": F.lit(None).cast("array<long>")}).unionByName(streamed.withColumn("role", F.lit(1)))
-    rows = store.table().join(both, "id").select("g", "chunk", "role", "id", "others", "text")
-    dealt = rows.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "role", "id")
+    kept = held.select("g", "chunk", F.lit(0).alias("role"), "id", F.lit(0).cast("long").alias("size"), F.lit(None).cast("array<long>").alias("others"), "tokens")
+    both = kept.unionByName(streamed.select("g", "chunk", F.lit(1).alias("role"), "id", "size", "others", "tokens"))
+    dealt = both.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "role", "id")
 
     def run(batches):
-        shingler, place, kept = Shingler(t.width), None, {}
+        place, kept = None, {}
         for batch in batches:
-            links: list[tuple[int, int]] = []
-            g, chunk, role, ids, others, texts = (c.to_pylist() for c in batch.columns)
-            for at, r, i, wanted, s in zip(zip(g, chunk, strict=True), role, ids, others, shingler.sets(texts), strict=True):
+            hits: list[tuple[int, int, int]] = []
+            g, chunk, role, ids, sizes, others, tokens = (c.to_pylist() for c in batch.columns)
+            for at, r, i, size, wanted, packed in zip(zip(g, chunk, strict=True), role, ids, sizes, others, tokens, strict=True):
                 if at != place:
                     place, kept = at, {}
+                s = expand_sorted(packed)
                 if r == 0:
-                    kept[i] = s
+                    kept.setdefault(i, []).append(s)  # rows that repeat a doc_id are one document
                     continue
                 for k in list(kept) if wanted is None else wanted:
-                    if k != i and t.links(kept[k], s):
-                        links.append((k, i))
-                        if wanted is None:
+                    if any(t.reaches(x, s, size) for x in kept[k]):
+                        hits.append((at[0], k, i))
+                        if once:
                             del kept[k]
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hits, strict=True)], names=["g", "a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "g long, a long, b long")
 
 
-def compare_pairs(store: TextStore, pairs: DataFrame, t: Threshold) -> DataFrame:
+def compare_pairs(store: SetStore, pairs: DataFrame, t: Threshold) -> DataFrame:
     """The pairs ``a, b`` that link. Blocks of b's are held and each a is streamed once past those it is paired with.
 
     A block with many pairs is divided by a, so a hub of any number of pairs is held in many tasks.
     """
     blocks = max(1, pairs.select("b").distinct().count() // HELD)
     placed = pairs.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(blocks)))
-    counts = placed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / (CHUNK * 4)).cast("int").alias("chunks"))
-    placed = placed.join(counts, "g").withColumn("chunk", F.pmod(F.hash("a"), F.col("chunks")))
+    counts = placed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    placed = placed.join(counts, "g").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")))
     held = placed.select("g", "chunk", F.col("b").alias("id")).distinct()
     streamed = placed.groupBy("g", "chunk", F.col("a").alias("id")).agg(F.collect_set("b").alias("others"))
-    return compare(store, held, streamed, t)
+    return compare(store.full(held), store.full(streamed), t).select("a", "b").where("a <> b")
 
 
 def bucket_pairs(classes: DataFrame) -> DataFrame:
@@ -162,236 +179,357 @@ def bucket_pairs(classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b")
 
 
-def _ranges(tokens: int) -> int:
-    """Bits of the token ranges that postings are dealt by: about a million tokens each."""
-    return min(18, max(4, (tokens // 1_000_000).bit_length()))
-
-
-def common_tokens(store: TextStore, named: DataFrame, tokens: int, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (TOKEN_BITS each) that many groups have, and their counts. One class speaks for each group.
+def common_tokens(store: SetStore, groups: DataFrame, tokens: int, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (TOKEN_BITS each) that many groups have, in order, and the logarithms of their counts.
 
-    Counts are complete: each task sends its sorted tokens in compact form to the tasks of their ranges.
+    One class speaks for each group. Counts are complete: each task sends its sorted tokens in compact form to the
+    tasks of their ranges. The share that a token must exceed bounds the list (``COMMON_SHARE``).
     """
-    bits = _ranges(tokens)
-    speakers = store.table().join(named.where("id <> component").select("id"), "id", "left_anti").select("text")
-    flush = max(2_000_000, 64 << bits)
+    bits, least = _ranges(tokens), max(COMMON_FROM, (tokens >> COMMON_SHARE) + 1)
+    speakers = store.full(groups.where("id <> component").select("id"), "left_anti").select("tokens")
 
     def gather(batches):
-        shingler, held, n = Shingler(t.width), [], 0
+        held, n = [], 0
         for batch in batches:
-            for s in shingler.sets(batch.column(0).to_pylist()):
-                held.append(s >> np.uint64(64 - TOKEN_BITS))
-                n += len(s)
-            if n > flush:
-                yield from send(held)
-                held, n = [], 0
+            for packed in batch.column(0).to_pylist():
+                held.append(expand_sorted(packed) >> np.uint64(SET_BITS - TOKEN_BITS))
+                n += len(held[-1])
+                if n > 1_000_000:
+                    yield send(held)
+                    held, n = [], 0
         if n:
-            yield from send(held)
+            yield send(held)
 
-    def send(held) -> Iterator[pa.RecordBatch]:
+    def send(held) -> pa.RecordBatch:
         found, counts = np.unique(np.concatenate(held), return_counts=True)
-        edges = np.searchsorted(found, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - bits))
-        rows = [(r, squeeze_sorted(found[i:j]), squeeze(counts[i:j])) for r, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["r", "tokens", "counts"])
+        rows = [(r, squeeze_sorted(found[i:j]), squeeze(counts[i:j])) for r, i, j in _parts(found, bits)]
+        return _batch(rows, (pa.int32(), pa.binary(), pa.binary()), ["r", "tokens", "counts"])
 
     def add(batches):
-        place, tokens, counts = None, [], []
-        for batch in batches:
-            for r, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r != place:
-                    yield from sums(tokens, counts)
-                    place, tokens, counts = r, [], []
-                tokens.append(expand_sorted(a))
-                counts.append(expand(b))
-        yield from sums(tokens, counts)
-
-    def sums(tokens, counts):
-        if tokens:
-            found, at = np.unique(np.concatenate(tokens), return_inverse=True)
-            total = np.bincount(at, np.concatenate(counts).astype(float)).astype(np.int64)
-            many = total >= COMMON_FROM
-            if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(found[many].astype(np.int64)), pa.array(total[many])], names=["token", "total"])
+        place, found, counts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
+        for r, a, b in _rows(batches):
+            if r != place:
+                yield from often(found, counts)
+                place, found, counts = r, np.empty(0, np.uint64), np.empty(0, np.int64)
+            found, at = np.unique(np.concatenate([found, expand_sorted(a)]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, expand(b).view(np.int64)]).astype(float)).astype(np.int64)
+        yield from often(found, counts)
+
+    def often(found, counts):
+        many = counts >= least
+        if many.any():
+            logs = np.log2(counts[many]).astype(np.uint8)
+            yield _batch([(found[many].tobytes(), logs.tobytes())], (pa.binary(), pa.binary()), ["tokens", "logs"])
 
     sent = speakers.mapInArrow(gather, "r int, tokens binary, counts binary").repartition("r").sortWithinPartitions("r")
-    many = cut(sent.mapInArrow(add, "token long, total long"), "common")
-    least = COMMON_FROM
-    while many.where(F.col("total") >= least).count() > COMMON_MOST:
-        least *= 2
-    kept = many.where(F.col("total") >= least).toPandas().sort_values("token")
-    return kept["token"].to_numpy(np.uint64), kept["total"].to_numpy(np.int64)
-
-
-def qualifying_groups(store: TextStore, named: DataFrame, tokens: int, t: Threshold) -> DataFrame:
-    """Pairs of groups whose stored parts share enough tokens: ``ca, cb`` and a witness class of each, ``a, b``."""
-    bits = _ranges(tokens // 3)
-    listed, totals = common_tokens(store, named, tokens, t)
-    ranks = (np.log2(np.maximum(totals, 1)).astype(np.uint64) + np.uint64(1)) << np.uint64(56)
-    flush = max(1_000_000, 64 << bits)
-    rows = store.table().join(named, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "text")
-    shift = np.uint64(64 - TOKEN_BITS)
-
-    def store_parts(batches):
-        shingler, held, n = Shingler(t.width), [], 0
-        for batch in batches:
-            for i, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingler.sets(batch.column(2).to_pylist()), strict=True):
-                order = s >> np.uint64(8)
-                if len(listed):
-                    short = s >> shift
-                    at = np.minimum(np.searchsorted(listed, short), len(listed) - 1)
-                    order = order + np.where(listed[at] == short, ranks[at], np.uint64(0))
-                part = s[np.argsort(order)[: int(t.stored(len(s)))]] >> shift
-                held.append((part, i, c, len(s)))
-                n += len(part)
-            if n > flush:
+    lists = sent.mapInArrow(add, "tokens binary, logs binary").collect()
+    found = np.frombuffer(b"".join(x["tokens"] for x in lists), np.uint64)
+    logs = np.frombuffer(b"".join(x["logs"] for x in lists), np.uint8)
+    order = np.argsort(found)
+    return found[order], logs[order]
+
+
+def _ranges(entries: int) -> int:
+    """Bits of the token ranges that the matrix is dealt by, for RANGE entries each."""
+    return min(16, max(4, (entries // RANGE).bit_length()))
+
+
+def _parts(tokens: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(range, start, end) of the non-empty ranges in sorted tokens."""
+    edges = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - bits))
+    full = np.flatnonzero(edges[1:] > edges[:-1])
+    yield from zip(full.tolist(), edges[full].tolist(), edges[full + 1].tolist(), strict=True)
+
+
+def _batch(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _rows(batches) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def token_union(token, group, id_, after, size) -> tuple[np.ndarray, ...]:
+    """One entry for each token and group: the smallest id, the most that may follow, the smallest set."""
+    order = np.lexsort((id_, group, token))
+    token, group, id_, after, size = (x[order] for x in (token, group, id_, after, size))
+    first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])]))
+    return token[first], group[first], id_[first], np.maximum.reduceat(after, first), np.minimum.reduceat(size, first)
+
+
+#: columns of entries of the matrix, as they travel
+_ENTRIES = "tokens binary, groups binary, ids binary, after binary, size binary"
+
+
+def _pack(token, group, id_, after, size) -> tuple[bytes, ...]:
+    return squeeze_sorted(token), *(squeeze(x.view(np.uint64)) for x in (group, id_ - group, after, size))
+
+
+def _unpack(token, group, id_, after, size) -> tuple[np.ndarray, ...]:
+    group = expand(group).view(np.int64)
+    return expand_sorted(token), group, expand(id_).view(np.int64) + group, expand(after).view(np.int64), expand(size).view(np.int64)
+
+
+def windows(token, group, id_, after, size, t: Threshold) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The entries by (token, size), and for each the end of those after it that it may link with.
+
+    Were this the first token that two sets share, no more could be shared than what follows it in either. So an entry
+    reaches sets of up to ``after * (part + whole) / part - size`` tokens, and the others of its token that it may
+    link with and that are no smaller lie side by side after it.
+    """
+    order = np.lexsort((group, size, token))
+    token, group, id_, after, size = (x[order] for x in (token, group, id_, after, size))
+    row = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]]))
+    span = np.int64(size.max() + 1)
+    reach = np.minimum(after * (t.part + t.whole) // t.part - size, span - 1)
+    ends = np.searchsorted(row * span + size, row * span + reach, "right")
+    own = np.arange(1, len(token) + 1)
+    return (token, group, id_, after, size), np.where(reach >= size, np.maximum(ends, own), own)
+
+
+def candidates(entries: tuple[np.ndarray, ...], ends: np.ndarray, start: int, stop: int, t: Threshold) -> Iterator[tuple[np.ndarray, ...]]:
+    """``ca, cb, a, b`` of the entries from ``start`` to ``stop`` with those in their windows, in bounded pieces."""
+    _, group, id_, after, size = entries
+    own = np.arange(start, stop)
+    many = ends[start:stop] - own - 1
+    own, many = own[many > 0], many[many > 0]
+    upto = np.cumsum(many)
+    at = 0
+    while at < len(own):
+        before = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + PAIRS // 8, "right")))
+        p = np.repeat(own[at:to], many[at:to])
+        q = p + 1 + np.arange(len(p)) - np.repeat(upto[at:to] - many[at:to] - before, many[at:to])
+        may = t.enough(after[q], size[p] + size[q])  # the other entry must reach this one, too
+        p, q = p[may], q[may]
+        swap = group[p] > group[q]
+        p, q = np.where(swap, q, p), np.where(swap, p, q)
+        if len(p):
+            yield _once(group[p], group[q], id_[p], id_[q])
+        at = to
+
+
+def _once(ca, cb, a, b) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((b, a, cb, ca))
+    ca, cb, a, b = ca[order], cb[order], a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])]))
+    return ca[first], cb[first], a[first], b[first]
+
+
+def qualifying_groups(store: SetStore, groups: DataFrame, tokens: int, t: Threshold) -> DataFrame:
+    """Pairs of groups that meet in a row of the matrix where they may have a link: ``ca, cb`` and a witness of each, ``a, b``.
+
+    The matrix is stored in units of work of a bounded number of pairs: a unit is some rows, or a part of the entries
+    of a token that very many groups have, so no token is one task's burden.
+    """
+    bits = _ranges(tokens // 4)
+    listed, logs = common_tokens(store, groups, tokens, t)
+    ranks = (logs.astype(np.uint64) + np.uint64(1)) << np.uint64(56)
+    rows = store.full(groups, "left").select("id", F.coalesce("component", "id").alias("c"), "size", "tokens")
+
+    def first_parts(batches):
+        held, n = [], 0
+        for i, c, size, packed in _rows(batches):
+            s = expand_sorted(packed)
+            short = s >> np.uint64(SET_BITS - TOKEN_BITS)
+            order = s.copy()
+            if len(listed):
+                at = np.minimum(np.searchsorted(listed, short), len(listed) - 1)
+                order += np.where(listed[at] == short, ranks[at], np.uint64(0))
+            part = short[np.argsort(order)[: int(t.stored(size))]]
+            held.append((part, i, c, size))
+            n += len(part)
+            if n > 1_000_000:
                 yield from send(held)
                 held, n = [], 0
         if n:
             yield from send(held)
 
     def send(held) -> Iterator[pa.RecordBatch]:
-        token = np.concatenate([h[0] for h in held])
         sizes = [len(h[0]) for h in held]
-        ids, groups, low = (np.repeat(np.array([h[k] for h in held], np.int64), sizes) for k in (1, 2, 3))
-        after = low - np.concatenate([np.arange(k) for k in sizes])
-        token, groups, ids, after, low = union(token, groups, ids, after, low)
-        edges = np.searchsorted(token, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - bits))
-        rows = [(r, squeeze_sorted(token[i:j]), *(squeeze(x[i:j].view(np.uint64)) for x in (groups, ids - groups, after, low))) for r, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
-        kinds = (pa.int32(), *[pa.binary()] * 5)
-        for i in range(0, len(rows), 512):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 512], strict=True), kinds, strict=True)], names=["r", "tokens", "groups", "ids", "after", "low"])
-
-    def union(token, groups, ids, after, low):
-        """One entry for each token and group: the smallest id, the most that may follow, the smallest set."""
-        order = np.lexsort((ids, groups, token))
-        token, groups, ids, after, low = (x[order] for x in (token, groups, ids, after, low))
-        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (groups[1:] != groups[:-1])]))
-        return token[first], groups[first], ids[first], np.maximum.reduceat(after, first), np.minimum.reduceat(low, first)
-
-    def match(batches):
+        id_, group, size = (np.repeat(np.array([h[k] for h in held], np.int64), sizes) for k in (1, 2, 3))
+        after = size - np.concatenate([np.arange(k) for k in sizes])
+        entries = token_union(np.concatenate([h[0] for h in held]), group, id_, after, size)
+        held.clear()
+        rows = []
+        for r, i, j in _parts(entries[0], bits):
+            rows.append((r, *_pack(*(x[i:j] for x in entries))))
+            if len(rows) == 512:
+                yield _batch(rows, (pa.int32(), *[pa.binary()] * 5), ["r", *_NAMES])
+                rows = []
+        if rows:
+            yield _batch(rows, (pa.int32(), *[pa.binary()] * 5), ["r", *_NAMES])
+
+    def units(batches):
         place, held = None, []
-        for batch in batches:
-            for r, tokens, *columns in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if r != place:
-                    yield from meet(held)
-                    place, held = r, []
-                groups, ids, after, low = (expand(x).view(np.int64) for x in columns)
-                held.append((expand_sorted(tokens), groups, ids + groups, after, low))
-        yield from meet(held)
-
-    def meet(held):
+        for r, *packed in _rows(batches):
+            if r != place:
+                yield from divide(held)
+                place, held = r, []
+            held.append(_unpack(*packed))
+        yield from divide(held)
+
+    def divide(held):
         if not held:
             return
-        token, groups, ids, after, low = union(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        sizes = np.diff(np.append(starts, len(token)))
-        found = []
-        for k in np.unique(sizes[sizes > 1]):
-            at = starts[sizes == k]
-            x, y = np.triu_indices(int(k), 1)
-            for i in range(0, len(at), max(1, 2_000_000 // len(x))):
-                block = at[i : i + max(1, 2_000_000 // len(x)), None]
-                p, q = (block + x[None, :]).ravel(), (block + y[None, :]).ravel()
-                # were this the first token they share, no more than what follows it in either could be shared
-                may = np.minimum(after[p], after[q]) * (t.part + t.whole) >= t.part * (low[p] + low[q])
-                p, q = p[may], q[may]
-                if not len(p):
-                    continue
-                found.append((groups[p], groups[q], ids[p], ids[q]))
-                if sum(len(f[0]) for f in found) > 4_000_000:
-                    found = [fold(found)]
-        if found:
-            ca, cb, a, b, n = fold(found)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ca, cb, a, b, n)], names=["ca", "cb", "a", "b", "shared"])
-
-    def fold(found):
-        ca, cb, a, b = (np.concatenate(v) for v in zip(*[f[:4] for f in found], strict=True))
-        n = np.concatenate([f[4] if len(f) > 4 else np.ones(len(f[0]), np.int64) for f in found])
-        order = np.lexsort((b, a, cb, ca))
-        ca, cb, a, b, n = ca[order], cb[order], a[order], b[order], n[order]
-        start = np.flatnonzero(np.concatenate([[True], (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])]))
-        return ca[start], cb[start], a[start], b[start], np.add.reduceat(n, start)
-
-    sent = rows.mapInArrow(store_parts, "r int, tokens binary, groups binary, ids binary, after binary, low binary").repartition("r").sortWithinPartitions("r")
-    met = sent.mapInArrow(match, "ca long, cb long, a long, b long, shared long")
-    met = met.groupBy("ca", "cb").agg(F.sum("shared").alias("shared"), F.min(F.struct("a", "b")).alias("w"))
-    return cut(met.select("ca", "cb", "w.a", "w.b", "shared"), "qualifying")
-
-
-def open_groups(store: TextStore, named: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
-    """Links ``a, b`` between the members of each pair of groups.
-
-    The classes of the smaller groups are the queries: a group's queries are held HELD at a time, and its members
-    stream past each such block once, however many queries it has.
+        entries = token_union(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        entries, ends = windows(*entries, t)
+        own = np.arange(1, len(ends) + 1)
+        upto = np.cumsum(ends - own)
+        at = 0
+        while at < len(own):
+            before = upto[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + PAIRS, "right")))
+            if upto[to - 1] > before:
+                last = int(ends[at:to].max())
+                part = tuple(x[at:last] for x in entries)
+                yield _batch([(to - at, *_pack(*part))], (pa.int64(), *[pa.binary()] * 5), ["n", *_NAMES])
+            at = to
+
+    def match(batches):
+        for n, *packed in _rows(batches):
+            entries, ends = windows(*_unpack(*packed), t)
+            for found in candidates(entries, ends, 0, n, t):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["ca", "cb", "a", "b"])
+
+    sent = rows.mapInArrow(first_parts, f"r int, {_ENTRIES}").repartition("r").sortWithinPartitions("r")
+    matrix = cut(sent.mapInArrow(units, f"n long, {_ENTRIES}"), "matrix")
+    met = matrix.repartition(int(store.spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(match, "ca long, cb long, a long, b long")
+    met = cut(met.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("w")).select("ca", "cb", "w.a", "w.b"), "qualifying")
+    forget(matrix)
+    return met
+
+
+_NAMES = ["tokens", "groups", "ids", "after", "size"]
+
+
+def _spread(n: str) -> Column:
+    """A row for each number below the column ``n``."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def unions(members: DataFrame) -> DataFrame:
+    """``g, id`` (a block), ``size`` (of the smallest set behind it) and ``tokens``: the token union of each block.
+
+    ``members``: g, block, size, tokens. A block has some BLOCK members, however large its group is.
+    """
+
+    def run(batches):
+        place, held, n, low = None, [], 0, 0
+        for g, block, size, packed in _rows(batches):
+            if (g, block) != place:
+                if held:
+                    yield one(place, held, low)
+                place, held, n, low = (g, block), [], 0, size
+            held.append(expand_sorted(packed))
+            n, low = n + len(held[-1]), min(low, size)
+            if n > 1_000_000:
+                held = [np.unique(np.concatenate(held))]
+                n = len(held[0]) // 2
+        if held:
+            yield one(place, held, low)
+
+    def one(place, held, low):
+        return _batch([(*place, low, squeeze_sorted(np.unique(np.concatenate(held))))], (pa.int64(), pa.int64(), pa.int64(), pa.binary()), ["g", "id", "size", "tokens"])
+
+    dealt = members.select("g", "block", "size", "tokens").repartition("g", "block").sortWithinPartitions("g", "block")
+    return dealt.mapInArrow(run, "g long, id long, size long, tokens binary")
+
+
+def open_groups(store: SetStore, named: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+    """Links ``a, b`` between the members of each pair of groups ``ca, cb`` (with ``many_a, many_b`` members).
+
+    The classes of the smaller group are the queries. The larger one is opened a block at a time, where the overlap of
+    a query with the block's union reaches what a link needs. A task holds HELD sets and streams CHUNK rows, whatever
+    the number of queries and of blocks.
     """
     swap = F.col("many_a") > F.col("many_b")
     query, group = F.when(swap, F.col("cb")).otherwise(F.col("ca")), F.when(swap, F.col("ca")).otherwise(F.col("cb"))
-    asked = pairs.select(query.alias("q"), group.alias("g"), F.greatest("many_a", "many_b").alias("many"))
-    queries = asked.join(named, F.col("q") == F.col("c")).select("g", "many", "id").distinct()
-    groups = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("qs"), F.ceil(F.max("many") / CHUNK).cast("int").alias("gs"))
-    groups = cut(groups, "groups")
-    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = queries.join(groups, "g").select("g", "id", "qs", "gs", others("gs").alias("x"))
-    held = held.select("g", (F.pmod(F.hash("id"), F.col("qs")) * F.col("gs") + F.col("x")).alias("chunk"), "id")
-    streamed = groups.join(named, F.col("g") == F.col("c")).select("g", "id", "qs", "gs", others("qs").alias("x"))
-    streamed = streamed.select("g", (F.col("x") * F.col("gs") + F.pmod(F.hash("id"), F.col("gs"))).alias("chunk"), "id", F.lit(None).cast("array<long>").alias("others"))
-    return compare(store, held, streamed, t)
-
-
-def _linked(docs: DataFrame, classes: DataFrame, member: DataFrame, tokens: int, t: Threshold) -> DataFrame:
-    """``id, component`` of every class that is linked with another."""
-    # rows that repeat a doc_id with other texts are one document
-    twice = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("bs")).where(F.size("bs") > 1)
-    twice = twice.select("a", F.explode("bs").alias("b"))
-    store = TextStore(docs, classes)
-    try:
-        links = cut(compare_pairs(store, cut(bucket_pairs(classes), "pairs"), t).unionByName(twice), "links")
-        groups = cut(components(links), "groups")
-        near = qualifying_groups(store, groups, tokens, t)
-        named = cut(classes.select("id", "n").join(groups, "id", "left").select("id", "n", F.coalesce("component", "id").alias("c")), "named")
-        sizes = named.groupBy("c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("many"))
-        one, two = (sizes.select(*[F.col(c).alias(f"{c}_{k}") for c in sizes.columns]) for k in ("a", "b"))
-        opened = near.join(one, F.col("ca") == F.col("c_a")).join(two, F.col("cb") == F.col("c_b"))
-        fits = (F.col("low_a") * t.part <= F.col("high_b") * t.whole) & (F.col("low_b") * t.part <= F.col("high_a") * t.whole)
-        opened = cut(opened.where(fits).select("ca", "cb", "a", "b", "many_a", "many_b"), "opened")
-        links = links.unionByName(cut(compare_pairs(store, opened.select("a", "b"), t), "links"))
+    asked = pairs.select(query.alias("q"), group.alias("g"), F.ceil(F.greatest("many_a", "many_b") / BLOCK).cast("long").alias("blocks"))
+    groups = cut(asked.select("g", "blocks").distinct(), "groups")
+    members = named.join(groups, F.col("c") == F.col("g")).select("id", "g", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    members = cut(members, "members")
+    stored = cut(unions(store.full(members)), "unions")
+    # queries that share a group are dealt in fives and tens to the places that hold them; unions go past each such place
+    queries = cut(asked.join(named, F.col("q") == F.col("c")).select("g", "blocks", "id").distinct(), "queries")
+    places = cut(queries.groupBy("g", "blocks").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("long").alias("qs")).withColumn("gs", F.ceil(F.col("blocks") / CHUNK).cast("long")), "places")
+    held = queries.join(places.drop("blocks"), "g").select("g", "id", "qs", "gs", _spread("gs").alias("x"))
+    held = held.select("g", (F.pmod(F.xxhash64("id"), F.col("qs")) * F.col("gs") + F.col("x")).alias("chunk"), "id")
+    passing = stored.join(places, "g").select("g", "id", "size", "tokens", "gs", _spread("qs").alias("x"))
+    passing = passing.withColumn("chunk", F.col("x") * F.col("gs") + F.pmod("id", F.col("gs"))).withColumn("others", F.lit(None).cast("array<long>"))
+    reached = cut(compare(store.full(held), passing, t).select("g", F.col("a").alias("id"), F.col("b").alias("block")), "reached")
+    opened = cut(reached.groupBy("g", "block").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("long").alias("qs")), "opened")
+    # a place now: a block of a group, and a part of the queries that reach it
+    at = (F.pmod(F.xxhash64("id"), F.col("qs")) + F.col("block") * F.lit(1 << 32)).alias("chunk")
+    held = reached.join(opened, ["g", "block"]).select("g", at, "id")
+    streamed = members.join(opened, ["g", "block"]).select("g", "block", "id", _spread("qs").alias("x"))
+    streamed = streamed.select("g", (F.col("x") + F.col("block") * F.lit(1 << 32)).alias("chunk"), "id", F.lit(None).cast("array<long>").alias("others"))
+    links = cut(compare(store.full(held), store.full(streamed), t, once=True).select("a", "b").where("a <> b"), "links")
+    forget(groups, members, stored, queries, places, reached, opened)
+    return links
+
+
+def _linked(store: SetStore, classes: DataFrame, twice: DataFrame, tokens: int, t: Threshold) -> DataFrame:
+    """``id, component`` of every class that is linked with another. ``twice``: links that are given."""
+    links = cut(compare_pairs(store, cut(bucket_pairs(classes), "pairs"), t).unionByName(twice), "links")
+    groups = cut(components(links), "groups")
+    near = qualifying_groups(store, groups, tokens, t)
+    named = cut(classes.select("id", "n").join(groups, "id", "left").select("id", "n", F.coalesce("component", "id").alias("c")), "named")
+    sizes = named.groupBy("c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("many"))
+    one, two = (sizes.select(*[F.col(c).alias(f"{c}_{k}") for c in sizes.columns]) for k in ("a", "b"))
+    met = near.join(one, F.col("ca") == F.col("c_a")).join(two, F.col("cb") == F.col("c_b"))
+    fits = (F.col("low_a") * t.part <= F.col("high_b") * t.whole) & (F.col("low_b") * t.part <= F.col("high_a") * t.whole)
+    met = cut(met.where(fits).select("ca", "cb", "a", "b", "many_a", "many_b"), "met")
+    links = links.unionByName(cut(compare_pairs(store, met.select("a", "b"), t), "links"))
+    groups = cut(components(links), "groups")
+    # groups that their witnesses didn't join are opened, unless the witnesses were all there was
+    a, b = (groups.select(F.col("id").alias(f"c{k}"), F.col("component").alias(f"g{k}")) for k in ("a", "b"))
+    rest = met.where("many_a > 1 or many_b > 1").join(a, "ca", "left").join(b, "cb", "left")
+    rest = cut(rest.where(F.coalesce("ga", "ca") != F.coalesce("gb", "cb")).select("ca", "cb", "many_a", "many_b"), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(open_groups(store, named.select("id", "c"), rest, t))
         groups = cut(components(links), "groups")
-        # groups that their witnesses didn't join are opened in full, unless the witnesses were all there was
-        a, b = (groups.select(F.col("id").alias(f"c{k}"), F.col("component").alias(f"g{k}")) for k in ("a", "b"))
-        rest = opened.where("many_a > 1 or many_b > 1").join(a, "ca", "left").join(b, "cb", "left")
-        rest = cut(rest.where(F.coalesce("ga", "ca") != F.coalesce("gb", "cb")).select("ca", "cb", "many_a", "many_b"), "rest")
-        if not rest.isEmpty():
-            links = links.unionByName(cut(open_groups(store, named.select("id", "c"), rest, t), "links"))
-            groups = cut(components(links), "groups")
-        return groups
-    finally:
-        store.drop()
+    return groups
 
 
 def near_duplicates(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row: the set's size and the smallest doc_id reachable by links.
 
     Two documents link when ``whole * |A n B| >= part * |A u B|``. Null or wordless texts have an empty set and link
-    with nothing; rows that repeat a doc_id are one document; a row without doc_id belongs to the component of its
-    equals, and to none (null) if it has no equal. An empty table gives no rows; other columns play no part.
+    with nothing; rows that repeat a doc_id are one document, which links through any of its texts; a row without
+    doc_id belongs to the component of its equals, and to none (null) if it has no equal. An empty table gives no rows;
+    texts of any length are read whole; other columns play no part.
     """
     small_batches(docs.sparkSession, 1000)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = cut(signatures(docs, t), "signatures")
-    full = sets.where("n > 0").select("doc_id", "n", "set_key")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("set_key")
-    classes = cut(classes.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.count(F.lit(1)).alias("members")), "classes")
-    total, tokens = classes.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    keyed = classes.select("set_key", "id", "members")
-    member = join_hot(full.where("doc_id is not null").select("doc_id", "set_key"), keyed, ["set_key"], "members", total)
-    groups = _linked(docs, classes, member, tokens, t)
+    store = SetStore(docs.select(F.col("doc_id").cast("long"), "text"), t)
+    try:
+        sets = cut(store.table().select("doc_id", "n", "set_key"), "sizes")
+        named = store.table().where("n > 0 and doc_id is not null").groupBy("set_key")
+        named = cut(named.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.count(F.lit(1)).alias("members")), "classes")
+        total, tokens = named.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        keyed = named.select("set_key", "id", "members")
+        full = sets.where("n > 0")
+        member = join_hot(full.where("doc_id is not null").select("doc_id", "set_key"), keyed, ["set_key"], "members", total)
+        # rows that repeat a doc_id with other texts are one document, so their classes are linked
+        twice = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.collect_set("id").alias("bs")).where("a < z")
+        twice = twice.select("a", F.explode("bs").alias("b")).where("a <> b")
+        classes = named.groupBy("id").agg(F.min("n").alias("n"), F.first("minima").alias("minima"))
+        groups = _linked(store, classes, twice, tokens, t)
+    finally:
+        store.drop()
     named = keyed.join(groups, "id", "left").select("set_key", "members", F.coalesce("component", "id").alias("component_id"))
     out = join_hot(full, named, ["set_key"], "members", total, "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest; rows in no component stay."""
-    found = near_duplicates(docs, t)
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs``, with all their columns, whose doc_id is its component's smallest; rows in no component stay.
+
+    Rows without doc_id stay, as no id names them; so do empty texts, and rows that repeat a doc_id that stays. An
+    empty table gives no rows.
+    """
+    gone = near_duplicates(docs.select("doc_id", "text"), t).where("doc_id <> component_id")
+    name = fresh(*docs.columns)("gone")
+    return docs.join(gone.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").cast("long") == F.col(name), "left_anti")
