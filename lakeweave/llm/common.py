@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -62,6 +63,13 @@ def forget(*cuts: DataFrame) -> None:
         remove(df.sparkSession, df._cut_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark deletes the shuffle files of frames that nobody holds any more.
+    Otherwise they stay until the driver's memory runs short, which may be after many times the input was shuffled."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, most_bytes: int = 8_000_000) -> None:
     """Bounds Arrow batches of whole texts by rows and by bytes, so that a batch of very long texts stays small (a
     single longer text is a batch of its own). Lower settings of the session stay."""
@@ -99,12 +107,12 @@ def in_order(df: DataFrame, *by: Column) -> DataFrame:
 
     Range-partitioned and sorted; each partition counts its rows, and the
     positions before it are a prefix sum over those counts (one per partition).
-    Both the rows and the sorted rows are written, so that sampling for the ranges
+    Both the rows (unless they are a ``cut``) and the sorted rows are written, so that sampling for the ranges
     computes nothing twice and the counts are those of the rows.
     Ties get positions in any order; give a unique key last for a fixed one.
     """
     spark = df.sparkSession
-    rows = cut(cut(df).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    rows = cut((df if hasattr(df, "_cut_path") else cut(df)).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     counts = rows.groupBy(part.alias("p")).count().collect()
     base, total = {}, 0

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import cut, forget, fresh, join_hot, scratch, small_batches
+from lakeweave.llm.common import cut, forget, fresh, join_hot, release, scratch, small_batches
 from lakeweave.llm.components import components
 from lakeweave.llm.shingles import Shingler, common, expand, expand_sorted, min_hashes, squeeze, squeeze_sorted
 
@@ -35,7 +35,7 @@ MINIMA = 10
 SHARED_MINIMA = 3
 #: tokens come late in the order if this many groups have them, and more than the given share of all tokens are one
 #: (so there can be no more than 2 ** COMMON_SHARE of them, whatever the size of the input)
-COMMON_FROM, COMMON_SHARE = 4, 20
+COMMON_FROM, COMMON_SHARE = 4, 24
 #: bits of a token's hash that are stored in sets, and in the matrix (a coincidence there adds a candidate, never loses one)
 SET_BITS, TOKEN_BITS = 48, 40
 #: sets that a task holds at a time, rows that it streams past them, and members behind one union
@@ -206,14 +206,22 @@ def common_tokens(store: SetStore, groups: DataFrame, tokens: int, t: Threshold)
         return _batch(rows, (pa.int32(), pa.binary(), pa.binary()), ["r", "tokens", "counts"])
 
     def add(batches):
-        place, found, counts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
+        place, held, n = None, [], 0
         for r, a, b in _rows(batches):
             if r != place:
-                yield from often(found, counts)
-                place, found, counts = r, np.empty(0, np.uint64), np.empty(0, np.int64)
-            found, at = np.unique(np.concatenate([found, expand_sorted(a)]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, expand(b).view(np.int64)]).astype(float)).astype(np.int64)
-        yield from often(found, counts)
+                if held:
+                    yield from often(*summed(held))
+                place, held, n = r, [], 0
+            held.append((expand_sorted(a), expand(b).view(np.int64)))
+            n += len(held[-1][0])
+            if n > 2_000_000:
+                held, n = [summed(held)], 0
+        if held:
+            yield from often(*summed(held))
+
+    def summed(held):
+        found, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return found, np.bincount(at, np.concatenate([h[1] for h in held]).astype(float)).astype(np.int64)
 
     def often(found, counts):
         many = counts >= least
@@ -325,6 +333,7 @@ def qualifying_groups(store: SetStore, groups: DataFrame, tokens: int, t: Thresh
     """
     bits = _ranges(tokens // 4)
     listed, logs = common_tokens(store, groups, tokens, t)
+    release(store.spark)
     ranks = (logs.astype(np.uint64) + np.uint64(1)) << np.uint64(56)
     rows = store.full(groups, "left").select("id", F.coalesce("component", "id").alias("c"), "size", "tokens")
 
@@ -399,6 +408,7 @@ def qualifying_groups(store: SetStore, groups: DataFrame, tokens: int, t: Thresh
     met = matrix.repartition(int(store.spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(match, "ca long, cb long, a long, b long")
     met = cut(met.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("w")).select("ca", "cb", "w.a", "w.b"), "qualifying")
     forget(matrix)
+    release(store.spark)
     return met
 
 
@@ -475,6 +485,7 @@ def _linked(store: SetStore, classes: DataFrame, twice: DataFrame, tokens: int,
     """``id, component`` of every class that is linked with another. ``twice``: links that are given."""
     links = cut(compare_pairs(store, cut(bucket_pairs(classes), "pairs"), t).unionByName(twice), "links")
     groups = cut(components(links), "groups")
+    release(store.spark)
     near = qualifying_groups(store, groups, tokens, t)
     named = cut(classes.select("id", "n").join(groups, "id", "left").select("id", "n", F.coalesce("component", "id").alias("c")), "named")
     sizes = named.groupBy("c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("many"))
@@ -505,6 +516,7 @@ def near_duplicates(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     small_batches(docs.sparkSession, 1000)
     store = SetStore(docs.select(F.col("doc_id").cast("long"), "text"), t)
     try:
+        release(store.spark)
         sets = cut(store.table().select("doc_id", "n", "set_key"), "sizes")
         named = store.table().where("n > 0 and doc_id is not null").groupBy("set_key")
         named = cut(named.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.count(F.lit(1)).alias("members")), "classes")

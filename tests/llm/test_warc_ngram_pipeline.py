@@ -95,6 +95,8 @@ def test_hot_near_copies_and_shared_passages(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HELD", 3)
     monkeypatch.setattr(ngram_join, "SHARED_MINIMA", 8)
     monkeypatch.setattr(ngram_join, "COMMON_FROM", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "PAIRS", 40)
     rng = random.Random(11)
     base, passage = words(rng, 80), words(rng, 50)
     rows = []
@@ -110,12 +112,81 @@ def test_hot_near_copies_and_shared_passages(spark, monkeypatch):
     assert got == classes_by_hand(rows)
 
 
+def test_blocks_are_opened_where_their_unions_reach(spark, monkeypatch):
+    """Two groups whose witnesses don't link, though two other members do."""
+    rng = random.Random(3)
+    base = words(rng, 100, 10**6)
+    rows, n = [], 0
+    for shift in (0, 1):
+        for step in range(40):  # chains in which neighbours link
+            w = base[:]
+            w[: step * 2 + shift * 6] = [f"{shift}_{k}" for k in range(step * 2 + shift * 6)]
+            rows.append((n, " ".join(w), "en", "s", 0))
+            n += 1
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "CHUNK", 3)
+    monkeypatch.setattr(ngram_join, "HELD", 2)
+    t = ngram_join.Threshold()
+    store = ngram_join.SetStore(frame(spark, rows).select("doc_id", "text"), t)
+    try:
+        named = spark.createDataFrame([(r[0], 0 if r[0] < 40 else 40) for r in rows], "id long, c long")
+        pair = spark.createDataFrame([(0, 40, 40, 40)], "ca long, cb long, many_a long, many_b long")
+        links = {(r.a, r.b) for r in ngram_join.open_groups(store, named, pair, t).collect()}
+    finally:
+        store.drop()
+    sets = {r[0]: shingle_set(r[1]) for r in rows}
+    linked = {(a, b) for a in range(40) for b in range(40, 80) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    linked |= {(b, a) for a, b in linked}
+    assert links and links <= linked and {a for a, _ in links} == {a for a, b in linked if (a < 40) == (min(x for x, _ in links) < 40)}
+
+
+def test_windows_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    t = ngram_join.Threshold()
+    for _ in range(20):
+        n = int(rng.integers(1, 300))
+        token, size = np.sort(rng.integers(0, 6, n)).astype(np.uint64), rng.integers(5, 60, n)
+        after, group = np.maximum(1, size - rng.integers(0, 15, n)), np.arange(n)
+        entries, ends = ngram_join.windows(token, group, group + 1000, after, size, t)
+        cuts = sorted({0, n, *rng.integers(0, n + 1, 2).tolist()})
+        got = [p for i, j in zip(cuts, cuts[1:], strict=False) for c in ngram_join.candidates(entries, ends, i, j, t) for p in zip(*(x.tolist() for x in c), strict=True)]
+        want = [(a, b, a + 1000, b + 1000) for a in range(n) for b in range(a + 1, n) if token[a] == token[b] and 175 * min(after[a], after[b]) >= 75 * (size[a] + size[b])]
+        assert sorted(got) == want
+
+
+def test_a_token_of_ten_thousand_groups_takes_little_memory():
+    """Entries that may link with few others are not paired with all; those that may are paired a bounded piece at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    n, t = 10_000, ngram_join.Threshold()
+    group, token = np.arange(n), np.zeros(n, np.uint64)
+    size = np.full(n, 100)
+    tracemalloc.start()
+    for after, pairs in ((np.full(n, 80), 0), (np.full(n, 90), n * (n - 1) // 2)):
+        entries, ends = ngram_join.windows(token, group, group, after, size, t)
+        found, most = 0, 0
+        for k, (ca, *_) in enumerate(ngram_join.candidates(entries, ends, 0, n, t)):
+            found, most = found + len(ca), max(most, len(ca))
+            if k == 20:
+                break
+        assert (found == 0) == (pairs == 0) and most <= ngram_join.PAIRS // 8 + n
+    assert tracemalloc.get_traced_memory()[1] < 120_000_000
+    tracemalloc.stop()
+
+
 def test_near_duplicate_edges(spark):
     rows = [(5, "a b c d e f", "en", "s", 0), (2, "A B C d e f", "en", "s", 0), (None, "a b c d e f", "en", "s", 0), (None, "no equal of mine", "en", "s", 0), (9, "", "en", "s", 0), (9, "x y", "en", "s", 0), (4, "X\ty", "en", "s", 0), (4, "p q r", "en", "s", 0), (None, None, "en", "s", 0)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
     assert got == sorted([("5", 2, 2), ("2", 2, 2), ("None", 2, 2), ("None", 1, None), ("9", 0, 9), ("9", 1, 4), ("4", 1, 4), ("4", 1, 4), ("None", 0, None)])
-    kept = ngram_join.one_of_each(frame(spark, rows)).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["2", "4", "4", "9", "None", "None"] or {str(r.doc_id) for r in kept} >= {"2", "4"}
+    clash = frame(spark, rows).withColumns({c: F.lit("mine") for c in ("gone", "_gone", "component_id", "id", "n")})
+    kept = ngram_join.one_of_each(clash)
+    assert kept.columns == clash.columns
+    # 9 is the document "x y" of component 4, so its rows go; rows without doc_id stay
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "4", "4", "None", "None", "None"]
     assert ngram_join.near_duplicates(empty(spark)).count() == 0 and ngram_join.one_of_each(empty(spark)).count() == 0
 
 
