@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeweave.llm import exact_dedup, mixing, sharding
@@ -18,36 +19,50 @@ def lower(text):
 def test_trie_is_a_dictionary():
     rng = random.Random(1)
     for bound in (3, 40):
-        trie, want = RadixTrie(), {}
+        trie, want, out = RadixTrie(), {}, {}
         for i in range(500):
-            key = bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, bound)))
-            trie.insert(key, i)
+            key = bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, bound)))
+            trie.insert(key, (i, 1), lambda t, i=i: (max(t[0], i), t[1] + 1))
             best, n = want.get(key, (-1, 0))
             want[key] = (max(best, i), n + 1)
-        assert {k: (b, n) for k, b, n in trie.spill()} == want
-        assert list(trie.spill()) == [] and trie.held == 0
+        shared = sum(map(len, want))
+        assert trie.held <= shared and (bound == 40 or trie.held < shared) and trie.terminals == len(want)
+        heaviest = max(trie.weights, key=trie.weights.get)
+        for key, end in trie.spill(trie.held - 1):  # one subtree is enough
+            assert key[0] == heaviest
+            out[key] = end
+        assert 0 < len(out) < len(want) and trie.held == sum(trie.weights.values())
+        out |= dict(trie.spill())
+        assert out == want and list(trie.spill()) == [] and trie.held == trie.terminals == 0
 
 
 def test_dedup_against_a_dictionary(spark):
     rows = corpus() + [(500, "Same Text", "en", "s", 1), (500, "same text", "en", "s", 1), (None, "SAME text", "en", "s", 1), (None, None, "en", "s", 1)]
+    rows += [(600, "Ähnlich ß", "en", "s", 1), (601, "ähnlich ß", "en", "s", 1), (602, "x" * 300_000, "en", "s", 1), (603, "X" * 300_000, "en", "s", 1)]
     groups = defaultdict(list)
     for r in rows:
         groups[lower(r[1])].append(r[0])
-    got = exact_dedup.dedup_plan(frame(spark, rows).withColumn("kept", F.lit("clash"))).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        ids = groups[lower(r.text)]
+    want = []
+    for r in rows:
+        ids = groups[lower(r[1])]
         best = max((i for i in ids if i is not None), default=None)
-        assert (r.keep_id, r.group_size, r.kept) == (best, len(ids), r.doc_id == best)
-        assert r.text_sha256 == hashlib.sha256(lower(r.text)).hexdigest()
-    kept = exact_dedup.drop_duplicates(frame(spark, rows)).collect()
-    assert sorted(lower(r.text) for r in kept) == sorted(groups)
-
-
-def test_dedup_with_tiny_memory_and_hot_text(spark):
-    rows = [(i, "hot text" if i % 3 else f"text {i}", "en", "s", 1) for i in range(3000)]
-    owners = exact_dedup.text_owners(frame(spark, rows, parts=5), held_bytes=200).collect()
-    assert len(owners) == 1001 and max(r.group_size for r in owners) == 2000
+        want.append((r[0], best, len(ids), r[0] == best, hashlib.sha256(lower(r[1])).hexdigest()))
+    docs = frame(spark, rows).withColumns({c: F.lit("mine") for c in ("kept", "keep_id", "terminal", "bytes", "_bytes", "id", "sha256", "_hot")})
+    assert sorted(map(str, map(tuple, exact_dedup.dedup_plan(docs).collect()))) == sorted(map(str, want))
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert sorted(lower(r.text) for r in kept) == sorted(groups) and {r.kept for r in kept} == {r._hot for r in kept} == {"mine"}
+    assert all(r.doc_id == max((i for i in groups[lower(r.text)] if i is not None), default=None) for r in kept)
+
+
+def test_dedup_with_tiny_memory_and_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "TERMINALS", 7)
+    rows = [(i, "hot text" if i % 3 else f"{i % 7} text {i}", "en", "s", 1) for i in range(3000)]
+    found, owners = exact_dedup.text_owners(frame(spark, rows, parts=5), held_bytes=200)
+    got = found.join(owners, "terminal").collect()
+    assert len(got) == 3000 and len({r.keep_id for r in got}) == 1001
+    assert {(r.keep_id, r.group_size) for r in got if r.doc_id % 3} == {(2999, 2000)}
     assert exact_dedup.dedup_plan(empty(spark)).count() == 0
     assert exact_dedup.drop_duplicates(empty(spark)).count() == 0
 
@@ -80,17 +95,34 @@ def test_mix_against_repeated_resharing(spark):
         assert r.taken in (int(rate) * r.size, (int(rate) + 1) * r.size) and r.taken <= 3 * r.size
     again = {(r.doc_id, r.text): r.taken for r in mixing.plan_mix(frame(spark, rows, parts=7)).collect()}
     assert again == {(r.doc_id, r.text): r.taken for r in got}
-    mixed = mixing.mix(frame(spark, rows))
-    assert mixed.columns == [c.split()[0] for c in SCHEMA.split(", ")]
-    assert mixed.count() == sum(r.copies for r in got)
+    extra = ("size", "source_size", "copies", "taken", "copy", "class", "_u")
+    mixed = mixing.mix(frame(spark, rows).withColumns({c: F.lit(777) for c in extra}))
+    assert mixed.columns == [*(c.split()[0] for c in SCHEMA.split(", ")), *extra]
+    mixed = mixed.collect()
+    assert len(mixed) == sum(r.copies for r in got) and all(r[c] == 777 for r in mixed for c in extra)
     assert mixing.plan_mix(empty(spark)).count() == 0
 
 
-def test_mix_comes_near_its_targets(spark):
+@pytest.mark.parametrize("most_lookups", [100_000, 0])
+def test_mix_comes_near_its_targets(spark, monkeypatch, most_lookups):
+    """Sources of 50 documents, some as long as all others of their source together; by both ways of looking rates up."""
+    monkeypatch.setattr(mixing, "MOST_LOOKUPS", most_lookups)
     rng = random.Random(5)
-    rows = [(i, " ".join(["w"] * rng.randrange(5, 60)), "en", f"s{i % 3 * (i % 2)}", 0) for i in range(6000)]
+    rows = [(i, " ".join(["w"] * int(5 * 2 ** (rng.random() * 8))), "en", f"s{i % 8}", 0) for i in range(400)]
+    rows[3] = (3, " ".join(["w"] * 15_000), "en", "s3", 0)
     got = mixing.plan_mix(frame(spark, rows)).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("x")).collect()
-    assert all(abs(r.t / r.x - 1) < 0.05 for r in got)
+    assert len(got) == 8 and all(abs(r.t / r.x - 1) < 0.05 for r in got)
+
+
+def test_extra_copies_are_as_likely_as_the_fraction(spark):
+    rows = [(i, " ".join(["w"] * (10 + i % 50)), "en", f"s{i % 2}", 0) for i in range(200)]
+    docs = frame(spark, rows, parts=1).cache()
+    taken = defaultdict(int)
+    for seed in range(12):
+        for r in mixing.plan_mix(docs, seed).collect():
+            taken[r.source] += r.taken / r.size
+    rate = {r.source: r.target / r.source_size for r in mixing.plan_mix(docs).collect()}
+    assert all(abs(taken[s] / 1200 / rate[s] - 1) < 0.04 for s in rate)
 
 
 def test_best_fit_is_best_fit():
