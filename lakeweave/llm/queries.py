@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import exact_dedup, mixing, ngram_join, packing, quality, secrets, sharding, token_files, toxicity, warc
-from lakeweave.llm.common import cut, scratch
+from lakeweave.llm.common import scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,10 +42,18 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+#: commits that the history of op6 has
+COMMITS = 2
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = cut(secrets.update_ledger(docs), "ledger")
-    found = secrets.findings(docs, ledger)
+    ledger = secrets.Ledger(spark, scratch(spark, "ledger"))
+    # all documents, as a history of commits: an increment scans what no commit before it had
+    commit = F.pmod(F.xxhash64("doc_id"), F.lit(COMMITS))
+    for i in range(COMMITS):
+        ledger.add(docs.where(commit == i))
+    found = secrets.findings(docs, ledger.rows())
     none = F.array().cast(found.schema["found"].dataType)
     found = found.select("doc_id", F.coalesce("found", none).alias("found"))
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -98,7 +106,7 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": f"""
-WITH d AS (SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0)::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM s),
 c AS (SELECT *, source_size * 3.0::DOUBLE AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM w),
@@ -107,12 +115,20 @@ l AS (SELECT *, (sum(source_size) OVER ()
     / ((sum(w) OVER () - sum(w) OVER (ORDER BY cap / w, r ROWS UNBOUNDED PRECEDING)) + w)::DOUBLE AS level FROM c),
 t AS (SELECT source, source_size, CASE WHEN cap < w * level THEN cap
     ELSE w * max(CASE WHEN cap >= w * level THEN level END) OVER () END AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-    (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
+k AS (SELECT doc_id, source, size, CASE WHEN size > 0 THEN (length(bin(size)) - 1) * 8 + ((size * 8) >> (length(bin(size)) - 1)) - 8 ELSE -1 END AS c,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM d),
+g AS (SELECT k.source, c, count(*)::DOUBLE AS n, sum(size)::DOUBLE AS words, any_value(t.target) AS target, any_value(t.source_size) AS source_size,
+    any_value(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END) AS rate, row_number() OVER (PARTITION BY k.source ORDER BY c DESC) AS r,
+    ('0x' || substr(md5('17:' || coalesce(k.source, '') || ':' || c), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source GROUP BY k.source, c),
+x AS (SELECT source, c, r, n, words, target, source_size, floor(rate) AS whole, rate - floor(rate) AS f,
+    least(n, greatest(0.0, floor(n * (rate - floor(rate)) - 0.0 + u))) AS extra, 0.0::DOUBLE AS before FROM g WHERE r = 1
+    UNION ALL SELECT g.source, g.c, g.r, g.n, g.words, g.target, g.source_size, x.whole, x.f,
+    least(g.n, greatest(0.0, floor(g.n * x.f - CASE WHEN g.words > 0 THEN (x.before + (x.extra / x.n - x.f) * x.words) * g.n / greatest(g.words, 1.0) ELSE 0.0 END + g.u))),
+    x.before + (x.extra / x.n - x.f) * x.words FROM x JOIN g ON g.source IS NOT DISTINCT FROM x.source AND g.r = x.r + 1)
+SELECT k.doc_id, k.size, x.source_size, x.target,
+    (k.size * (x.whole + CASE WHEN row_number() OVER (PARTITION BY k.source, k.c ORDER BY k.u, coalesce(k.doc_id::VARCHAR, '')) <= x.extra THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM k JOIN x ON k.source IS NOT DISTINCT FROM x.source AND k.c = x.c""",
     "op2_exact_dedup": f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

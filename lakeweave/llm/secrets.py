@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import cut, join_hot
+from lakeweave.llm.common import cut, fresh, join_hot
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,9 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 
+#: addresses of unseen blobs (some 100 bytes each) that may be broadcast
+MOST_UNSEEN = 50_000
+
 LEDGER = "blob binary, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -73,22 +76,42 @@ def content(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def named(rules: tuple[Rule, ...]) -> list[str]:
+    return [f"{r.kind}@{r.version}" for r in rules]
+
+
+def unseen_blobs(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob, seen``: the contents of ``versions`` for which the ledger lacks a rule version, and those that it has.
+
+    Hashes alone move here, never a text.
+    """
+    blobs = versions.select(content(F.col("text")).alias("blob")).distinct()
+    if ledger is None:
+        return blobs.withColumn("seen", F.array().cast("array<string>"))
+    name = F.concat_ws("@", "kind", F.col("version").cast("string"))
+    seen = ledger.where(name.isin(named(rules))).groupBy("blob").agg(F.collect_set(name).alias("seen"))
+    out = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+    return out.where(F.size("seen") < len(rules))
+
+
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Ledger rows (``LEDGER``) for the pairs of blob and rule version that ``ledger`` doesn't have yet.
 
-    ``versions`` has every historical version of every path, its text in ``text``. Each blob is scanned once, however
-    many versions have it; copies meet before the shuffle. A blob gets a row for each rule, with or without spans,
-    so that it isn't scanned again.
+    ``versions`` has every historical version of every path, its text in ``text``. First the contents' addresses are
+    held against the ledger; then only texts that are unseen for some rule move (all of them where there is no ledger),
+    and each blob is scanned once, however many versions have it: copies meet before the shuffle. A blob gets a row for each missing rule,
+    with or without spans, so that it isn't scanned again. Null texts are empty ones; repeated rows are one blob; an
+    empty table adds nothing; other columns play no part.
     """
-    blobs = versions.select(content(F.col("text")).alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    blobs = blobs.groupBy("blob").agg(F.max("text").alias("text"))
+    texts = versions.select(content(F.col("text")).alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     if ledger is None:
-        blobs = blobs.withColumn("_seen", F.array().cast("array<string>"))
+        blobs = texts.groupBy("blob").agg(F.max("text").alias("text")).withColumn("_seen", F.array().cast("array<string>"))
     else:
-        named = F.concat_ws("@", "kind", F.col("version").cast("string"))
-        seen = ledger.where(named.isin([f"{r.kind}@{r.version}" for r in rules])).groupBy(F.col("blob")).agg(F.collect_set(named).alias("_seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("_seen", F.coalesce("_seen", F.array().cast("array<string>")))
-        blobs = blobs.where(F.size("_seen") < len(rules))
+        wanted = cut(unseen_blobs(versions, ledger, rules), "unseen")
+        few = wanted.count() <= MOST_UNSEEN  # an increment's hashes are looked up where the texts lie; else both are dealt
+        wanted = wanted.withColumnRenamed("seen", "_seen")
+        # texts that aren't wanted are left out, and copies meet, before anything moves
+        blobs = texts.join(F.broadcast(wanted) if few else wanted, "blob").groupBy("blob").agg(F.max("text").alias("text"), F.first("_seen").alias("_seen"))
     unseen = {r.kind: ~F.array_contains("_seen", f"{r.kind}@{r.version}") for r in rules}
     none = F.array().cast("array<struct<start:int,end:int>>")
     rows = [
@@ -99,6 +122,33 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     return found.select("blob", F.explode("_rows").alias("_r")).select("blob", "_r.kind", "_r.version", "_r.spans")
 
 
+class Ledger:
+    """A ledger that is stored at a path, an increment at a time; each increment is a folder that is there once it is whole."""
+
+    def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES):
+        self.spark, self.path, self.rules, self.increments = spark, path.rstrip("/"), rules, 0
+        while self._whole(self.increments):
+            self.increments += 1
+
+    def _at(self, i: int) -> str:
+        return f"{self.path}/increment-{i:06d}"
+
+    def _whole(self, i: int) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._at(i) + "/_SUCCESS")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def rows(self) -> DataFrame | None:
+        """What the ledger has so far; None if that is nothing."""
+        if not self.increments:
+            return None
+        return self.spark.read.schema(LEDGER).parquet(*[self._at(i) for i in range(self.increments)])
+
+    def add(self, versions: DataFrame) -> None:
+        """Scans what ``versions`` have that is unseen, and stores it as one more increment."""
+        update_ledger(versions, self.rows(), self.rules).write.mode("overwrite").parquet(self._at(self.increments))
+        self.increments += 1
+
+
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Each row of ``versions`` with ``found``: array of (start, end, kind) by start, then kind as listed.
 
@@ -111,8 +161,11 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     each = hits.select("blob", "kind", F.explode("spans").alias("s"))
     spot = F.struct(F.col("s.start").alias("start"), order[F.col("kind")].alias("rank"), F.col("s.end").alias("end"), F.col("kind").alias("kind"))
     per_blob = each.groupBy("blob").agg(F.sort_array(F.collect_list(spot)).alias("found"))
-    keyed = versions.drop("found").withColumn("blob", content(F.col("text")))
-    counts = keyed.groupBy("blob").agg(F.count(F.lit(1)).alias("_n"))
-    sized = cut(per_blob.join(counts, "blob"))
-    total = sized.agg(F.sum("_n")).first()[0] or 0
-    return join_hot(keyed, sized, ["blob"], "_n", total, "left").drop("_n")
+    versions = versions.drop("found")
+    new = fresh(*versions.columns, "found")
+    blob, many = new("blob"), new("many")
+    keyed = versions.withColumn(blob, content(F.col("text")))
+    counts = keyed.groupBy(blob).agg(F.count(F.lit(1)).alias(many))
+    sized = cut(per_blob.withColumnRenamed("blob", blob).join(counts, blob))
+    total = sized.agg(F.sum(many)).first()[0] or 0
+    return join_hot(keyed, sized, [blob], many, total, "left").drop(blob, many)
