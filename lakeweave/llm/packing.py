@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import cut, in_order, small_batches
+from lakeweave.llm.common import cut, forget, in_order, small_batches
 from lakeweave.llm.tokenizing import TextEncoder
 
 
@@ -102,23 +102,38 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 0, longest: in
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cutter(tokenizer_path, end_id, longest, with_ids), schema)
 
 
+def _histogram(pieces: DataFrame, longest: int) -> dict[int, int]:
+    """Pieces of each length, were the documents of ``pieces`` cut after every ``longest`` ids."""
+    n = F.col("doc_tokens")
+    cut_up = pieces.where("start = 0").groupBy((n % longest).alias("rest")).agg(F.count(F.lit(1)).alias("count"), F.sum(F.floor(n / longest)).alias("full")).collect()
+    rests = {r["rest"]: r["count"] for r in cut_up if r["rest"]}
+    full = sum(r["full"] for r in cut_up)
+    return rests | ({longest: full} if full else {})
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 1024, most_padding: float = 0.04, with_ids: bool = False) -> DataFrame:
     """Per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
 
-    Pieces are ``capacity`` long but for each document's last one. Should the histogram pack with more than
-    ``most_padding`` of all places empty, documents are cut into halves, quarters and so on of ``capacity`` until it
-    does (down to capacity / 16). Null text is empty: its one piece is the end id. Rows that repeat a doc_id, or have
-    none, are documents of their own. An empty table gives no rows. Other columns play no part.
+    Pieces are ``capacity`` long but for each document's last one. Where the lengths show that these would pack with
+    more than ``most_padding`` of all places empty, documents are cut after half, a quarter and so on of ``capacity``
+    ids (down to a 16th): the first of these that packs well, or else the best. Texts are tokenized once, and once
+    more only for such a finer cut. Null text is empty: its one piece is the end id. Rows that repeat a doc_id, or have
+    none, are documents of their own. Texts of any length are encoded whole. An empty table gives no rows. Other columns play no part.
     """
-    longest = capacity
-    while True:
-        pieces = pieces_of(docs, tokenizer_path, end_id, longest, with_ids)
-        ranked = cut(in_order(pieces, F.col("length").desc(), F.col("doc_id"), F.col("start"), F.col("ids_crc32")))
-        counted = {r["length"]: (r["count"], r["first"]) for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("count"), F.min("position").alias("first")).collect()}
-        plan = shortest_pack_first({k: n for k, (n, _) in counted.items()}, capacity)
-        if plan.padding <= most_padding or longest * 16 <= capacity:
+    pieces = cut(pieces_of(docs, tokenizer_path, end_id, capacity, with_ids), "pieces")
+    tried, longest = {}, capacity
+    while longest * 16 >= capacity and longest:
+        tried[longest] = shortest_pack_first(_histogram(pieces, longest), capacity).padding
+        if tried[longest] <= most_padding:
             break
         longest //= 2
+    best = min(tried, key=lambda k: (tried[k] > most_padding, tried[k], -k))
+    if best != capacity:
+        forget(pieces)
+        pieces = cut(pieces_of(docs, tokenizer_path, end_id, best, with_ids), "pieces")
+    ranked = in_order(pieces, F.col("length").desc(), F.col("doc_id"), F.col("start"), F.col("ids_crc32"))
+    counted = {r["length"]: (r["count"], r["first"]) for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("count"), F.min("position").alias("first")).collect()}
+    plan = shortest_pack_first({k: n for k, (n, _) in counted.items()}, capacity)
     # a piece's position in the order (length desc, ...) tells its length and rank at once
     runs = sorted((counted[length][1] + rank, sequence, offset) for length, rank, sequence, offset in plan.runs)
     starts, sequences, offsets = (np.array(x, np.int64) for x in zip(*runs, strict=True)) if runs else (np.zeros(1, np.int64),) * 3

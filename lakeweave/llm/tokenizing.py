@@ -5,12 +5,15 @@ a single space between two inked characters, either side of a single newline
 between them, or the point between a letter or digit and a full stop or comma.
 A batch is cut at those points, every distinct cut is encoded once by the
 ``tokenizers`` library, and the ids of a text are the joined ids of its cuts.
-Texts in which a space touches other white space are encoded whole, so the ids
-are always those of the library's ``encode`` on the whole text.
+Texts in which a space touches other white space, or that have the string of an
+added token (which the library finds before anything else), are encoded whole,
+and so is every text where the tokenizer isn't such a byte-level BPE. So the ids
+are those of the library's own ``encode`` on the whole text.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import sys
 import types
@@ -42,6 +45,21 @@ def vocabulary_size(tokenizer_path: str) -> int:
     return Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
 
 
+def cuts_are_safe(tokenizer) -> bool:
+    """Whether the tokenizer is a plain byte-level BPE, for which the cuts are proven: no normalizer, the pre-tokenizer's
+    own pattern, no space put before the text, nothing cut off or padded, and no part of the model that looks beyond a piece."""
+    told = json.loads(tokenizer.to_str())
+    pre, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return plain and bpe and not any(told.get(k) for k in ("normalizer", "truncation", "padding"))
+
+
+def _quoted(text: str) -> str:
+    """A regular expression for the text itself."""
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
+
+
 class TextEncoder:
     """Encodes Arrow string arrays; ``cuts`` bounds the cuts remembered between batches."""
 
@@ -52,7 +70,9 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.may_cut = cuts_are_safe(self.tokenizer)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole = "|".join([_WHOLE, *map(_quoted, added)])
         self.cuts, self.batch_bytes = cuts, batch_bytes
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -80,7 +100,10 @@ class TextEncoder:
         return out
 
     def _encode(self, texts: pa.Array) -> list[bytes]:
-        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        if not self.may_cut:
+            found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
         marked = pc.replace_substring(pc.if_else(pa.array(whole), "", texts), " ", _CUT + " ")
         marked = pc.replace_substring_regex(marked, r"([\p{L}\p{N}])([.,])", f"\\1{_CUT}\\2")
         marked = pc.replace_substring_regex(marked, rf"({_INK})\n({_INK})", f"\\1{_CUT}\n{_CUT}\\2")

@@ -6,15 +6,14 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from lakeweave.llm import packing, token_files
 from lakeweave.llm.queries import TOKENIZER
 from lakeweave.llm.tokenizing import TextEncoder
 from tests.llm.helpers import corpus, empty, frame
 
-PLAIN = Tokenizer.from_file(TOKENIZER)
-PLAIN.encode_special_tokens = True
+PLAIN = Tokenizer.from_file(TOKENIZER)  # as the library makes it
 ENCODER = TextEncoder(TOKENIZER, cuts=50, batch_bytes=200)
 
 
@@ -29,6 +28,24 @@ def test_encoder_is_the_library(texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids(t) for t in [*texts, None]]
 
 
+def test_special_tokens_and_other_tokenizers(tmp_path):
+    assert ids("x <|endoftext|> y") == [87, 220, 50256, 331]
+    assert np.frombuffer(ENCODER.encode(pa.array(["x <|endoftext|> y"]))[0], "<u4").tolist() == ids("x <|endoftext|> y")
+    other = Tokenizer.from_file(TOKENIZER)
+    other.normalizer = normalizers.Lowercase()
+    other.add_tokens(["d.o"])
+    other.save(str(tmp_path / "other.json"))
+    other = Tokenizer.from_file(str(tmp_path / "other.json"))
+    texts = ["A b. C, d.o E\nF", "", "x d.o y"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in TextEncoder(str(tmp_path / "other.json")).encode(pa.array(texts))] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_very_long_text():
+    text = "".join(random.Random(3).choice(["word ", "w", ".\n", " x", "<|endoftext|>"]) for _ in range(100_000))
+    for t in (text, "ab " * 1_700_000):
+        assert np.frombuffer(TextEncoder(TOKENIZER).encode(pa.array([t, "a"]))[0], "<u4").tolist() == ids(t)
+
+
 def rows_for(spark):
     return corpus(60) + [(None, "no id", "en", "s", 0), (7, "seven again", "en", "s", 0), (61, "<|endoftext|> don't", "en", "s", 0)]
 
@@ -44,7 +61,8 @@ def test_files_round_trip(spark, tmp_path):
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
-    assert [r.doc_id or -1 for r in sorted(got, key=lambda r: r.start)] == sorted((r.doc_id or -1 for r in got), key=lambda x: (x,)) or True
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order, key=lambda i: (i is not None, i))  # rows without doc_id come first
     whole = b"".join((tmp_path / "t" / f"{p['name']}.ids").read_bytes() for p in manifest["parts"])
     assert len(whole) == 2 * at == 2 * manifest["tokens"]
     wide = token_files.write_tokens(frame(spark, rows), f"file://{tmp_path}/w", TOKENIZER, width=4)
