@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 from operator import eq
@@ -16,22 +17,30 @@ from lakeweave.llm.common import small_batches
 #: fixed values: characters that count as symbols, and marks that separate the entries of a menu
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ("|", "»", "›", "·", "•", "→", "/", "::")
-#: fixed values: phrases of boilerplate lines, lower case
+#: fixed values: phrases of boilerplate lines in English, German, French and Spanish, lower case
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "cookie policy", "enable javascript", "javascript is disabled",
     "lorem ipsum", "privacy policy", "sign up for our newsletter", "skip to content", "subscribe to our newsletter",
     "terms of service", "terms of use", "use cookies", "uses cookies",
+    "alle rechte vorbehalten", "cookies akzeptieren", "cookie-richtlinie", "verwendet cookies", "verwenden cookies",
+    "datenschutzerklärung", "javascript ist deaktiviert", "newsletter abonnieren", "nutzungsbedingungen", "zum inhalt springen",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "utilise des cookies", "utilisons des cookies",
+    "javascript est désactivé", "abonnez-vous à notre newsletter", "conditions d'utilisation", "aller au contenu", "mentions légales",
+    "todos los derechos reservados", "aceptar cookies", "aceptar las cookies", "política de privacidad", "utiliza cookies",
+    "utilizamos cookies", "javascript está desactivado", "suscríbete a nuestro boletín", "condiciones de uso", "términos de uso", "saltar al contenido",
 )
 _SPACES = " \t\n\r\x0b\x0c"
-_MARKS = re.compile(r"[!-/:-@\[-`{-~]")
+#: punctuation and symbols of any script (of the basic plane, so that a bitmap decides)
+_MARKS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x10000) if unicodedata.category(chr(c))[0] in "PS") + "]")
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """A line goes if its share of ASCII punctuation is above ``most_marks``, if ``separator_share`` or more of its
+    """A line goes if its share of punctuation and symbols is above ``most_marks``, if ``separator_share`` or more of its
     words are menu separators, if more than ``most_stutter`` of ten or more words equal the word before, or if it has
     a boilerplate phrase and no more than ``boilerplate_words`` words.
-    A document goes if its lines lost more than ``most_lost`` of the characters in its words."""
+    A document goes if its lines lost more than ``most_lost`` of the characters in its words, if it has fewer than
+    ``least_words`` words, or if more than ``most_repeated`` of a hundred words are in repeated windows."""
 
     most_marks: float = 0.2
     separator_share: float = 0.15
@@ -40,7 +49,7 @@ class LineRules:
     boilerplate_words: int = 30
     most_lost: float = 0.5
     least_words: int = 10
-    most_repeated: float = 0.2
+    most_repeated: int = 20
 
 
 def line_fails(line: str, rules: LineRules) -> str | None:
@@ -91,7 +100,7 @@ def measure(text: str | None, rules: LineRules) -> tuple:
             twice += line in seen
             seen.add(line)
     repeated = repeated_words(words)
-    failed = len(words) < rules.least_words or repeated > rules.most_repeated * len(words)
+    failed = len(words) < rules.least_words or 100 * repeated > rules.most_repeated * len(words)
     good = [line for line in lines if line_fails(line, rules) is None]
     lost = 0
     clean = text
@@ -132,8 +141,23 @@ def judge_lines(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool
 
 
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The documents that are kept, without their failed lines, in the columns of ``docs`` (``n_chars`` is counted anew)."""
-    judged = judge_lines(docs, rules).where("kept").withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        judged = judged.withColumn("n_chars", F.when(F.col("lost_chars") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return judged.select(*docs.columns)
+    """The documents that are kept, without their failed lines, in the columns of ``docs``, whatever their names.
+
+    ``n_chars``, where there is one, is counted anew for a document that lost lines; everything else is as it was. One
+    pass without a shuffle. Null and empty texts fail; rows that repeat are judged alike; an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for batch in batches:
+            found = [measure(t, rules) for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array([f[-1] for f in found], columns[at].type)
+            if count_at is not None:
+                counts = [len(f[-1]) if f[-2] else n for f, n in zip(found, columns[count_at].to_pylist(), strict=True)]
+                columns[count_at] = pa.array(counts, columns[count_at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([f[6] for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

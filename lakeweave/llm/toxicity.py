@@ -29,12 +29,6 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - np.asarray(score, float)[:, None], -50, 50)))
 
 
-def tokens(text: Column) -> Column:
-    """The distinct words of a text: A-Z lower-cased, ASCII punctuation and white space between them."""
-    plain = F.translate(ascii_lower(F.coalesce(text, F.lit(""))), PUNCTUATION, " " * len(PUNCTUATION))
-    return F.array_remove(F.array_distinct(F.split(plain, r"[\x20\x09-\x0D]+")), "")
-
-
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, penalty: float = 1e-4, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by full-batch Adam on the log-likelihood; rows are arrays of feature numbers (presence)."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -68,48 +62,86 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_g
     return x[:n_features], x[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_features + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_words: int = 4096, least_z: float = 6.0, least_odds: float = 1.5) -> OrdinalModel:
+def words_of(text: Column) -> Column:
+    """The words of a text with repeats: A-Z lower-cased, ASCII punctuation and white space between them."""
+    plain = F.translate(ascii_lower(F.coalesce(text, F.lit(""))), PUNCTUATION, " " * len(PUNCTUATION))
+    return F.array_remove(F.split(plain, r"[\x20\x09-\x0D]+"), "")
+
+
+def telling_words(rows: DataFrame, least_odds: float = 1.5) -> DataFrame:
+    """``word`` of the words that toxic texts have more often than chance explains. ``rows``: toxic, words.
+
+    A word counts where twice the logarithm of its likelihood ratio (its own rate of toxic texts against the rate of
+    all) exceeds 2 ln V, V being the number of distinct words that three or more texts have: so hardly
+    one of them gets in by chance, in a small sample or a large one. The floor of evidence is the same for every word, so the words
+    of a small language need no share of all texts. Its log-odds must be ``least_odds`` or more, too.
+    """
+    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    bad, good = totals.get(1, 0), totals.get(0, 0)
+    seen = rows.select("toxic", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    seen = cut(seen.where("a + b >= 3"), "words")
+    share = bad / max(1, bad + good)
+    if not 0 < share < 1:
+        return seen.select("word").limit(0)
+    a, b, n = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+    odds = F.log((a + 0.5) / (bad - a + 0.5)) - F.log((b + 0.5) / (good - b + 0.5))
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(F.lit(0.0))
+    evidence = 2 * (part(a, share) + part(b, 1 - share))
+    needed = 2 * float(np.log(max(1, seen.count())))
+    return seen.where((evidence > needed) & (odds >= least_odds) & (a > n * share)).select("word")
+
+
+def graded(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, toxic, words) with ``grade``: 0 not toxic, 1 toxic, 2 toxic and severe.
+
+    Labels are binary, so severity has to be derived, and not from what the model will see of a row: the rows are
+    halved by a hash, and the number of a text's words that the *other* half tells to be toxic is its severity; above
+    the median of the toxic texts of its half it is severe.
+    """
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("key"), F.lit(2)))
+    halves = []
+    for half in (0, 1):
+        told = cut(telling_words(rows.where(F.col("half") != half)), "told")
+        toxic = rows.where((F.col("half") == half) & (F.col("toxic") == 1))
+        each = toxic.select("key", F.explode_outer(F.array_distinct("words")).alias("word"))
+        known = F.broadcast(told.withColumn("hit", F.lit(1)))  # words of a bounded sample
+        many = cut(each.join(known, "word", "left").groupBy("key").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("many")), "many")
+        middle = many.agg(F.percentile("many", 0.5)).first()[0]
+        halves.append(many.select("key", (F.lit(1) + (F.col("many") > F.lit(middle if middle is not None else 0.0)).cast("int")).alias("severity")))
+    severe = halves[0].unionByName(halves[1])
+    return rows.join(severe, "key", "left").withColumn("grade", F.coalesce("severity", F.lit(0))).drop("half", "severity")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000) -> OrdinalModel:
     """A model of three severity grades from texts and 0/1 labels ``toxic``.
 
     Fitted on at most ``max_rows`` labelled rows (the documented bound of the sample: the first in the order of a hash
-    of doc_id), equal texts once. The features are the words that stand out in toxic texts, ``max_words`` at most: at
-    least ``least_z`` standard deviations more often there than by chance, with log-odds of ``least_odds`` or more, in
-    one toxic text of a hundred or more. Labels are binary, so grades are derived: 0 not
-    toxic, 1 toxic, 2 toxic with more of these words than the median toxic text. Rows without label or text don't
-    count; with no toxic or no clean rows the model has no words and rates everything 0.
+    of doc_id), equal texts once. Where labels of a doc_id or of equal texts differ, toxic holds. The features are the
+    words that tell (``telling_words``); grades come from ``graded``. Rows without label, doc_id or text don't count;
+    with no toxic or no clean rows, or no word that tells, the model has no words and rates everything 0.
     """
-    picked = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), "toxic").dropDuplicates(["_id"])
+    picked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    rows = rows.withColumn("_key", F.sha2("text", 256)).select("_key", F.col("toxic").cast("int").alias("toxic"), tokens(F.col("text")).alias("words"))
-    rows = cut(rows.dropDuplicates(["_key"]), "labelled")
-    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    if not bad or not good:
+    rows = rows.select(F.sha2("text", 256).alias("key"), "toxic", words_of(F.col("text")).alias("words"))
+    rows = cut(rows.groupBy("key").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words")), "labelled")
+    words = sorted(r["word"] for r in telling_words(rows).collect())
+    if not words:
         return OrdinalModel((), (), (50.0, 60.0))
-    seen = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    a, b, n = F.col("a"), F.col("b"), F.col("a") + F.col("b")
-    odds = F.log((a + 0.5) / (bad - a + 0.5)) - F.log((b + 0.5) / (good - b + 0.5))
-    share = bad / (bad + good)
-    z = (a - n * share) / F.sqrt(n * share)
-    clear = (z >= least_z) & (odds >= least_odds) & (a >= max(3, bad // 100))
-    top = seen.withColumn("z", z).where(clear)
-    words = sorted(r["word"] for r in top.orderBy(F.col("z").desc(), "word").limit(max_words).collect())
     known = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    found = rows.select("toxic", F.array_intersect("words", known).alias("hits")).groupBy("toxic", "hits").count().collect()
+    found = graded(rows).select("grade", F.array_sort(F.array_intersect("words", known)).alias("hits")).groupBy("grade", "hits").count().collect()
     place = {w: i for i, w in enumerate(words)}
-    sets, toxic, times = zip(*[(np.array([place[w] for w in r["hits"]], np.int64), r["toxic"], r["count"]) for r in sorted(found, key=lambda r: (r["toxic"], r["hits"]))], strict=True)
-    sizes, toxic, times = np.array([len(s) for s in sets]), np.array(toxic), np.array(times)
-    middle = np.median(np.repeat(sizes[toxic == 1], times[toxic == 1]))
-    grades = np.where(toxic == 0, 0, np.where(sizes > middle, 2, 1))
-    spread = np.repeat(np.arange(len(sets)), times)
-    weights, thresholds = fit_ordinal([sets[i] for i in spread], grades[spread], len(words), 3)
+    ordered = sorted(found, key=lambda r: (r["grade"], r["hits"]))
+    sets = [np.array([place[w] for w in r["hits"]], np.int64) for r in ordered]
+    spread = np.repeat(np.arange(len(sets)), [r["count"] for r in ordered])
+    grades = np.array([r["grade"] for r in ordered])[spread]
+    weights, thresholds = fit_ordinal([sets[i] for i in spread], grades, len(words), 3)
     return OrdinalModel(tuple(words), tuple(weights.tolist()), tuple(thresholds.tolist()))
 
 
 def rate(docs: DataFrame, model: OrdinalModel, toxic_from: float = 0.5) -> DataFrame:
     """``doc_id, expected_severity, severity, toxic`` of each row: the mean and the likeliest grade, and whether the
-    mean reaches ``toxic_from``. Whole texts, one pass without a shuffle. Null text is empty; a null doc_id stays null;
+    mean reaches ``toxic_from``. Whole texts of any length, one pass without a shuffle. Null text is empty; a null doc_id stays null;
     rows that repeat are rated alike; an empty table gives no rows."""
     small_batches(docs.sparkSession)
     weight = {w.encode(): x for w, x in zip(model.words, model.weights, strict=True)}
