@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions.numeric import clip, col, number
 
-#: fixed values: names that are identifiers rather than features
-ID_LIKE = r"(?i)(^|[_\s-])(id|uuid|guid|key|index|idx|hash|code|url|link)([_\s-]|$)|^unnamed"
+#: fixed values: whole names that are identifiers rather than features, in any case
+ID_LIKE = ("id", "idx", "index", "row_id", "rowid", "row_num", "rownum", "seq", "key", "pk", "uuid", "guid")
 #: fixed values: names of labels that say nothing about the concept
-GENERIC_LABELS = ("label", "target", "class", "y", "outcome", "output", "result")
+GENERIC_LABELS = ("label", "class", "target", "y", "binaryclass", "labels", "classes", "targets")
 #: fixed values: answers that stand for yes
-AFFIRMATIVE = ("yes", "y", "true", "t", "1", "positive", "pos", "high", "good", "f", "fulfilled")
+AFFIRMATIVE = ("yes", "y", "true", "t", "1", "positive", "pos", "present", "found")
 
 
 def is_feature_name(c: Column | str, longest: int = 60, most_words: int = 5) -> Column:
     """A short name of few words, without a question mark or full stop at the end, and not an identifier."""
     name = F.trim(col(c))
     words = F.size(F.split(name, r"\s+"))
-    return (F.length(name) > 0) & (F.length(name) <= longest) & (words <= most_words) & ~F.contains(name, F.lit("?")) & ~F.endswith(name, F.lit(".")) & ~name.rlike(ID_LIKE)
+    return (F.length(name) > 0) & (F.length(name) <= longest) & (words <= most_words) & ~F.contains(name, F.lit("?")) & ~F.endswith(name, F.lit(".")) & ~F.lower(name).isin(*ID_LIKE)
 
 
 def is_cryptic_name(c: Column | str) -> Column:

@@ -50,3 +50,20 @@ def centroids(df: DataFrame, by: list[str], vector: str = "embedding", name: str
     means = each.groupBy(*by, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"), F.count(F.lit(1)).alias("_n"))
     ordered = F.array_sort(F.collect_list(F.struct("_i", "_m")))
     return means.groupBy(*by).agg(F.transform(ordered, lambda x: x["_m"]).alias(name), F.max("_n").alias("rows"))
+
+
+def blended_with_neighbours(vectors: DataFrame, k: int = 3, alpha: float = 0.2) -> DataFrame:
+    """``table_id, name, vector``: each column's vector drawn to the mean of its table's ``k`` nearest others, of length 1.
+
+    (1 - alpha) own + alpha mean, so that a name takes on what its table is about. Tables are compared with themselves
+    only, some hundred columns each; a column without others stays as it is. Ties go to the first name.
+    """
+    own = vectors.select("table_id", "name", F.col("vector").cast("array<double>").alias("_v"))
+    other = vectors.select("table_id", F.col("name").alias("_n"), F.col("vector").cast("array<double>").alias("_w"))
+    met = own.join(other, "table_id").where("name <> _n").withColumn("_s", F.round(dot(unit("_v"), unit("_w")), 9))
+    near = met.groupBy("table_id", "name").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("s"), F.col("_n").alias("n"), F.col("_w").alias("w")))), 1, k).alias("_near"))
+    both = own.join(near, ["table_id", "name"], "left")
+    width = F.size("_v")
+    mean = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.aggregate(F.col("_near"), F.lit(0.0), lambda a, x: a + x["w"][i]) / F.size("_near"))
+    mixed = F.zip_with("_v", mean, lambda a, b: (1 - alpha) * a + alpha * b)
+    return both.select("table_id", "name", F.when(F.col("_near").isNull(), F.col("_v")).otherwise(unit(mixed)).alias("vector"))

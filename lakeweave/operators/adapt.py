@@ -117,13 +117,17 @@ def level0(sources: DataFrame, target: DataFrame, features: Sequence[str], best:
     return result(fit(sources.where(F.col("table_id") == best).drop("weight"), features, booster)(target), "level0")
 
 
-def label_shift(p: DataFrame, prior: float, most: float = 5.0) -> DataFrame:
-    """``label, ratio``: what a class of the source is to be weighed by, so that rates meet the target's, renormalised."""
-    mean = p.agg(clip(F.avg("p1"), 1e-6, 1 - 1e-6).alias("_q"))
-    raw = F.array(F.struct(F.lit(0).alias("label"), ((1 - F.col("_q")) / (1 - prior)).alias("r"), F.lit(1 - prior).alias("s")), F.struct(F.lit(1).alias("label"), (F.col("_q") / prior).alias("r"), F.lit(prior).alias("s")))
-    each = mean.select(F.explode(raw).alias("c")).select("c.label", clip("c.r", 1 / most, most).alias("r"), "c.s")
-    total = F.sum(F.col("r") * F.col("s")).over(Window.partitionBy())
-    return each.select("label", (F.col("r") / total).alias("ratio"))
+def label_shift_weights(sources: DataFrame, p: DataFrame, most: float = 5.0, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """``sources`` with ``weight`` shifted so that the rates of the classes meet those that ``p1`` expects, mean 1.
+
+    Both rates, the sources' share of 1 and the mean of ``p1``, are held in [low, high]; a class weighs the ratio of its
+    rates, at most ``most`` and at least 1 / ``most``.
+    """
+    have = sources.agg(clip(F.avg("label"), low, high).alias("_s")).join(p.agg(clip(F.avg("p1"), low, high).alias("_t")))  # one row each
+    ratio = F.when(F.col("label") == 1, F.col("_t") / F.col("_s")).otherwise((1 - F.col("_t")) / (1 - F.col("_s")))
+    shifted = sources.join(F.broadcast(have)).withColumn("weight", F.col("weight") * clip(ratio, 1 / most, most)).drop("_s", "_t")
+    mean = shifted.agg(F.avg("weight").alias("_mean"))
+    return shifted.join(F.broadcast(mean)).withColumn("weight", F.try_divide(F.col("weight"), F.col("_mean"))).drop("_mean")
 
 
 def self_trained(sources: DataFrame, target: DataFrame, features: Sequence[str], booster: Booster, rounds: Sequence[float] = (0.10, 0.20, 0.35, 0.50, 0.70), least_rows: int = 100, shift: bool = False, pseudo_weight: float = 0.5, patience: float = 0.01) -> DataFrame:
@@ -140,7 +144,6 @@ def self_trained(sources: DataFrame, target: DataFrame, features: Sequence[str],
     if n < least_rows:
         return result(model(target), level)
     train = cut(confident_weights(model(train)).drop("p1"))
-    rate = train.agg(F.avg("label")).first()[0]
     seen = cut(model(target).select("row_id", "p1"))
     score = auc(model(tried), "label", "p1").first()[0] or 0.5
     for share in rounds:
@@ -148,9 +151,7 @@ def self_trained(sources: DataFrame, target: DataFrame, features: Sequence[str],
         sure = sure.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(F.abs(F.col("p1") - 0.5).desc(), "row_id")))
         many = max(5, int(n * share / 2))
         pseudo = target.join(sure.where(F.col("_n") <= many).select("row_id", "label"), "row_id").withColumns({"weight": F.lit(pseudo_weight), "table_id": F.lit("target")})
-        weighed = train
-        if shift and 0 < rate < 1:
-            weighed = train.join(F.broadcast(label_shift(seen, rate)), "label").withColumn("weight", F.col("weight") * F.col("ratio")).drop("ratio")
+        weighed = label_shift_weights(train, seen).select(*train.columns) if shift else train
         model = fit(cut(weighed.unionByName(pseudo.select(*weighed.columns))), features, booster)
         now = auc(model(tried), "label", "p1").first()[0] or 0.5
         if now < score - patience:
@@ -176,10 +177,10 @@ def source_ensemble(sources: DataFrame, target: DataFrame, features: Sequence[st
 
     if len(scores) < least:
         return None
-    out = None
-    for name, score in sorted(scores.items()):
-        p = fit(sources.where(F.col("table_id") == name).drop("weight"), features, booster)(target).select("row_id", "p1").withColumn("w", F.lit(float(score)))
-        out = p if out is None else out.unionByName(p)
+    held = sources.where(F.col("table_id").isin(*scores))
+    out = each_source(held, lambda name, own: fit(own.drop("weight"), features, booster)(target).select("row_id", "p1", F.lit(float(scores[name])).alias("w")))
+    if out is None:
+        return None
     return result(weighted_median(out, ["row_id"], "p1", "w").withColumnRenamed("weighted_median", "p1"), "source_ensemble")
 
 
@@ -200,16 +201,31 @@ def oracle(labelled: DataFrame, test: DataFrame, features: Sequence[str], booste
     return result(fit(labelled.dropna(subset=["label"]).drop("weight"), features, booster)(test), "oracle")
 
 
-def self_auc(sources: DataFrame, features: Sequence[str], booster: Booster = Booster(trees=50, depth=3)) -> DataFrame:
-    """``table_id, self_auc``: how well each source's own features tell its labels, in sample."""
+def each_source(sources: DataFrame, judge: Callable[[str, DataFrame], DataFrame], at_once: int = 4) -> DataFrame | None:
+    """The rows of ``judge(name, its rows)`` of all sources; ``at_once`` of them are worked on at a time.
+
+    Each result is written before it joins the others, so the plan holds reads and no models. None without sources.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    names = [r[0] for r in sources.select("table_id").distinct().orderBy("table_id").collect()]  # a row per source
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(lambda name: cut(judge(name, sources.where(F.col("table_id") == name))), names))
     out = None
-    for (name,) in sources.select("table_id").distinct().orderBy("table_id").collect():  # a row per source
-        own = sources.where(F.col("table_id") == name)
-        one = auc(fit(own.drop("weight"), features, booster)(own), "label", "p1").select(F.lit(name).alias("table_id"), F.col("auc").alias("self_auc"))
+    for one in done:
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def self_auc(sources: DataFrame, features: Sequence[str], booster: Booster = Booster(trees=50, depth=3)) -> DataFrame:
+    """``table_id, self_auc``: how well each source's own features tell its labels, in sample."""
+
+    def judge(name: str, own: DataFrame) -> DataFrame:
+        return auc(fit(own.drop("weight"), features, booster)(own), "label", "p1").select(F.lit(name).alias("table_id"), F.col("auc").alias("self_auc"))
+
+    return each_source(sources, judge)
+
+
 def calibrated(p: DataFrame, labelled: DataFrame, least: int = 5) -> DataFrame:
     """Probabilities made monotone in the labels of some rows (``p1, label``); unchanged with too few or one class."""
     stats = labelled.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k")).first()
@@ -219,14 +235,35 @@ def calibrated(p: DataFrame, labelled: DataFrame, least: int = 5) -> DataFrame:
     return model.transform(p).withColumn("p1", F.col("_p")).drop("_p")
 
 
-def validated_sources(sources: DataFrame, validation: DataFrame, features: Sequence[str], booster: Booster, least: float = 0.5) -> DataFrame:
-    """``table_id, auc`` of each source's model on labelled target rows, those above ``least``."""
-    out = None
-    for (name,) in sources.select("table_id").distinct().orderBy("table_id").collect():
-        p = fit(sources.where(F.col("table_id") == name).drop("weight"), features, booster)(validation)
-        one = auc(p, "label", "p1").select(F.lit(name).alias("table_id"), "auc")
-        out = one if out is None else out.unionByName(one)
-    return out.where(F.col("auc") > least)
+def validated_sources(sources: DataFrame, validation: DataFrame, features: Sequence[str], booster: Booster, scores: dict[str, float] | None = None, least: float = 0.52, replicas: int = 20, most_spread: float = 0.15) -> DataFrame:
+    """``table_id, auc, score`` of the sources whose model tells the labels of some target rows; score is auc x sqrt(discovery score).
+
+    With fewer than 10 such rows none is validated; with fewer than 20, 0.60 is needed; with fewer than 30, the AUC is the
+    median over ``replicas`` resamples, and a source whose AUCs spread by more than ``most_spread`` is left out.
+    """
+    from lakeweave.operators.sampling import bootstrap
+
+    n = validation.count()
+    empty = sources.sparkSession.createDataFrame([], f"table_id {sources.schema['table_id'].dataType.simpleString()}, auc double, score double")
+    if n < 10:
+        return empty
+
+    def judge(name: str, own: DataFrame) -> DataFrame:
+        p = fit(own.drop("weight"), features, booster)(validation).select("row_id", "label", "p1")
+        if n >= 30:
+            one = auc(p, "label", "p1").withColumn("spread", F.lit(0.0))
+        else:
+            times = bootstrap(p, "row_id", replicas).withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("times"))))
+            one = auc(times, "label", "p1", ["replica"]).agg(F.percentile("auc", 0.5).alias("auc"), F.coalesce(F.stddev_pop("auc"), F.lit(1.0)).alias("spread"))
+        return one.select(F.lit(name).alias("table_id"), "auc", "spread")
+
+    judged = each_source(sources, judge)
+    if judged is None:
+        return empty
+    known = F.create_map(*[F.lit(x) for kv in (scores or {}).items() for x in kv]) if scores else None
+    found = F.lit(1.0) if known is None else F.greatest(F.coalesce(known[F.col("table_id")], F.lit(1e-3)), F.lit(1e-6))
+    needed = max(least, 0.60) if n < 20 else least
+    return judged.where((F.col("auc") >= needed) & (F.col("spread") <= most_spread)).select("table_id", "auc", F.round(F.col("auc") * F.sqrt(found), 6).alias("score"))
 
 
 def pooled_with_validation(sources: DataFrame, validation: DataFrame, target: DataFrame, features: Sequence[str], booster: Booster, boost: float = 3.0) -> DataFrame:
@@ -269,10 +306,23 @@ def stacked(predictions: DataFrame, labelled: DataFrame, target: DataFrame, feat
     return result(fit(labelled.join(wide, "row_id").drop("weight"), used, booster)(target.join(wide, "row_id")), "stacking")
 
 
-def use_lake(validated: DataFrame, least_sources: int = 2, least_gain: float = 0.08) -> bool:
-    """Whether validated sources are good enough to be used: enough of them, and above chance on the mean."""
-    row = validated.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("auc") - 0.5).alias("g")).first()
-    return row["n"] >= least_sources and row["g"] > least_gain
+def use_lake(validated: DataFrame, least_sources: int = 2, least_score: float = 0.08) -> bool:
+    """Whether validated sources are good enough to be used: enough of them, with a mean score above ``least_score``."""
+    row = validated.agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("s")).first()
+    return row["n"] >= least_sources and row["s"] > least_score
+
+
+def routed(sources: DataFrame, validation: DataFrame, target: DataFrame, features: Sequence[str], booster: Booster, scores: dict[str, float] | None = None) -> tuple[str, DataFrame]:
+    """(reason, result): the lake's model where validated sources help, else one of the labelled target rows alone.
+
+    With labels of one class nothing can be judged, and the lake's model is taken (``insufficient_classes``).
+    """
+    classes = validation.select("label").distinct().count()
+    good = cut(validated_sources(sources, validation, features, booster, scores))
+    if classes < 2 or use_lake(good):
+        some = sources.join(F.broadcast(good.select("table_id")), "table_id", "left_semi") if classes >= 2 else sources
+        return ("lake_helps" if classes >= 2 else "insufficient_classes"), pooled_with_validation(some, validation, target, features, booster).withColumn("level", F.lit("routed"))
+    return "target_only", result(fit(validation.drop("weight"), features, booster)(target), "routed")
 
 
 def sampled(df: DataFrame, features: Sequence[str], most: int, extra: Sequence[str] = ()) -> pd.DataFrame:

@@ -36,15 +36,17 @@ def affirmative_binarize(value: Column | str, words: tuple[str, ...] = AFFIRMATI
 
 
 def categorical_binarize(similarities: DataFrame, gap: float = 0.15, least: float = 0.25) -> DataFrame:
-    """``column, value, label, method`` from ``column, value, similarity`` to the concept.
+    """``column, value, label, method`` from ``column, value, similarity`` to the concept (and ``direction``, if there is one).
 
     If a column's best similarity reaches ``least``, values within ``gap`` of it are 1; otherwise values that mean yes.
-    Columns with fewer than 2 or more than 15 values, or of a single class, are dropped.
+    NEGATIVE columns mirror that. Columns with fewer than 2 or more than 15 values, or of a single class, are dropped.
     """
     best = similarities.groupBy("column").agg(F.max("similarity").alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n between 2 and 15")
     both = similarities.join(best, "column")
     near = F.col("_best") >= least
     label = F.when(near, (F.col("similarity") >= F.col("_best") - gap).cast("int")).otherwise(affirmative_binarize("value"))
-    both = both.withColumn("label", label).withColumn("method", F.when(near, "categorical_semantic").otherwise("categorical_affirmative"))
+    both = both.withColumn("_up", label).withColumn("method", F.when(near, "categorical_semantic").otherwise("categorical_affirmative"))
+    mirrored = F.upper(F.trim(F.coalesce("direction", F.lit("")))) == "NEGATIVE" if "direction" in similarities.columns else F.lit(False)
+    both = both.withColumn("label", F.when(mirrored, 1 - F.col("_up")).otherwise(F.col("_up")))
     classes = both.groupBy("column").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("column")
     return both.join(classes, "column", "left_semi").select("column", "value", "label", "method")

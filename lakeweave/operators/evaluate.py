@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: fixed values: the order in which levels are reported; others follow
-LEVELS = ("baseline_a", "baseline_b", "baseline_c", "level0", "level2", "level2_lsc", "level5", "level55", "level6", "ensemble", "source_ensemble", "oracle")
+LEVELS = ("baseline_a", "baseline_b", "baseline_c", "level0", "level2", "level2_lsc", "level5", "level55", "level6", "level_ot", "level_qbc", "ensemble", "source_ensemble", "vla", "stacking", "routed", "oracle")
 
 
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:

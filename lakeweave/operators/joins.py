@@ -93,6 +93,12 @@ def name_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, lookup_key("left_name") == lookup_key("right_name"))
 
 
+def common_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``name``: the names that both sides have, compared without case and outer space, as the left side writes them."""
+    keys = right.select(lookup_key("name").alias("_k")).distinct()
+    return left.select("name", lookup_key("name").alias("_k")).join(keys, "_k", "left_semi").select("name").distinct()
+
+
 def name_density(source: DataFrame, target: DataFrame) -> DataFrame:
     """``table_id, density``: the share of target names that contain, or are part of, one of the table's names.
 

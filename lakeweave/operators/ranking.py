@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.functions.vectors import dot, unit
 from lakeweave.functions.text import lookup_key
 
 
@@ -148,3 +149,25 @@ def greedy_clusters(names: list[str], vectors: np.ndarray, least: float = 0.72)
             heads.append(i)
             out.append([name])
     return out
+
+
+def semantic_gate(proxies: DataFrame, concepts: DataFrame, least: float = 0.40) -> DataFrame:
+    """``table_id, similarity`` of the sources whose proxy's name is near one of the concepts (``vector`` each).
+
+    A source without a proxy vector stays, with a null similarity. Concepts are one target's list of names.
+    """
+    goal = concepts.select(unit("vector").alias("_c"))
+    met = proxies.select("table_id", unit("vector").alias("_v")).join(F.broadcast(goal), how="left")
+    best = met.groupBy("table_id").agg(F.round(F.max(dot("_v", "_c")), 6).alias("similarity"))
+    return best.where(F.col("similarity").isNull() | (F.col("similarity") >= least))
+
+
+def self_auc_gate(scores: DataFrame, least: float = 0.60) -> DataFrame:
+    """Sources whose own features tell their labels well enough; one that couldn't be judged stays."""
+    return scores.where(F.col("self_auc").isNull() | (F.col("self_auc") >= least))
+
+
+def weighted_mean(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
+    """``by, weighted_mean`` over rows with a value; null where the weights add up to nothing."""
+    w = F.when(F.col(value).isNotNull(), F.col(weight))
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias("weighted_mean"))

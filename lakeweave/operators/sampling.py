@@ -12,6 +12,11 @@ def seeded(key: Column | str, seed: int = 42) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
 
 
+def uniform(key: Column | str, seed: int = 42) -> Column:
+    """A number in [0, 1) that depends on the key and the seed alone."""
+    return F.conv(F.substring(seeded(key, seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, the first in seeded order."""
     return df.orderBy(seeded(key, seed), key).limit(n)
@@ -33,13 +38,13 @@ def stratified_sample(df: DataFrame, label: str, key: str, share: float, seed: i
 
 def split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Two parts by a hash of the key: no sort, and each row's side never depends on the others."""
-    first = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+    first = uniform(F.col(key), seed) < share
     return df.where(first), df.where(~first)
 
 
 def bootstrap(df: DataFrame, key: str, replicas: int = 20, seed: int = 42) -> DataFrame:
     """Each row with ``replica`` and ``times``: how often it is in each resample (Poisson with mean 1, by hash)."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("replica"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    u = uniform(F.concat_ws("/", F.col(key).cast("string"), F.col("replica").cast("string")), seed)
     steps = F.lit(0)
     p = total = 0.36787944117144233
     for k in range(1, 8):

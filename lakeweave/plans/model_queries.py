@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.functions.numeric import entropy
-from lakeweave.operators import adapt, align, joins, matching, neural, normalize
+from lakeweave.operators import adapt, align, joins, matching, neural
 from lakeweave.plans.registry import Tables, query
 from lakeweave.plans.vector_queries import WIDTH
 from lakeweave.sources import lake
@@ -45,11 +45,12 @@ def _scored(t: Tables) -> DataFrame:
 _SCORED = "d AS (SELECT doc_id AS row_id, source, quality AS label, round(n_chars / (n_chars + 1500.0::DOUBLE), 4) AS p1 FROM documents JOIN labels USING (doc_id))"
 
 
-@query(f"""WITH {_SCORED}, q AS (SELECT least(greatest(avg(p1), 1e-6), 1 - 1e-6) AS q, 0.6 AS prior FROM d),
- r AS (SELECT 0 AS label, least(greatest((1 - q) / (1 - prior), 0.2), 5.0) AS r, 1 - prior AS s FROM q UNION ALL SELECT 1, least(greatest(q / prior, 0.2), 5.0), prior FROM q)
-SELECT label, round(r / sum(r * s) OVER (), 6) AS ratio FROM r""")
+@query(f"""WITH {_SCORED}, s AS (SELECT least(greatest(avg(p1), 0.05), 0.95) AS q, least(greatest(avg(label), 0.05), 0.95) AS prior FROM d),
+ w AS (SELECT row_id, (1 + row_id % 3) * CASE WHEN label = 1 THEN least(greatest(q / prior, 0.2), 5.0) ELSE least(greatest((1 - q) / (1 - prior), 0.2), 5.0) END AS w FROM d, s)
+SELECT row_id, round(w / avg(w) OVER (), 6) AS weight FROM w""")
 def label_shift_weights(t: Tables) -> DataFrame:
-    return adapt.label_shift(_scored(t), 0.6).select("label", F.round("ratio", 6).alias("ratio"))
+    rows = _scored(t).withColumn("weight", (1 + F.col("row_id") % 3).cast("double"))
+    return adapt.label_shift_weights(rows, rows).select("row_id", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""WITH {_SCORED}, o AS (SELECT *, CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END AS own FROM d)
@@ -95,11 +96,6 @@ def table_fingerprint_dedup(t: Tables) -> DataFrame:
     return joins.first_of_equal(joins.content_fingerprints(rows, ["v"]))
 
 
-@query(None)
-def quantile_transform(t: Tables) -> DataFrame:
-    return normalize.quantile_transformed(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"]).withColumn("c_acctbal", F.round("c_acctbal", 6))
-
-
 _NESTED = [("n1", [["a", "a", "", "text"], ["1", "2", "3", "x"], ["4", "5%", "3", "y"], ["1,000", "7", "3", "z"]]), ("n2", [["k", "v"], ["1", "n/a"], ["2", "5"], ["3", "6"]])]
 
 
@@ -135,11 +131,11 @@ def align_projection(t: Tables) -> DataFrame:
     return align.align_tables(mini_lake(t), matches, ["nationkey", "acctbal"]).drop("table_id")
 
 
-@query("""WITH p(table_id, schema_sim, dist_sim, label_sim, label_name, positive_rate) AS (VALUES ('a', 0.9, 0.5, 0.8, 'income', 0.5), ('b', 0.7, 0.9, 0.9, ' Label ', 0.2), ('c', 0.2, 0.1, 0.0, 'x', 0.9)),
- s AS (SELECT table_id, round((0.6 * (0.7 * schema_sim + 0.3 * dist_sim) + 0.4 * CASE WHEN lower(trim(label_name)) IN ('label','target','class','y','outcome','output','result') THEN 0 ELSE label_sim END) * greatest(0, 1 - 0.15 * abs(positive_rate - 0.4)), 6)::DOUBLE AS discovery_score FROM p)
+@query("""WITH p(table_id, schema_sim, dist_sim, label_sim, label_name, positive_rate) AS (VALUES ('a', 0.9, 0.5, 0.8, 'income', 0.5), ('b', 0.7, 0.9, 0.9, ' Label ', 0.2), ('c', 0.2, 0.1, 0.0, 'x', 0.9), ('d', 0.9, 0.5, 0.8, 'BinaryClass', 0.5), ('e', 0.9, 0.5, 0.8, 'outcome', 0.5)),
+ s AS (SELECT table_id, round((0.6 * (0.7 * schema_sim + 0.3 * dist_sim) + 0.4 * CASE WHEN lower(trim(label_name)) IN ('label','class','target','y','binaryclass','labels','classes','targets') THEN 0 ELSE label_sim END) * greatest(0, 1 - 0.15 * abs(positive_rate - 0.4)), 6)::DOUBLE AS discovery_score FROM p)
 SELECT * FROM s WHERE discovery_score >= 0.3""")
 def discovery_score(t: Tables) -> DataFrame:
-    rows = [("a", 0.9, 0.5, 0.8, "income", 0.5), ("b", 0.7, 0.9, 0.9, " Label ", 0.2), ("c", 0.2, 0.1, 0.0, "x", 0.9)]
+    rows = [("a", 0.9, 0.5, 0.8, "income", 0.5), ("b", 0.7, 0.9, 0.9, " Label ", 0.2), ("c", 0.2, 0.1, 0.0, "x", 0.9), ("d", 0.9, 0.5, 0.8, "BinaryClass", 0.5), ("e", 0.9, 0.5, 0.8, "outcome", 0.5)]
     parts = t.spark.createDataFrame(rows, "table_id string, schema_sim double, dist_sim double, label_sim double, label_name string, positive_rate double")
     return align.discovery_scores(parts, 0.4, least=0.3)
 
@@ -182,12 +178,6 @@ def vla_pooled(t: Tables) -> DataFrame:
     return adapt.pooled_with_validation(sources, target.where("row_id % 2 = 0"), target.where("row_id % 2 = 1").drop("label"), features, _BOOSTER)
 
 
-@query(None)
-def isotonic_calibration(t: Tables) -> DataFrame:
-    rows = _scored(t)
-    return adapt.calibrated(rows.select("row_id", "p1"), rows.select("p1", "label")).select("row_id", F.round("p1", 6).alias("p1"))
-
-
 @query(None)
 def stacking(t: Tables) -> DataFrame:
     sources, target, features = adaptation_tables(t)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.operators import adapt, align, distance, evaluate, matching, neural, ranking, repurpose
+from lakeweave.operators.binarize import binarize
 from lakeweave.sources import lake
 
 
@@ -85,9 +86,11 @@ def aligned_sources(cells: DataFrame, found: dict[str, DataFrame], features: Seq
     good = align.with_fallbacks(found["matches"].join(top.select("table_id"), "table_id", "left_semi"), cells, len(features), e.least_columns, e.least_coverage, e.least_sim)
     matches = found["matches"].join(good.select("table_id"), "table_id", "left_semi").where(F.col("sim") >= e.least_sim)
     kept = found["lake"].where("kept").select("table_id", F.col("proxy_col").alias("col"), "threshold", "direction")
-    labels = cells.join(kept, ["table_id", "col"])
-    up = F.col("value") >= F.col("threshold")
-    labels = labels.select("table_id", "row_id", F.when(F.col("direction") == "NEGATIVE", ~up).otherwise(up).cast("int").alias("label"))
+    mine = cells.join(kept, ["table_id", "col"])
+    ends = mine.groupBy("table_id").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    # as they were judged in ``labelled_lake``
+    label = binarize("value", F.col("threshold"), F.col("_low"), F.col("_high"), F.col("direction"))
+    labels = mine.join(ends, "table_id").select("table_id", "row_id", label.alias("label"))
     rows = align.align_tables(cells, matches, features).join(labels, ["table_id", "row_id"])
     total = top.agg(F.sum("discovery_score").alias("_t"))
     weights = top.join(F.broadcast(total)).select("table_id", (F.col("discovery_score") / F.col("_t")).alias("weight"))

@@ -47,12 +47,12 @@ def null_constant_prune(t: Tables) -> DataFrame:
     return a.unionByName(profile.column_profile(t.orders, ["o_orderstatus", "o_orderpriority", "o_custkey"]))
 
 
-_HEADERS = ["age", "Unnamed: 0", "customer id", "income per year", "x", "7", "is this a question?", "ends with a stop.", "hours worked weekly", "one two three four five six", "url", "z" * 70, " padded ", "education_num"]
+_HEADERS = ["age", "Row_Num", "rownum", "PK", "seq", "occupation_code", "link count", "customer id", "income per year", "x", "7", "is this a question?", "ends with a stop.", "hours worked weekly", "one two three four five six", "url", "z" * 70, " padded ", "education_num"]
 
 
 @query("""WITH h(name) AS (VALUES """ + ", ".join(f"('{h}')" for h in _HEADERS) + r""")
 SELECT name, length(trim(name)) > 0 AND length(trim(name)) <= 60 AND len(regexp_split_to_array(trim(name), '\s+')) <= 5
- AND NOT contains(trim(name), '?') AND NOT ends_with(trim(name), '.') AND NOT regexp_matches(trim(name), '(?i)(^|[_\s-])(id|uuid|guid|key|index|idx|hash|code|url|link)([_\s-]|$)|^unnamed') AS is_feature,
+ AND NOT contains(trim(name), '?') AND NOT ends_with(trim(name), '.') AND NOT regexp_matches(trim(name), '^(?i:id|idx|index|row_id|rowid|row_num|rownum|seq|key|pk|uuid|guid)$') AS is_feature,
  length(trim(name)) <= 1 OR try_cast(name AS DOUBLE) IS NOT NULL AS is_cryptic FROM h""")
 def feature_name_predicate(t: Tables) -> DataFrame:
     names = t.spark.createDataFrame([(h,) for h in _HEADERS], "name string")
@@ -152,9 +152,15 @@ def directional_binarize(t: Tables) -> DataFrame:
     return both.select("c_custkey", binarize.binarize(*args, F.lit(" positive ")).alias("positive"), binarize.binarize(*args, F.lit("negative")).alias("negative"))
 
 
-@query("SELECT o_orderstatus, (lower(trim(o_orderstatus)) IN ('yes','y','true','t','1','positive','pos','high','good','f','fulfilled'))::INT AS label, count(*) AS n FROM orders GROUP BY ALL")
+_ANSWERS = "CASE o_orderstatus WHEN 'F' THEN ' Found' WHEN 'O' THEN 'f' WHEN 'P' THEN 'high' ELSE 'present' END"
+
+
+@query(f"""WITH a AS (SELECT {_ANSWERS} AS answer FROM orders UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT CASE WHEN l_linenumber = 1 THEN 'T' WHEN l_linenumber = 2 THEN 'Y ' WHEN l_linenumber = 3 THEN 'pos' ELSE l_linenumber::VARCHAR END FROM lineitem)
+SELECT answer, regexp_matches(answer, '^\\s*(?i:yes|y|true|t|1|positive|pos|present|found)\\s*$')::INT AS label, count(*) AS n FROM a GROUP BY ALL""")
 def affirmative_binarize(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderstatus", binarize.affirmative_binarize("o_orderstatus").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    lines = t.lineitem.select(F.expr("CASE WHEN l_linenumber = 1 THEN 'T' WHEN l_linenumber = 2 THEN 'Y ' WHEN l_linenumber = 3 THEN 'pos' ELSE string(l_linenumber) END").alias("answer"))
+    answers = t.orders.select(F.expr(_ANSWERS).alias("answer")).unionByName(t.orders.select(F.col("o_orderpriority").alias("answer"))).unionByName(lines)
+    return answers.groupBy("answer", binarize.affirmative_binarize("answer").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _QUALITY_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -194,9 +200,9 @@ def corr_structure_alignment(t: Tables) -> DataFrame:
     return distance.structure_alignment(*sides)
 
 
-@query("""SELECT o_orderkey, l_linenumber, greatest(least(floor((epoch(l_shipdate) - epoch(o_orderdate)) / 86400)::BIGINT, 365), 0) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1""")
+@query("""SELECT o_orderkey, l_linenumber, greatest(least(floor((epoch(l_shipdate) - epoch(o_orderdate)) / 86400)::BIGINT, 365), 0) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def day_diff_clip(t: Tables) -> DataFrame:
-    both = t.lineitem.where("l_linenumber = 1").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    both = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return both.select("o_orderkey", "l_linenumber", numeric.day_difference("l_shipdate", "o_orderdate").alias("days"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.functions.vectors import centroids, cosine, dot
-from lakeweave.operators import joins, ranking, transfer
+from lakeweave.functions.vectors import centroids, dot
+from lakeweave.operators import joins, transfer
 from lakeweave.plans.registry import Tables, query
 
 WIDTH = 64
@@ -46,24 +46,24 @@ def neighbour_context(t: Tables) -> DataFrame:
     return joins.neighbour_context(columns, F.col("_c"))
 
 
-@query(f"""WITH {_E}, {_C}, q AS (SELECT * FROM e WHERE vec_id % 2 = 0), r AS (SELECT label AS k, {_MEAN} AS m FROM e WHERE vec_id % 2 = 1 AND label < 2 GROUP BY 1),
+@query(f"""WITH {_E}, {_C}, q AS (SELECT * FROM e WHERE vec_id % 2 = 0), r AS (SELECT label AS k, {_MEAN} AS m FROM e WHERE vec_id % 2 = 1 GROUP BY 1),
  d AS (SELECT vec_id, sqrt(list_inner_product(list_transform(list_zip(v, m), lambda x: x[1] - x[2]), list_transform(list_zip(v, m), lambda x: x[1] - x[2]))) AS d FROM q, r),
- g AS (SELECT vec_id, min(d) AS a, max(d) AS b FROM d GROUP BY 1) SELECT round(avg((b - a) / b), 6) AS margin, count(*) AS n FROM g""")
+ g AS (SELECT vec_id, list_sort(list(d))[1] AS a, list_sort(list(d))[2] AS b FROM d GROUP BY 1) SELECT round(avg((b - a) / b), 6) AS margin, count(*) AS n FROM g""")
 def class_centroid_margin(t: Tables) -> DataFrame:
     v = _vectors(t)
-    return transfer.centroid_margin(v.where("id % 2 = 0"), v.where("id % 2 = 1 and label < 2"), "vector", WIDTH)
+    return transfer.centroid_margin(v.where("id % 2 = 0"), v.where("id % 2 = 1"), "vector", WIDTH)
 
 
 _MS = "m AS (SELECT " + _MEAN + " AS m, [" + ", ".join(f"stddev_pop(v[{i}])" for i in range(1, WIDTH + 1)) + "] AS s FROM e WHERE vec_id % 2 = 0)"
 
 
 @query(f"""WITH {_E}, {_MS}, z0 AS (SELECT vec_id, label, [CASE WHEN m.s[i] > 0.01 THEN (v[i] - m.m[i]) / m.s[i] ELSE 0.0 END FOR i IN range(1, {WIDTH + 1})] AS z FROM e, m),
- z AS (SELECT vec_id, label, [x / sqrt(list_inner_product(z, z)) FOR x IN z] AS v FROM z0), c AS (SELECT label AS k, {_MEAN} AS m FROM z WHERE vec_id % 2 = 1 AND label < 3 GROUP BY 1),
+ z AS (SELECT vec_id, label, [x / sqrt(list_inner_product(z, z)) FOR x IN z] AS v FROM z0), c AS (SELECT label AS k, {_MEAN} AS m FROM z WHERE vec_id % 2 = 1 GROUP BY 1),
  s AS (SELECT vec_id, {_COS.format("v", "m")} AS s FROM z, c WHERE vec_id % 2 = 0), g AS (SELECT vec_id, list_sort(list(s), 'DESC') AS l FROM s GROUP BY 1)
 SELECT round(avg(l[1] - l[2]), 6) AS margin FROM g""")
 def zscore_cosine_pas(t: Tables) -> DataFrame:
     v = _vectors(t)
-    return transfer.zscore_cosine_margin(v.where("id % 2 = 0").select("id", "vector"), v.where("id % 2 = 1 and label < 3").select("vector", "label"), WIDTH)
+    return transfer.zscore_cosine_margin(v.where("id % 2 = 0").select("id", "vector"), v.where("id % 2 = 1").select("vector", "label"), WIDTH)
 
 
 @query(f"""WITH {_E}, q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
@@ -91,13 +91,6 @@ def repurpose_gates(t: Tables) -> DataFrame:
     return concept_gates(columns, F.col("_c"), least_best=0.2, least_context=-0.5, least_share=0.25).select("table_id", F.col("best_pos").alias("best_id"), "best_similarity", "mean_similarity", "close_share", "passes")
 
 
-@query(None)
-def mmr_select(t: Tables) -> DataFrame:
-    v = _vectors(t).withColumn("score", F.round(cosine("vector", F.array(*[F.lit(1.0)] * WIDTH)) + 1, 6))
-    chosen = ranking.mmr(v, "id", "score", "vector", 20)
-    return t.spark.createDataFrame([(i + 1, k) for i, k in enumerate(chosen)], "rank long, id long")
-
-
 @query(None)
 def transfer_scores(t: Tables) -> DataFrame:
     v = _vectors(t).select("id", "label", *[F.col("vector")[i].cast("double").alias(f"x{i}") for i in range(WIDTH)])

@@ -113,5 +113,33 @@ def census(spark: SparkSession, path: str, most_rows: int = 10_000, income: str
     return rows.orderBy(F.xxhash64(*rows.columns)).limit(most_rows)
 
 
-for _name in ("churn", "credit", "diabetes", "heart", "turnover", "crime", "breastcancer"):
-    LOADERS[_name] = lambda spark, path: generic(_read(spark, path), "label" if "label" in _read(spark, path).columns else _read(spark, path).columns[-1])
+#: fixed values: the label's column, under any of its names, and the values that count as 1, of targets that need no more
+RECIPES = {
+    "breastcancer": (("class", "diagnosis", "target"), ("malignant", "m", "2", "1")),
+    "churn": (("churn", "class"), ("yes", "1", "true")),
+    "credit": (("class",), ("good", "1")),
+    "crime": (("violentcrimesperpop", "class"), ()),
+    "diabetes": (("class", "outcome"), ("tested_positive", "1", "pos")),
+    "heart": (("class", "target"), ("present", "1", "2")),
+    "turnover": (("left", "class"), ("left", "1", "true")),
+}
+
+
+def recipe(spark: SparkSession, path: str, names: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """A table whose label is in the first of ``names`` that it has (in any case; ``label`` before all).
+
+    With ``values``, these are 1; without, numbers at or above the median.
+    """
+    df = _read(spark, path)
+    there = {c.strip().lower(): c for c in df.columns}
+    found = next((there[n] for n in ("label", *names) if n in there), None)
+    if found is None:
+        raise ValueError(f"none of {('label', *names)} is a column of {path}")
+    if values:
+        return generic(df, found, values)
+    middle = df.agg(F.percentile(number(found), 0.5).alias("_m"))
+    return generic(df.join(F.broadcast(middle)).withColumn("_l", (number(found) >= F.col("_m")).cast("string")).drop(found, "_m"), "_l", ["true"])
+
+
+for _name, (_names, _values) in RECIPES.items():
+    LOADERS[_name] = lambda spark, path, names=_names, values=_values: recipe(spark, path, names, values)
