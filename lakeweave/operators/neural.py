@@ -151,9 +151,13 @@ class Net:
         return _sigmoid(self.hidden(self.standard(x))[1] @ self.p["w3"] + self.p["b3"] + self.shift)
 
 
-def adversarial(source: np.ndarray, label: np.ndarray, target: np.ndarray, weights: np.ndarray | None = None, conditional: bool = False, steps: int = 200, batch: int = 256, width: tuple[int, int] = (64, 32), rate: float = 3e-3, seed: int = 0) -> Net:
+def adversarial(source: np.ndarray, label: np.ndarray, target: np.ndarray, weights: np.ndarray | None = None, conditional: bool = False, steps: int = 200, batch: int = 256, width: tuple[int, int] = (64, 32), rate: float = 3e-3, seed: int = 0, robust: float = 0.7, volume: np.ndarray | None = None) -> Net:
     """A classifier whose features don't tell source from target.
 
+    Labels are noisy, so their loss is the generalised cross entropy (1 - p^q) / q of the label's probability p with
+    q = ``robust``; 0 is the plain cross entropy. ``volume``: more rows of the source's domain, without labels, that only
+    the domain head sees.
+
     The domain head learns to tell them apart and its gradient is reversed on its way into the features, with a weight
     that ramps up from 0 to 1. With ``conditional`` the head sees the products of features and class probabilities.
     Each domain is standardised by its own mean and deviation; the net predicts in the target's.
@@ -161,6 +165,7 @@ def adversarial(source: np.ndarray, label: np.ndarray, target: np.ndarray, weigh
     rng = np.random.default_rng(seed)
     stats = [(np.nanmean(x, 0), np.maximum(np.nanstd(x, 0), 1e-6)) for x in (source, target)]
     a, b = (np.nan_to_num((x - m) / s) for x, (m, s) in zip((source, target), stats, strict=True))
+    extra = np.nan_to_num((volume - stats[0][0]) / stats[0][1]) if volume is not None and len(volume) else None
     n, (k1, k2) = a.shape[1], width
     dims = {"w1": (n, k1), "w2": (k1, k2), "w3": (k2,), "wd1": (k2 * (2 if conditional else 1), k2), "wd2": (k2,)}
     p = {k: rng.normal(0, np.sqrt(2 / d[0]), d) for k, d in dims.items()} | {"b1": np.zeros(k1), "b2": np.zeros(k2), "b3": np.zeros(()), "bd1": np.zeros(k2), "bd2": np.zeros(())}
@@ -169,16 +174,18 @@ def adversarial(source: np.ndarray, label: np.ndarray, target: np.ndarray, weigh
     r = np.ones(len(a)) if weights is None else weights / weights.mean()
     for t in range(1, steps + 1):
         i, j = rng.integers(0, len(a), min(batch, len(a))), rng.integers(0, len(b), min(batch, len(b)))
-        x, y, w = np.vstack([a[i], b[j]]), label[i].astype(float), r[i] / len(i)
-        ns = len(i)
+        more = extra[rng.integers(0, len(extra), min(batch, len(extra)))] if extra is not None else a[:0]
+        x, y, w = np.vstack([a[i], more, b[j]]), label[i].astype(float), r[i] / len(i)
+        ns, of_source = len(i), len(i) + len(more)
         strength = 2 / (1 + np.exp(-10 * t / steps)) - 1
         h1, h2 = net.hidden(x)
         prob = _sigmoid(h2 @ p["w3"] + p["b3"])
         dz = np.zeros(len(x))
-        dz[:ns] = w * (prob[:ns] - y)
+        own = np.maximum(np.where(y > 0.5, prob[:ns], 1 - prob[:ns]), 1e-7)
+        dz[:ns] = w * own**robust * (prob[:ns] - y)
         both = np.hstack([h2 * prob[:, None], h2 * (1 - prob[:, None])]) if conditional else h2
         d1 = np.maximum(both @ p["wd1"] + p["bd1"], 0)
-        domain = np.r_[np.ones(ns), np.zeros(len(x) - ns)]
+        domain = np.r_[np.ones(of_source), np.zeros(len(x) - of_source)]
         dd = (_sigmoid(d1 @ p["wd2"] + p["bd2"]) - domain) / len(x)
         back = np.outer(dd, p["wd2"]) * (d1 > 0)
         into = back @ p["wd1"].T

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeweave.functions.vectors import dot, unit
 from lakeweave.operators import adapt, align, distance, evaluate, matching, neural, ranking, repurpose
 from lakeweave.operators.binarize import binarize
 from lakeweave.sources import lake
@@ -45,12 +46,13 @@ def distribution_scores(cells: DataFrame, target: DataFrame, features: Sequence[
     return shared.unionByName(matching.distribution_matches(ks, len(features)))
 
 
-def discover(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target: DataFrame | None, features: Sequence[str], e: Experiment, encoder: matching.NameEncoder | None = None, target_rate: float | None = None) -> dict[str, DataFrame]:
+def discover(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target: DataFrame | None, features: Sequence[str], e: Experiment, encoder: matching.NameEncoder | None = None, target_rate: float | None = None, directions: DataFrame | None = None, manual: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Steps 0 and 1: labelled sources and their discovery scores.
 
     Returns ``proxies``, ``lake`` (what became of each proxy), ``scores``, ``matches`` and ``vectors`` (of the proxies'
     names). Names come from the manifest, so only the proxies' cells and those of the tables that are left are read.
-    ``target_rate`` is the mean of the target's ``label`` if that is there and no rate is given. Without a target
+    ``directions`` (``col, direction``) tells which proxies speak against the label. ``manual`` ({table_id: proxy column})
+    takes the place of the scan. ``target_rate`` is the mean of the target's ``label`` if that is there and no rate is given. Without a target
     distributions count 0 and rates are left out.
     """
     encoder = encoder or matching.HashedNgramEncoder()
@@ -58,9 +60,17 @@ def discover(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target:
     names = adapt.cut(matching.encode_names(columns, encoder))
     concepts = matching.encode_names(spark.createDataFrame([(c,) for c in e.concepts], "name string"), encoder)
     goal = matching.encode_names(spark.createDataFrame([(c,) for c in features], "name string"), encoder)
-    proxies = adapt.cut(repurpose.scan(columns, names, concepts, goal, e.table, e.concept, e.context, e.rest, e.share, e.sibling))
-    none = spark.createDataFrame([], "col string, direction string")
-    labelled = adapt.cut(repurpose.labelled_lake(cells, proxies, none))
+    if manual is None:
+        proxies = adapt.cut(repurpose.scan(columns, names, concepts, goal, e.table, e.concept, e.context, e.rest, e.share, e.sibling))
+    else:
+        chosen = spark.createDataFrame([(k, v) for k, v in manual.items()], "table_id string, proxy_col string")
+        there = columns.join(chosen, "table_id").where("name = proxy_col")
+        near = F.max(dot(unit("vector"), unit("_c")))
+        sims = names.join(F.broadcast(concepts.select(F.col("vector").alias("_c")))).groupBy("name").agg(F.round(near, 6).alias("similarity"))
+        proxies = adapt.cut(there.join(sims, "name").select("table_id", F.col("pos").alias("proxy_pos"), "proxy_col", "similarity"))
+    if directions is None:
+        directions = spark.createDataFrame([], "col string, direction string")
+    labelled = adapt.cut(repurpose.labelled_lake(cells, proxies, directions))
     kept = labelled.where("kept").select("table_id", "proxy_col", "positive_rate", "quality", "threshold")
     sources = columns.join(kept.select("table_id", "proxy_col"), "table_id").where("name <> proxy_col").join(names, "name").withColumn("is_num", F.lit(True))
     matches = adapt.cut(matching.match_columns(sources.select("table_id", "name", "is_num", "vector"), goal.withColumn("is_num", F.lit(True))))
@@ -78,8 +88,11 @@ def discover(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target:
     return {"proxies": proxies, "lake": labelled, "scores": adapt.cut(scores.select("table_id", "discovery_score")), "matches": matches, "vectors": adapt.cut(vectors)}
 
 
-def aligned_sources(cells: DataFrame, found: dict[str, DataFrame], features: Sequence[str], e: Experiment) -> DataFrame:
-    """Step 2: ``table_id, row_id, label, weight`` and the target's columns of k good sources with unlike proxies."""
+def aligned_sources(cells: DataFrame, found: dict[str, DataFrame], features: Sequence[str], e: Experiment, flipped: Sequence[str] = ()) -> DataFrame:
+    """Step 2: ``table_id, row_id, label, weight`` and the target's columns of k good sources with unlike proxies.
+
+    Labels of the tables ``flipped`` are turned round.
+    """
     best = found["scores"].agg(F.max("discovery_score")).first()[0] or 1.0
     rated = found["scores"].join(found["vectors"], "table_id").withColumn("_s", F.col("discovery_score") / best)
     top = found["scores"].where(F.col("table_id").isin(ranking.mmr(rated, "table_id", "_s", "vector", e.k, e.trade)))
@@ -90,6 +103,7 @@ def aligned_sources(cells: DataFrame, found: dict[str, DataFrame], features: Seq
     ends = mine.groupBy("table_id").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
     # as they were judged in ``labelled_lake``
     label = binarize("value", F.col("threshold"), F.col("_low"), F.col("_high"), F.col("direction"))
+    label = F.when(F.col("table_id").isin(*flipped), 1 - label).otherwise(label) if flipped else label
     labels = mine.join(ends, "table_id").select("table_id", "row_id", label.alias("label"))
     rows = align.align_tables(cells, matches, features).join(labels, ["table_id", "row_id"])
     total = top.agg(F.sum("discovery_score").alias("_t"))
@@ -97,10 +111,18 @@ def aligned_sources(cells: DataFrame, found: dict[str, DataFrame], features: Seq
     return rows.join(F.broadcast(weights), "table_id")
 
 
-def run_levels(sources: DataFrame, target: DataFrame, features: Sequence[str], scores: dict[str, float], booster: adapt.Booster = adapt.Booster(), rounds: Sequence[float] | None = None) -> DataFrame:
+def volume_rows(cells: DataFrame, found: dict[str, DataFrame], used: DataFrame, features: Sequence[str], e: Experiment) -> DataFrame:
+    """Rows (without labels) of the ``k`` best sources that failed the alignment's gates, aligned without any gate: more of
+    the sources' domain for the nets that tell domains apart. ``used``: what ``aligned_sources`` gave."""
+    top = ranking.top_k(found["scores"], "discovery_score", e.k, "table_id").select("table_id")
+    rest = top.join(used.select("table_id").distinct(), "table_id", "left_anti")
+    return align.align_tables(cells, found["matches"].join(rest, "table_id", "left_semi"), features)
+
+
+def run_levels(sources: DataFrame, target: DataFrame, features: Sequence[str], scores: dict[str, float], booster: adapt.Booster = adapt.Booster(), rounds: Sequence[float] | None = None, volume: DataFrame | None = None) -> DataFrame:
     """Steps 3 and 4: ``level, accuracy, f1, auc`` and their deltas; ``target`` has a ``label`` for the evaluation only.
 
-    The threshold meets the sources' class rate, never the target's. ``rounds`` of self-training: the operator's, if None.
+    The threshold meets the sources' class rate, never the target's. ``rounds`` of self-training: the operator's, if None. ``volume``: see ``volume_rows``.
     """
     plain = target.drop("label")
     features = adapt.common_features(sources, plain, features)
@@ -108,12 +130,13 @@ def run_levels(sources: DataFrame, target: DataFrame, features: Sequence[str], s
     schedule = {} if rounds is None else {"rounds": rounds}
     level2 = adapt.cut(adapt.self_trained(sources, plain, features, booster, **schedule))
     x, y, w, z = adapt.matrices(sources, plain, features)
-    net = neural.adversarial(x, y, z, w)
+    more = None if volume is None else adapt.sampled(volume, features, len(x))[list(features)].to_numpy(float)
+    net = neural.adversarial(x, y, z, w, volume=more)
     level5 = adapt.with_net(net, plain, features, "level5")
     out = [
         adapt.baseline_a(plain), adapt.baseline_c(sources, plain, features, booster), adapt.level0(sources, plain, features, best, booster), level2,
         adapt.self_trained(sources, plain, features, booster, shift=True, **schedule), level5,
-        adapt.with_net(neural.adversarial(x, y, z, w, conditional=True), plain, features, "level55"),
+        adapt.with_net(neural.adversarial(x, y, z, w, conditional=True, volume=more), plain, features, "level55"),
         adapt.with_net(neural.test_time_adapted(net, z, float(y.mean())), plain, features, "level6"), adapt.ensemble(level5, level2),
     ]
     many = adapt.source_ensemble(sources, plain, features, scores, booster)
