@@ -89,10 +89,10 @@ class SetStore:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def full(self, ids: DataFrame, how: str = "inner") -> DataFrame:
+    def full(self, ids: DataFrame) -> DataFrame:
         """The non-empty sets of ``ids`` (its column ``id``), with the other columns of ``ids``."""
         sets = self.table().where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "tokens")
-        return sets.join(ids, "id", how)
+        return sets.join(ids, "id")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -179,14 +179,14 @@ def bucket_pairs(classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b")
 
 
-def common_tokens(store: SetStore, groups: DataFrame, tokens: int, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+def common_tokens(store: SetStore, named: DataFrame, tokens: int, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """Tokens (TOKEN_BITS each) that many groups have, in order, and the logarithms of their counts.
 
     One class speaks for each group. Counts are complete: each task sends its sorted tokens in compact form to the
     tasks of their ranges. The share that a token must exceed bounds the list (``COMMON_SHARE``).
     """
     bits, least = _ranges(tokens), max(COMMON_FROM, (tokens >> COMMON_SHARE) + 1)
-    speakers = store.full(groups.where("id <> component").select("id"), "left_anti").select("tokens")
+    speakers = store.full(named.where("id = c").select("id")).select("tokens")
 
     def gather(batches):
         held, n = [], 0
@@ -325,17 +325,19 @@ def _once(ca, cb, a, b) -> tuple[np.ndarray, ...]:
     return ca[first], cb[first], a[first], b[first]
 
 
-def qualifying_groups(store: SetStore, groups: DataFrame, tokens: int, t: Threshold) -> DataFrame:
+def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Threshold) -> DataFrame:
     """Pairs of groups that meet in a row of the matrix where they may have a link: ``ca, cb`` and a witness of each, ``a, b``.
 
+    ``named``: the classes' ``id`` and group ``c``; the copies of a class play no part.
+
     The matrix is stored in units of work of a bounded number of pairs: a unit is some rows, or a part of the entries
     of a token that very many groups have, so no token is one task's burden.
     """
     bits = _ranges(tokens // 4)
-    listed, logs = common_tokens(store, groups, tokens, t)
+    listed, logs = common_tokens(store, named, tokens, t)
     release(store.spark)
     ranks = (logs.astype(np.uint64) + np.uint64(1)) << np.uint64(56)
-    rows = store.full(groups, "left").select("id", F.coalesce("component", "id").alias("c"), "size", "tokens")
+    rows = store.full(named.select("id", "c")).select("id", "c", "size", "tokens")
 
     def first_parts(batches):
         held, n = [], 0
@@ -486,8 +488,8 @@ def _linked(store: SetStore, classes: DataFrame, twice: DataFrame, tokens: int,
     links = cut(compare_pairs(store, cut(bucket_pairs(classes), "pairs"), t).unionByName(twice), "links")
     groups = cut(components(links), "groups")
     release(store.spark)
-    near = qualifying_groups(store, groups, tokens, t)
     named = cut(classes.select("id", "n").join(groups, "id", "left").select("id", "n", F.coalesce("component", "id").alias("c")), "named")
+    near = qualifying_groups(store, named, tokens, t)
     sizes = named.groupBy("c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("many"))
     one, two = (sizes.select(*[F.col(c).alias(f"{c}_{k}") for c in sizes.columns]) for k in ("a", "b"))
     met = near.join(one, F.col("ca") == F.col("c_a")).join(two, F.col("cb") == F.col("c_b"))
