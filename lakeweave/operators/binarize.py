@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.functions.text import AFFIRMATIVE, lookup_key
+from lakeweave.operators.order import quantiles
 
 
 def binarize(value: Column | str, threshold: Column, low: Column, high: Column | None = None, direction: Column | None = None) -> Column:
@@ -25,8 +26,9 @@ def binarize(value: Column | str, threshold: Column, low: Column, high: Column |
 
 def median_binarize(df: DataFrame, value: str, by: list[str] = [], label: str = "label") -> DataFrame:  # noqa: B006
     """``label`` by the median (of each group); groups of a single class are dropped."""
-    stats = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("_m"), F.min(value).alias("_low"), F.max(value).alias("_high"))
-    both = df.join(F.broadcast(stats.where("_low < _high")), by) if by else df.join(F.broadcast(stats.where("_low < _high")))
+    middle = quantiles(df, by, [0.5], value).select(*by, F.col(value).alias("_m"))
+    ends = df.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high")).where("_low < _high")
+    both = df.join(middle.join(ends, by), by) if by else df.join(F.broadcast(middle)).join(F.broadcast(ends))
     return both.withColumn(label, binarize(value, F.col("_m"), F.col("_low"))).drop("_m", "_low", "_high")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions.numeric import correlation
+from lakeweave.operators import order
 from lakeweave.operators.profile import DECILES
 
 
@@ -29,20 +30,25 @@ def ks_matrix(left: DataFrame, right: DataFrame) -> DataFrame:
     return steps.withColumn("gap", gap).groupBy("left_column", "right_column").agg(F.round(F.max("gap"), 6).alias("ks"))
 
 
+def _with_span(values: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """``column, b, span``: the quantiles and the range of each column."""
+    spans = values.groupBy("column").agg((F.max("value") - F.min("value")).alias("span"))
+    return order.quantile_arrays(values, ["column"], levels, "b").join(spans, "column")
+
+
 def quantile_distance(left: DataFrame, right: DataFrame, levels: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """``left_column, right_column, distance``: mean gap of the quantiles over the range of the right side's; null if that is 0."""
     levels = [float(x) for x in levels]
-    a = left.groupBy(F.col("column").alias("left_column")).agg(F.percentile("value", levels).alias("a"))
-    b = right.groupBy(F.col("column").alias("right_column")).agg(F.percentile("value", levels).alias("b"), (F.max("value") - F.min("value")).alias("span"))
+    a = order.quantile_arrays(left, ["column"], levels, "a").withColumnRenamed("column", "left_column")
+    b = _with_span(right, levels).withColumnRenamed("column", "right_column")
     gaps = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / len(levels)
-    return a.join(F.broadcast(b)).select("left_column", "right_column", F.round(F.when(F.col("span") > 0, gaps / F.col("span")), 6).alias("distance"))
+    return a.crossJoin(b).select("left_column", "right_column", F.round(F.when(F.col("span") > 0, gaps / F.col("span")), 6).alias("distance"))
 
 
 def distribution_similarity(left: DataFrame, right: DataFrame, levels: Sequence[float] = DECILES) -> DataFrame:
     """``column, similarity`` for the columns of the same name: 1 - mean gap of the deciles over the right side's range, 0 at least."""
     levels = [float(x) for x in levels]
-    a = left.groupBy("column").agg(F.percentile("value", levels).alias("a"))
-    b = right.groupBy("column").agg(F.percentile("value", levels).alias("b"), (F.max("value") - F.min("value")).alias("span"))
+    a, b = order.quantile_arrays(left, ["column"], levels, "a"), _with_span(right, levels)
     gaps = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / len(levels)
     return a.join(b, "column").select("column", F.round(F.greatest(F.lit(0.0), 1 - gaps / (F.col("span") + 1e-9)), 6).alias("similarity"))
 
@@ -51,10 +57,9 @@ def table_similarity(left: DataFrame, right: DataFrame, levels: Sequence[float]
     """``table_id, dist_sim`` of tables (``table_id, column, value``) that share column names with the right side:
     1 - mean gap of the deciles over the right side's range, over the shared columns, 0 at least."""
     levels = [float(x) for x in levels]
-    a = left.groupBy("table_id", "column").agg(F.percentile("value", levels).alias("a"))
-    b = right.groupBy("column").agg(F.percentile("value", levels).alias("b"), (F.max("value") - F.min("value")).alias("span"))
+    a, b = order.quantile_arrays(left, ["table_id", "column"], levels, "a"), _with_span(right, levels)
     gaps = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / len(levels)
-    each = a.join(F.broadcast(b), "column").select("table_id", (gaps / (F.col("span") + 1e-9)).alias("_d"))
+    each = a.join(b, "column").select("table_id", (gaps / (F.col("span") + 1e-9)).alias("_d"))
     return each.groupBy("table_id").agg(F.round(F.greatest(F.lit(0.0), 1 - F.avg("_d")), 6).alias("dist_sim"))
 
 
@@ -68,11 +73,10 @@ def average_rank(value: Column | str, *by: str) -> Column:
 def ranked(values: DataFrame, by: Sequence[str]) -> DataFrame:
     """``by, value, n, rank``: every distinct value once, with the mean rank of its rows.
 
-    The window runs over counts of values, not rows, so a common value is one row of it.
+    Sums run over counts of values by ranges, so neither a common value nor a single column is one task's work.
     """
-    counts = values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("rank", F.sum("n").over(up) - (F.col("n") - 1) / 2.0)
+    counts = order.running(order.counted(values, by), by, "value", ["n"])
+    return counts.select(*by, "value", "n", (F.col("n_upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -99,7 +103,6 @@ def structure_alignment(left: DataFrame, right: DataFrame) -> DataFrame:
 def quantile_correlation(left: DataFrame, right: DataFrame, levels: Sequence[float] = DECILES) -> DataFrame:
     """``column, correlation`` of the inner deciles of columns that meet under one name."""
     levels = [float(x) for x in levels]
-    a = left.groupBy("column").agg(F.percentile("value", levels).alias("a"))
-    b = right.groupBy("column").agg(F.percentile("value", levels).alias("b"))
+    a, b = order.quantile_arrays(left, ["column"], levels, "a"), order.quantile_arrays(right, ["column"], levels, "b")
     each = a.join(b, "column").select("column", F.explode(F.arrays_zip("a", "b")).alias("q"))
     return each.groupBy("column").agg(F.round(correlation("q.a", "q.b"), 6).alias("correlation"))

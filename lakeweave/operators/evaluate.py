@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.operators import order
+
 #: fixed values: the order in which levels are reported; others follow
 LEVELS = ("baseline_a", "baseline_b", "baseline_c", "level0", "level2", "level2_lsc", "level5", "level55", "level6", "level_ot", "level_qbc", "ensemble", "source_ensemble", "vla", "stacking", "routed", "oracle")
 
@@ -14,12 +16,11 @@ LEVELS = ("baseline_a", "baseline_b", "baseline_c", "level0", "level2", "level2_
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """``by, auc``: the rank-sum AUC with ties at half; null with a single class.
 
-    Rows are counted per score first, so the window runs over distinct scores.
+    Rows are counted per score first, and sums run over ranges of scores, so a single group isn't one task's work.
     """
     pos, neg = (F.sum(F.when(F.col(label) == k, 1).otherwise(0)) for k in (1, 0))
     counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(pos.alias("_p"), neg.alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    won = counts.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2.0))
+    won = order.running(counts, by, "_s", ["_n"]).withColumn("_won", F.col("_p") * (F.col("_n_upto") - F.col("_n") / 2.0))
     return won.groupBy(*by).agg(F.round(F.try_divide(F.sum("_won"), F.sum("_p").cast("double") * F.sum("_n")), 6).alias("auc"))
 
 
@@ -37,9 +38,7 @@ def prior_threshold(df: DataFrame, score: str, prior: float, by: Sequence[str] =
     A row is positive from the threshold on. With one score for all rows every row is positive.
     """
     counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by)
-    above = F.sum("_n").over(w.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_n").over(w)
-    reached = counts.withColumn("_above", above).where(F.col("_above") > prior)
+    reached = order.running(counts, by, score, ["_n"], descending=True).where(F.col("_n_upto") / F.col("_n_all") > prior)
     return reached.groupBy(*by).agg(F.max(score).alias("threshold"))
 
 
@@ -59,8 +58,8 @@ def with_deltas(metrics: DataFrame, baseline: str, names: Sequence[str] = ("accu
     """Each metric less the baseline's, and ``place`` in the reporting order (unlisted levels last, none is lost)."""
     base = metrics.where(F.col(key) == baseline).select(*[F.col(m).alias(f"_b_{m}") for m in names])
     out = metrics.join(F.broadcast(base), how="left").withColumns({f"{m}_delta": F.round(F.col(m) - F.col(f"_b_{m}"), 6) for m in names})
-    order = F.array(*[F.lit(x) for x in LEVELS])
-    return out.drop(*[f"_b_{m}" for m in names]).withColumn("place", F.coalesce(F.nullif(F.array_position(order, F.col(key)), F.lit(0)), F.lit(len(LEVELS) + 1)))
+    places = F.array(*[F.lit(x) for x in LEVELS])
+    return out.drop(*[f"_b_{m}" for m in names]).withColumn("place", F.coalesce(F.nullif(F.array_position(places, F.col(key)), F.lit(0)), F.lit(len(LEVELS) + 1)))
 
 
 def pivot(df: DataFrame, rows: str, columns: str, values: Sequence, value: str, how: str = "first") -> DataFrame:

@@ -76,15 +76,23 @@ def key_join(target: DataFrame, target_key: str, sources: Sequence[tuple[DataFra
 def value_overlaps(values: DataFrame, least: float = 0.5, cardinality: tuple[int, int] = (2, 30)) -> DataFrame:
     """``a, b, jaccard``: columns that share values, from ``column, value``; keys of few distinct values only.
 
-    An inverted index: distinct normalised values meet by equality, so only columns that share something are paired.
+    Columns that share ``least`` of their values share one of the first n - ceil(least n) + 1 of them, rarest first, so
+    only columns that meet in those are compared. A value that very many columns have, as "1" or "yes", comes last and
+    pairs few; a column is an array of at most ``cardinality`` values, which is then compared as a whole.
     """
     distinct = values.where("value is not null").select("column", lookup_key(F.col("value").cast("string")).alias("v")).distinct()
     sizes = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(*cardinality))
     kept = distinct.join(sizes, "column")
-    one, two = (kept.select(F.col("column").alias(x), "v", F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    shared = one.join(two, "v").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n"))
-    jaccard = F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))
-    return shared.select("a", "b", F.round(jaccard, 6).alias("jaccard")).where(F.col("jaccard") >= least)
+    often = kept.groupBy("v").agg(F.count(F.lit(1)).alias("f"))
+    sets = kept.join(often, "v").groupBy("column", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias("vs"))
+    first = sets.select("column", "n", F.explode(F.slice("vs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("v"))
+    one, two = (first.select(F.col("column").alias(x), "v", F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
+    near = (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (F.col("a") < F.col("b"))
+    met = one.join(two, "v").where(near).select("a", "b").distinct()
+    both = met.join(sets.select(F.col("column").alias("a"), F.col("vs").alias("x")), "a").join(sets.select(F.col("column").alias("b"), F.col("vs").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    jaccard = F.round(shared / (F.size("x") + F.size("y") - shared), 6)
+    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def name_matches(left: DataFrame, right: DataFrame) -> DataFrame:

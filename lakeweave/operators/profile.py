@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions.numeric import known
 from lakeweave.functions.text import is_cryptic_name
+from lakeweave.operators import order
 
 DECILES = tuple(i / 10 for i in range(1, 10))
 
@@ -45,11 +46,7 @@ def top_values(df: DataFrame, column: str, k: int = 3) -> DataFrame:
 
 def quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float] = DECILES, by: Sequence[str] = ()) -> DataFrame:
     """``column, level, value`` (and the keys ``by``): exact quantiles with linear interpolation, nulls and NaN skipped."""
-    found = [F.percentile(known(c), [float(q) for q in levels]).alias(c) for c in columns]
-    wide = df.groupBy(*by).agg(*found)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("values")) for c in columns])
-    each = wide.select(*by, F.explode(pairs).alias("p")).select(*by, "p.column", F.posexplode("p.values").alias("i", "value"))
-    return each.withColumn("level", F.element_at(F.array(*[F.lit(float(q)) for q in levels]), F.col("i") + 1)).drop("i")
+    return order.quantiles(long_numbers(df, columns, by), [*by, "column"], levels).select(*by, "column", "value", "level")
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -65,7 +62,7 @@ def histogram(values: DataFrame, by: Sequence[str] = ("column",), most_bins: int
     """
     stats = values.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("rows"), F.countDistinct("value").alias("distinct"))
     stats = stats.withColumn("bins", F.least(F.lit(most_bins), F.col("distinct"))).withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
-    placed = values.join(F.broadcast(stats), list(by))  # one row per column
+    placed = values.join(stats, list(by))
     at = F.when(F.col("width") > 0, F.least(F.floor((F.col("value") - F.col("low")) / F.col("width")), F.col("bins") - 1)).otherwise(F.lit(0))
     return placed.withColumn("bin", at.cast("long")).groupBy(*by, "bin", "low", "width", "bins", "rows", "distinct").agg(F.count(F.lit(1)).alias("n"))
 
@@ -84,7 +81,8 @@ def otsu(values: DataFrame, by: Sequence[str] = ("column",), most_bins: int = 25
     gap = F.col("s0") / F.col("w0") - F.col("s1") / F.col("w1")
     b = b.withColumn("between", F.when((F.col("w0") > 0) & (F.col("w1") > 0), F.round(F.col("w0") * F.col("w1") * gap * gap, 3)))
     best = b.where("between is not null").groupBy(*by).agg(F.min_by("centre", F.struct(-F.col("between"), F.col("bin"))).alias("cut"))
-    medians = values.groupBy(*by).agg(F.percentile("value", 0.5).alias("median"), F.count(F.lit(1)).alias("rows"))
+    medians = order.quantiles(values, by, [0.5]).select(*by, F.col("value").alias("median"))
+    medians = medians.join(values.groupBy(*by).agg(F.count("value").alias("rows")), list(by))
     both = medians.join(best, list(by), "left")
     few = (F.col("rows") < least_rows) | F.col("cut").isNull()
     return both.select(*by, F.when(few, F.col("median")).otherwise(F.col("cut")).alias("threshold"), F.when(few, F.lit("median_fallback")).otherwise(F.lit("otsu")).alias("method"))
@@ -115,8 +113,8 @@ def proxy_quality(values: DataFrame, by: Sequence[str] = ("column",), positive_r
     Variety: distinct values over a fifth of the rows, 1 at most and for two values. Spread: std / |mean| over 0.5,
     1 at most. Balance: 1 - 2 max(0, |rate - 0.5| - 0.25), 0.1 at least, for the share of values above the median.
     """
-    medians = values.groupBy(*by).agg(F.percentile("value", 0.5).alias("_m"))
-    with_median = values.join(F.broadcast(medians), list(by))
+    medians = order.quantiles(values, by, [0.5]).select(*by, F.col("value").alias("_m"))
+    with_median = values.join(medians, list(by))
     rate = positive_rate if positive_rate is not None else F.avg((F.col("value") > F.col("_m")).cast("double"))
     stats = with_median.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("d"), F.stddev_samp("value").alias("std"), F.avg("value").alias("mean"), rate.alias("rate"))
     variety = F.when(F.col("d") <= 2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("d") / (0.2 * F.col("n"))))

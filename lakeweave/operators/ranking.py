@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.functions.vectors import dot, unit
 from lakeweave.functions.text import lookup_key
+from lakeweave.functions.vectors import dot, unit
+from lakeweave.operators.order import positions, running
 
 
 def top_k(df: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
@@ -61,7 +62,12 @@ def balanced_top(df: DataFrame, label: str, confidence: str, share: float, *ties
 
 def cumulative_batches(df: DataFrame, order: Sequence[str | Column], batches: int = 10) -> DataFrame:
     """Each row with ``batch`` (1 to ``batches``, equal runs in order); the rows up to t are those with batch <= t."""
-    return df.withColumn("batch", F.ntile(batches).over(Window.orderBy(*order)).cast("long"))
+    placed = positions(df, order, "_place")
+    n = placed.agg(F.count(F.lit(1)).alias("_rows"))
+    size, more = F.floor(F.col("_rows") / batches), F.col("_rows") % batches  # the first batches have a row more
+    start = more * (size + 1)
+    batch = F.when(F.col("_place") < start, F.floor(F.col("_place") / (size + 1))).otherwise(more + F.floor((F.col("_place") - start) / F.greatest(size, F.lit(1))))
+    return placed.join(F.broadcast(n)).withColumn("batch", (batch + 1).cast("long")).drop("_place", "_rows")
 
 
 def percent_rank_label(df: DataFrame, value: str, at: float = 0.5) -> DataFrame:
@@ -76,10 +82,8 @@ def percent_rank_label(df: DataFrame, value: str, at: float = 0.5) -> DataFrame:
 
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
     """The first value at which the running weight reaches half of the group's."""
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    reached = F.sum("_w").over(up) >= 0.5 * F.sum("_w").over(Window.partitionBy(*by)) - 1e-12
-    return counts.withColumn("_ok", reached).where("_ok").groupBy(*by).agg(F.min(value).alias("weighted_median"))
+    counts = running(df.groupBy(*by, value).agg(F.sum(weight).alias("_w")), by, value, ["_w"])
+    return counts.where(F.col("_w_upto") >= 0.5 * F.col("_w_all") - 1e-12).groupBy(*by).agg(F.min(value).alias("weighted_median"))
 
 
 def filter_power_set(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
