@@ -120,7 +120,7 @@ def test_planted_source_is_found(spark):
     for name, columns in tables.items():
         for i in range(120):
             x = [rng.gauss(0, 1) for _ in columns]
-            x[-1] = x[0] + x[1] + rng.gauss(0, 0.3) + (6 if x[0] > 0 else 0)
+            x[-1] = round(x[0] + x[1] + rng.gauss(0, 0.3) + (6 if x[0] > 0 else 0), 1)  # 100 values at most
             cells += [(name, i, c, float(v)) for c, v in zip(columns, x, strict=True)]
         manifest.append((name, 120, len(columns), columns, None))
     cells = spark.createDataFrame(cells, lake.CELLS)

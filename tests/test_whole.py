@@ -75,7 +75,7 @@ def test_sources_are_told_apart_by_distributions(spark):
     for name, far in (("near", 0.0), ("away", 50.0)):
         for i in range(120):
             x = [rng.gauss(0, 1) for _ in features]
-            y = x[0] + x[1] + rng.gauss(0, 0.3) + (6 if x[0] > 0 else 0)
+            y = round(x[0] + x[1] + rng.gauss(0, 0.3) + (6 if x[0] > 0 else 0), 1)  # 100 values at most
             cells += [(name, i, c, float(v) + far) for c, v in zip(features, x, strict=True)] + [(name, i, "income", y)]
             rows += [(i, *x, int(y > 3))] if not far else []
         manifest.append((name, 120, 5, [*features, "income"], None))
