@@ -1,4 +1,8 @@
-"""Documents to packed training sequences: quality rules, exact dedup, near duplicates, mixing, packing."""
+"""Documents to packed training sequences: quality rules, exact dedup, near duplicates, mixing, packing.
+
+Every stage but the last returns the columns of ``docs``, whatever they are called; an empty table gives an empty one.
+Texts are read whole, however long. What nulls, ties and repeated rows become is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,31 @@ from lakeweave.llm.queries import TOKENIZER
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that failed."""
+    """Documents that the rules keep, without the lines that failed. Null and empty texts go; repeated rows fare alike."""
     return quality.clean_documents(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: that with the largest doc_id, a null one being below any other. Null texts are empty
+    ones; of rows that repeat text and doc_id one stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: that with the smallest doc_id. Empty texts and rows without doc_id
+    are in no group and stay; rows that repeat a doc_id are one document and share its fate."""
     return ngram_join.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks for."""
+    """Each document as often as its source's weight asks for. Null is a source of its own; null texts have no words and
+    come as often as their source; rows that repeat are drawn one by one."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 ids."""
+    """Pieces of the documents in sequences of 1024 ids. A null text is its end id alone; repeated rows are documents of
+    their own."""
     return packing.pack(docs, TOKENIZER)
 
 

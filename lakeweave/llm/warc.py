@@ -105,7 +105,8 @@ def copy_archive(index: DataFrame, path: str, to: str, damaged=None) -> None:
 def hash_ranges(index: DataFrame, path: str) -> DataFrame:
     """Leaves of a replica: ``file, idx, hash`` of each indexed offset range, in which the range itself is hashed too.
 
-    A range beyond the file's end, or of a file that isn't there, has the hash of what is left of it.
+    A range beyond the file's end, or of a file that isn't there, has the hash of what is left of it. An empty index has
+    no leaves.
     """
 
     def run(batches):
@@ -164,6 +165,7 @@ def audit(first: MerkleTree, second: MerkleTree) -> DataFrame:
     """``file, record`` of every record that differs between two replicas of one index, found from the roots down.
 
     Only children of nodes that differ are compared; equal roots end the audit after one comparison.
+    Replicas of an empty index don't differ. A pair of trees of different shapes is an error.
     """
     if (len(first.levels), first.files_at) != (len(second.levels), second.files_at):
         raise ValueError("the trees are not of the same index")
