@@ -104,6 +104,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+def _secrets_sql() -> str:
+    """Matches and what lies between them alternate, so a match starts after the lengths before it."""
+    kinds = [
+        ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24),
+        ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+        ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ]
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS k, '{kind}' AS kind, string_split_regex(t, '{p}') AS b, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS g, {least} AS least FROM d WHERE regexp_matches(t, '{p}')"
+        for i, (kind, p, group, least) in enumerate(kinds)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({each}),
+l AS (SELECT doc_id, k, kind, least, [length(x) FOR x IN b] AS b, [length(x) FOR x IN m] AS m, [length(x) FOR x IN g] AS g FROM m),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM l),
+s AS (SELECT doc_id, k, kind, (list_sum(b[:i]) + coalesce(list_sum(m[:i - 1]), 0))::BIGINT AS a, m[i] AS n FROM e WHERE g[i] >= least),
+j AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j ON j.doc_id = d.doc_id"""
+
+
+def _quality_sql() -> str:
+    """The base measures, and the line rules with their limits in full."""
+    phrases = " OR ".join("contains(lower(l), '" + p.replace("'", "''") + "')" for p in quality.BOILERPLATE)
+    separators = ", ".join(f"'{x}'" for x in quality.SEPARATORS)
+    word, ink = r"[^\x20\x09-\x0D]+", r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '{word}') AS w FROM d),
+x AS (SELECT r, i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM x),
+p AS (SELECT r, count(DISTINCT i + k) AS n_repeat FROM c, (SELECT unnest(range(5)) AS k) WHERE n > 1 GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d),
+q AS (SELECT r, l, regexp_extract_all(l, '{ink}') AS v, len(list_filter(regexp_extract_all(l, '[\p{{P}}\p{{S}}]'), lambda y: unicode(y) < 65536)) AS marks,
+    length(regexp_replace(l, '[ 	-]', '', 'g')) AS chars FROM l),
+y AS (SELECT *, coalesce(list_sum([length(z) FOR z IN v]), 0) AS inked, len([z FOR z IN v IF z IN ({separators})]) AS menus,
+    len([1 FOR i IN range(1, len(v)) IF v[i] = v[i + 1]]) AS same FROM q),
+b AS (SELECT r, sum(chars) AS lost FROM y WHERE len(v) > 0 AND ((marks > 0.2 * inked AND inked >= 10) OR (menus >= 3 AND menus >= 0.15 * len(v))
+    OR (len(v) >= 10 AND same > 0.4 * len(v)) OR (len(v) <= 30 AND ({phrases}))) GROUP BY r),
+u AS (SELECT r, count(*) - count(DISTINCT l) AS twice FROM l WHERE regexp_matches(l, '{word}') GROUP BY r),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(z) FOR z IN w]), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(twice, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_chars
+    FROM d JOIN w USING (r) LEFT JOIN p USING (r) LEFT JOIN b USING (r) LEFT JOIN u USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM m"""
+
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0)::BIGINT AS size FROM documents),
@@ -133,6 +183,8 @@ SELECT k.doc_id, k.size, x.source_size, x.target,
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
     doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
+    "op6_secret_scan": _secrets_sql(),
+    "op7_quality_rules": _quality_sql(),
     "op9_warc_fixity": f"""
 SELECT page_id, sha256(coalesce(html, '')) AS payload_sha256, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
     page_id % {DRILL[0]} = {DRILL[1]} AS damaged FROM pages""",
