@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import exact_dedup, mixing, ngram_join, packing, quality, secrets, sharding, token_files, toxicity, warc
-from lakeweave.llm.common import scratch
+from lakeweave.llm import exact_dedup, mixing, ngram_join, packing, page_text, quality, runs, search, secrets, sharding, token_files, toxicity, warc
+from lakeweave.llm.common import WORD, scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -90,6 +90,36 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` in which every tenth document, by the CRC-32 of its id's digits (none for a null one), ends in
+    a part that repeats itself: from word a on, word i is the one at a + (i - a) mod p."""
+    rows = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    words = rows.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).withColumn("n", F.size("w").cast("long"))
+    words = words.withColumn("g", F.expr("h div 10")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    words = words.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    of = lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    tail = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), of), " ")
+    return words.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(planted(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("b.length"), -F.col("b.period")
+    exponent = F.floor(1000 * length / period).cast("long")
+    return found.select("doc_id", "n_runs", (-F.col("b.start")).alias("start"), length.alias("length"), period.alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_exact_dedup, op3_shard, op4_token_files, op5_pack_sequences, op6_secret_scan, op7_quality_rules, op8_toxicity, op9_warc_fixity, op10_ngram_join, pipeline)
+    for f in (op1_mix_sources, op2_exact_dedup, op3_shard, op4_token_files, op5_pack_sequences, op6_secret_scan, op7_quality_rules, op8_toxicity, op9_warc_fixity, op10_ngram_join, op11_periodic_runs, op12_lexical_search, op13_main_text, pipeline)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -142,7 +172,8 @@ c AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM x),
 p AS (SELECT r, count(DISTINCT i + k) AS n_repeat FROM c, (SELECT unnest(range(5)) AS k) WHERE n > 1 GROUP BY r),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d),
 q AS (SELECT r, l, regexp_extract_all(l, '{ink}') AS v, len(list_filter(regexp_extract_all(l, '[\p{{P}}\p{{S}}]'), lambda y: unicode(y) < 65536)) AS marks,
-    length(regexp_replace(l, '[ 	-]', '', 'g')) AS chars FROM l),
+    length(regexp_replace(l, '[ 	-
+]', '', 'g')) AS chars FROM l),
 y AS (SELECT *, coalesce(list_sum([length(z) FOR z IN v]), 0) AS inked, len([z FOR z IN v IF z IN ({separators})]) AS menus,
     len([1 FOR i IN range(1, len(v)) IF v[i] = v[i + 1]]) AS same FROM q),
 b AS (SELECT r, sum(chars) AS lost FROM y WHERE len(v) > 0 AND ((marks > 0.2 * inked AND inked >= 10) OR (menus >= 3 AND menus >= 0.15 * len(v))
@@ -154,6 +185,61 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(z) F
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM m"""
 
 
+def _runs_sql() -> str:
+    """Stretches in which six words equal the six words p further on, per document and p; each with its smallest p."""
+    crc = "xor(list_reduce(list_prepend(4294967295, [unicode(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w, CASE WHEN doc_id IS NULL THEN 0 ELSE {crc} END AS h FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+f AS (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END FOR i IN range(n)] ELSE w END AS w FROM e),
+t AS MATERIALIZED (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS w FROM f),
+x AS MATERIALIZED (SELECT r, i, s FROM (SELECT r, i, array_to_string(list(w) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), ' ') AS s,
+    count(*) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS k FROM t) WHERE k = 6),
+y AS (SELECT a.r, a.i, b.i - a.i AS p FROM x a JOIN x b ON a.r = b.r AND a.s = b.s AND a.i < b.i),
+z AS (SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM y),
+s AS (SELECT r, p, min(i) AS start, count(*) + 5 AS same FROM z GROUP BY r, p, island),
+u AS MATERIALIZED (SELECT r, start, same + p AS length, min(p) AS period FROM s WHERE same >= greatest(12 - p, p) GROUP BY r, start, same + p),
+v AS (SELECT r, count(*) AS n_runs, arg_max({{'s': start, 'l': length, 'p': period}}, (length, -start, -period)) AS b,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM u GROUP BY r),
+g AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
+c AS (SELECT t.r, string_agg(w, ' ' ORDER BY t.i) AS kept FROM t LEFT JOIN g ON g.r = t.r AND g.i = t.i WHERE g.i IS NULL GROUP BY t.r)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.p::BIGINT AS period, ((1000 * b.l) // b.p)::BIGINT AS exponent_milli,
+    sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN v ON v.r = d.r LEFT JOIN c ON c.r = d.r"""
+
+
+def _search_sql() -> str:
+    """Scores of every pair of a document and an item that share a term."""
+    found = f"regexp_extract_all({_LOWER}, '{search.TERM}')"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {found} AS w FROM documents),
+c AS (SELECT count(*)::BIGINT AS N, sum(len(w))::BIGINT AS L FROM d WHERE len(w) > 0),
+t AS (SELECT r, unnest(w) AS t FROM d),
+p AS MATERIALIZED (SELECT r, t, count(*)::BIGINT AS tf FROM t GROUP BY r, t),
+q AS (SELECT row_number() OVER () AS i, item_id, {found} AS w FROM benchmark),
+u AS (SELECT DISTINCT i, t FROM (SELECT i, unnest(w) AS t FROM q)),
+f AS (SELECT t, count(*)::BIGINT AS df FROM p GROUP BY t),
+x AS (SELECT t, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM f, c),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(w)::BIGINT * N) // L) AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT i, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM u JOIN x USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY i, r),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s JOIN m USING (r) JOIN q USING (i) WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10"""
+
+
+def _pages_sql() -> str:
+    """Pages that mark their text with one ``article``: the text between its tags, decoded. (Links that neighbours share
+    aren't in articles here.)"""
+    text = "x"
+    for code, sign in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#0*39;", "''"), ("&#x0*27;", "''"), ("&nbsp;?", " "), ("&middot;?", "·"), ("&copy;?", "©"), ("&amp;?", "&")):
+        text = f"regexp_replace({text}, '{code}', '{sign}', 'g')"
+    return rf"""
+WITH a AS (SELECT row_number() OVER () AS r, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+b AS (SELECT r, string_split(regexp_replace(regexp_replace(a, '</?(p|h1)>', chr(1), 'g'), '<br>', ' ', 'g'), chr(1)) AS b FROM a),
+c AS (SELECT r, [trim(regexp_replace({text}, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g')) FOR x IN [regexp_replace(y, '<[^>]*>', '', 'g') FOR y IN b]] AS c FROM b),
+d AS (SELECT r, coalesce(array_to_string([x FOR x IN c IF x <> ''], chr(10) || chr(10)), '') AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM a JOIN d USING (r)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0)::BIGINT AS size FROM documents),
@@ -188,6 +274,9 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
     "op9_warc_fixity": f"""
 SELECT page_id, sha256(coalesce(html, '')) AS payload_sha256, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
     page_id % {DRILL[0]} = {DRILL[1]} AS damaged FROM pages""",
+    "op11_periodic_runs": _runs_sql(),
+    "op12_lexical_search": _search_sql(),
+    "op13_main_text": _pages_sql(),
     "op10_ngram_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
