@@ -32,7 +32,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", hint="AKIA"),
     Rule("hex", 1, r"[0-9a-f]{24,}"),
     Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}", hint=".eyJ"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -42,10 +42,20 @@ MOST_UNSEEN = 50_000
 LEDGER = "blob binary, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
+#: matches that are placed together
+PART = 64
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Array of (start, end) of the rule's matches in code points; end is exclusive.
 
-    The text between matches and the matches themselves alternate, so a match starts after the parts before it.
+    The text between matches and the matches themselves alternate, so a match starts after the parts before it. Work
+    grows with the matches (and with their square over PART squared, for what moves the parts).
     """
     between, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
@@ -59,7 +69,17 @@ def spans(text: Column, rule: Rule) -> Column:
         hit = F.struct(begin.alias("start"), end.alias("end"), x["g"].alias("size"))
         return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(hit))).alias("found"))
 
-    found = F.aggregate(lengths, start, step)["found"]
+    # an array that grows is copied with each step, so it grows in parts: first within each part, then over the parts
+    def parts(x):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int")), lambda i: F.aggregate(F.slice(x, i * PART + 1, F.lit(PART)), start, step))
+
+    def joined(x):
+        begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        before = F.aggregate(x, begun, lambda acc, y: F.struct((acc["at"] + y["at"]).cast("int").alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+        moved = F.zip_with(x, before, lambda y, n: F.transform(y["found"], lambda z: F.struct((z["start"] + n).alias("start"), (z["end"] + n).alias("end"), z["size"].alias("size"))))
+        return F.flatten(moved)
+
+    found = _bound(_bound(lengths, parts), joined)
     long_enough = F.filter(found, lambda x: x["size"] >= rule.least)
     return F.transform(long_enough, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 

@@ -45,6 +45,13 @@ def test_spans_against_regular_expressions(spark, tmp_path):
         assert set(filter(None, joined.split(","))) <= set(got[i].spans.split(","))
 
 
+def test_very_many_secrets_in_one_text(spark):
+    text = "é" + "".join(f"token={i:06d} AKIA{'Q' * 16}, secret: s{i % 7} " for i in range(50_000))
+    got = {r.kind: [tuple(s) for s in r.spans] for r in secrets.update_ledger(frame(spark, [(1, text, "en", "s", 0), (2, None, "en", "s", 0)])).collect() if r.spans}
+    want = {"assign": [m.span() for m in re.finditer(secrets.RULES[0].pattern, text) if len(m[2]) >= 6], "access": [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text)]}
+    assert got == want and len(want["assign"]) == 50_000
+
+
 def test_ledger_scans_only_what_is_new(spark):
     rows = secret_rows()
     old, new = frame(spark, rows[:100]), frame(spark, rows)
