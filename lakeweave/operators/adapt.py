@@ -16,23 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions.numeric import clip, correlation, entropy
-from lakeweave.operators import neural
+from lakeweave.operators import boosters, neural, order
+from lakeweave.operators.boosters import Booster
 from lakeweave.operators.evaluate import auc
 from lakeweave.operators.sampling import seeded
 
 
-@dataclass(frozen=True)
-class Booster:
-    """Settings of the boosted trees."""
-
-    trees: int = 200
-    depth: int = 4
-    rate: float = 0.05
-    rows: float = 0.8
-    columns: str = "0.8"
-    seed: int = 42
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage of a round: a checkpoint in the shared folder, if the session names one."""
     spark = df.sparkSession
@@ -43,8 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    row = df.agg(*[F.percentile(c, 0.5).alias(c) for c in features]).first()
-    return {c: row[c] if row[c] is not None else 0.0 for c in features}
+    """The median of each feature over all rows; 0 where it has no value."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in features])).alias("_p")).select("_p.*")
+    found = order.quantiles(values.where("v is not null and not isnan(v)"), ["c"], [0.5], "v").collect()
+    return dict.fromkeys(features, 0.0) | {r["c"]: float(r["v"]) for r in found}
 
 
 def prepared(df: DataFrame, features: Sequence[str], middle: dict[str, float]) -> DataFrame:
@@ -60,12 +51,13 @@ def common_features(source: DataFrame, target: DataFrame, features: Sequence[str
     return [c for c in features if all((s[c] or 0) >= least for s in shares)]
 
 
-def fit(train: DataFrame, features: Sequence[str], booster: Booster = Booster(), weight: str | None = "weight") -> Callable[[DataFrame], DataFrame]:
-    """A model of ``label``: a function that adds ``p1`` to rows. With a single class p1 is that class."""
-    classes = [r[0] for r in train.select("label").distinct().limit(2).collect()]
+def distributed(train: DataFrame, features: Sequence[str], booster: Booster = Booster(), weight: str | None = "weight") -> Callable[[DataFrame], DataFrame]:
+    """A model like that of ``fit``, by Spark's own trees: for more rows than one task should hold."""
+    classes = [r[0] for r in train.select("label").where(F.col("label").isNotNull()).distinct().limit(2).collect()]
     if len(classes) < 2:
         only = float(classes[0]) if classes else 0.5
         return lambda df: df.withColumn("p1", F.lit(only))
+    train = train.where(F.col("label").isNotNull())
     middle = medians(train, features)
     gbt = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=booster.trees, maxDepth=booster.depth, stepSize=booster.rate, subsamplingRate=booster.rows, featureSubsetStrategy=booster.columns, seed=booster.seed)
     if weight and weight in train.columns:
@@ -76,10 +68,80 @@ def fit(train: DataFrame, features: Sequence[str], booster: Booster = Booster(),
         out = model.transform(prepared(df, features, middle)).withColumn("p1", F.round(vector_to_array("probability")[1], 9))
         return out.drop("_x", "rawPrediction", "probability", "prediction")
 
-    predict.model = model
     return predict
 
 
+def fit(train: DataFrame, features: Sequence[str], booster: Booster = Booster(), weight: str | None = "weight") -> Callable[[DataFrame], DataFrame]:
+    """A model of ``label``: a function that adds ``p1`` to rows. With a single class p1 is that class, without rows 0.5.
+
+    Up to ``boosters.MOST_CELLS`` values it is fitted in one task, with more by ``distributed``.
+    """
+    names = list(features)
+    held = train.where(F.col("label").isNotNull())
+    n = held.count()
+    if n * max(1, len(names)) > boosters.MOST_CELLS:
+        return distributed(train, names, booster, weight)
+    found = boosters.fit_many(held.withColumn("_model", F.lit(0)), names, booster, ["_model"], weight, bounded=True)[0].collect() if n else []
+    if not found:
+        return lambda df: df.withColumn("p1", F.lit(0.5))
+    trees = boosters.Trees.unpack(found[0])
+
+    @F.pandas_udf("double")
+    def chances(*columns: pd.Series) -> pd.Series:
+        return pd.Series(trees.chances(np.stack([c.to_numpy(float) for c in columns], 1)))
+
+    return lambda df: df.withColumn("p1", F.round(chances(*[F.col(c).cast("double") for c in names]), 9))
+
+
+@dataclass
+class Fitted:
+    """Models of many groups: those of one stage, stored, and functions for the groups that were too large for it."""
+
+    models: DataFrame
+    large: dict[tuple, Callable[[DataFrame], DataFrame]]
+    features: list[str]
+    by: list[str]
+
+    def _keyed(self, df: DataFrame, key: tuple) -> DataFrame:
+        return df.withColumns({c: F.lit(v).cast(self.models.schema[c].dataType) for c, v in zip(self.by, key, strict=True)})
+
+    def everywhere(self, rows: DataFrame) -> DataFrame:
+        """``rows`` once for each model, with ``by`` and ``p1``."""
+        out = boosters.predict_many(self.models, rows, self.features, self.by)
+        for key, predict in self.large.items():
+            out = out.unionByName(self._keyed(predict(rows.drop(*self.by)), key).select(*out.columns))
+        return out
+
+    def at_home(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``p1`` by the model of their own group."""
+        out = boosters.predict_own(self.models, rows, self.features, self.by)
+        for key, predict in self.large.items():
+            own = rows
+            for c, v in zip(self.by, key, strict=True):
+                own = own.where(F.col(c).eqNullSafe(F.lit(v)))
+            out = out.unionByName(predict(own).select(*out.columns))
+        return out
+
+
+def fit_each(train: DataFrame, features: Sequence[str], booster: Booster = Booster(), by: Sequence[str] = ("table_id",), weight: str | None = None, at_once: int = 4) -> Fitted:
+    """A model of each value of ``by``, all in one stage; ``at_once`` of the groups that are too large for it at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    by, names = list(by), list(features)
+    models, large = boosters.fit_many(train, names, booster, by, weight)
+    models = cut(models)
+    keys = [tuple(r) for r in large.collect()]
+
+    def one(key: tuple) -> Callable[[DataFrame], DataFrame]:
+        own = train
+        for c, v in zip(by, key, strict=True):
+            own = own.where(F.col(c).eqNullSafe(F.lit(v)))
+        return distributed(own, names, booster, weight)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return Fitted(models, dict(zip(keys, pool.map(one, keys), strict=True)), names, by)
+
+
 def confident_weights(rows: DataFrame, p: str = "p1", label: str = "label", weak: float = 0.1) -> DataFrame:
     """``weight`` x ``weak`` where the probability of a row's own label is below the mean of its class."""
     own = F.when(F.col(label) == 1, F.col(p)).otherwise(1 - F.col(p))
@@ -98,14 +160,14 @@ def baseline_a(target: DataFrame) -> DataFrame:
 
 
 def baseline_b(sources: DataFrame, target: DataFrame, features: Sequence[str], booster: Booster, runs: int = 5, tables: int = 20) -> DataFrame:
-    """Mean of models of random tables (by hash) in equal weight."""
+    """Mean of models of random tables (by hash) in equal weight; all runs are fitted in one stage."""
     names = sources.select("table_id").distinct()
-    out = None
+    picked = None
     for i in range(runs):
-        picked = names.orderBy(seeded("table_id", i)).limit(tables)
-        p = fit(sources.join(F.broadcast(picked), "table_id").drop("weight"), features, booster)(target).select("row_id", "p1")
-        out = p if out is None else out.unionByName(p)
-    return result(out.groupBy("row_id").agg(F.avg("p1").alias("p1")), "baseline_b")
+        one = names.orderBy(seeded("table_id", i)).limit(tables).withColumn("_run", F.lit(i))
+        picked = one if picked is None else picked.unionByName(one)
+    p = fit_each(sources.join(F.broadcast(picked), "table_id"), features, booster, ["_run"]).everywhere(target.select("row_id", *features))
+    return result(p.groupBy("row_id").agg(F.avg("p1").alias("p1")), "baseline_b")
 
 
 def baseline_c(sources: DataFrame, target: DataFrame, features: Sequence[str], booster: Booster) -> DataFrame:
@@ -177,20 +239,18 @@ def source_ensemble(sources: DataFrame, target: DataFrame, features: Sequence[st
 
     if len(scores) < least:
         return None
-    held = sources.where(F.col("table_id").isin(*scores))
-    out = each_source(held, lambda name, own: fit(own.drop("weight"), features, booster)(target).select("row_id", "p1", F.lit(float(scores[name])).alias("w")))
-    if out is None:
-        return None
+    spark = sources.sparkSession
+    weights = spark.createDataFrame([(k, float(v)) for k, v in scores.items()], f"table_id {sources.schema['table_id'].dataType.simpleString()}, w double")
+    fitted = fit_each(sources.join(weights.select("table_id"), "table_id", "left_semi"), features, booster)
+    out = fitted.everywhere(target.select("row_id", *features)).select("table_id", "row_id", "p1").join(weights, "table_id")
     return result(weighted_median(out, ["row_id"], "p1", "w").withColumnRenamed("weighted_median", "p1"), "source_ensemble")
 
 
 def committee(sources: DataFrame, target: DataFrame, features: Sequence[str], booster: Booster, members: int = 5, least_votes: int = 4) -> DataFrame:
     """Models of resampled sources; only rows on which ``least_votes`` agree teach a last model."""
-    out = None
-    for i in range(members):
-        part = sources.where(F.pmod(F.xxhash64("table_id", "row_id", F.lit(i)), F.lit(10)) < 7)
-        p = fit(part, features, booster)(target).select("row_id", (F.col("p1") >= 0.5).cast("int").alias("v"))
-        out = p if out is None else out.unionByName(p)
+    drawn = F.filter(F.array(*[F.when(F.pmod(F.xxhash64("table_id", "row_id", F.lit(i)), F.lit(10)) < 7, F.lit(i)) for i in range(members)]), lambda x: x.isNotNull())
+    p = fit_each(sources.withColumn("_member", F.explode(drawn)), features, booster, ["_member"], "weight").everywhere(target.select("row_id", *features))
+    out = p.select("row_id", (F.col("p1") >= 0.5).cast("int").alias("v"))
     votes = out.groupBy("row_id").agg(F.sum("v").alias("v")).where((F.col("v") >= least_votes) | (F.col("v") <= members - least_votes))
     agreed = target.join(votes.select("row_id", (F.col("v") * 2 > members).cast("int").alias("label")), "row_id").withColumns({"weight": F.lit(0.5), "table_id": F.lit("target")})
     return result(fit(cut(sources.unionByName(agreed.select(*sources.columns))), features, booster)(target), "qbc")
@@ -201,29 +261,15 @@ def oracle(labelled: DataFrame, test: DataFrame, features: Sequence[str], booste
     return result(fit(labelled.dropna(subset=["label"]).drop("weight"), features, booster)(test), "oracle")
 
 
-def each_source(sources: DataFrame, judge: Callable[[str, DataFrame], DataFrame], at_once: int = 4) -> DataFrame | None:
-    """The rows of ``judge(name, its rows)`` of all sources; ``at_once`` of them are worked on at a time.
-
-    Each result is written before it joins the others, so the plan holds reads and no models. None without sources.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    names = [r[0] for r in sources.select("table_id").distinct().orderBy("table_id").collect()]  # a row per source
-    with ThreadPoolExecutor(at_once) as pool:
-        done = list(pool.map(lambda name: cut(judge(name, sources.where(F.col("table_id") == name))), names))
-    out = None
-    for one in done:
-        out = one if out is None else out.unionByName(one)
-    return out
+def source_predictions(sources: DataFrame, rows: DataFrame, features: Sequence[str], booster: Booster) -> DataFrame:
+    """``table_id, row_id, p1``: what the model of each source says of each row, written once."""
+    return cut(fit_each(sources, features, booster).everywhere(rows.select("row_id", *features)).select("table_id", "row_id", "p1"))
 
 
 def self_auc(sources: DataFrame, features: Sequence[str], booster: Booster = Booster(trees=50, depth=3)) -> DataFrame:
     """``table_id, self_auc``: how well each source's own features tell its labels, in sample."""
-
-    def judge(name: str, own: DataFrame) -> DataFrame:
-        return auc(fit(own.drop("weight"), features, booster)(own), "label", "p1").select(F.lit(name).alias("table_id"), F.col("auc").alias("self_auc"))
-
-    return each_source(sources, judge)
+    seen = fit_each(sources, features, booster).at_home(sources.select("table_id", "label", *features))
+    return auc(seen, "label", "p1", ["table_id"]).withColumnRenamed("auc", "self_auc")
 
 
 def calibrated(p: DataFrame, labelled: DataFrame, least: int = 5) -> DataFrame:
@@ -248,18 +294,14 @@ def validated_sources(sources: DataFrame, validation: DataFrame, features: Seque
     if n < 10:
         return empty
 
-    def judge(name: str, own: DataFrame) -> DataFrame:
-        p = fit(own.drop("weight"), features, booster)(validation).select("row_id", "label", "p1")
-        if n >= 30:
-            one = auc(p, "label", "p1").withColumn("spread", F.lit(0.0))
-        else:
-            times = bootstrap(p, "row_id", replicas).withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("times"))))
-            one = auc(times, "label", "p1", ["replica"]).agg(F.percentile("auc", 0.5).alias("auc"), F.coalesce(F.stddev_pop("auc"), F.lit(1.0)).alias("spread"))
-        return one.select(F.lit(name).alias("table_id"), "auc", "spread")
-
-    judged = each_source(sources, judge)
-    if judged is None:
-        return empty
+    seen = source_predictions(sources, validation, features, booster).join(validation.select("row_id", "label"), "row_id")
+    if n >= 30:
+        judged = auc(seen, "label", "p1", ["table_id"]).withColumn("spread", F.lit(0.0))
+    else:
+        times = bootstrap(validation.select("row_id"), "row_id", replicas)
+        drawn = seen.join(F.broadcast(times), "row_id").withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        each = auc(drawn, "label", "p1", ["table_id", "replica"])
+        judged = each.groupBy("table_id").agg(F.percentile("auc", 0.5).alias("auc"), F.coalesce(F.stddev_pop("auc"), F.lit(1.0)).alias("spread"))
     known = F.create_map(*[F.lit(x) for kv in (scores or {}).items() for x in kv]) if scores else None
     found = F.lit(1.0) if known is None else F.greatest(F.coalesce(known[F.col("table_id")], F.lit(1e-3)), F.lit(1e-6))
     needed = max(least, 0.60) if n < 20 else least
@@ -303,6 +345,7 @@ def stacked(predictions: DataFrame, labelled: DataFrame, target: DataFrame, feat
     wide = predictions.groupBy("row_id").pivot("table_id", chosen).agg(F.first("p1"))
     wide = wide.select("row_id", *[F.col(f"`{c}`").alias(f"from_{i}") for i, c in enumerate(chosen)])
     used = [*features, *[f"from_{i}" for i in range(len(chosen))]]
+    wide = cut(wide)
     return result(fit(labelled.join(wide, "row_id").drop("weight"), used, booster)(target.join(wide, "row_id")), "stacking")
 
 
@@ -502,18 +545,10 @@ def self_trained_with_labels(sources: DataFrame, validation: DataFrame, target:
     return result(seen, "vla_self_train")
 
 
-def importance(predict: Callable[[DataFrame], DataFrame], rows: DataFrame, features: Sequence[str], most_rows: int = 2000, seed: int = 0) -> DataFrame:
-    """``feature, auc_drop``: what the AUC loses when a feature's values are dealt anew among (``most_rows``) rows.
-
-    It stands in for mean absolute SHAP values, which Spark's trees don't offer.
-    """
-    spark = rows.sparkSession
-    plain = sampled(rows, features, most_rows, ("label",))
-    rng = np.random.default_rng(seed)
-    parts = [plain.assign(feature="")]
-    for c in features:
-        parts.append(plain.assign(feature=c, **{c: rng.permutation(plain[c].to_numpy())}))
-    scored = predict(spark.createDataFrame(pd.concat(parts)))
-    found = auc(scored, "label", "p1", ["feature"])
-    base = found.where("feature = ''").select(F.col("auc").alias("_b"))
-    return found.where("feature <> ''").join(F.broadcast(base)).select("feature", F.round(F.col("_b") - F.col("auc"), 6).alias("auc_drop"))
+def importance(train: DataFrame, rows: DataFrame, features: Sequence[str], booster: Booster = Booster(), by: Sequence[str] = ()) -> DataFrame:
+    """``by, feature, importance, place``: the mean absolute SHAP value over all ``rows`` of each feature in the model of
+    ``train`` (or of each of its groups ``by``). Groups with more than ``boosters.MOST_CELLS`` values have no such model."""
+    keys = list(by) or ["_model"]
+    train = train if by else train.withColumn("_model", F.lit(0))
+    models = cut(boosters.fit_many(train, features, booster, keys)[0])
+    return boosters.mean_contributions(boosters.shap_values(models, rows, features, keys), keys).drop("_model")

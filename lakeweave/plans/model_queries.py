@@ -181,11 +181,21 @@ def vla_pooled(t: Tables) -> DataFrame:
 @query(None)
 def stacking(t: Tables) -> DataFrame:
     sources, target, features = adaptation_tables(t)
-    p = None
-    for (name,) in sources.select("table_id").distinct().orderBy("table_id").collect():  # a row per source
-        one = adapt.fit(sources.where(F.col("table_id") == name).drop("weight"), features, _BOOSTER)(target).select(F.lit(name).alias("table_id"), "row_id", "p1")
-        p = one if p is None else p.unionByName(one)
-    return adapt.stacked(adapt.cut(p), target.where("row_id % 2 = 0"), target.where("row_id % 2 = 1").drop("label"), features, _BOOSTER)
+    p = adapt.source_predictions(sources, target, features, _BOOSTER)
+    return adapt.stacked(p, target.where("row_id % 2 = 0"), target.where("row_id % 2 = 1").drop("label"), features, _BOOSTER)
+
+
+@query(None)
+def tree_shap(t: Tables) -> DataFrame:
+    """How much each feature adds in the model of each source, over all target rows."""
+    sources, target, features = adaptation_tables(t)
+    return adapt.importance(sources, target, features, _BOOSTER, ["table_id"])
+
+
+@query(None)
+def source_self_auc(t: Tables) -> DataFrame:
+    sources, _, features = adaptation_tables(t)
+    return adapt.self_auc(sources, features)
 
 
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame, list[str]]:
