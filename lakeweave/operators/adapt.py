@@ -207,7 +207,7 @@ def self_trained(sources: DataFrame, target: DataFrame, features: Sequence[str],
         return result(model(target), level)
     train = cut(confident_weights(model(train)).drop("p1"))
     seen = cut(model(target).select("row_id", "p1"))
-    score = auc(model(tried), "label", "p1").first()[0] or 0.5
+    score = auc(cut(model(tried).select("label", "p1")), "label", "p1").first()[0] or 0.5
     for share in rounds:
         sure = seen.withColumn("label", (F.col("p1") >= 0.5).cast("int"))
         sure = sure.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(F.abs(F.col("p1") - 0.5).desc(), "row_id")))
@@ -215,7 +215,7 @@ def self_trained(sources: DataFrame, target: DataFrame, features: Sequence[str],
         pseudo = target.join(sure.where(F.col("_n") <= many).select("row_id", "label"), "row_id").withColumns({"weight": F.lit(pseudo_weight), "table_id": F.lit("target")})
         weighed = label_shift_weights(train, seen).select(*train.columns) if shift else train
         model = fit(cut(weighed.unionByName(pseudo.select(*weighed.columns))), features, booster)
-        now = auc(model(tried), "label", "p1").first()[0] or 0.5
+        now = auc(cut(model(tried).select("label", "p1")), "label", "p1").first()[0] or 0.5
         if now < score - patience:
             break
         score = max(score, now)

@@ -12,15 +12,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: ranges that the values of a frame are parted into
-RANGES = 64
-
-
-def range_of(df: DataFrame, value: Column, ranges: int = RANGES) -> Column:
-    """The number of the range that a value lies in; 0 for null. Edges are approximate quantiles of ``df``."""
-    levels = [i / ranges for i in range(1, ranges)]
-    edges = sorted({e for e in df.agg(F.percentile_approx(value, levels, 2000)).first()[0] or []})
-    return sum((F.when(value > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+#: values of a range, about, and ranges at most
+VALUES, RANGES = 100_000, 1000
+
+
+def range_of(df: DataFrame, value: Column) -> Column:
+    """The number of the range that a value lies in; 0 for null. There is a range for every VALUES rows of ``df``, up to
+    RANGES; their edges are approximate quantiles."""
+    levels = [i / RANGES for i in range(1, RANGES)]
+    n, found = df.agg(F.count(value), F.percentile_approx(value, levels, 10 * RANGES)).first()
+    ranges = min(RANGES, -(-n // VALUES))
+    if ranges < 2:
+        return F.lit(0)
+    edges = sorted({found[round(i * RANGES / ranges) - 1] for i in range(1, ranges)})
+    if len(edges) < 32:
+        return sum((F.when(value > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: value > e)), F.lit(0))
 
 
 def running(counts: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
