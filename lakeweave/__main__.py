@@ -36,7 +36,7 @@ def main(given: list[str] | None = None) -> None:
     raw = targets.load(spark, a.loader, a.target) if a.loader else targets.generic(targets._read(spark, a.target), a.label)
     target = adapt.cut(raw.select(F.monotonically_increasing_id().alias("row_id"), "*"))
     features = [c for c in target.columns if c not in ("row_id", "label")]
-    cells = adapt.cut(lake.read_directory(spark, a.lake))
+    cells = adapt.cut(lake.read_directory(spark, a.lake, with_text=True))
     manifest = adapt.cut(lake.manifest_of(cells))
     e = Experiment(a.label, (a.label, *a.concepts), k=a.k, concept=a.threshold, booster=adapt.Booster(trees=a.trees))
     if a.command == "run":

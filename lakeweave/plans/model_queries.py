@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.functions.numeric import entropy
-from lakeweave.operators import adapt, align, joins, matching, neural
+from lakeweave.operators import adapt, align, joins, matching, neural, repurpose
 from lakeweave.plans.registry import Tables, query
 from lakeweave.plans.vector_queries import WIDTH
 from lakeweave.sources import lake
@@ -125,6 +125,41 @@ def lake_cells(t: Tables) -> DataFrame:
     return mini_lake(t).groupBy("table_id").agg(F.countDistinct("row_id").alias("n_rows"), F.countDistinct("col").alias("n_cols"), F.count(F.lit(1)).alias("n_cells"))
 
 
+_WORDS = {"customer": ("c_custkey", ["c_mktsegment", "c_acctbal"]), "orders": ("o_orderkey", ["o_orderstatus", "o_totalprice"]), "lineitem": ("l_orderkey", ["l_returnflag", "l_quantity"]), "part": ("p_partkey", ["p_name", "p_size"])}
+_PROXIES = [("customer", "c_mktsegment"), ("orders", "o_orderstatus"), ("lineitem", "l_returnflag"), ("part", "p_name")]
+
+
+@query("""WITH c AS (SELECT 'customer' AS table_id, 'c_mktsegment' AS proxy_col, c_mktsegment AS text, (c_mktsegment = 'BUILDING')::INT AS label, 'POSITIVE' AS direction FROM customer
+ UNION ALL SELECT 'orders', 'o_orderstatus', o_orderstatus, (o_orderstatus <> 'F')::INT, 'NEGATIVE' FROM orders
+ UNION ALL SELECT 'lineitem', 'l_returnflag', l_returnflag, NULL, 'POSITIVE' FROM lineitem
+ UNION ALL SELECT 'part', 'p_name', p_name, NULL, 'POSITIVE' FROM part),
+ s AS (SELECT table_id, proxy_col, direction, count(*) AS n_rows, round(avg(label), 6) AS positive_rate, count(DISTINCT text) AS d, count(label) AS told FROM c WHERE text IS NOT NULL GROUP BY ALL),
+ r AS (SELECT *, CASE WHEN d > 15 THEN 'high_cardinality' WHEN told = 0 THEN 'cat_no_mapping' WHEN d < 2 THEN 'no_variance' WHEN positive_rate NOT BETWEEN 0.03 AND 0.90 THEN 'extreme_pos_rate' ELSE '' END AS reason FROM s)
+SELECT table_id, proxy_col, direction, CASE WHEN told > 0 THEN 'categorical_semantic' END AS method, n_rows, positive_rate, reason = '' AS kept, reason FROM r""")
+def text_proxy_labels(t: Tables) -> DataFrame:
+    """Proxy columns of words, labelled by what their words are near to."""
+    cells = None
+    for name, (key, columns) in _WORDS.items():
+        one = lake.to_cells(getattr(t, name), name, key, columns, with_text=True)
+        cells = one if cells is None else cells.unionByName(one)
+    encoder = matching.HashedNgramEncoder()
+    cells = adapt.cut(cells)
+    proxies = t.spark.createDataFrame(_PROXIES, "table_id string, proxy_col string")
+    directions = t.spark.createDataFrame([("O_ORDERSTATUS", "negative")], "col string, direction string")
+    concepts = matching.encode_names(t.spark.createDataFrame([("building",), ("f",)], "name string"), encoder)
+    categories = adapt.cut(repurpose.category_labels(cells, proxies, directions, encoder, concepts))
+    out = repurpose.labelled_lake(cells, proxies, directions, categories=categories)
+    return out.select("table_id", "proxy_col", "direction", "method", "n_rows", "positive_rate", "kept", "reason")
+
+
+@query("""WITH c AS (SELECT 'customer' AS table_id, 'c_mktsegment' AS col, count(c_mktsegment) AS n, false AS is_num FROM customer UNION ALL SELECT 'customer', 'c_acctbal', count(c_acctbal), true FROM customer
+ UNION ALL SELECT 'orders', 'o_orderstatus', count(o_orderstatus), false FROM orders UNION ALL SELECT 'orders', 'o_totalprice', count(o_totalprice), true FROM orders)
+SELECT table_id, col, is_num FROM c WHERE n > 0""")
+def column_types(t: Tables) -> DataFrame:
+    one, two = (lake.to_cells(getattr(t, n), n, *_WORDS[n], with_text=True) for n in ("customer", "orders"))
+    return lake.column_types(one.unionByName(two))
+
+
 @query("""SELECT c_custkey AS row_id, c_nationkey::DOUBLE AS nationkey, c_acctbal AS acctbal FROM customer""")
 def align_projection(t: Tables) -> DataFrame:
     matches = t.spark.createDataFrame([("customer", "nationkey", "nationkey", 1.0), ("customer", "acctbal", "acctbal", 1.0)], "table_id string, src_col string, tgt_col string, sim double")

@@ -50,7 +50,8 @@ def discover(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target:
     """Steps 0 and 1: labelled sources and their discovery scores.
 
     Returns ``proxies``, ``lake`` (what became of each proxy), ``scores``, ``matches`` and ``vectors`` (of the proxies'
-    names). Names come from the manifest, so only the proxies' cells and those of the tables that are left are read.
+    names); for cells with a ``text`` also ``categories``, the labels of the words of proxies. Columns of words meet the
+    target's columns of words only. Names come from the manifest, so only the proxies' cells and those of the tables that are left are read.
     ``directions`` (``col, direction``) tells which proxies speak against the label. ``manual`` ({table_id: proxy column})
     takes the place of the scan. ``target_rate`` is the mean of the target's ``label`` if that is there and no rate is given. Without a target
     distributions count 0 and rates are left out.
@@ -70,10 +71,16 @@ def discover(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target:
         proxies = adapt.cut(there.join(sims, "name").select("table_id", F.col("pos").alias("proxy_pos"), "proxy_col", "similarity"))
     if directions is None:
         directions = spark.createDataFrame([], "col string, direction string")
-    labelled = adapt.cut(repurpose.labelled_lake(cells, proxies, directions))
+    categories = None
+    if "text" in cells.columns:
+        categories = adapt.cut(repurpose.category_labels(cells, proxies, directions, encoder, concepts))
+    labelled = adapt.cut(repurpose.labelled_lake(cells, proxies, directions, categories=categories))
     kept = labelled.where("kept").select("table_id", "proxy_col", "positive_rate", "quality", "threshold")
-    sources = columns.join(kept.select("table_id", "proxy_col"), "table_id").where("name <> proxy_col").join(names, "name").withColumn("is_num", F.lit(True))
-    matches = adapt.cut(matching.match_columns(sources.select("table_id", "name", "is_num", "vector"), goal.withColumn("is_num", F.lit(True))))
+    sources = columns.join(kept.select("table_id", "proxy_col"), "table_id").where("name <> proxy_col").join(names, "name")
+    types = lake.column_types(cells.join(kept.select("table_id"), "table_id", "left_semi")).withColumnRenamed("col", "name")
+    sources = sources.join(types, ["table_id", "name"], "left").withColumn("is_num", F.coalesce("is_num", F.lit(True)))
+    words = [] if target is None else [c for c in features if dict(target.dtypes)[c] == "string"]
+    matches = adapt.cut(matching.match_columns(sources.select("table_id", "name", "is_num", "vector"), goal.withColumn("is_num", ~F.col("name").isin(*words))))
     label_sim = proxies.select("table_id", F.col("similarity").alias("label_sim"))
     parts = matching.schema_similarity(matches).join(kept, "table_id").join(label_sim, "table_id").withColumn("label_name", F.col("proxy_col"))
     if target is None:
@@ -85,7 +92,7 @@ def discover(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target:
             target_rate = target.agg(F.avg("label")).first()[0]
     scores = align.discovery_scores(parts, target_rate).join(kept.select("table_id", "quality"), "table_id").withColumn("discovery_score", F.round(F.col("discovery_score") * F.col("quality"), 6))
     vectors = kept.join(names, F.col("proxy_col") == F.col("name")).select("table_id", "vector")
-    return {"proxies": proxies, "lake": labelled, "scores": adapt.cut(scores.select("table_id", "discovery_score")), "matches": matches, "vectors": adapt.cut(vectors)}
+    return {"proxies": proxies, "lake": labelled, "scores": adapt.cut(scores.select("table_id", "discovery_score")), "matches": matches, "vectors": adapt.cut(vectors)} | ({} if categories is None else {"categories": categories})
 
 
 def aligned_sources(cells: DataFrame, found: dict[str, DataFrame], features: Sequence[str], e: Experiment, flipped: Sequence[str] = ()) -> DataFrame:
@@ -104,7 +111,11 @@ def aligned_sources(cells: DataFrame, found: dict[str, DataFrame], features: Seq
     # as they were judged in ``labelled_lake``
     label = binarize("value", F.col("threshold"), F.col("_low"), F.col("_high"), F.col("direction"))
     label = F.when(F.col("table_id").isin(*flipped), 1 - label).otherwise(label) if flipped else label
-    labels = mine.join(ends, "table_id").select("table_id", "row_id", label.alias("label"))
+    labels = mine.where("value is not null").join(ends, "table_id").select("table_id", "row_id", label.alias("label"))
+    if "categories" in found:
+        said = mine.where("text is not null").join(found["categories"], ["table_id", "text"])
+        turned = F.when(F.col("table_id").isin(*flipped), 1 - F.col("label")).otherwise(F.col("label")) if flipped else F.col("label")
+        labels = labels.unionByName(said.select("table_id", "row_id", turned.alias("label")))
     rows = align.align_tables(cells, matches, features).join(labels, ["table_id", "row_id"])
     total = top.agg(F.sum("discovery_score").alias("_t"))
     weights = top.join(F.broadcast(total)).select("table_id", (F.col("discovery_score") / F.col("_t")).alias("weight"))

@@ -106,11 +106,11 @@ CENSUS = {
 }
 
 
-def census(spark: SparkSession, path: str, most_rows: int = 10_000, income: str = "PINCP", above: float = 50_000) -> DataFrame:
-    """Persons of a census extract: readable names, label by income, a sample that every run repeats."""
+def census(spark: SparkSession, path: str, most_rows: int | None = None, income: str = "PINCP", above: float = 50_000) -> DataFrame:
+    """Persons of a census extract: readable names, label by income; all of them, or a sample that every run repeats."""
     df = _read(spark, path)
     rows = df.select(*[number(c).alias(n) for c, n in CENSUS.items() if c in df.columns], (number(income) > above).cast("int").alias("label")).dropna()
-    return rows.orderBy(F.xxhash64(*rows.columns)).limit(most_rows)
+    return rows if most_rows is None else rows.orderBy(F.xxhash64(*rows.columns)).limit(most_rows)
 
 
 #: fixed values: the label's column, under any of its names, and the values that count as 1, of targets that need no more

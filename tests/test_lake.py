@@ -10,7 +10,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lakeweave.operators import adapt
+from lakeweave.operators import adapt, matching, repurpose
 from lakeweave.plans import pipeline
 from lakeweave.sources import lake, remote, store, targets
 from lakeweave.streaming import ingest
@@ -140,3 +140,46 @@ def test_nothing_needs_the_corpus_operators(tmp_path):
     shutil.copy(top / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path), "PYTHONPATH": str(tmp_path)})
+
+
+def test_words_stand_for_a_concept_from_files_to_labels(spark, tmp_path):
+    """A proxy of words alone is labelled by the pipeline, and columns of words don't meet columns of numbers."""
+    rng = random.Random(4)
+    features = ["age years", "weekly hours", "education level"]
+    d = tmp_path / "lake"
+    d.mkdir()
+    for name in ("people", "staff"):
+        rows = []
+        for _ in range(80):
+            x = [round(rng.gauss(0, 1), 2) for _ in features]
+            rows.append([*x, "high income" if x[0] + x[1] > 0 else "none at all", rng.choice(["age", "hours"])])
+        pd.DataFrame(rows, columns=[*features, "income", "ages years"]).to_csv(d / f"{name}.csv", index=False)
+    cells = adapt.cut(lake.read_directory(spark, f"file://{d}", with_text=True))
+    types = {(r.table_id, r.col): r.is_num for r in lake.column_types(cells).collect()}
+    assert types == {(t, c): c in features for t in ("people", "staff") for c in [*features, "income", "ages years"]}
+    target = spark.createDataFrame([(i, *[rng.gauss(0, 1) for _ in features], i % 2) for i in range(60)], "row_id long, " + ", ".join(f"`{c}` double" for c in features) + ", label int")
+    e = pipeline.Experiment("income", ("income",), k=2, sibling=1.0, table=-1.0, context=-1.0, rest=-1.0, share=0.0, least_columns=2)
+    found = pipeline.discover(spark, lake.manifest_of(cells), cells, target, features, e)
+    kept = {r.table_id: r for r in found["lake"].collect()}
+    assert {t: (r.method, r.threshold, r.kept, r.quality) for t, r in kept.items()} == {t: ("categorical_semantic", None, True, 1.0) for t in ("people", "staff")}
+    assert {(r.src_col, r.tgt_col) for r in found["matches"].collect()} == {(c, c) for c in features}
+    rows = pipeline.aligned_sources(cells, found, features, e).toPandas()
+    assert len(rows) == 160 and ((rows["age years"] + rows["weekly hours"] > 0).astype(int) == rows["label"]).all()
+    turned = pipeline.aligned_sources(cells, found, features, e, flipped=["staff"]).where("table_id = 'staff'").toPandas()
+    assert ((turned["age years"] + turned["weekly hours"] > 0).astype(int) == 1 - turned["label"]).all()
+
+
+def test_words_of_nested_tables_and_hopeless_categories(spark):
+    rows = [["k", "state", "same", "mixed"]] + [[str(i), ["yes", "no", ""][i % 3], "x", "7" if i % 2 else "n/a"] for i in range(9)]
+    nested = spark.createDataFrame([("n", rows)], "table_id string, rows array<array<string>>")
+    cells = lake.parse_nested(nested, with_text=True)
+    assert {(r.col, r.is_num) for r in lake.column_types(cells).collect()} == {("k", True), ("state", False), ("mixed", False)}
+    assert {r.col for r in lake.parse_nested(nested).collect()} == {"k"}
+    many = spark.createDataFrame([("m", i, "p", None, f"w{i}") for i in range(20)] + [("u", i, "p", None, f"w{i % 3}") for i in range(20)], lake.TYPED_CELLS)
+    cells = cells.unionByName(many)
+    proxies = spark.createDataFrame([("n", "state"), ("m", "p"), ("u", "p")], "table_id string, proxy_col string")
+    none = spark.createDataFrame([], "col string, direction string")
+    encoder = matching.HashedNgramEncoder()
+    categories = repurpose.category_labels(cells, proxies, none, encoder, matching.encode_names(spark.createDataFrame([("zebra",)], "name string"), encoder))
+    got = {r.table_id: (r.method, r.reason, r.positive_rate) for r in repurpose.labelled_lake(cells, proxies, none, categories=categories).collect()}
+    assert got == {"n": ("categorical_affirmative", "", 0.5), "m": (None, "high_cardinality", None), "u": (None, "cat_no_mapping", None)}
