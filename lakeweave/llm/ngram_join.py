@@ -336,18 +336,20 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
     bits = _ranges(tokens // 4)
     listed, logs = common_tokens(store, named, tokens, t)
     release(store.spark)
-    ranks = (logs.astype(np.uint64) + np.uint64(1)) << np.uint64(56)
+    known = store.spark.sparkContext.broadcast((listed, logs))  # 9 bytes a token, and 2 ** COMMON_SHARE tokens at most
+    del listed, logs
     rows = store.full(named.select("id", "c")).select("id", "c", "size", "tokens")
 
     def first_parts(batches):
         held, n = [], 0
+        listed, logs = known.value
         for i, c, size, packed in _rows(batches):
             s = expand_sorted(packed)
             short = s >> np.uint64(SET_BITS - TOKEN_BITS)
             order = s.copy()
             if len(listed):
                 at = np.minimum(np.searchsorted(listed, short), len(listed) - 1)
-                order += np.where(listed[at] == short, ranks[at], np.uint64(0))
+                order += np.where(listed[at] == short, (logs[at].astype(np.uint64) + np.uint64(1)) << np.uint64(56), np.uint64(0))
             part = short[np.argsort(order)[: int(t.stored(size))]]
             held.append((part, i, c, size))
             n += len(part)
@@ -407,6 +409,7 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
 
     sent = rows.mapInArrow(first_parts, f"r int, {_ENTRIES}").repartition("r").sortWithinPartitions("r")
     matrix = cut(sent.mapInArrow(units, f"n long, {_ENTRIES}"), "matrix")
+    known.destroy()
     met = matrix.repartition(int(store.spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(match, "ca long, cb long, a long, b long")
     met = cut(met.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("w")).select("ca", "cb", "w.a", "w.b"), "qualifying")
     forget(matrix)

@@ -190,7 +190,10 @@ def test_near_duplicate_edges(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0 and ngram_join.one_of_each(empty(spark)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1_000_000, 7])
+def test_components(spark, monkeypatch, few):
+    """Joined up at once, and in rounds until few links are left."""
+    monkeypatch.setattr("lakeweave.llm.components.FEW", few)
     rng = random.Random(1)
     for edges in ([(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 60)], [(rng.randrange(80), rng.randrange(80)) for _ in range(60)], []):
         near = defaultdict(set)
