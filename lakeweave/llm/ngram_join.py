@@ -40,6 +40,8 @@ COMMON_FROM, COMMON_SHARE = 4, 24
 SET_BITS, TOKEN_BITS = 48, 40
 #: sets that a task holds at a time, rows that it streams past them, and members behind one union
 HELD, CHUNK, BLOCK = 64, 256, 128
+#: sets that a task holds at a time where pairs are given; a row is the pairs of a set with those that are held together
+PAIR_BLOCK = 256
 #: entries of the matrix in a range of tokens, and pairs of entries in a unit of work
 RANGE, PAIRS = 250_000, 2_000_000
 
@@ -154,12 +156,11 @@ def compare_pairs(store: SetStore, pairs: DataFrame, t: Threshold) -> DataFrame:
 
     A block with many pairs is divided by a, so a hub of any number of pairs is held in many tasks.
     """
-    blocks = max(1, pairs.select("b").distinct().count() // HELD)
-    placed = pairs.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(blocks)))
-    counts = placed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
-    placed = placed.join(counts, "g").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")))
-    held = placed.select("g", "chunk", F.col("b").alias("id")).distinct()
-    streamed = placed.groupBy("g", "chunk", F.col("a").alias("id")).agg(F.collect_set("b").alias("others"))
+    blocks = max(1, pairs.select("b").distinct().count() // PAIR_BLOCK)
+    met = pairs.groupBy(F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("g"), F.col("a").alias("id")).agg(F.collect_set("b").alias("others"))
+    counts = met.groupBy("g").agg(F.ceil(F.sum(F.size("others")) / CHUNK).cast("long").alias("chunks"))
+    streamed = cut(met.join(counts, "g").select("g", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "others"), "streamed")
+    held = streamed.select("g", "chunk", F.explode("others").alias("id")).distinct()
     return compare(store.full(held), store.full(streamed), t).select("a", "b").where("a <> b")
 
 
