@@ -318,3 +318,21 @@ def test_importance_and_cross_source_scores(spark):
     assert scores["lcc"] > 0.95 and scores["cslp"] > 0.9 and transfer.leave_one_out([]) == 0.5
     p = adapt.self_trained_with_labels(df.where("row_id < 200"), df.where("row_id >= 200 and row_id < 230"), df.where("row_id >= 230").drop("label", "weight"), ["x", "z"], adapt.Booster(trees=3), rounds=(0.3,))
     assert p.count() == 70 and evaluate.auc(p.join(df.select("row_id", "label"), "row_id"), "label", "p1").first().auc > 0.9
+
+
+@pytest.mark.parametrize("held", [2000, 4])
+def test_neighbours_in_a_group_against_all_pairs(spark, monkeypatch, held):
+    """Groups of one part and of several, ties, repeated names, zeros and a name alone."""
+    monkeypatch.setattr(vectors, "HELD", held)
+    rng = random.Random(3)
+    rows = [(f"t{i % 3}", f"n{i:02}", [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(45)] + [("t0", "n00", [1.0, 0.0, 0.0]), ("alone", "n", [1.0, 2.0, 2.0]), (None, "x", [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "table_id string, name string, vector array<double>").repartition(3)
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    cos = lambda v, w: round(sum(a * b for a, b in zip(v, w, strict=True)) / ((size(v) or 1) * (size(w) or 1)), 9)
+    got = {(r.table_id, r.name): [(round(-x.s, 9), x.n) for x in r._near] for r in vectors.nearest_in_group(df, 3).collect()}
+    for t, n, v in rows:
+        if t in (None, "alone") or (t, n) == ("t0", "n00"):
+            continue
+        assert got[t, n] == [(s, m) for s, m, _ in sorted(((cos(v, w), m, w) for u, m, w in rows if u == t and m != n), key=lambda x: (-x[0], x[1], x[2]))[:3]]
+    blended = {(r.table_id, r.name): r.vector for r in vectors.blended_with_neighbours(df).collect()}
+    assert blended["alone", "n"] == [1.0, 2.0, 2.0] and blended[None, "x"] == [1.0, 0.0, 0.0] and len(blended) == 47
