@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.functions.vectors import centroids, dot
-from lakeweave.operators import joins, transfer
+from lakeweave.operators import fast_transfer, joins, transfer
 from lakeweave.plans.registry import Tables, query
 
 WIDTH = 64
@@ -98,3 +98,30 @@ def transfer_scores(t: Tables) -> DataFrame:
     return transfer.source_scores(sources, v.where("id % 2 = 0").withColumnRenamed("id", "row_id"), [f"x{i}" for i in range(WIDTH)])
 
 
+
+
+def _pseudo_sources(t: Tables) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The odd vectors as five labelled sources, the even ones as the target."""
+    names = [f"x{i}" for i in range(WIDTH)]
+    v = _vectors(t).select("id", "label", *[F.col("vector")[i].cast("double").alias(f"x{i}") for i in range(WIDTH)])
+    sources = v.where("id % 2 = 1").select((F.col("id") % 5).cast("string").alias("table_id"), F.col("id").alias("row_id"), (F.col("label") < 5).cast("int").alias("label"), *names)
+    return sources, v.where("id % 2 = 0").withColumnRenamed("id", "row_id"), names
+
+
+_LOW, _HIGH = ("[" + ", ".join(f"{f}(v[{i}])" for i in range(1, WIDTH + 1)) + "]" for f in ("min", "max"))
+
+
+@query(f"""WITH {_E}, s AS (SELECT vec_id % 5 AS t, (label < 5)::INT AS y, v FROM e WHERE vec_id % 2 = 1),
+ r AS (SELECT t, {_LOW} AS lo, {_HIGH} AS hi, count(*) AS n FROM s GROUP BY t), c AS (SELECT t, y, {_MEAN} AS m FROM s GROUP BY t, y),
+ d AS (SELECT vec_id, t, sqrt(list_sum([((v[i] - m[i]) / (hi[i] - lo[i] + 1e-9)) ** 2 FOR i IN range(1, {WIDTH + 1})])) AS d FROM e, c JOIN r USING (t) WHERE vec_id % 2 = 0),
+ g AS (SELECT vec_id, t, min(d) AS a, max(d) AS b FROM d GROUP BY ALL)
+SELECT t::VARCHAR AS table_id, round(avg((b - a) / (b + 1e-9)), 6) AS pas, any_value(n) AS n_rows FROM g JOIN r USING (t) GROUP BY t""")
+def minmax_pas(t: Tables) -> DataFrame:
+    sources, target, names = _pseudo_sources(t)
+    return fast_transfer.source_scores(sources, target, names).select("table_id", "pas", "n_rows")
+
+
+@query(None)
+def fast_transfer_overall(t: Tables) -> DataFrame:
+    sources, target, names = _pseudo_sources(t)
+    return fast_transfer.overall(fast_transfer.source_scores(sources, target, names), sources, names)
