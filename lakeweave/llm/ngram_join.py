@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm.common import cut, forget, fresh, join_hot, release, scratch, small_batches
 from lakeweave.llm.components import components
-from lakeweave.llm.shingles import Shingler, common, expand, expand_sorted, min_hashes, squeeze, squeeze_sorted
+from lakeweave.llm.shingles import Shingler, common, expand, expand_sorted, min_hashes, mixed, squeeze, squeeze_sorted
 
 MINIMA = 10
 #: minima that two classes share before they are compared to make groups
@@ -406,12 +406,35 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
         for n, *packed in _rows(batches):
             entries, ends = windows(*_unpack(*packed), t)
             for found in candidates(entries, ends, 0, n, t):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["ca", "cb", "a", "b"])
+                part = mixed((found[0] * _LARGE + found[1]).view(np.uint64)) % np.uint64(places)
+                order = np.argsort(part, kind="stable")
+                part, found = part[order], [x[order].view(np.uint64) for x in found]
+                edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+                rows = [(int(part[i]), *(squeeze(x[i:j]) for x in found)) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+                yield _batch(rows, (pa.int32(), *[pa.binary()] * 4), ["r", "ca", "cb", "a", "b"])
+
+    def combine(batches):
+        place, held, n = None, [], 0
+        for r, *packed in _rows(batches):
+            if held and (r != place or n > 500_000):
+                yield once(held)
+                held, n = [], 0
+            place = r
+            held.append([expand(x).view(np.int64) for x in packed])
+            n += len(held[-1][0])
+        if held:
+            yield once(held)
+
+    def once(held):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _once(*(np.concatenate(x) for x in zip(*held, strict=True)))], names=["ca", "cb", "a", "b"])
 
     sent = rows.mapInArrow(first_parts, f"r int, {_ENTRIES}").repartition("r").sortWithinPartitions("r")
     matrix = cut(sent.mapInArrow(units, f"n long, {_ENTRIES}"), "matrix")
     known.destroy()
-    met = matrix.repartition(int(store.spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(match, "ca long, cb long, a long, b long")
+    partitions = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    places = max(8, partitions // 4)  # pairs travel together, and those that met in several rows become one before they are rows
+    pairs = matrix.repartition(partitions).mapInArrow(match, "r int, ca binary, cb binary, a binary, b binary")
+    met = pairs.repartition("r").sortWithinPartitions("r").mapInArrow(combine, "ca long, cb long, a long, b long")
     met = cut(met.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("w")).select("ca", "cb", "w.a", "w.b"), "qualifying")
     forget(matrix)
     release(store.spark)
@@ -419,6 +442,7 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
 
 
 _NAMES = ["tokens", "groups", "ids", "after", "size"]
+_LARGE = np.int64(0x9E3779B1)
 
 
 def _spread(n: str) -> Column:
