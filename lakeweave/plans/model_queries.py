@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.functions.numeric import entropy
-from lakeweave.operators import adapt, align, joins, matching, neural, repurpose
+from lakeweave.operators import adapt, align, joins, matching, neural, order, repurpose
 from lakeweave.plans.registry import Tables, query
 from lakeweave.plans.vector_queries import WIDTH
 from lakeweave.sources import lake
@@ -15,26 +15,48 @@ _TABLES = {"customer": ["c_custkey", "c_nationkey", "c_acctbal"], "supplier": ["
 _BOOSTER = adapt.Booster()
 
 
-def _columns(t: Tables) -> DataFrame:
-    rows = [(n, c.split("_", 1)[1], kind not in ("string", "timestamp")) for n in _TABLES for c, kind in getattr(t, n).dtypes]
-    return t.spark.createDataFrame(rows, "table_id string, name string, is_num boolean")
+_DECILES = [i / 10 for i in range(11)]
+_DECILES_SQL = "[" + ", ".join(str(x) for x in _DECILES) + "]"
+_LAKE_SQL = """c AS (SELECT 'customer' AS table_id, 'nationkey' AS col, c_nationkey::DOUBLE AS v FROM customer UNION ALL SELECT 'customer', 'acctbal', c_acctbal FROM customer
+ UNION ALL SELECT 'supplier', 'nationkey', s_nationkey FROM supplier UNION ALL SELECT 'supplier', 'acctbal', s_acctbal FROM supplier
+ UNION ALL SELECT 'part', 'size', p_size FROM part UNION ALL SELECT 'part', 'retailprice', p_retailprice FROM part
+ UNION ALL SELECT 'orders', 'custkey', o_custkey FROM orders UNION ALL SELECT 'orders', 'totalprice', o_totalprice FROM orders)"""
+_DECILE_COS = "round(list_inner_product(a.q, b.q) / sqrt(list_inner_product(a.q, a.q) * list_inner_product(b.q, b.q)), 6)"
 
 
-def _matched(t: Tables, typed: bool) -> DataFrame:
-    columns = _columns(t)
-    named = columns.join(matching.encode_names(columns, matching.HashedNgramEncoder()), "name")
-    target = named.where("table_id = 'supplier'").drop("table_id")
-    return matching.match_columns(named.where("table_id <> 'supplier'"), target, typed)
+def _described(cells: DataFrame) -> DataFrame:
+    """``table_id, name, is_num, vector``: columns by the deciles of their values, or of the lengths of their words."""
+    text = F.length("text") if "text" in cells.columns else F.lit(None)
+    values = cells.select("table_id", "col", F.coalesce("value", text).cast("double").alias("value"))
+    deciles = order.quantile_arrays(values, ["table_id", "col"], _DECILES, "vector")
+    return deciles.join(lake.column_types(cells), ["table_id", "col"]).select("table_id", F.col("col").alias("name"), "is_num", "vector")
 
 
-@query(None)
+@query(f"""WITH {_LAKE_SQL}, d AS (SELECT table_id, col, quantile_cont(v, {_DECILES_SQL}) AS q FROM c GROUP BY ALL),
+ s AS (SELECT a.table_id, a.col AS src_col, b.col AS tgt_col, {_DECILE_COS} AS sim, list_inner_product(a.q, b.q) / sqrt(list_inner_product(a.q, a.q) * list_inner_product(b.q, b.q)) AS x
+    FROM d a, d b WHERE a.table_id <> 'supplier' AND b.table_id = 'supplier'),
+ p AS (SELECT x.table_id, x.src_col AS a1, x.tgt_col AS b1, y.src_col AS a2, y.tgt_col AS b2, x.sim AS s1, y.sim AS s2, x.x + y.x AS total FROM s x JOIN s y ON x.table_id = y.table_id AND x.src_col < y.src_col AND x.tgt_col <> y.tgt_col),
+ w AS (SELECT table_id, arg_max([{{'s': a1, 't': b1, 'v': s1}}, {{'s': a2, 't': b2, 'v': s2}}], total) AS m FROM p GROUP BY 1), u AS (SELECT table_id, unnest(m) AS m FROM w)
+SELECT table_id, m.s AS src_col, m.t AS tgt_col, m.v AS sim FROM u""")
 def hungarian_align(t: Tables) -> DataFrame:
-    return _matched(t, typed=False)
+    """Columns of three tables, matched to the supplier's by what they hold."""
+    columns = adapt.cut(_described(mini_lake(t)))
+    return matching.match_columns(columns.where("table_id <> 'supplier'"), columns.where("table_id = 'supplier'").drop("table_id"), typed=False)
 
 
-@query(None)
+@query(f"""WITH c AS (SELECT 'customer' AS table_id, 'c_mktsegment' AS col, length(c_mktsegment)::DOUBLE AS v, false AS is_num FROM customer UNION ALL SELECT 'customer', 'c_acctbal', c_acctbal, true FROM customer
+ UNION ALL SELECT 'orders', 'o_orderstatus', length(o_orderstatus), false FROM orders UNION ALL SELECT 'orders', 'o_totalprice', o_totalprice, true FROM orders
+ UNION ALL SELECT 'part', 'p_name', length(p_name), false FROM part UNION ALL SELECT 'part', 'p_size', p_size, true FROM part),
+ d AS (SELECT table_id, col, is_num, quantile_cont(v, {_DECILES_SQL}) AS q FROM c WHERE v IS NOT NULL GROUP BY ALL)
+SELECT a.table_id, a.col AS src_col, b.col AS tgt_col, {_DECILE_COS} AS sim FROM d a JOIN d b ON a.is_num = b.is_num WHERE a.table_id <> 'part' AND b.table_id = 'part'""")
 def type_gated_align(t: Tables) -> DataFrame:
-    return _matched(t, typed=True)
+    """Numbers meet numbers and words meet words, whatever else they are near to."""
+    cells = None
+    for name in ("customer", "orders", "part"):
+        one = lake.to_cells(getattr(t, name), name, *_WORDS[name], with_text=True)
+        cells = one if cells is None else cells.unionByName(one)
+    columns = adapt.cut(_described(cells))
+    return matching.match_columns(columns.where("table_id <> 'part'"), columns.where("table_id = 'part'").drop("table_id"), typed=True)
 
 
 def _scored(t: Tables) -> DataFrame:
@@ -96,14 +118,17 @@ def table_fingerprint_dedup(t: Tables) -> DataFrame:
     return joins.first_of_equal(joins.content_fingerprints(rows, ["v"]))
 
 
-_NESTED = [("n1", [["a", "a", "", "text"], ["1", "2", "3", "x"], ["4", "5%", "3", "y"], ["1,000", "7", "3", "z"]]), ("n2", [["k", "v"], ["1", "n/a"], ["2", "5"], ["3", "6"]])]
-
-
-@query("""SELECT * FROM (VALUES ('n1', 0::BIGINT, 'a', 1.0::DOUBLE), ('n1', 1, 'a', 4.0), ('n1', 2, 'a', 1000.0), ('n1', 0, 'a_1', 2.0), ('n1', 1, 'a_1', 5.0), ('n1', 2, 'a_1', 7.0),
- ('n2', 0, 'k', 1.0), ('n2', 1, 'k', 2.0), ('n2', 2, 'k', 3.0), ('n2', 1, 'v', 5.0), ('n2', 2, 'v', 6.0)) AS c(table_id, row_id, col, value)""")
+@query("""WITH o AS (SELECT o_custkey::VARCHAR AS table_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_id, o_orderkey::DOUBLE AS k, o_totalprice::DOUBLE AS p, (o_orderkey % 3)::DOUBLE AS s FROM orders),
+ c AS (SELECT table_id, row_id, 'key' AS col, k AS value FROM o UNION ALL SELECT table_id, row_id, 'price', p FROM o UNION ALL SELECT table_id, row_id, 'price_1', s FROM o WHERE s > 0),
+ v AS (SELECT table_id, col FROM c GROUP BY ALL HAVING min(value) < max(value))
+SELECT table_id, row_id, col, value FROM c JOIN v USING (table_id, col)""")
 def nested_table_parse(t: Tables) -> DataFrame:
-    tables = t.spark.createDataFrame(_NESTED, "table_id string, rows array<array<string>>")
-    return lake.parse_nested(tables).select("table_id", "row_id", "col", "value")
+    """Each customer's orders as a table of text: repeated and empty headers, thousands separators, per cent signs, words."""
+    share = F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise(F.concat((F.col("o_orderkey") % 3).cast("string"), F.lit("%")))
+    row = F.array(F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.format_number("o_totalprice", 2), share, F.lit(""))
+    rows = t.orders.groupBy(F.col("o_custkey").cast("string").alias("table_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    header = F.array(*[F.lit(h) for h in ("key", "priority", "price", "price", "")])
+    return lake.parse_nested(rows.select("table_id", F.concat(F.array(header), "rows").alias("rows"))).select("table_id", "row_id", "col", "value")
 
 
 def mini_lake(t: Tables) -> DataFrame:
@@ -166,13 +191,19 @@ def align_projection(t: Tables) -> DataFrame:
     return align.align_tables(mini_lake(t), matches, ["nationkey", "acctbal"]).drop("table_id")
 
 
-@query("""WITH p(table_id, schema_sim, dist_sim, label_sim, label_name, positive_rate) AS (VALUES ('a', 0.9, 0.5, 0.8, 'income', 0.5), ('b', 0.7, 0.9, 0.9, ' Label ', 0.2), ('c', 0.2, 0.1, 0.0, 'x', 0.9), ('d', 0.9, 0.5, 0.8, 'BinaryClass', 0.5), ('e', 0.9, 0.5, 0.8, 'outcome', 0.5)),
+_GENERIC = "CASE p_brand[-1:] WHEN '1' THEN ' Label ' WHEN '2' THEN 'BinaryClass' ELSE min(p_type) END"
+
+
+@query(f"""WITH p AS (SELECT p_brand AS table_id, round(avg(p_size) / 50, 6) AS schema_sim, round(min(p_size) / 50.0, 6) AS dist_sim, round(max(p_size) / 50.0, 6) AS label_sim, {_GENERIC} AS label_name, round(avg((p_size > 25)::INT), 6) AS positive_rate FROM part GROUP BY p_brand),
  s AS (SELECT table_id, round((0.6 * (0.7 * schema_sim + 0.3 * dist_sim) + 0.4 * CASE WHEN lower(trim(label_name)) IN ('label','class','target','y','binaryclass','labels','classes','targets') THEN 0 ELSE label_sim END) * greatest(0, 1 - 0.15 * abs(positive_rate - 0.4)), 6)::DOUBLE AS discovery_score FROM p)
 SELECT * FROM s WHERE discovery_score >= 0.3""")
 def discovery_score(t: Tables) -> DataFrame:
-    rows = [("a", 0.9, 0.5, 0.8, "income", 0.5), ("b", 0.7, 0.9, 0.9, " Label ", 0.2), ("c", 0.2, 0.1, 0.0, "x", 0.9), ("d", 0.9, 0.5, 0.8, "BinaryClass", 0.5), ("e", 0.9, 0.5, 0.8, "outcome", 0.5)]
-    parts = t.spark.createDataFrame(rows, "table_id string, schema_sim double, dist_sim double, label_sim double, label_name string, positive_rate double")
-    return align.discovery_scores(parts, 0.4, least=0.3)
+    """Brands as sources, with scores made of their parts' sizes; some have labels that say nothing."""
+    last = F.substring("table_id", -1, 1)
+    size = F.col("p_size").cast("double")
+    parts = t.part.groupBy(F.col("p_brand").alias("table_id")).agg(F.round(F.avg(size) / 50, 6).alias("schema_sim"), F.round(F.min(size) / 50, 6).alias("dist_sim"), F.round(F.max(size) / 50, 6).alias("label_sim"), F.min("p_type").alias("_type"), F.round(F.avg((size > 25).cast("int")), 6).alias("positive_rate"))
+    named = parts.withColumn("label_name", F.when(last == "1", " Label ").when(last == "2", "BinaryClass").otherwise(F.col("_type")))
+    return align.discovery_scores(named, 0.4, least=0.3)
 
 
 def adaptation_tables(t: Tables) -> tuple[DataFrame, DataFrame, list[str]]:

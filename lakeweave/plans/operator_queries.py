@@ -59,72 +59,11 @@ def coverage_gates(t: Tables) -> DataFrame:
     return align.alignment_gates(_matches(t), mini_lake(t), 3, least_columns=1, least_coverage=0.3, least_sim=0.35)
 
 
-@query(f"WITH {_MATCHES_SQL} SELECT table_id, round(avg(sim), 6) AS schema_sim FROM m GROUP BY 1")
+@query("SELECT p_brand AS table_id, round(avg(round(p_size / 50.0, 6)), 6) AS schema_sim FROM part GROUP BY 1")
 def schema_similarity(t: Tables) -> DataFrame:
-    return matching.schema_similarity(_matches(t))
-
-
-@query(f"""WITH {_E}, {_C}, n AS (SELECT vec_id, label, {_COS.format("v", "m")} AS s, k FROM e, c),
- l AS (SELECT label AS t, max(s) AS label_score FROM n WHERE k = 0 GROUP BY 1 HAVING max(s) >= 0.2), v AS (SELECT label AS t, count(DISTINCT k) AS n FROM n WHERE s >= 0.3 GROUP BY 1),
- b AS (SELECT t, label_score, round(coalesce(n, 0) / 10, 6) AS coverage FROM l LEFT JOIN v USING (t))
-SELECT t AS table_id, round(label_score, 6) AS label_score, coverage, round(label_score * (1 + coverage), 6) AS score FROM b ORDER BY score DESC, table_id LIMIT 6""")
-def column_index(t: Tables) -> DataFrame:
-    names = t.embeddings.select(F.col("vec_id").alias("name_id"), F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("vector"))
-    from lakeweave.functions.vectors import unit
-
-    means = centroids(t.embeddings.select("label", F.col("embedding").alias("vector")), ["label"], "vector", "vector", WIDTH).select(F.col("label").cast("string").alias("name"), "vector")
-    where = t.embeddings.select(F.col("label").alias("table_id"), F.lit(0).alias("pos"), F.col("vec_id").alias("name_id"))
-    return index.candidates(names.withColumn("vector", unit("vector")), where, means.where("name = '0'"), means, k=2, least=0.2, match=0.3, multiple=3)
-
-
-@query("""WITH s AS (SELECT source, avg(quality) AS rate, round(avg(n_chars / (n_chars + 1500.0::DOUBLE)), 6) AS d FROM documents JOIN labels USING (doc_id) GROUP BY 1),
- a AS (SELECT ln(1 + count(*)) / ln(1 + 100) AS y, (max(d) + avg(d)) / 2 AS q, 1 - stddev_pop(d) AS c, avg(1 - abs(rate - 0.7)) AS l, count(*) AS n FROM s)
-SELECT round(y, 6) AS yield, round(q, 6) AS quality, round(c, 6) AS consistency, round(l, 6) AS label_shift, round((y + q + c + l) / 4, 6) AS overall, n AS n_sources FROM a""")
-def true_composite(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "source", "n_chars").join(t.labels, "doc_id")
-    scores = rows.groupBy("source").agg(F.avg("quality").alias("positive_rate"), F.round(F.avg(F.col("n_chars") / (F.col("n_chars") + 1500.0)), 6).alias("discovery_score"))
-    return transfer.true_composite(scores, 100, 0.7)
-
-
-@query("""WITH s AS (SELECT c_acctbal AS v, 1 AS a, 0 AS b FROM customer UNION ALL SELECT s_acctbal, 0, 1 FROM supplier), g AS (SELECT v, sum(a) AS a, sum(b) AS b FROM s GROUP BY 1),
- k AS (SELECT abs(sum(a) OVER w / sum(a) OVER () - sum(b) OVER w / sum(b) OVER ()) AS gap FROM g WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)) SELECT round(1 - round(max(gap), 6), 6) AS overlap FROM k""")
-def feature_overlap(t: Tables) -> DataFrame:
-    left, right = profile.long_numbers(t.customer, ["c_acctbal"]), profile.long_numbers(t.supplier, ["s_acctbal"])
-    return transfer.feature_overlap(distance.ks_matrix(left, right))
-
-
-@query("""WITH r AS (SELECT l_quantity AS q, l_discount AS d, l_extendedprice AS y FROM lineitem),
- k AS (SELECT *, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS rq, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0 AS rd, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM r)
-SELECT 'l_quantity' AS score, count(*) AS n, round(corr(q, y), 6) AS pearson, round(corr(rq, ry), 6) AS spearman FROM k UNION ALL SELECT 'l_discount', count(*), round(corr(d, y), 6), round(corr(rd, ry), 6) FROM k""")
-def score_correlations(t: Tables) -> DataFrame:
-    found = transfer.score_correlations(t.lineitem, ["l_quantity", "l_discount"], "l_extendedprice")
-    return found.select("score", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
-
-
-@query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted_mean FROM lineitem GROUP BY 1")
-def weighted_mean(t: Tables) -> DataFrame:
-    return ranking.weighted_mean(t.lineitem, ["l_returnflag"], "l_extendedprice", "l_quantity").withColumn("weighted_mean", F.round("weighted_mean", 4))
-
-
-@query("SELECT DISTINCT p_type AS name FROM part WHERE lower(trim(p_type)) IN (SELECT lower(trim(p_type)) FROM part WHERE p_size <= 5)")
-def name_intersection(t: Tables) -> DataFrame:
-    left = t.part.select(F.col("p_type").alias("name"))
-    return joins.common_names(left, t.part.where("p_size <= 5").select(F.concat(F.lit(" "), F.upper("p_type")).alias("name")))
-
-
-@query(f"""WITH r AS (SELECT c_custkey, unnest(range(20)) AS replica FROM customer), u AS (SELECT *, {_UNIFORM.format("c_custkey || '/' || replica")} AS u FROM r),
- p AS (SELECT k, exp(-1.0::DOUBLE) * list_sum([1.0 / coalesce(list_product(range(1, i + 1)), 1) FOR i IN range(k + 1)]) AS c FROM (SELECT unnest(range(7)) AS k)),
- x AS (SELECT replica, (SELECT count(*) FROM p WHERE c <= u) AS times FROM u)
-SELECT replica, count(*) AS rows, sum(times)::BIGINT AS drawn FROM x WHERE times > 0 GROUP BY 1""")
-def bootstrap_resamples(t: Tables) -> DataFrame:
-    drawn = sampling.bootstrap(t.customer.select("c_custkey"), "c_custkey", 20)
-    return drawn.groupBy("replica").agg(F.count(F.lit(1)).alias("rows"), F.sum("times").cast("long").alias("drawn"))
-
-
-@query(f"""SELECT c_custkey, CASE WHEN {_UNIFORM.format("c_custkey")} < 0.8 THEN 'train' ELSE 'test' END AS part FROM customer""")
-def train_test_split(t: Tables) -> DataFrame:
-    a, b = sampling.split(t.customer.select("c_custkey"), "c_custkey", 0.8)
-    return a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("test")))
+    """Brands as tables whose parts are columns, matched as well as they are large."""
+    matches = t.part.select(F.col("p_brand").alias("table_id"), F.col("p_name").alias("src_col"), F.col("p_type").alias("tgt_col"), F.round(F.col("p_size") / 50.0, 6).alias("sim"))
+    return matching.schema_similarity(matches)
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 1000.0 WHEN 4 THEN -1000.0 ELSE least(greatest(l_extendedprice, -1000.0), 1000.0) END::DOUBLE AS x FROM lineitem""")
@@ -133,17 +72,28 @@ def finite_numbers(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", numeric.finite(odd.otherwise(F.col("l_extendedprice")), 1000.0).alias("x"))
 
 
-_REPLIES = ['{"prediction": 1, "confidence": 0.8}', "<think>0 or 1?</think> ```json {'label': 0, \"probability\": 1.7}```", "1", "answer = 0", "no idea", "NEGATIVE", "it is Positive", "Confidence: .25 prediction: 1"]
 _BODY = r"regexp_replace(split_part(reply, '</think>', -1), '```(json)?', '', 'g')"
+#: turns as replies, by turn: stated, after a reasoning part and fenced, bare, in words, and as they are
+_REPLY_SQL = """CASE turn % 5 WHEN 0 THEN '{"prediction": ' || conv_id % 2 || ', "confidence": 0.' || conv_id % 10 || '}' WHEN 1 THEN '<think>' || t || ' label: 0</think> ```json {"label": ' || conv_id % 2 || ', "probability": 1.7}```'
+ WHEN 2 THEN ' ' || conv_id % 3 || ' ' WHEN 3 THEN 'The answer = ' || conv_id % 2 || CASE conv_id % 3 WHEN 0 THEN ' (negative)' ELSE ' positive' END ELSE t END"""
 
 
-@query("WITH r(reply) AS (VALUES " + ", ".join("('" + r.replace("'", "''") + "')" for r in _REPLIES) + rf"""), b AS (SELECT reply, {_BODY} AS b FROM r)
-SELECT reply, coalesce(nullif(regexp_extract(b, '(?i)"?(?:prediction|label|answer)"?\s*[:=]\s*"?([01])', 1), ''), nullif(regexp_extract(b, '^\s*([01])\s*$', 1), ''))::INT AS prediction,
+@query(rf"""WITH r AS (SELECT conv_id, turn, {_REPLY_SQL} AS reply FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)), b AS (SELECT *, {_BODY} AS b FROM r)
+SELECT conv_id, turn, coalesce(nullif(regexp_extract(b, '(?i)"?(?:prediction|label|answer)"?\s*[:=]\s*"?([01])', 1), ''), nullif(regexp_extract(b, '^\s*([01])\s*$', 1), ''))::INT AS prediction,
  least(greatest(coalesce(try_cast(regexp_extract(reply, '(?i)"?(?:confidence|probability)"?\s*[:=]\s*"?([0-9]*\.?[0-9]+)', 1) AS DOUBLE), 0.5), 0), 1) AS confidence,
  CASE WHEN upper(reply) LIKE '%NEGATIVE%' THEN 'NEGATIVE' ELSE 'POSITIVE' END AS direction FROM b""")
 def reply_parsing(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(r,) for r in _REPLIES], "reply string")
-    return rows.select("reply", text.reply_prediction("reply").alias("prediction"), text.reply_confidence("reply").alias("confidence"), text.reply_direction("reply").alias("direction"))
+    said, c = F.coalesce("text", F.lit("")), F.col("conv_id")
+    digit = lambda n: (c % n).cast("string")
+    kinds = [
+        F.concat(F.lit('{"prediction": '), digit(2), F.lit(', "confidence": 0.'), digit(10), F.lit("}")),
+        F.concat(F.lit("<think>"), said, F.lit(' label: 0</think> ```json {"label": '), digit(2), F.lit(', "probability": 1.7}```')),
+        F.concat(F.lit(" "), digit(3), F.lit(" ")),
+        F.concat(F.lit("The answer = "), digit(2), F.when(c % 3 == 0, " (negative)").otherwise(" positive")),
+        said,
+    ]
+    rows = t.conversations.select("conv_id", "turn", F.element_at(F.array(*kinds), (F.col("turn") % 5 + 1).cast("int")).alias("reply"))
+    return rows.select("conv_id", "turn", text.reply_prediction("reply").alias("prediction"), text.reply_confidence("reply").alias("confidence"), text.reply_direction("reply").alias("direction"))
 
 
 @query(f"""WITH {_E}, {_C}, g AS (SELECT m FROM c WHERE k IN (0, 1)), s AS (SELECT vec_id, max({_COS.format("v", "m")}) AS s FROM e, g GROUP BY 1) SELECT vec_id AS table_id, round(s, 6) AS similarity FROM s WHERE round(s, 6) >= 0.1""")

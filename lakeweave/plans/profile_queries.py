@@ -47,16 +47,18 @@ def null_constant_prune(t: Tables) -> DataFrame:
     return a.unionByName(profile.column_profile(t.orders, ["o_orderstatus", "o_orderpriority", "o_custkey"]))
 
 
-_HEADERS = ["age", "Row_Num", "rownum", "PK", "seq", "occupation_code", "link count", "customer id", "income per year", "x", "7", "is this a question?", "ends with a stop.", "hours worked weekly", "one two three four five six", "url", "z" * 70, " padded ", "education_num"]
-
-
-@query("""WITH h(name) AS (VALUES """ + ", ".join(f"('{h}')" for h in _HEADERS) + r""")
+@query(r"""WITH h AS (SELECT DISTINCT name FROM (SELECT left(text, (1 + doc_id % 75)::INT) AS name FROM documents UNION ALL SELECT p_name FROM part UNION ALL SELECT n_name FROM nation
+ UNION ALL SELECT CASE o_orderkey % 4 WHEN 0 THEN ' Row_Num' WHEN 1 THEN 'PK ' WHEN 2 THEN 'order ' || o_orderkey || '?' ELSE o_orderkey::VARCHAR END FROM orders) WHERE name IS NOT NULL)
 SELECT name, length(trim(name)) > 0 AND length(trim(name)) <= 60 AND len(regexp_split_to_array(trim(name), '\s+')) <= 5
  AND NOT contains(trim(name), '?') AND NOT ends_with(trim(name), '.') AND NOT regexp_matches(trim(name), '^(?i:id|idx|index|row_id|rowid|row_num|rownum|seq|key|pk|uuid|guid)$') AS is_feature,
  length(trim(name)) <= 1 OR try_cast(name AS DOUBLE) IS NOT NULL AS is_cryptic FROM h""")
 def feature_name_predicate(t: Tables) -> DataFrame:
-    names = t.spark.createDataFrame([(h,) for h in _HEADERS], "name string")
-    return names.select("name", text.is_feature_name("name").alias("is_feature"), text.is_cryptic_name("name").alias("is_cryptic"))
+    """Heads of documents, names of parts and nations, and keys as column names."""
+    key = F.col("o_orderkey").cast("string")
+    kind = F.when(F.col("o_orderkey") % 4 == 0, " Row_Num").when(F.col("o_orderkey") % 4 == 1, "PK ").when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("order "), key, F.lit("?"))).otherwise(key)
+    heads = t.documents.select(F.substring("text", F.lit(1), (1 + F.col("doc_id") % 75).cast("int")).alias("name"))
+    names = heads.unionByName(t.part.select(F.col("p_name").alias("name"))).unionByName(t.nation.select(F.col("n_name").alias("name"))).unionByName(t.orders.select(kind.alias("name")))
+    return names.where("name is not null").distinct().select("name", text.is_feature_name("name").alias("is_feature"), text.is_cryptic_name("name").alias("is_cryptic"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name, '(?i)(?:steel)|(?:brass)|(?:^a)|(?:9$)')")

@@ -100,14 +100,11 @@ def value_overlap_join(t: Tables) -> DataFrame:
     return joins.value_overlaps(values)
 
 
-_LEFT = ["Age", " income", "Hours_Worked", "sex"]
-_RIGHT = ["age", "INCOME ", "hours worked", "race"]
-
-
-@query("WITH l(a) AS (VALUES " + ",".join(f"('{x}')" for x in _LEFT) + "), r(b) AS (VALUES " + ",".join(f"('{x}')" for x in _RIGHT) + ") SELECT a AS left_name, b AS right_name FROM l JOIN r ON lower(trim(a)) = lower(trim(b))")
+@query("""WITH l AS (SELECT DISTINCT upper(p_type) || ' ' AS a FROM part), r AS (SELECT DISTINCT ' ' || p_type AS b FROM part WHERE p_size < 25)
+SELECT a AS left_name, b AS right_name FROM l JOIN r ON lower(trim(a)) = lower(trim(b))""")
 def name_align(t: Tables) -> DataFrame:
-    left, right = (t.spark.createDataFrame([(x,) for x in names], "name string") for names in (_LEFT, _RIGHT))
-    return joins.name_matches(left, right)
+    left = t.part.select(F.concat(F.upper("p_type"), F.lit(" ")).alias("name")).distinct()
+    return joins.name_matches(left, t.part.where("p_size < 25").select(F.concat(F.lit(" "), F.col("p_type")).alias("name")).distinct())
 
 
 @query("""WITH s AS (SELECT DISTINCT p_brand AS table_id, lower(trim(p_type)) AS a FROM part), g AS (SELECT DISTINCT lower(trim(p_type)) AS b FROM part WHERE p_size <= 2)
