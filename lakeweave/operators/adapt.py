@@ -316,10 +316,19 @@ def pooled_with_validation(sources: DataFrame, validation: DataFrame, target: Da
 
 
 def fine_tuned(sources: DataFrame, validation: DataFrame, target: DataFrame, features: Sequence[str], booster: Booster, extra: Booster = Booster(trees=50)) -> DataFrame:
-    """A second model on labelled target rows that sees the first one's prediction as a feature (trees can't be appended)."""
+    """The lake's model with ``extra`` trees appended to it that are grown on labelled target rows. With more of these than
+    a task holds (``boosters.MOST_CELLS`` values), a second model sees the first one's prediction as a feature instead."""
     first = fit(sources, features, booster)
-    stage = lambda df: first(df).withColumnRenamed("p1", "lake_p")
-    return result(fit(stage(validation).drop("weight"), [*features, "lake_p"], extra)(stage(target)), "vla_finetune")
+    odds = F.log(F.greatest("p1", F.lit(1e-9)) / F.greatest(1 - F.col("p1"), F.lit(1e-9)))
+    if validation.count() * len(features) > boosters.MOST_CELLS:
+        stage = lambda df: first(df).withColumnRenamed("p1", "lake_p")
+        return result(fit(stage(validation).drop("weight"), [*features, "lake_p"], extra)(stage(target)), "vla_finetune")
+    known = first(validation).withColumns({"_start": odds, "_model": F.lit(0)})
+    more = cut(boosters.fit_many(known, features, extra, ["_model"], None, bounded=True, start="_start")[0])
+    said = first(target.select("row_id", *features)).withColumn("_start", odds).drop("p1")
+    both = boosters.predict_many(more, said, features, ["_model"])
+    added = F.log(F.greatest("p1", F.lit(1e-9)) / F.greatest(1 - F.col("p1"), F.lit(1e-9)))
+    return result(both.withColumn("p1", F.round(1 / (1 + F.exp(-(F.col("_start") + added))), 9)), "vla_finetune")
 
 
 def blend_weight(n_labelled: Column | int, evidence: Column | float) -> Column:

@@ -100,17 +100,18 @@ def _edges(x: np.ndarray) -> np.ndarray:
     return np.unique(np.quantile(x, np.linspace(0, 1, _BINS + 1)[1:-1]))
 
 
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, booster: Booster) -> Trees:
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, booster: Booster, start: np.ndarray | None = None) -> Trees:
     """A model of one group's rows. ``x`` has NaN for missing values; weights count relative to their mean. With a single
-    class it always tells that class."""
+    class it always tells that class. ``start``: what another model says of the rows (log-odds); the trees then add to it
+    and have no base of their own, and a single class is no exception."""
     middle = np.array([np.median(c[~np.isnan(c)]) if not np.isnan(c).all() else 0.0 for c in x.T]) if len(x) else np.zeros(x.shape[1])
     none = np.empty((0, 1))
     w = w / w.mean() if len(w) and w.sum() > 0 else np.ones(len(y))
     rate = float(np.average(y, weights=w)) if len(y) else 0.5
-    if rate in (0.0, 1.0) or not len(y) or not booster.trees:
+    if (start is None and rate in (0.0, 1.0)) or not len(y) or not booster.trees:
         base = np.inf if rate == 1 else -np.inf if rate == 0 else float(np.log(rate / (1 - rate)))
-        return Trees(base, middle, none, none, none, none)
-    base = float(np.log(rate / (1 - rate)))
+        return Trees(0.0 if start is not None else base, middle, none, none, none, none)
+    base = 0.0 if start is not None else float(np.log(rate / (1 - rate)))
     full = Trees(base, middle, none, none, none, none).inputs(x)
     edges = [_edges(c) for c in full.T]
     used = np.array([f for f, e in enumerate(edges) if len(e)], np.int64)
@@ -123,10 +124,10 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, booster: Booster) -> Trees
     for i, f in enumerate(used):
         cuts[i, : len(edges[f])] = edges[f]
     rng = np.random.default_rng(booster.seed)
-    margin = np.full(len(y), base)
+    margin = np.full(len(y), base) if start is None else np.clip(start, -30, 30)
     n_columns = max(1, round(float(booster.columns) * len(used))) if len(used) else 0
     for t in range(booster.trees):
-        p = 1 / (1 + np.exp(-margin))
+        p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
         g, h = w * (p - y), w * p * (1 - p)
         drawn = np.flatnonzero(rng.random(len(y)) < booster.rows)
         columns = np.sort(rng.choice(len(used), n_columns, replace=False)) if n_columns else np.empty(0, np.int64)
@@ -164,17 +165,18 @@ def _matrix(pdf: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
     return np.stack([pdf[c].to_numpy(float) for c in names], 1) if len(names) else np.empty((len(pdf), 0))
 
 
-def fit_many(train: DataFrame, features: Sequence[str], booster: Booster, by: Sequence[str], weight: str | None = "weight", bounded: bool = False) -> tuple[DataFrame, DataFrame]:
+def fit_many(train: DataFrame, features: Sequence[str], booster: Booster, by: Sequence[str], weight: str | None = "weight", bounded: bool = False, start: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(models, large): a model of ``label`` for each value of ``by`` (``by`` and the columns of MODEL), and the values of
     ``by`` with more than MOST_CELLS values, for which there is none.
 
     One shuffle of the features; rows without a label play no part. Each group is fitted in its own task, in an order of
     its own rows that doesn't depend on how they arrive, so repeated runs agree. ``bounded``: the caller has counted.
+    ``start``: a column with another model's log-odds, to which the trees are appended.
     """
     names = list(features)
     x = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)]
     w = F.col(weight).cast("double") if weight and weight in train.columns else F.lit(1.0)
-    rows = train.where(F.col("label").isNotNull()).select(*by, *x, F.col("label").cast("double").alias("_y"), w.alias("_w"))
+    rows = train.where(F.col("label").isNotNull()).select(*by, *x, F.col("label").cast("double").alias("_y"), w.alias("_w"), (F.col(start) if start else F.lit(0.0)).cast("double").alias("_s"))
     large = rows.select(*by).where("false")
     if not bounded:
         large = rows.groupBy(*by).count().where(F.col("count") * max(1, len(names)) > MOST_CELLS).select(*by)
@@ -185,8 +187,8 @@ def fit_many(train: DataFrame, features: Sequence[str], booster: Booster, by: Se
     keys = list(by)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.lexsort([pdf[c].to_numpy(float) for c in (*columns, "_y", "_w")])]
-        trees = grow(_matrix(pdf, columns), pdf["_y"].to_numpy(float), pdf["_w"].fillna(0.0).to_numpy(float), booster)
+        pdf = pdf.iloc[np.lexsort([pdf[c].to_numpy(float) for c in (*columns, "_y", "_w", "_s")])]
+        trees = grow(_matrix(pdf, columns), pdf["_y"].to_numpy(float), pdf["_w"].fillna(0.0).to_numpy(float), booster, pdf["_s"].to_numpy(float) if start else None)
         return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | trees.pack()])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema) + ", " + MODEL

@@ -33,7 +33,7 @@ def run(spark: SparkSession, manifest: DataFrame, cells: DataFrame, target: Data
     names = [r[0] for r in sources.select("table_id").distinct().collect()]  # e.k at most
     scores = {r["table_id"]: r["discovery_score"] for r in found["scores"].where(F.col("table_id").isin(*names)).collect()}
     volume = pipeline.volume_rows(cells, found, sources, features, e)
-    metrics = pipeline.run_levels(sources, test, features, scores, e.booster, volume=None if volume.isEmpty() else volume)
+    metrics = pipeline.run_levels(sources, test, features, scores, e.booster, volume=None if volume.isEmpty() else volume, known=known)
     return out | {"metrics": metrics}
 
 
@@ -108,3 +108,61 @@ def filter_combinations(found: dict[str, DataFrame], proxies: DataFrame, concept
     combinations = F.array(*[F.lit("+".join(n for i, n in enumerate(names) if c >> i & 1) or "none") for c in range(1 << len(names))])
     needed = F.filter(combinations, lambda c: F.aggregate(F.array(*[passes[n] | ~F.contains(c, F.lit(n)) for n in names]), F.lit(True), lambda a, x: a & x))
     return marks.select("table_id", F.explode(needed).alias("combination"))
+
+
+#: what is made of a share of the target's labels, by name
+METHODS = ("target_only", "pooled", "fine_tuned", "self_trained", "blended", "routed", "stacked")
+
+
+def _method(name: str, sources: DataFrame, features: Sequence[str], booster: adapt.Booster, evidence: float) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """(labelled rows, rows to tell, seed) -> result, for one of METHODS."""
+
+    def own(known: DataFrame, rest: DataFrame) -> DataFrame:
+        return adapt.result(adapt.fit(known, features, booster, None)(rest), "target_only")
+
+    def blended(known: DataFrame, rest: DataFrame) -> DataFrame:
+        n = known.count()
+        return adapt.blended(adapt.baseline_c(sources, rest, features, booster), own(known, rest), n / (n + evidence) if n + evidence else 0.0)
+
+    def stacked(known: DataFrame, rest: DataFrame) -> DataFrame:
+        p = adapt.source_predictions(sources, known.select("row_id", *features).unionByName(rest.select("row_id", *features)), features, booster)
+        return adapt.stacked(p, known, rest, features, booster)
+
+    each = {
+        "target_only": own, "blended": blended, "stacked": stacked,
+        "pooled": lambda known, rest: adapt.pooled_with_validation(sources, known, rest, features, booster),
+        "fine_tuned": lambda known, rest: adapt.fine_tuned(sources, known, rest, features, booster),
+        "self_trained": lambda known, rest: adapt.self_trained_with_labels(sources, known, rest, features, booster),
+        "routed": lambda known, rest: adapt.routed(sources, known, rest, features, booster)[1],
+    }
+    return lambda known, rest, seed: each[name](known, rest)
+
+
+def semi_supervised(sources: DataFrame, target: DataFrame, features: Sequence[str], booster: adapt.Booster = adapt.Booster(), fractions: Sequence[float] = (0.05, 0.10, 0.20), seeds: Sequence[int] = (0, 1, 2), methods: Sequence[str] = METHODS, evidence: float = 100.0) -> DataFrame:
+    """``method, fraction, auc_mean, auc_std``: what each method makes of a share of the target's labels, judged on the
+    rest, over seeds. ``target``: row_id, label and features; ``evidence`` is what the lake's model weighs in rows."""
+    from lakeweave.operators.evaluate import over_seeds
+
+    out = None
+    for m in methods:
+        curve = pipeline.label_curve(target, fractions, seeds, _method(m, sources, features, booster, evidence)).withColumn("method", F.lit(m))
+        out = curve if out is None else out.unionByName(curve)
+    return over_seeds(out, ["method", "fraction"], ["auc"])
+
+
+def cold_start(sources: DataFrame, target: DataFrame, features: Sequence[str], scores: dict[str, float], booster: adapt.Booster = adapt.Booster(), weeks: int = 10) -> DataFrame:
+    """``week, n_labelled, alpha, auc``: half of the target's labels arrive week by week, the other half judges the blend of
+    the lake's model and one of the labels so far. The lake weighs the sum of score x min(rows, 1000) of its sources."""
+    known, test = (adapt.cut(df) for df in split(target, "row_id", 0.5))
+    names = sources.sparkSession.createDataFrame([(k, float(v)) for k, v in scores.items()], f"table_id {sources.schema['table_id'].dataType.simpleString()}, s double")
+    sizes = sources.groupBy("table_id").agg(F.least(F.count(F.lit(1)), F.lit(1000)).alias("n")).join(names, "table_id")
+    evidence = sizes.agg(F.sum(F.col("s") * F.col("n"))).first()[0] or 0.0
+    told = adapt.cut(adapt.baseline_c(sources, test.drop("label"), features, booster))
+    return pipeline.cold_start(known, test, features, told, float(evidence), booster, weeks)
+
+
+def compare_lakes(spark: SparkSession, root: str, lakes: dict[str, tuple[DataFrame, DataFrame]], target: DataFrame, features: Sequence[str], e: Experiment) -> DataFrame:
+    """``target`` and a column for each lake (name: manifest, cells): the gap to the oracle that its best level closes. The
+    metrics of each lake are stored, so that a comparison goes on where it stopped."""
+    found = sweep(spark, root, "lakes", [{"target": e.label, "lake": name} for name in lakes], lambda s: run(spark, *lakes[s["lake"]], target, features, e)["metrics"])
+    return pipeline.compared(found, "lake", list(lakes))

@@ -130,10 +130,11 @@ def volume_rows(cells: DataFrame, found: dict[str, DataFrame], used: DataFrame,
     return align.align_tables(cells, found["matches"].join(rest, "table_id", "left_semi"), features)
 
 
-def run_levels(sources: DataFrame, target: DataFrame, features: Sequence[str], scores: dict[str, float], booster: adapt.Booster = adapt.Booster(), rounds: Sequence[float] | None = None, volume: DataFrame | None = None) -> DataFrame:
+def run_levels(sources: DataFrame, target: DataFrame, features: Sequence[str], scores: dict[str, float], booster: adapt.Booster = adapt.Booster(), rounds: Sequence[float] | None = None, volume: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Steps 3 and 4: ``level, accuracy, f1, auc`` and their deltas; ``target`` has a ``label`` for the evaluation only.
 
-    The threshold meets the sources' class rate, never the target's. ``rounds`` of self-training: the operator's, if None. ``volume``: see ``volume_rows``.
+    The threshold meets the sources' class rate, never the target's. ``rounds`` of self-training: the operator's, if None. ``volume``: see
+    ``volume_rows``. ``known``: labelled rows of the target apart from those; they teach the ``oracle`` alone.
     """
     plain = target.drop("label")
     features = adapt.common_features(sources, plain, features)
@@ -152,6 +153,7 @@ def run_levels(sources: DataFrame, target: DataFrame, features: Sequence[str], s
     ]
     many = adapt.source_ensemble(sources, plain, features, scores, booster)
     out += [many] if many is not None else []
+    out += [adapt.oracle(known, plain, features, booster)] if known is not None else []
     all_levels = out[0]
     for r in out[1:]:
         all_levels = all_levels.unionByName(r)

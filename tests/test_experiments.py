@@ -154,3 +154,39 @@ def test_command_line(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(experiments, "run", lambda s, m, c, t, f, e, **k: asked.update(n=m.count(), f=sorted(f), rows=t.count(), k=e.k) or {x: spark.range(1) for x in ("lake", "scores", "matches", "metrics")})
     cli.main(["run", "--lake", f"file://{tmp_path}/t*.csv", "--target", f"file://{tmp_path}/goal/goal.parquet", "--label", "rich", "--concepts", "income", "--out", f"file://{tmp_path}/out", "--k", "3"])
     assert asked == {"n": 3, "f": sorted(FEATURES), "rows": 80, "k": 3} and (tmp_path / "out" / "metrics" / "_SUCCESS").exists()
+
+
+def test_labels_by_share_and_by_week(spark, tmp_path, monkeypatch):
+    """Every method over a share of labels, labels that arrive, and lakes compared; sources say the opposite of one feature."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(f"s{i % 3}", i, float(x := rng.normal()), float(rng.normal()), int(x > 0), 1.0) for i in range(240)]
+    sources = adapt.cut(spark.createDataFrame(rows, "table_id string, row_id long, x double, z double, label int, weight double"))
+    target = adapt.cut(spark.createDataFrame([(i, float(x := rng.normal()), float(rng.normal()), int(x > 0)) for i in range(160)], "row_id long, x double, z double, label int"))
+    tiny = adapt.Booster(trees=5, depth=2, rate=0.3)
+    got = {r.method: (r.fraction, r.auc_mean, r.auc_std) for r in experiments.semi_supervised(sources, target, ["x", "z"], tiny, (0.25,), (1,)).collect()}
+    assert set(got) == set(experiments.METHODS) and all(f == 0.25 and m > 0.9 and s == 0 for f, m, s in got.values())
+    weeks = experiments.cold_start(sources, target, ["x", "z"], {"s0": 0.5, "s1": 0.1}, tiny, 3).orderBy("week").collect()
+    assert [w.week for w in weeks] == [1, 2, 3] and weeks[-1].n_labelled > weeks[0].n_labelled and all(w.auc > 0.9 for w in weeks)
+    assert [round(w.n_labelled / (w.n_labelled + 48), 6) for w in weeks] == [w.alpha for w in weeks]
+    metrics = {"own": [("baseline_c", 0.6), ("level2", 0.7), ("oracle", 0.8)], "other": [("baseline_c", 0.6), ("level2", 0.75), ("oracle", 0.8)]}
+    monkeypatch.setattr(experiments, "run", lambda s, m, c, *a: {"metrics": spark.createDataFrame(metrics[c], "level string, auc double")})
+    e = experiments.Experiment("income", ("income",))
+    row = experiments.compare_lakes(spark, f"file://{tmp_path}", {"own": (None, "own"), "other": (None, "other")}, target, ["x"], e).first()
+    assert (row.target, round(row.own, 6), round(row.other, 6)) == ("income", 0.5, 0.75)
+
+
+def test_appended_trees_start_from_the_lake(spark):
+    """With labels that say the opposite, appended trees turn the lake's model; with none of them it stays."""
+    rows = [("s", i, float(i % 50 - 25), int(i % 50 >= 25), 1.0) for i in range(200)]
+    sources = spark.createDataFrame(rows, "table_id string, row_id long, x double, label int, weight double")
+    turned = spark.createDataFrame([(i, float(i % 50 - 25), int(i % 50 < 25)) for i in range(150)], "row_id long, x double, label int")
+    target = spark.createDataFrame([(i, float(i - 25)) for i in range(50)], "row_id long, x double")
+    booster, extra = adapt.Booster(trees=10, rate=0.3), adapt.Booster(trees=60, rate=0.3)
+    p = {r.row_id: r.p1 for r in adapt.fine_tuned(sources, turned, target, ["x"], booster, extra).collect()}
+    assert p[0] > 0.8 and p[49] < 0.2
+    plain = {r.row_id: r.p1 for r in adapt.fit(sources, ["x"], booster)(target).collect()}
+    same = {r.row_id: r.p1 for r in adapt.fine_tuned(sources, turned, target, ["x"], booster, adapt.Booster(trees=0)).collect()}
+    assert all(abs(plain[i] - same[i]) < 1e-6 for i in plain)
+    assert plain[0] < 0.2 and plain[49] > 0.8

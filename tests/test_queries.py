@@ -11,7 +11,7 @@ import pytest
 from lakeweave.plans import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"gbt_selftrain", "gbt_label_shift", "baselines", "vla_pooled", "stacking", "adaptation_pipeline"}
+SLOW = {"gbt_selftrain", "gbt_label_shift", "baselines", "vla_pooled", "stacking", "adaptation_pipeline", "lake_run"}
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +54,19 @@ def test_without_sql(spark, name):
 def test_tree_models(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     assert len(got) and got["p1"].between(0, 1).all() and got["row_id"].is_unique
+
+
+def test_composed_run_has_an_oracle(spark, monkeypatch):
+    """The whole run over the tables' own lake: all levels, the oracle, and the gap that is closed."""
+    from lakeweave.operators import adapt
+    from lakeweave.plans import lake_queries, pipeline
+
+    monkeypatch.setattr(lake_queries, "_experiment", lambda: pipeline.Experiment("price rating", ("price rating",), k=3, table=-1.0, context=-1.0, rest=-1.0, share=0.0, least_columns=3, booster=adapt.Booster(trees=20, rate=0.2)))
+    metrics = adapt.cut(QUERIES["lake_run"](spark, SF))
+    got = {r.level: r for r in metrics.collect()}
+    assert {"baseline_a", "baseline_c", "level0", "level2", "level5", "ensemble", "source_ensemble", "oracle"} <= set(got)
+    assert got["oracle"].auc > 0.9 and got["level2"].auc > 0.8
+    from pyspark.sql import functions as F
+
+    table = pipeline.compared(metrics.withColumns({"target": F.lit("t"), "lake": F.lit("own")}), "lake", ["own"]).first()
+    assert table["own"] is None or table["own"] <= 1.5
