@@ -20,6 +20,7 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--loader", help=f"how the target is read: {', '.join(sorted(targets.LOADERS))}")
     parser.add_argument("--label", required=True, help="the label's name (its column, without a loader)")
     parser.add_argument("--concepts", nargs="*", default=[], help="more names of the label's concept")
+    parser.add_argument("--directions", help="CSV of col and direction (POSITIVE or NEGATIVE): what proxies say of the label")
     parser.add_argument("--out", required=True, help="folder of the results")
     parser.add_argument("--k", type=int, default=20)
     parser.add_argument("--threshold", type=float, default=0.70)
@@ -40,7 +41,8 @@ def main(given: list[str] | None = None) -> None:
     manifest = adapt.cut(lake.manifest_of(cells))
     e = Experiment(a.label, (a.label, *a.concepts), k=a.k, concept=a.threshold, booster=adapt.Booster(trees=a.trees))
     if a.command == "run":
-        out = experiments.run(spark, manifest, cells, target, features, e)
+        directions = lake.read_csv(spark, a.directions, "col string, direction string") if a.directions else None
+        out = experiments.run(spark, manifest, cells, target, features, e, directions=directions)
         for name in ("lake", "scores", "matches", "metrics"):
             store.save(out[name], f"{a.out}/{name}", "csv")
     else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions.text import lookup_key
 from lakeweave.functions.vectors import dot, unit
+from lakeweave.operators import order
 
 
 def lookup(df: DataFrame, column: str, mapping: dict, out: str) -> DataFrame:
@@ -20,7 +21,8 @@ def lookup(df: DataFrame, column: str, mapping: dict, out: str) -> DataFrame:
 def quantile_edges(df: DataFrame, key: str, bins: int = 8) -> list[float]:
     """Distinct quantile edges of a key (bins + 1 numbers at most)."""
     levels = [i / bins for i in range(bins + 1)]
-    edges = df.agg(F.percentile(key, levels)).first()[0] or []
+    found = order.quantile_arrays(df.select(F.col(key).cast("double").alias("value")), [], levels, "q").first()
+    edges = found["q"] if found else []
     return sorted(set(edges))
 
 
@@ -40,7 +42,8 @@ def binned_join(target: DataFrame, target_key: str, source: DataFrame, source_ke
     edges = quantile_edges(source, source_key, bins)
     if len(edges) < 2:
         return None
-    middle = source.agg(F.percentile(source_key, 0.5)).first()[0]
+    found = order.median(source, source_key).first()
+    middle = found["_m"] if found else None
     means = source.withColumn("bin", bin_number(F.col(source_key), edges)).where("bin is not null").groupBy("bin").agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
     placed = target.withColumn("bin", bin_number(F.coalesce(F.col(target_key), F.lit(middle)), edges))
     if placed.agg(F.avg(F.col("bin").isNotNull().cast("double"))).first()[0] < least_coverage:

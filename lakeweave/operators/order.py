@@ -75,6 +75,12 @@ def quantile_arrays(values: DataFrame, by: Sequence[str], levels: Sequence[float
     return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "value"))), lambda x: x["value"]).alias(name))
 
 
+def median(df: DataFrame, value: str | Column, by: Sequence[str] = (), name: str = "_m") -> DataFrame:
+    """``by, name``: the median of each group; a group without values has no row."""
+    value = F.col(value) if isinstance(value, str) else value
+    return quantiles(df.select(*by, value.cast("double").alias("value")), list(by), [0.5]).select(*by, F.col("value").alias(name))
+
+
 def positions(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
     """``df`` with each row's place from 0 in ``order``. Ranges are those of the first of ``order``, which is
     a column or an expression, ascending, and should vary."""

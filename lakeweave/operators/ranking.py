@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions.text import lookup_key
 from lakeweave.functions.vectors import dot, unit
-from lakeweave.operators.order import positions, running
+from lakeweave.operators.order import median, positions, running
 
 
 def top_k(df: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
@@ -35,8 +35,8 @@ def score_gate(df: DataFrame, score: str, floor: float = 0.05, share: float = 0.
 
 def median_gap_gate(df: DataFrame, score: str, gap: float = 0.10, floor: float = 0.05) -> DataFrame:
     """Rows whose score is not more than ``gap`` below the median, and above the floor; rows without a score pass."""
-    middle = df.agg(F.percentile(score, 0.5).alias("_m"))
-    return df.join(F.broadcast(middle)).where(F.col(score).isNull() | (F.col(score) >= F.greatest(F.col("_m") - gap, F.lit(floor)))).drop("_m")
+    middle = median(df, score)
+    return df.join(F.broadcast(middle), F.lit(True), "left").where(F.col(score).isNull() | (F.col(score) >= F.greatest(F.col("_m") - gap, F.lit(floor)))).drop("_m")
 
 
 def rate_gate(df: DataFrame, rate: str, low: float = 0.05, high: float = 0.95) -> DataFrame:

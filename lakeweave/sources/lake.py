@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import logging
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -13,6 +14,9 @@ from pyspark.sql import types as T
 
 from lakeweave.functions.numeric import number
 from lakeweave.functions.text import table_number
+from lakeweave.operators.order import median
+
+_LOG = logging.getLogger(__name__)
 
 MANIFEST = T.StructType([
     T.StructField("version", T.IntegerType()),
@@ -90,8 +94,8 @@ def read_directory(spark: SparkSession, path: str, most_rows: int | None = None,
                 yield stem, pd.read_csv(io.BytesIO(content))
             elif kind in ("parquet", "pq"):
                 yield stem, pd.read_parquet(io.BytesIO(content))
-        except Exception:  # noqa: BLE001  a broken file of a lake is skipped, whatever is wrong with it
-            return
+        except Exception as e:  # noqa: BLE001  a broken file of a lake is skipped, whatever is wrong with it
+            _LOG.warning("%s is skipped: %s", name, e)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -105,6 +109,31 @@ def read_directory(spark: SparkSession, path: str, most_rows: int | None = None,
     return files.mapInPandas(run, CELLS).where("value is not null")
 
 
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, error`` of the files that ``read_directory`` would skip, those of kinds that it doesn't know included."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                kind = name.rsplit(".", 1)[-1]
+                try:
+                    if kind == "zip":
+                        zipfile.ZipFile(io.BytesIO(content)).testzip()
+                    elif kind == "csv":
+                        pd.read_csv(io.BytesIO(content))
+                    elif kind in ("parquet", "pq"):
+                        pd.read_parquet(io.BytesIO(content))
+                    else:
+                        raise ValueError(f"no reader for .{kind}")
+                except Exception as e:  # noqa: BLE001  whatever is wrong with it is what is asked for
+                    out.append((name, f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(out, columns=["path", "error"])
+
+    return files.mapInPandas(run, "path string, error string")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     return reader.schema(schema).csv(path) if schema else reader.csv(path)
@@ -187,5 +216,6 @@ def unlabelled_rows(manifest: DataFrame, cells: DataFrame, target_columns: Seque
     chosen = (chosen if most_tables is None else chosen.orderBy(F.col("n").desc(), "table_id").limit(most_tables)).select("table_id")
     renamed = cells.join(chosen, "table_id", "left_semi").withColumn("k", F.lower(F.trim("col"))).join(F.broadcast(wanted), "k")
     wide = renamed.groupBy("table_id", "row_id").agg(*[F.max(F.when(F.col("tgt_col") == c, F.col("value"))).alias(c) for c in target_columns])
-    middle = wide.groupBy("table_id").agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in target_columns])
-    return wide.join(middle, "table_id").select("table_id", "row_id", *[F.coalesce(c, f"_m_{c}").alias(c) for c in target_columns])
+    values = wide.select("table_id", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in target_columns])).alias("_p")).select("table_id", "_p.c", "_p.v")
+    middle = median(values, "v", ["table_id", "c"]).groupBy("table_id").agg(*[F.max(F.when(F.col("c") == c, F.col("_m"))).alias(f"_m_{c}") for c in target_columns])
+    return wide.join(middle, "table_id", "left").select("table_id", "row_id", *[F.coalesce(c, f"_m_{c}").alias(c) for c in target_columns])

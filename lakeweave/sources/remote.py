@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import json
 from collections.abc import Callable, Iterator, Sequence
 
@@ -16,8 +17,9 @@ from lakeweave.functions.text import reply_confidence, reply_direction, reply_pr
 class CatalogSource(DataSource):
     """``spark.read.format("lake_catalog")``: dataset entries of a paged catalogue.
 
-    Option ``pages``: JSON lists of entries, one file or glob per page, as a catalogue's pages saved for offline use;
-    each page is a partition. Entries without two numeric columns are left out before anything is downloaded.
+    Option ``pages``: JSON lists of entries, as a catalogue's pages saved for offline use: local files or globs, with commas
+    between them; each page is a partition. Entries without two numeric columns are left out before anything is downloaded.
+    Pages in a store that only Spark reads: ``read_catalog``.
     """
 
     @classmethod
@@ -31,13 +33,22 @@ class CatalogSource(DataSource):
         return _CatalogReader(self.options)
 
 
+_ENTRY = "dataset_id string, name string, n_rows long, n_cols long, n_numeric long, url string"
+
+
+def read_catalog(spark: SparkSession, pages: str | list[str], least_numeric: int = 2) -> DataFrame:
+    """The same entries from any path or glob that Spark reads; a page with another kind of JSON gives none."""
+    return spark.read.schema(_ENTRY).json(pages, multiLine=True).where(F.col("n_numeric") >= least_numeric)
+
+
 class _CatalogReader(DataSourceReader):
     def __init__(self, options):
         self.pages = [p for p in options.get("pages", "").split(",") if p]
         self.least = int(options.get("least_numeric", "2"))
 
     def partitions(self):
-        return [InputPartition(p) for p in self.pages]
+        found = [sorted(glob.glob(p)) if glob.has_magic(p) else [p] for p in self.pages]
+        return [InputPartition(p) for pages in found for p in pages]
 
     def read(self, partition):
         with open(partition.value, encoding="utf-8") as f:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions.numeric import day_difference, number
 from lakeweave.functions.text import lookup_key
 from lakeweave.operators.normalize import label_encoded
+from lakeweave.operators.order import median
 
 LOADERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -66,7 +67,7 @@ def bank(spark: SparkSession, path: str) -> DataFrame:
 def nyhouse(spark: SparkSession, path: str) -> DataFrame:
     """Houses at or above the median price."""
     df = _read(spark, path).withColumn("PRICE", number("PRICE"))
-    middle = df.agg(F.percentile("PRICE", 0.5).alias("_m"))
+    middle = median(df, "PRICE")
     return generic(df.join(F.broadcast(middle)).withColumn("label", (F.col("PRICE") >= F.col("_m")).cast("string")).drop("PRICE", "_m"), "label", ["true"])
 
 
@@ -75,7 +76,7 @@ def obesity(spark: SparkSession, path: str) -> DataFrame:
     """Counties at or above the median of the outcome."""
     df = _read(spark, path)
     outcome = next(c for c in df.columns if "obes" in c.lower())
-    middle = df.agg(F.percentile(number(outcome), 0.5).alias("_m"))
+    middle = median(df, number(outcome))
     return generic(df.join(F.broadcast(middle)).withColumn("label", (number(outcome) >= F.col("_m")).cast("string")).drop(outcome, "_m"), "label", ["true"])
 
 
@@ -137,7 +138,7 @@ def recipe(spark: SparkSession, path: str, names: Sequence[str], values: Sequenc
         raise ValueError(f"none of {('label', *names)} is a column of {path}")
     if values:
         return generic(df, found, values)
-    middle = df.agg(F.percentile(number(found), 0.5).alias("_m"))
+    middle = median(df, number(found))
     return generic(df.join(F.broadcast(middle)).withColumn("_l", (number(found) >= F.col("_m")).cast("string")).drop(found, "_m"), "_l", ["true"])
 
 

@@ -26,6 +26,8 @@ def test_directory_of_mixed_files(spark, tmp_path):
         z.writestr("three.csv", "q\n7\n")
     got = sorted((r.table_id, r.row_id, r.col, r.value) for r in lake.read_directory(spark, f"file://{d}").collect())
     assert got == [("one", 0, "a", 1.0), ("one", 1, "a", 2.0), ("one", 1, "b", 3.0), ("three", 0, "q", 7.0), ("two", 0, "c", 1.5)]
+    (d / "notes.txt").write_text("x")
+    assert {r.path.rsplit("/", 1)[1] for r in lake.unreadable_files(spark, f"file://{d}").collect()} == {"broken.parquet", "notes.txt"}
     m = {r.table_id: r for r in lake.manifest_of(lake.read_directory(spark, f"file://{d}")).collect()}
     assert m["one"].n_rows == 2 and m["one"].columns == ["a", "b"]
 
@@ -78,6 +80,9 @@ def test_catalogue_and_replies(spark, tmp_path):
     (tmp_path / "p1.json").write_text(json.dumps([{"dataset_id": "x", "n_numeric": 5}, {"dataset_id": "y", "n_numeric": 1}]))
     spark.dataSource.register(remote.CatalogSource)
     assert [r.dataset_id for r in spark.read.format("lake_catalog").option("pages", str(tmp_path / "p1.json")).load().collect()] == ["x"]
+    (tmp_path / "p2.json").write_text(json.dumps([{"dataset_id": "y", "n_numeric": 3}, {"dataset_id": "z", "n_numeric": 1}, {"dataset_id": "w"}]))
+    assert sorted(r.dataset_id for r in spark.read.format("lake_catalog").option("pages", f"{tmp_path}/p*.json").load().collect()) == ["x", "y"]
+    assert sorted(r.dataset_id for r in remote.read_catalog(spark, f"file://{tmp_path}/p*.json").collect()) == ["x", "y"]
     rows = spark.createDataFrame([(i, float(i)) for i in range(5)], "row_id long, x double")
     got = remote.zero_shot(rows, ["x"], "?", lambda p: '{"prediction": 1, "confidence": 0.8}', most=3).collect()
     assert sum(r.scored for r in got) == 3 and {r.p1 for r in got if r.scored} == {0.8}
@@ -183,3 +188,11 @@ def test_words_of_nested_tables_and_hopeless_categories(spark):
     categories = repurpose.category_labels(cells, proxies, none, encoder, matching.encode_names(spark.createDataFrame([("zebra",)], "name string"), encoder))
     got = {r.table_id: (r.method, r.reason, r.positive_rate) for r in repurpose.labelled_lake(cells, proxies, none, categories=categories).collect()}
     assert got == {"n": ("categorical_affirmative", "", 0.5), "m": (None, "high_cardinality", None), "u": (None, "cat_no_mapping", None)}
+
+
+def test_rows_of_tables_that_share_names(spark):
+    """Every table with two names of the target takes part; missing values become its own medians."""
+    cells = [(t, i, c, float(i)) for t in ("a", "b") for i in range(5) for c in (" Age", "hours")] + [("a", 9, "hours", 4.0), ("c", 0, "age", 1.0), ("b", 7, "hours", 100.0)]
+    cells = spark.createDataFrame(cells, lake.CELLS)
+    got = {(r.table_id, r.row_id): (r.age, r.hours) for r in lake.unlabelled_rows(lake.manifest_of(cells), cells, ["age", "hours"]).collect()}
+    assert len(got) == 12 and got["a", 9] == (2.0, 4.0) and got["b", 7] == (2.0, 100.0) and got["b", 3] == (3.0, 3.0)
