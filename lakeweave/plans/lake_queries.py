@@ -15,11 +15,11 @@ _CONCEPT = "price rating"
 
 
 def _rows(t: Tables) -> DataFrame:
-    """Line items with their features, and the price in classes of 2,000 as the proxy of what is asked."""
+    """Line items with their features, and what is left of the quantity after discount and tax as the proxy of what is asked."""
     item = t.lineitem
     made = [F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_linenumber"), F.month("l_shipdate")]
     named = [c.cast("double").alias(n) for c, n in zip(made, FEATURES, strict=True)]
-    return item.select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), *named, F.round(F.col("l_extendedprice") / 2000).cast("double").alias(_CONCEPT))
+    return item.select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), *named, F.round(F.col("l_quantity") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).cast("double").alias(_CONCEPT))
 
 
 def lake_and_target(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
