@@ -41,7 +41,7 @@ SET_BITS, TOKEN_BITS = 48, 40
 #: sets that a task holds at a time, rows that it streams past them, and members behind one union
 HELD, CHUNK, BLOCK = 64, 256, 128
 #: sets that a task holds at a time where pairs are given; a row is the pairs of a set with those that are held together
-PAIR_BLOCK = 256
+PAIR_BLOCK = 128
 #: entries of the matrix in a range of tokens, and pairs of entries in a unit of work
 RANGE, PAIRS = 250_000, 2_000_000
 
@@ -195,7 +195,7 @@ def common_tokens(store: SetStore, named: DataFrame, tokens: int, t: Threshold)
             for packed in batch.column(0).to_pylist():
                 held.append(expand_sorted(packed) >> np.uint64(SET_BITS - TOKEN_BITS))
                 n += len(held[-1])
-                if n > 1_000_000:
+                if n > 500_000:
                     yield send(held)
                     held, n = [], 0
         if n:
@@ -215,7 +215,7 @@ def common_tokens(store: SetStore, named: DataFrame, tokens: int, t: Threshold)
                 place, held, n = r, [], 0
             held.append((expand_sorted(a), expand(b).view(np.int64)))
             n += len(held[-1][0])
-            if n > 2_000_000:
+            if n > 1_000_000:
                 held, n = [summed(held)], 0
         if held:
             yield from often(*summed(held))
@@ -354,7 +354,7 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
             part = short[np.argsort(order)[: int(t.stored(size))]]
             held.append((part, i, c, size))
             n += len(part)
-            if n > 1_000_000:
+            if n > 500_000:
                 yield from send(held)
                 held, n = [], 0
         if n:
@@ -416,7 +416,7 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
     def combine(batches):
         place, held, n = None, [], 0
         for r, *packed in _rows(batches):
-            if held and (r != place or n > 500_000):
+            if held and (r != place or n > 250_000):
                 yield once(held)
                 held, n = [], 0
             place = r
@@ -465,7 +465,7 @@ def unions(members: DataFrame) -> DataFrame:
                 place, held, n, low = (g, block), [], 0, size
             held.append(expand_sorted(packed))
             n, low = n + len(held[-1]), min(low, size)
-            if n > 1_000_000:
+            if n > 500_000:
                 held = [np.unique(np.concatenate(held))]
                 n = len(held[0]) // 2
         if held:
