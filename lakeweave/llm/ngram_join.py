@@ -151,16 +151,26 @@ def compare(held: DataFrame, streamed: DataFrame, t: Threshold, once: bool = Fal
     return dealt.mapInArrow(run, "g long, a long, b long")
 
 
-def compare_pairs(store: SetStore, pairs: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs ``a, b`` that link. Blocks of b's are held and each a is streamed once past those it is paired with.
+def deal_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(held, streamed) for ``compare``, without sets: ``g, chunk, id`` and ``g, chunk, id, others``.
 
-    A block with many pairs is divided by a, so a hub of any number of pairs is held in many tasks.
+    A block is some PAIR_BLOCK b's, a row each a with all its b's of a block, a chunk some CHUNK such rows. So n documents
+    that are all paired with each other are n / PAIR_BLOCK rows each, and a b is held once a chunk, not once a pair. A block
+    with many a's is many chunks, so a hub of any number of pairs is held in many tasks.
     """
     blocks = max(1, pairs.select("b").distinct().count() // PAIR_BLOCK)
     met = pairs.groupBy(F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("g"), F.col("a").alias("id")).agg(F.collect_set("b").alias("others"))
-    counts = met.groupBy("g").agg(F.ceil(F.sum(F.size("others")) / CHUNK).cast("long").alias("chunks"))
+    met = cut(met, "dealt")
+    counts = met.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
     streamed = cut(met.join(counts, "g").select("g", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "others"), "streamed")
-    held = streamed.select("g", "chunk", F.explode("others").alias("id")).distinct()
+    forget(met)
+    wanted = F.array_distinct(F.flatten(F.collect_set("others")))  # of a chunk's rows: some CHUNK x PAIR_BLOCK ids at most
+    return streamed.groupBy("g", "chunk").agg(wanted.alias("ids")).select("g", "chunk", F.explode("ids").alias("id")), streamed
+
+
+def compare_pairs(store: SetStore, pairs: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs ``a, b`` that link. Blocks of b's are held and each a is streamed once past those it is paired with."""
+    held, streamed = deal_pairs(pairs)
     return compare(store.full(held), store.full(streamed), t).select("a", "b").where("a <> b")
 
 

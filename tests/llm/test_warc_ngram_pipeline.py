@@ -190,6 +190,17 @@ def test_near_duplicate_edges(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0 and ngram_join.one_of_each(empty(spark)).count() == 0
 
 
+def test_pairs_are_dealt_by_blocks(spark):
+    family = spark.range(600).select(F.col("id").alias("a")).join(spark.range(600).select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    hub = spark.range(1000, 2000).select(F.col("id").alias("a"), F.lit(5).cast("long").alias("b"))
+    pairs = family.unionByName(hub)
+    held, streamed = ngram_join.deal_pairs(pairs)
+    met = streamed.select("g", "chunk", F.col("id").alias("a"), F.explode("others").alias("id")).join(held, ["g", "chunk", "id"])
+    assert sorted((r["a"], r["id"]) for r in met.collect()) == sorted(tuple(r) for r in pairs.collect())  # each meets once
+    assert held.count() < pairs.count() / 20 and streamed.count() < pairs.count() / 20  # neither is a row a pair
+    assert streamed.groupBy("g", "chunk").count().agg(F.max("count")).first()[0] < 2 * ngram_join.CHUNK
+
+
 @pytest.mark.parametrize("few", [1_000_000, 7])
 def test_components(spark, monkeypatch, few):
     """Joined up at once, and in rounds until few links are left."""
