@@ -196,3 +196,24 @@ def test_rows_of_tables_that_share_names(spark):
     cells = spark.createDataFrame(cells, lake.CELLS)
     got = {(r.table_id, r.row_id): (r.age, r.hours) for r in lake.unlabelled_rows(lake.manifest_of(cells), cells, ["age", "hours"]).collect()}
     assert len(got) == 12 and got["a", 9] == (2.0, 4.0) and got["b", 7] == (2.0, 100.0) and got["b", 3] == (3.0, 3.0)
+
+
+def test_a_lake_is_not_copied(spark, tmp_path, monkeypatch):
+    """Discovery moves and writes the proxies' cells and those of the tables that are kept, not the lake's."""
+    from pyspark.sql import functions as F
+
+    from lakeweave.operators import adapt
+    from lakeweave.plans import lake_queries, pipeline
+    from lakeweave.plans.registry import Tables
+
+    rows = spark.range(6000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") % 40 + 1).alias("l_suppkey"))
+    rows = rows.withColumns({"l_quantity": (F.col("l_orderkey") * 7 % 50).cast("double"), "l_discount": (F.col("l_orderkey") % 11 / 100), "l_tax": (F.col("l_orderkey") % 9 / 100), "l_shipdate": F.date_add(F.lit("2020-01-01").cast("date"), (F.col("l_orderkey") % 300).cast("int"))})
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    written = []
+    for name in [x for x in ("cut", "stored") if hasattr(adapt, x)]:
+        monkeypatch.setattr(adapt, name, lambda df, old=getattr(adapt, name): written.append(old(df)) or written[-1])
+    manifest, cells, target = lake_queries.lake_and_target(Tables(spark, str(tmp_path)))
+    found = pipeline.discover(spark, manifest, cells, target, lake_queries.FEATURES, lake_queries._experiment())
+    kept = found["lake"].where("kept").count()
+    assert kept == 3 and found["lake"].count() == 36
+    assert max(df.count() for df in written) < cells.count() / 6
