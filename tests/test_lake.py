@@ -217,3 +217,26 @@ def test_a_lake_is_not_copied(spark, tmp_path, monkeypatch):
     kept = found["lake"].where("kept").count()
     assert kept == 3 and found["lake"].count() == 36
     assert max(df.count() for df in written) < cells.count() / 6
+
+
+def test_levels_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+
+    from pyspark.sql import functions as F
+
+    from lakeweave.operators import adapt
+    from lakeweave.plans import pipeline
+
+    rows = spark.range(240).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    sources = rows.withColumns({"table_id": F.lit("a"), "weight": F.lit(1.0)})
+    together = threading.Barrier(2)
+    old = adapt.self_trained
+
+    def waits(*args, **kwargs):
+        together.wait(60)  # both kinds of self-training run, or this breaks
+        return old(*args, **kwargs)
+
+    monkeypatch.setattr(adapt, "self_trained", waits)
+    found = pipeline.run_levels(sources, rows, ["x", "y"], {"a": 1.0}, adapt.Booster(trees=3), rounds=(0.2,), known=rows.withColumn("weight", F.lit(1.0)))
+    levels = {r["level"]: r["auc"] for r in found.collect()}
+    assert list(sorted(levels)) == ["baseline_a", "baseline_c", "ensemble", "level0", "level2", "level2_lsc", "level5", "level55", "level6", "oracle"] and levels["oracle"] > 0.99
