@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.llm.common import cut, forget, join_hot
+from lakeweave.llm.workers import lean
 
 #: links that one task may hold, at 16 bytes each
 FEW = 1_000_000
@@ -33,6 +34,7 @@ def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _at_once(edges: DataFrame) -> DataFrame:
+    @lean
     def run(batches):
         parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
         if parts:

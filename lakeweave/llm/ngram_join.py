@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lakeweave.llm.common import cut, forget, fresh, join_hot, release, scratch, small_batches
 from lakeweave.llm.components import components
 from lakeweave.llm.shingles import Shingler, common, expand, expand_sorted, min_hashes, mixed, squeeze, squeeze_sorted
+from lakeweave.llm.workers import lean
 
 MINIMA = 10
 #: minima that two classes share before they are compared to make groups
@@ -101,6 +102,7 @@ class SetStore:
 
 
 def _sets(t: Threshold):
+    @lean
     def run(batches):
         shingler = Shingler(t.width)
         for batch in batches:
@@ -128,6 +130,7 @@ def compare(held: DataFrame, streamed: DataFrame, t: Threshold, once: bool = Fal
     both = kept.unionByName(streamed.select("g", "chunk", F.lit(1).alias("role"), "id", "size", "others", "tokens"))
     dealt = both.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "role", "id")
 
+    @lean
     def run(batches):
         place, kept = None, {}
         for batch in batches:
@@ -199,6 +202,7 @@ def common_tokens(store: SetStore, named: DataFrame, tokens: int, t: Threshold)
     bits, least = _ranges(tokens), max(COMMON_FROM, (tokens >> COMMON_SHARE) + 1)
     speakers = store.full(named.where("id = c").select("id")).select("tokens")
 
+    @lean
     def gather(batches):
         held, n = [], 0
         for batch in batches:
@@ -216,6 +220,7 @@ def common_tokens(store: SetStore, named: DataFrame, tokens: int, t: Threshold)
         rows = [(r, squeeze_sorted(found[i:j]), squeeze(counts[i:j])) for r, i, j in _parts(found, bits)]
         return _batch(rows, (pa.int32(), pa.binary(), pa.binary()), ["r", "tokens", "counts"])
 
+    @lean
     def add(batches):
         place, held, n = None, [], 0
         for r, a, b in _rows(batches):
@@ -351,6 +356,7 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
     del listed, logs
     rows = store.full(named.select("id", "c")).select("id", "c", "size", "tokens")
 
+    @lean
     def first_parts(batches):
         held, n = [], 0
         listed, logs = known.value
@@ -385,6 +391,7 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
         if rows:
             yield _batch(rows, (pa.int32(), *[pa.binary()] * 5), ["r", *_NAMES])
 
+    @lean
     def units(batches):
         place, held = None, []
         for r, *packed in _rows(batches):
@@ -412,6 +419,7 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
                 yield _batch([(to - at, *_pack(*part))], (pa.int64(), *[pa.binary()] * 5), ["n", *_NAMES])
             at = to
 
+    @lean
     def match(batches):
         for n, *packed in _rows(batches):
             entries, ends = windows(*_unpack(*packed), t)
@@ -423,6 +431,7 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
                 rows = [(int(part[i]), *(squeeze(x[i:j]) for x in found)) for i, j in zip(edges[:-1], edges[1:], strict=True)]
                 yield _batch(rows, (pa.int32(), *[pa.binary()] * 4), ["r", "ca", "cb", "a", "b"])
 
+    @lean
     def combine(batches):
         place, held, n = None, [], 0
         for r, *packed in _rows(batches):
@@ -466,6 +475,7 @@ def unions(members: DataFrame) -> DataFrame:
     ``members``: g, block, size, tokens. A block has some BLOCK members, however large its group is.
     """
 
+    @lean
     def run(batches):
         place, held, n, low = None, [], 0, 0
         for g, block, size, packed in _rows(batches):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm.common import cut, forget, in_order, small_batches
 from lakeweave.llm.tokenizing import TextEncoder
+from lakeweave.llm.workers import lean
 
 
 @dataclass
@@ -92,7 +93,7 @@ def _cutter(tokenizer_path: str, end_id: int, longest: int, with_ids: bool) -> C
             columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns[: 5 + with_ids], names=names[: 5 + with_ids])
 
-    return run
+    return lean(run, keep=True)
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 0, longest: int = 1024, with_ids: bool = False) -> DataFrame:

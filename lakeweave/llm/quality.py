@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.llm.common import small_batches
+from lakeweave.llm.workers import lean
 
 #: fixed values: characters that count as symbols, and marks that separate the entries of a menu
 SYMBOLS = "#*$%&|<>"
@@ -150,6 +151,7 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     names = docs.columns
     at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
+    @lean
     def run(batches):
         for batch in batches:
             found = [measure(t, rules) for t in batch.column(at).to_pylist()]

@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import json
 import struct
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lakeweave.llm.workers import worker_state
+
 #: white space as the tokenizer's pre-tokenizer sees it
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _INK = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}\x00]"
@@ -33,11 +33,6 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTER = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-def worker_state() -> types.ModuleType:
-    """A module object that lives as long as the Python worker process."""
-    return sys.modules.setdefault("_lakeweave_worker_state", types.ModuleType("_lakeweave_worker_state"))
-
-
 def vocabulary_size(tokenizer_path: str) -> int:
     """Ids that the tokenizer may give, special tokens included."""
     from tokenizers import Tokenizer
@@ -79,7 +74,7 @@ class TextEncoder:
 
     @classmethod
     def shared(cls, tokenizer_path: str) -> TextEncoder:
-        """The worker's own encoder for this file, kept from task to task."""
+        """The worker's own encoder for this file, kept from task to task, until a task that doesn't tokenize (``lean``)."""
         kept = worker_state().__dict__.setdefault("encoders", {})
         if tokenizer_path not in kept:
             kept[tokenizer_path] = cls(tokenizer_path)

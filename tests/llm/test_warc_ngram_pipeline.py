@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -234,6 +237,42 @@ def test_shingle_arrays():
         assert (expand_sorted(squeeze_sorted(s)) == s).all()
 
 
+_LEFT = """
+import random, re
+import pyarrow as pa
+from lakeweave.llm import ngram_join, packing, quality, tokenizing
+from lakeweave.llm.queries import TOKENIZER
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+rng = random.Random(1)
+def batches(n):
+    for a in range(n):
+        yield pa.record_batch({"doc_id": range(200), "text": [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1500)) for _ in range(200)]})
+
+run = ngram_join._sets(ngram_join.Threshold())
+for x in run(batches(1)):
+    pass
+before = held()
+for x in packing._cutter(TOKENIZER, 0, 1024, False)(batches(1)):
+    pass
+kept = len(tokenizing.worker_state().encoders)
+for x in run(batches(6)):
+    pass
+del x
+print(kept, len(getattr(tokenizing.worker_state(), "encoders", ())), held() - before)
+"""
+
+
+def test_tasks_leave_workers_small():
+    """A worker has neither the encoder of an earlier stage nor what its own tasks have freed."""
+    said = subprocess.run([sys.executable, "-c", _LEFT], cwd=os.path.dirname(corpus_pipeline.__file__), capture_output=True, text=True)
+    assert not said.returncode, said.stderr
+    kept, encoders, more = said.stdout.split()
+    assert (kept, encoders) == ("1", "0") and float(more) < 40
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage does what it says to what the one before kept."""
     rng = random.Random(5)
