@@ -8,7 +8,10 @@
    is. The first part of a set, under one global order with rarest tokens first, is enough: if J(Q, S) >= t, Q has
    at least ceil(t |Q|) tokens in common with S, so the first |Q| - ceil(t |Q|) + 1 tokens of Q and of S share one.
 4. Two groups that meet in a row qualify if, were this the first token they share, what follows it in either could
-   still make a link. One member of each (the witnesses) is compared; for groups of one, that is all.
+   still make a link. One member of each (the witnesses) is compared; for groups of one, that is all. In a row where
+   very many groups meet, the sets go to the row instead: a bound from the parities of their tokens (``Parities``)
+   tells most pairs from links, the others are compared, and of the links found as many are kept as join the groups up.
+   So versions of a text that are all just below the threshold don't become a row a pair.
 5. Where witnesses of larger groups don't link, the members of the smaller group are queries. The larger group is
    stored as token unions, each of a block of its members. The overlap of a query with a union bounds the overlap
    with every member behind it, and only blocks whose bound reaches what a link needs are opened.
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm.common import cut, forget, fresh, join_hot, release, scratch, small_batches
 from lakeweave.llm.components import components
-from lakeweave.llm.shingles import Shingler, common, expand, expand_sorted, min_hashes, mixed, squeeze, squeeze_sorted
+from lakeweave.llm.shingles import Parities, Shingler, common, expand, expand_sorted, min_hashes, mixed, squeeze, squeeze_sorted
 from lakeweave.llm.workers import lean
 
 MINIMA = 10
@@ -45,6 +48,9 @@ HELD, CHUNK, BLOCK = 64, 256, 128
 PAIR_BLOCK = 128
 #: entries of the matrix in a range of tokens, and pairs of entries in a unit of work
 RANGE, PAIRS = 250_000, 2_000_000
+#: a token whose entries pair with more others than this, on average, is crowded: its groups of up to FEW members are
+#: compared where they meet, in blocks whose smallest sets have some PLACE shingles together
+CROWD, FEW, PLACE = 8, 8, 250_000
 
 
 @dataclass(frozen=True)
@@ -312,19 +318,21 @@ def windows(token, group, id_, after, size, t: Threshold) -> tuple[tuple[np.ndar
     return (token, group, id_, after, size), np.where(reach >= size, np.maximum(ends, own), own)
 
 
-def candidates(entries: tuple[np.ndarray, ...], ends: np.ndarray, start: int, stop: int, t: Threshold) -> Iterator[tuple[np.ndarray, ...]]:
-    """``ca, cb, a, b`` of the entries from ``start`` to ``stop`` with those in their windows, in bounded pieces."""
+def candidates(entries: tuple[np.ndarray, ...], ends: np.ndarray, start: int, stop: int, t: Threshold, past: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """``ca, cb, a, b`` of the entries from ``start`` to ``stop`` with those in their windows (from ``past`` on), in
+    bounded pieces."""
     _, group, id_, after, size = entries
     own = np.arange(start, stop)
-    many = ends[start:stop] - own - 1
-    own, many = own[many > 0], many[many > 0]
+    first = np.maximum(own + 1, past)
+    many = ends[start:stop] - first
+    own, first, many = own[many > 0], first[many > 0], many[many > 0]
     upto = np.cumsum(many)
     at = 0
     while at < len(own):
         before = upto[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(upto, before + PAIRS // 8, "right")))
         p = np.repeat(own[at:to], many[at:to])
-        q = p + 1 + np.arange(len(p)) - np.repeat(upto[at:to] - many[at:to] - before, many[at:to])
+        q = np.repeat(first[at:to], many[at:to]) + np.arange(len(p)) - np.repeat(upto[at:to] - many[at:to] - before, many[at:to])
         may = t.enough(after[q], size[p] + size[q])  # the other entry must reach this one, too
         p, q = p[may], q[may]
         swap = group[p] > group[q]
@@ -341,13 +349,105 @@ def _once(ca, cb, a, b) -> tuple[np.ndarray, ...]:
     return ca[first], cb[first], a[first], b[first]
 
 
+def crowded(entries: tuple[np.ndarray, ...], ends: np.ndarray) -> np.ndarray:
+    """Whether an entry's token is crowded."""
+    token = entries[0]
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    many = np.diff(np.append(starts, len(token)))
+    pairs = np.add.reduceat(ends - np.arange(1, len(token) + 1), starts)
+    return np.repeat(pairs > CROWD * many, many)
+
+
+def crowd_units(entries: tuple[np.ndarray, ...], ends: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(entries, own, past) of units of work on crowded tokens: the first ``own`` entries, with those from ``past`` on.
+
+    Small tokens share a unit. A token of more than PLACE shingles is cut into blocks, and two blocks are a unit.
+    """
+    token, size = entries[0], entries[4]
+    edges = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token)).tolist()
+    upto = np.concatenate([[0], np.cumsum(size)])
+    begun = 0
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        if upto[j] - upto[begun] <= PLACE:
+            continue
+        if i > begun:
+            yield np.arange(begun, i), i - begun, 0
+        begun = i
+        if upto[j] - upto[i] > PLACE:
+            block = ((upto[i + 1 : j + 1] - upto[i] - 1) // PLACE).astype(np.int64)
+            cuts = [i, *(i + 1 + np.flatnonzero(block[1:] != block[:-1])).tolist(), j]
+            blocks = list(zip(cuts[:-1], cuts[1:], strict=True))
+            for k, (a, b) in enumerate(blocks):
+                yield np.arange(a, b), b - a, 0
+                last = int(ends[a:b].max())
+                for x, y in blocks[k + 1 :]:
+                    if x < last:
+                        yield np.concatenate([np.arange(a, b), np.arange(x, y)]), b - a, b - a
+            begun = j
+    if begun < len(token):
+        yield np.arange(begun, len(token)), len(token) - begun, 0
+
+
+class Crowd:
+    """The members of the small groups that meet in a unit of work, compared there."""
+
+    def __init__(self, groups: list[int], ids: list[int], sets: list[np.ndarray], t: Threshold):
+        order = np.argsort(np.array(groups, np.int64), kind="stable")
+        self.t, self.ids, self.sets = t, np.array(ids, np.int64)[order], [sets[i] for i in order]
+        self.group, self.start, self.many = np.unique(np.array(groups, np.int64)[order], return_index=True, return_counts=True)
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+        self.parities = Parities(self.sets)
+        self.root = np.arange(len(self.group))
+
+    def _place(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.group, group), max(0, len(self.group) - 1))
+        return at, self.group[at] == group if len(self.group) else np.zeros(len(group), bool)
+
+    def _top(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return int(x)
+
+    def left(self, ca, cb, a, b) -> tuple[np.ndarray, ...]:
+        """What is left of the pairs: one with a larger group as it is; of the others those that link and that join
+        groups not joined before, with two members that link."""
+        (x, known), (y, both) = self._place(ca), self._place(cb)
+        known &= both
+        found = [tuple(v[~known] for v in (ca, cb, a, b))]
+        x, y = x[known], y[known]
+        while (self.root[self.root] != self.root).any():
+            self.root = self.root[self.root]
+        apart = self.root[x] != self.root[y]
+        x, y = x[apart], y[apart]
+        step = max(1, PAIRS // 8 // int(self.many.max(initial=1)) ** 2)
+        for at in range(0, len(x), step):
+            if linked := list(self._links(x[at : at + step], y[at : at + step])):
+                found.append(tuple(np.array(v, np.int64) for v in zip(*linked, strict=True)))
+        return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+    def _links(self, x, y) -> Iterator[tuple[int, int, int, int]]:
+        t, product = self.t, self.many[x] * self.many[y]
+        pair = np.repeat(np.arange(len(x)), product)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(product) - product, product)
+        i, j = self.start[x[pair]] + k // self.many[y[pair]], self.start[y[pair]] + k % self.many[y[pair]]
+        total = self.size[i] + self.size[j]
+        # the sets differ in d tokens or more, so share (total - d) / 2 or fewer
+        may = (total - self.parities.apart(i, j)) * (t.part + t.whole) >= 2 * t.part * total
+        for p, i, j in zip(pair[may].tolist(), i[may].tolist(), j[may].tolist(), strict=True):
+            u, v = self._top(x[p]), self._top(y[p])
+            if u != v and t.enough(common(self.sets[i], self.sets[j]), len(self.sets[i]) + len(self.sets[j])):
+                self.root[max(u, v)] = min(u, v)
+                yield self.group[x[p]], self.group[y[p]], self.ids[i], self.ids[j]
+
+
 def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Threshold) -> DataFrame:
     """Pairs of groups that meet in a row of the matrix where they may have a link: ``ca, cb`` and a witness of each, ``a, b``.
 
     ``named``: the classes' ``id`` and group ``c``; the copies of a class play no part.
 
     The matrix is stored in units of work of a bounded number of pairs: a unit is some rows, or a part of the entries
-    of a token that very many groups have, so no token is one task's burden.
+    of a token that very many groups have, so no token is one task's burden. Units of crowded tokens get the sets of
+    their small groups, and pairs of such groups are left out unless they link (``Crowd``).
     """
     bits = _ranges(tokens // 4)
     listed, logs = common_tokens(store, named, tokens, t)
@@ -396,17 +496,26 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
         place, held = None, []
         for r, *packed in _rows(batches):
             if r != place:
-                yield from divide(held)
+                yield from divide(place, held)
                 place, held = r, []
             held.append(_unpack(*packed))
-        yield from divide(held)
+        yield from divide(place, held)
 
-    def divide(held):
+    def divide(r, held):
         if not held:
             return
         entries = token_union(*(np.concatenate(x) for x in zip(*held, strict=True)))
         held.clear()
         entries, ends = windows(*entries, t)
+        crowd = crowded(entries, ends)
+        if crowd.any():
+            many = tuple(x[crowd] for x in entries)
+            for k, (at, own, past) in enumerate(crowd_units(*windows(*many, t))):
+                yield _batch([((r << 32) + k, own, past, *_pack(*(x[at] for x in many)))], (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5), ["u", "n", "past", *_NAMES])
+            entries = tuple(x[~crowd] for x in entries)
+            if not len(entries[0]):
+                return
+            entries, ends = windows(*entries, t)
         own = np.arange(1, len(ends) + 1)
         upto = np.cumsum(ends - own)
         at = 0
@@ -416,7 +525,7 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
             if upto[to - 1] > before:
                 last = int(ends[at:to].max())
                 part = tuple(x[at:last] for x in entries)
-                yield _batch([(to - at, *_pack(*part))], (pa.int64(), *[pa.binary()] * 5), ["n", *_NAMES])
+                yield _batch([(None, to - at, 0, *_pack(*part))], (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5), ["u", "n", "past", *_NAMES])
             at = to
 
     @lean
@@ -424,12 +533,39 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
         for n, *packed in _rows(batches):
             entries, ends = windows(*_unpack(*packed), t)
             for found in candidates(entries, ends, 0, n, t):
-                part = mixed((found[0] * _LARGE + found[1]).view(np.uint64)) % np.uint64(places)
-                order = np.argsort(part, kind="stable")
-                part, found = part[order], [x[order].view(np.uint64) for x in found]
-                edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-                rows = [(int(part[i]), *(squeeze(x[i:j]) for x in found)) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-                yield _batch(rows, (pa.int32(), *[pa.binary()] * 4), ["r", "ca", "cb", "a", "b"])
+                yield away(found)
+
+    def away(found) -> pa.RecordBatch:
+        part = mixed((found[0] * _LARGE + found[1]).view(np.uint64)) % np.uint64(places)
+        order = np.argsort(part, kind="stable")
+        part, found = part[order], [x[order].view(np.uint64) for x in found]
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        rows = [(int(part[i]), *(squeeze(x[i:j]) for x in found)) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        return _batch(rows, (pa.int32(), *[pa.binary()] * 4), ["r", "ca", "cb", "a", "b"])
+
+    @lean
+    def meeting(batches):
+        for u, packed in _rows(batches):
+            found = np.unique(expand(packed).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), u)), pa.array(found)], names=["u", "g"])
+
+    @lean
+    def match_crowd(batches):
+        groups, ids, sets = [], [], []
+        for _, c, i, packed_set, n, past, *packed in _rows(batches):
+            if n is None:
+                groups.append(c)
+                ids.append(i)
+                sets.append(expand_sorted(packed_set))
+                continue
+            # a unit's own row comes after its sets
+            crowd = Crowd(groups, ids, sets, t)
+            groups, ids, sets = [], [], []
+            entries, ends = windows(*_unpack(*packed), t)
+            for found in candidates(entries, ends, 0, n, t, past):
+                found = crowd.left(*found)
+                if len(found[0]):
+                    yield away(found)
 
     @lean
     def combine(batches):
@@ -448,11 +584,19 @@ def qualifying_groups(store: SetStore, named: DataFrame, tokens: int, t: Thresho
         return pa.RecordBatch.from_arrays([pa.array(x) for x in _once(*(np.concatenate(x) for x in zip(*held, strict=True)))], names=["ca", "cb", "a", "b"])
 
     sent = rows.mapInArrow(first_parts, f"r int, {_ENTRIES}").repartition("r").sortWithinPartitions("r")
-    matrix = cut(sent.mapInArrow(units, f"n long, {_ENTRIES}"), "matrix")
+    matrix = cut(sent.mapInArrow(units, f"u long, n long, past long, {_ENTRIES}"), "matrix")
     known.destroy()
     partitions = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
     places = max(8, partitions // 4)  # pairs travel together, and those that met in several rows become one before they are rows
-    pairs = matrix.repartition(partitions).mapInArrow(match, "r int, ca binary, cb binary, a binary, b binary")
+    packed = "r int, ca binary, cb binary, a binary, b binary"
+    pairs = matrix.where("u is null").select("n", *_NAMES).repartition(partitions).mapInArrow(match, packed)
+    crowds = matrix.where("u is not null")
+    if not crowds.isEmpty():
+        small = named.groupBy("c").count().where(F.col("count") <= FEW).select("c")
+        met = crowds.select("u", "groups").mapInArrow(meeting, "u long, g long").join(named.join(small, "c").select("id", "c"), F.col("g") == F.col("c"))
+        sets = store.full(met.select("u", "c", "id")).select("u", "c", "id", F.col("tokens").alias("set"))
+        dealt = sets.unionByName(crowds, allowMissingColumns=True).select("u", "c", "id", "set", "n", "past", *_NAMES)
+        pairs = pairs.unionByName(dealt.repartition("u").sortWithinPartitions("u", F.col("n").asc_nulls_first()).mapInArrow(match_crowd, packed))
     met = pairs.repartition("r").sortWithinPartitions("r").mapInArrow(combine, "ca long, cb long, a long, b long")
     met = cut(met.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("w")).select("ca", "cb", "w.a", "w.b"), "qualifying")
     forget(matrix)

@@ -93,6 +93,45 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+class Parities:
+    """Of each set some eight bits an element: whether an odd number of elements have that remainder.
+
+    What two sets have in common cancels out, so they differ in as many elements as bits, or more. Bits are a power of
+    two; the longer bits of two sets are folded to the length of the shorter ones.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.level = np.array([(max(0, len(s) - 1) >> 3).bit_length() for s in sets], np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        above, bits = np.empty(0, np.int64), np.empty((0, 2 << int(self.level.max(initial=0))), np.uint64)
+        for level in range(int(self.level.max(initial=0)), -1, -1):
+            width = 1 << level
+            new = np.flatnonzero(self.level == level)
+            own = [self._bits(sets[i], width) for i in new.tolist()]
+            bits = np.concatenate([bits[:, :width] ^ bits[:, width:], np.array(own, np.uint64).reshape(len(own), width)])
+            above = np.concatenate([above, new])
+            at = np.zeros(len(sets), np.int64)
+            at[above] = np.arange(len(above))
+            self.tables[level] = at, bits
+
+    @staticmethod
+    def _bits(values: np.ndarray, width: int) -> np.ndarray:
+        odd = np.bincount((values % np.uint64(64 * width)).astype(np.int64), minlength=64 * width) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For pairs of sets, in how many elements they differ at least."""
+        out, level = np.zeros(len(i), np.int64), np.minimum(self.level[i], self.level[j])
+        for one in np.unique(level).tolist():
+            at, bits = self.tables[one]
+            these = np.flatnonzero(level == one)
+            step = max(1, 500_000 >> one)
+            for k in range(0, len(these), step):
+                p = these[k : k + step]
+                out[p] = np.bitwise_count(bits[at[i[p]]] ^ bits[at[j[p]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Compressed 64-bit integers: byte planes of the values, so that equal high bytes cost nothing."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)

@@ -11,7 +11,7 @@ import corpus_pipeline
 from lakeweave.llm import ngram_join, warc
 from lakeweave.llm.components import components
 from lakeweave.llm.queries import TOKENIZER
-from lakeweave.llm.shingles import Shingler, expand_sorted, squeeze_sorted
+from lakeweave.llm.shingles import Parities, Shingler, expand_sorted, squeeze_sorted
 from tests.llm.helpers import SCHEMA, corpus, empty, frame, words
 
 
@@ -181,6 +181,61 @@ def test_a_token_of_ten_thousand_groups_takes_little_memory():
     tracemalloc.stop()
 
 
+@pytest.mark.parametrize("place", [250_000, 2_000])
+@pytest.mark.parametrize("many", [1, 3])
+def test_versions_below_the_threshold_are_not_a_row_a_pair(spark, monkeypatch, place, many):
+    """Versions of a text that meet in the same rows, few of which link: alone, or in small groups beside a larger one."""
+    monkeypatch.setattr(ngram_join, "PLACE", place, raising=False)
+    rng = random.Random(5)
+    base, rows = words(rng, 120, 10**6), []
+    for i in range(300):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice((2, *[3] * 9))):
+            w[k] = f"v{i}_{k}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    group = {i: (0 if many > 1 and i < 12 else i - i % many) for i in range(300)}
+    t = ngram_join.Threshold()
+    store = ngram_join.SetStore(frame(spark, rows).select("doc_id", "text"), t)
+    try:
+        named = spark.createDataFrame([(i, 116, c) for i, c in group.items()], "id long, n long, c long")
+        got = ngram_join.qualifying_groups(store, named, 300 * 116, t).collect()
+    finally:
+        store.drop()
+    sets = [shingle_set(r[1]) for r in rows]
+    members = defaultdict(list)
+    for i, c in group.items():
+        members[c].append(i)
+
+    def links(a, b):
+        return 7 * len(sets[a] & sets[b]) >= 3 * (len(sets[a]) + len(sets[b]))
+
+    def joined(pairs):
+        boss = dict(group)
+        for a, b in pairs:
+            x, y = sorted((boss[a], boss[b]))
+            boss = {i: x if c == y else c for i, c in boss.items()}
+        return boss
+
+    found = [(a, b) for r in got for a in members[r.ca] for b in members[r.cb] if links(a, b)]  # groups that witnesses don't join are opened
+    every = [(a, b) for a in range(300) for b in range(a) if links(a, b)]
+    assert all(group[r.a] == r.ca and group[r.b] == r.cb for r in got)
+    assert joined(found) == joined(every) and len(set(joined(every).values())) > 5
+    assert len(got) < 10 * len(members)  # pairs that meet: about half of len(members) ** 2
+
+
+def test_parities_tell_sets_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 48, 5000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:n], rng.integers(0, 1 << 48, new).astype(np.uint64)])) for n, new in ((1, 0), (0, 1), (9, 0), (140, 20), (146, 0), (130, 9), (1000, 100), (1100, 20), (5000, 700))]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    apart = Parities(sets).apart(i, j)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    near = true * 3 < np.array([len(sets[a]) + len(sets[b]) for a, b in zip(i, j, strict=True)])
+    assert (apart <= true).all() and (apart[near] >= 0.9 * true[near]).all() and Parities([]).apart(i[:0], j[:0]).size == 0
+
+
 def test_near_duplicate_edges(spark):
     rows = [(5, "a b c d e f", "en", "s", 0), (2, "A B C d e f", "en", "s", 0), (None, "a b c d e f", "en", "s", 0), (None, "no equal of mine", "en", "s", 0), (9, "", "en", "s", 0), (9, "x y", "en", "s", 0), (4, "X\ty", "en", "s", 0), (4, "p q r", "en", "s", 0), (None, None, "en", "s", 0)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
